@@ -8,13 +8,37 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fieldglass.llm.common import table
 from fieldglass.llm.near_dup import near_duplicates
+from fieldglass.llm.packing import packed
+from fieldglass.llm.quality import quality_scores
+from fieldglass.llm.sharding import sharded
+from fieldglass.llm.toxicity import toxicity_scores
+
+
+def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharded(table(spark, sf_dir, "documents"))
+
+
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sharding": op1_sharding,
+    "op2_quality_classifier": op2_quality_classifier,
+    "op4_packing": op4_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op9_toxicity": op9_toxicity,
 }
 ORACLES: dict[str, str] = {}
