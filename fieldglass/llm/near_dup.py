@@ -7,8 +7,9 @@ neighbours that share at least the first DEPTH values, nearest (longest common p
 a region is dense, sorting by all remaining values makes this window reach deeper prefixes by itself.
 
 Round 1 takes for each node the nearest neighbour on either side whose signature agrees well enough, confirms these pairs on
-full sets and joins them to components. Round 2 takes every agreeing pair in the window whose components still differ, and
-confirms those too. So copies never become all pairs, and no link between components is passed over.
+full sets and joins them to components. Round 2 looks at the nodes that agree with one of another component. It counts how many shingles each
+has that none of the others has; these bound the similarity of any pair from above. Every pair in the window whose components differ and whose
+bound reaches the limit is confirmed too. So neither copies nor a text's many loose variants become all pairs, and no link between components is passed over.
 
 At similarity 0.75 a tree brings two nodes of a sparse region together with probability 0.56; that all 16 miss has odds of 2e-6.
 """
@@ -79,39 +80,41 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _orders(classes: DataFrame) -> DataFrame:
-    """The rows of all trees, each tree in sorted order over range partitions."""
-    rows = classes.select("node", "label", "marks", F.posexplode("keys").alias("tree", "key")).select(
-        "key", F.concat(F.expr(f"substring(marks, tree * {STRIDE} + 1, {VALUES})"), F.expr(f"substring(marks, 1, tree * {STRIDE})")).alias("marks"), "node", "label"
-    )
+def _orders(nodes: DataFrame) -> DataFrame:
+    """The rows of all trees, each tree in sorted order over range partitions. nodes: node, label, n, most (shingles that another may share), keys, marks."""
+    turned = F.concat(F.expr(f"substring(marks, tree * {STRIDE} + 1, {VALUES})"), F.expr(f"substring(marks, 1, tree * {STRIDE})"))
+    rows = nodes.select("node", "label", "n", "most", "marks", F.posexplode("keys").alias("tree", "key")).select("key", turned.alias("marks"), "node", "label", "n", "most")
     return rows.repartitionByRange(*(F.col(c) for c in ("key", "marks", "node"))).sortWithinPartitions("key", "marks", "node")
 
 
-def _near(nearest_only: bool):
-    """A scan of sorted rows: agreeing pairs within WINDOW; the nearest on each side, or all with different labels."""
+def _scan(task: str):
+    """A scan of sorted rows for agreeing neighbours within WINDOW. task: "nearest" gives pairs, the nearest on each side;
+    "open" gives the nodes that have one with another label; "pairs" gives all pairs with different labels that can still be similar enough."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, marks, node, label = np.zeros(0, np.int64), np.zeros((0, VALUES), np.uint8), np.zeros((0, 16), np.uint8), np.zeros((0, 16), np.uint8)
-        carried = 0
+        widths = {"marks": VALUES, "node": 16, "label": 16}
+        old: dict[str, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fixed = lambda c, w: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, w)  # noqa: B023, E731
-            key = np.concatenate([key, batch.column("key").to_numpy(zero_copy_only=False)])
-            marks, node, label = np.concatenate([marks, fixed("marks", VALUES)]), np.concatenate([node, fixed("node", 16)]), np.concatenate([label, fixed("label", 16)])
-            before = np.ones(len(key), bool)  # still without a nearest neighbour on this side
-            after = np.ones(len(key), bool)
+            rows = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, w) for c, w in widths.items()}
+            rows |= {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "most")}
+            carried = len(old["key"]) if old else 0
+            rows = {c: np.concatenate([old[c], x]) if old else x for c, x in rows.items()}
+            key, marks, node, label, n, most = (rows[c] for c in ("key", "marks", "node", "label", "n", "most"))
+            before, after = np.ones(len(key), bool), np.ones(len(key), bool)  # still without a neighbour on this side
             found: list[tuple[np.ndarray, np.ndarray]] = []
             new = np.arange(carried, len(key))
             for off in range(1, WINDOW + 1):
-                j = new[new >= off]
-                j = j[key[j] == key[j - off]]
-                if not len(j):
+                new = new[new >= off]
+                new = new[key[new] == key[new - off]]  # a run of equal keys is unbroken
+                if not len(new):
                     break
-                if nearest_only:
-                    j = j[before[j] | after[j - off]]
-                else:
+                j = new[before[new] | after[new - off]] if task != "pairs" else new
+                if task != "nearest":
                     j = j[(label[j] != label[j - off]).any(axis=1)]
+                both = np.minimum(most[j], most[j - off])
+                j = j[100 * both >= LINK * (n[j] + n[j - off] - both)]
                 for part in np.array_split(j, max(1, len(j) // 20_000)):
                     hit = part[(marks[part] == marks[part - off]).sum(axis=1) >= AGREE]
                     if len(hit):
@@ -119,19 +122,27 @@ def _near(nearest_only: bool):
                         before[hit] = False
                         after[hit - off] = False
             if found:
-                a, b = (np.ascontiguousarray(node[np.concatenate(x)]).view("V16").ravel() for x in zip(*found, strict=True))
-                left, right = [x.tobytes() for x in a], [x.tobytes() for x in b]
-                pairs = {(min(x, y), max(x, y)) for x, y in zip(left, right, strict=True) if x != y}
-                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], ["a", "b"])
-            keep = max(0, len(key) - WINDOW)
-            run = int(np.searchsorted(key, key[-1]))  # only the last run can go on
-            keep = max(keep, run)
-            key, marks, node, label = key[keep:], marks[keep:], node[keep:], label[keep:]
-            carried = len(key)
+                right, left = ([x.tobytes() for x in np.ascontiguousarray(node[np.concatenate(x)]).view("V16").ravel()] for x in zip(*found, strict=True))
+                if task == "open":
+                    out = [(x,) for x in {*left, *right}]
+                else:
+                    out = list({(min(x, y), max(x, y)) for x, y in zip(left, right, strict=True) if x != y})
+                names = ["node"] if task == "open" else ["a", "b"]
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in range(len(names))], names)
+            keep = max(len(key) - WINDOW, int(np.searchsorted(key, key[-1])))  # only the last run can go on
+            old = {c: x[keep:] for c, x in rows.items()}
 
     return scan
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in pieces(batches, "text"):
+        sets = shingle_sets(batch.column("text"), WIDTH)
+        sizes = [len(s) for s in sets]
+        if sum(sizes):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), batch.column("node").take(pa.array(np.repeat(np.arange(len(sets)), sizes)))], ["shingle", "node"])
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough, joined within the task to stars."""
     parent: dict[bytes, bytes] = {}
@@ -180,34 +191,57 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept.
+    """One row for each row of docs: doc_id, n_shingles, component_id (smallest id reachable), kept, text_key (MD5 of the text).
 
     Null and empty texts, and texts without words, have no shingles and are linked with nothing. Rows with a null id never give
-    a component its id; a component whose ids are all null has a null one, and its rows are kept. Repeated rows share a component;
+    a component its id and are not kept in it; a component whose ids are all null has a null one, and its rows are kept. Repeated rows share a component;
     rows with its smallest id are all kept. Other columns of docs play no part.
     """
     keys = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.unhex(F.md5(F.col(text_col).cast("binary"))).alias("text_key"))
     feats = staged(keys.mapInArrow(_features, "doc_id long, text_key binary, n_shingles long, node binary, keys array<long>, marks binary"), "shingles")
     one = F.min(F.struct("doc_id", "text_key")).alias("one")
     ids = F.min("doc_id").alias("least_id")
-    classes = staged(feats.where("node is not null").groupBy("node").agg(ids, one, F.first("keys").alias("keys"), F.first("marks").alias("marks")), "classes")
-    pairs = staged(_orders(classes.withColumn("label", F.col("node"))).mapInArrow(_near(True), "a binary, b binary").distinct(), "pairs")
+    sizes = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("keys", "keys"), ("marks", "marks"))]
+    classes = staged(feats.where("node is not null").groupBy("node").agg(ids, one, *sizes), "classes")
+    sought = classes.withColumns({"label": F.col("node"), "most": F.col("n")})
+    pairs = staged(_orders(sought).mapInArrow(_scan("nearest"), "a binary, b binary").distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-    asked = staged(asked.join(classes, "node").select("node", "one.*", "keys", "marks"), "asked")
+    asked = staged(asked.join(classes, "node").select("node", "one.*", "n", "keys", "marks"), "asked")
     # one text for each node that has a candidate
     wanted = asked.select("node", F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key"))
     texts = keys.join(wanted, (F.col("text_key") == F.col("its_key")) & F.col("doc_id").eqNullSafe(F.col("its_id")))
     texts = staged(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     first = components(confirmed(pairs, texts))
-    labels = asked.join(first, "node", "left").select("node", "keys", "marks", F.coalesce("label", "node").alias("label"))
-    labels = staged(labels, "labels")
-    more = _orders(labels).mapInArrow(_near(False), "a binary, b binary").distinct()
-    more = staged(more, "pairs")
-    if not more.isEmpty():
-        first = components(first.select(F.col("node").alias("u"), F.col("label").alias("v")).unionAll(confirmed(more, texts)))
+    labels = asked.join(first, "node", "left").withColumns({"label": F.coalesce("label", "node"), "most": F.col("n")})
+    labels = staged(labels.select("node", "label", "n", "most", "keys", "marks"), "labels")
+    still = staged(_orders(labels).mapInArrow(_scan("open"), "node binary").distinct(), "open")
+    if not still.isEmpty():
+        mine = texts.join(still, "node").mapInArrow(_spread, "shingle long, node binary").groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("node").alias("node"))
+        alone = mine.where("nodes = 1").groupBy("node").agg(F.count("*").alias("alone"))
+        bound = labels.join(still, "node").join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
+        more = staged(_orders(bound.select(*labels.columns)).mapInArrow(_scan("pairs"), "a binary, b binary").distinct(), "pairs")
+        if not more.isEmpty():
+            first = components(first.select(F.col("node").alias("u"), F.col("label").alias("v")).unionAll(confirmed(more, texts)))
     groups = classes.select("node", "least_id").join(first, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = groups.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = groups.join(least, "label").select("node", "component_id")
-    out = feats.select("doc_id", "n_shingles", "node").join(named, "node", "left")
+    out = feats.select("doc_id", "n_shingles", "node", "text_key").join(named, "node", "left")
     own = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, F.lit(True)).alias("kept"))
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"), "text_key")
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, in all their columns, with one row of each group of near-duplicates and all rows that have no words.
+
+    The row that stays has the smallest id (if all ids of a group are null, the smallest text digest); of repeated rows one stays.
+    """
+    keyed = docs.withColumn("_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    found = near_duplicates(docs)
+    group = F.coalesce(F.col("component_id").cast("string").cast("binary"), F.col("text_key"))
+    best = found.where("n_shingles > 0 and kept").groupBy(group.alias("_group")).agg(F.min(F.struct("doc_id", "text_key")).alias("_one"), F.count("*").alias("_rows"))
+    best = staged(best.select(F.col("_one.doc_id").alias("_id"), F.col("_one.text_key").alias("_its_key"), "_rows"), "kept")
+    stay = keyed.join(best, (F.col("_key") == F.col("_its_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
+    if not best.where("_rows > 1").isEmpty():
+        stay = stay.where("_rows = 1").unionAll(stay.where("_rows > 1").dropDuplicates(["_id", "_key"]))
+    bare = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
+    return stay.select(*docs.columns).unionAll(docs.where(bare))
