@@ -151,3 +151,16 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s), pa.array((s >= cut).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return x.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def good_only(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of docs, in all their columns, that score `cut` or more."""
+    y = one_label(labels, "quality")
+    model = trained(measured(docs.join(y.select("doc_id"), "doc_id", "left_semi")), y)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            s = np.full(batch.num_rows, model) if isinstance(model, float) else model.score(statistics(batch.column("text")))
+            yield batch.filter(pa.array(s >= cut))
+
+    return docs.mapInArrow(keep, docs.schema)

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from fieldglass.llm.common import table
+from fieldglass.llm.decontaminate import leaks
 from fieldglass.llm.near_dup import near_duplicates
 from fieldglass.llm.packing import packed
 from fieldglass.llm.quality import quality_scores
 from fieldglass.llm.sharding import sharded
 from fieldglass.llm.toxicity import toxicity_scores
+from fieldglass.llm.warc import archived
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,15 +32,25 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archived(table(spark, sf_dir, "pages"))
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
     "op4_packing": op4_packing,
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
+    "op6_warc": op6_warc,
     "op9_toxicity": op9_toxicity,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 ORACLES: dict[str, str] = {}

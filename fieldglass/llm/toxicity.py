@@ -2,20 +2,21 @@
 
 Words (runs of letters, A-Z lower-cased) get the log-odds of toxic over clean training documents under a Dirichlet prior that
 follows their share in both. Words whose documents are toxic more often than chance allows (log-likelihood ratio beyond the log of the number of words
-tried, plus MARGIN) score their log-odds; every other token scores the (negative) log ratio of the chance of such a token. A linear scan finds all maximal-scoring segments of a text. The chance that a clean text of as many
+tried, plus MARGIN), and still are so if each pair of neighbours counts once (so copies of a text don't), score their log-odds; every other token scores the (negative) log ratio of the chance of such a token. A linear scan finds all maximal-scoring segments of a text. The chance that a clean text of as many
 tokens has a segment as good follows the extreme-value law 1 - exp(-K n exp(-L s)); a logistic of its logarithm, fitted on training rows, is the score.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import bucket_of, flat, pieces, staged, word_hashes, words
+from fieldglass.llm.common import bucket_of, flat, mixed, pieces, staged, word_hashes, words
 from fieldglass.llm.quality import one_label
 
 #: Weight of the prior in tokens, significance, size of the word list at most, least documents of a listed word, decision.
@@ -71,21 +72,66 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(toxic), pa.array(total - toxic), pa.array(toxic_docs), pa.array(docs - toxic_docs)], ["word", "toxic", "clean", "toxic_docs", "clean_docs"])
 
 
-def _scan(word: np.ndarray, value: np.ndarray, loss: float):
+def _contexts(word: np.ndarray):
+    """Listed words with a hash of the two neighbours of each occurrence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text", 8_000_000):
+            h, rows, _, _ = tokens(batch.column("text"))
+            hits = np.flatnonzero(np.isin(h, word))
+            same = np.concatenate([[False], rows[1:] == rows[:-1], [False]])
+            wide = np.concatenate([[np.uint64(0)], h, [np.uint64(0)]])
+            left, right = np.where(same[hits], wide[hits], 1), np.where(same[hits + 1], wide[hits + 2], 2)
+            around = mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64))
+            y = batch.column("y").to_numpy(zero_copy_only=False)[rows[hits]]
+            yield pa.RecordBatch.from_arrays([pa.array(h[hits].view(np.int64)), pa.array(around.view(np.int64)), pa.array(y)], ["word", "around", "y"])
+
+    return run
+
+
+@dataclass
+class Words:
+    """Sorted hashes of the listed words, their log-odds, the loss of any other token; K of the extreme-value law; the logistic's slope and base."""
+
+    word: np.ndarray
+    value: np.ndarray
+    loss: float
+    k: float = 0.0
+    slope: float = 0.0
+    base: float = 0.0
+
+    def rarity(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """-log of the chance of such a segment in a clean text; 0 without a segment."""
+        chance = np.minimum(self.k * n * np.exp(-best), 30.0)
+        return np.where(best > 0, -np.log(np.maximum(-np.expm1(-chance), 1e-30)), 0.0)
+
+    def score(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-(self.slope * self.rarity(best, n) + self.base)))
+
+    def passages(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
+        """Of each text: tokens, listed ones, best segment's score, all segments."""
+        size = len(column)
+        h, rows, starts, lengths = tokens(column)
+        n = np.bincount(rows, minlength=size).astype(np.int64)
+        begin = np.cumsum(n) - n
+        at = np.minimum(np.searchsorted(self.word, h), max(0, len(self.word) - 1))
+        hits = np.flatnonzero(self.word[at] == h) if len(self.word) and len(h) else np.zeros(0, np.int64)
+        best, count, spans = np.zeros(size), np.bincount(rows[hits], minlength=size).astype(np.int64), [[] for _ in range(size)]
+        for own in np.split(hits, np.flatnonzero(np.diff(rows[hits])) + 1) if len(hits) else ():
+            i = rows[own[0]]
+            found = segments(own - begin[i], self.value[at[own]], self.loss)
+            best[i] = max(f[0] for f in found)
+            spans[i] = [{"score": s, "first_byte": int(starts[begin[i] + a]), "end_byte": int(starts[begin[i] + b] + lengths[begin[i] + b])} for s, a, b in found]
+        return n, count, best, spans
+
+
+def _measure(words_: Words):
+    kind = pa.list_(pa.struct([("score", pa.float64()), ("first_byte", pa.int64()), ("end_byte", pa.int64())]))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
-            h, rows, starts, lengths = tokens(batch.column("text"))
-            n = np.bincount(rows, minlength=batch.num_rows)
-            begin = np.cumsum(n) - n
-            at = np.minimum(np.searchsorted(word, h), max(0, len(word) - 1))
-            hits = np.flatnonzero(word[at] == h) if len(word) and len(h) else np.zeros(0, np.int64)
-            best, count, spans = np.zeros(batch.num_rows), np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
-            for i, own in zip(u := np.unique(rows[hits]), np.split(hits, np.searchsorted(rows[hits], u)[1:]), strict=True) if len(hits) else ():
-                found = segments(own - begin[i], value[at[own]], loss)
-                best[i], count[i] = max(f[0] for f in found), len(own)
-                spans[i] = [{"score": s, "first_byte": int(starts[begin[i] + a]), "end_byte": int(starts[begin[i] + b] + lengths[begin[i] + b])} for s, a, b in found]
-            kind = pa.list_(pa.struct([("score", pa.float64()), ("first_byte", pa.int64()), ("end_byte", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)), pa.array(count), pa.array(best), pa.array(spans, kind)], ["doc_id", "held_out", "n_tokens", "n_hits", "best", "passages"])
+            n, count, best, spans = words_.passages(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(count), pa.array(best), pa.array(spans, kind)], ["doc_id", "held_out", "n_tokens", "n_hits", "best", "passages"])
 
     return run
 
@@ -105,53 +151,88 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return max(float(beta[0]), 0.0), float(beta[1])
 
 
-def word_list(docs: DataFrame, y: DataFrame) -> tuple[np.ndarray, np.ndarray, float, float]:
-    """Sorted hashes of the listed words, their log-odds, the loss of any other token, and the chance of a listed token in clean texts."""
+def word_list(docs: DataFrame, y: DataFrame) -> Words:
     names = ("toxic", "clean", "toxic_docs", "clean_docs")
-    counts = docs.select("doc_id", "text").join(y, "doc_id").select("text", "y").mapInArrow(_count, "word long, " + ", ".join(f"{c} long" for c in names))
+    known = docs.select("doc_id", "text").join(y, "doc_id").select("text", "y")
+    counts = known.mapInArrow(_count, "word long, " + ", ".join(f"{c} long" for c in names))
     counts = staged(counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)), "counts")
     tried = F.expr(f"toxic_docs + clean_docs >= {LEAST_DOCS}")
     nt, nc, words_tried = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names[:2]), F.count(F.when(tried, 1))).first()
     share = y.agg(F.avg("y")).first()[0]
     if not nt or not nc or not 0 < share < 1:
-        return np.zeros(0, np.uint64), np.zeros(0), 1.0, 0.0
+        return Words(np.zeros(0, np.uint64), np.zeros(0), 1.0)
     prior = (F.col("toxic") + F.col("clean")) * (PRIOR / (nt + nc))
     t, c = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(t / (nt + PRIOR - t)) - F.log(c / (nc + PRIOR - c))
-    a, b, all_docs = F.col("toxic_docs"), F.col("clean_docs"), F.col("toxic_docs") + F.col("clean_docs")
-    gain = F.when(a > 0, a * F.log(a / (all_docs * share))).otherwise(0.0) + F.when(b > 0, b * F.log(b / (all_docs * (1 - share)))).otherwise(0.0)
-    scored = counts.where(tried).withColumn("odds", odds).withColumn("gain", gain).where(a > all_docs * share)
-    top = scored.where((F.col("gain") >= float(np.log(max(words_tried, 1))) + MARGIN) & (F.col("odds") > 0)).orderBy(F.desc("gain"), "word").limit(LIST).collect()
-    word = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(word)
+    least = float(np.log(max(words_tried, 1))) + MARGIN
+
+    def telling(a: Column, b: Column) -> Column:
+        term = lambda x, p: F.when(x > 0, x * F.log(x / ((a + b) * p))).otherwise(0.0)
+        return (a > (a + b) * share) & (term(a, share) + term(b, 1 - share) >= least)
+
+    some = counts.where(tried).withColumn("odds", odds).where((F.col("odds") > 0) & telling(F.col("toxic_docs"), F.col("clean_docs")))
+    top = some.orderBy(F.desc("toxic_docs"), "word").limit(LIST).collect()
+    listed = np.array([r["word"] for r in top], np.int64).view(np.uint64)
+    around = known.mapInArrow(_contexts(listed), "word long, around long, y int").distinct().groupBy("word")
+    apart = around.agg(F.count(F.when(F.col("y") == 1, 1)).alias("a"), F.count(F.when(F.col("y") == 0, 1)).alias("b"))
+    kept = {r["word"] for r in apart.where(telling(F.col("a"), F.col("b"))).collect()}  # LIST rows at most
+    top = sorted((r for r in top if r["word"] in kept), key=lambda r: r["word"] % 2**64)
     in_toxic, in_clean = (sum(r[k] for r in top) for k in ("toxic", "clean"))
     loss = float(np.log((1 - in_clean / nc) / max(1e-9, 1 - in_toxic / nt)))
-    return word[order], np.array([r["odds"] for r in top])[order], max(loss, 1e-3), max(in_clean, 0.5) / nc
+    return Words(np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["odds"] for r in top], float), max(loss, 1e-3))
+
+
+def calibrated(found: Words, known: DataFrame) -> Words:
+    """With K and the logistic fitted on known: y, best, n_tokens of training rows."""
+    # of scores that are log-odds, L is 1; K from the share of clean training texts that have any listed word
+    some, n = known.where("y = 0").agg(F.avg(F.when(F.col("best") > 0, 1.0).otherwise(0.0)), F.avg("n_tokens")).first()
+    found.k = float(-np.log(1 - min(0.999, max(some or 0.0, 1e-4))) / max(n or 1.0, 1.0))
+    chance = F.least(F.lit(found.k) * F.col("n_tokens") * F.exp(-F.col("best")), F.lit(30.0))
+    rare = F.when(F.col("best") > 0, -F.log(F.greatest(-F.expm1(-chance), F.lit(1e-30)))).otherwise(F.lit(0.0))
+    grid = known.groupBy("y", F.round(rare, 1).alias("x")).agg(F.count("*").alias("w")).orderBy("y", "x").collect()  # 2 * 700 rows at most
+    if len({r["y"] for r in grid}) == 2:
+        found.slope, found.base = _logistic(*(np.array([r[c] for r in grid], float) for c in ("x", "y", "w")))
+    else:
+        found.base = (100.0 if grid[0]["y"] else -100.0) if grid else 0.0
+    return found
+
+
+KIND = "doc_id long, held_out boolean, n_tokens long, n_hits long, best double, passages array<struct<score double, first_byte long, end_byte long>>"
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted, n_tokens, n_hits, passages (score, bytes from and to) for each row of docs.
 
     Null and empty texts have no tokens and no passage, and the score of any text without one. Rows with a null id are scored but never
-    trained on. Repeated rows get equal scores. Without labels of both classes no word is listed and every score is the share of class 1 among the labels
+    trained on. Repeated rows get equal scores. Without labels of both classes no word is listed and every score is the class of all labels
     (0.5 without any). Other columns play no part.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), (bucket_of(id_col, 5) == 0).alias("held_out"), F.col(text_col).alias("text"))
     y = staged(one_label(labels, "toxic"), "labels")
-    word, value, loss, chance = word_list(source, y)
-    kind = "doc_id long, held_out boolean, n_tokens long, n_hits long, best double, passages array<struct<score double, first_byte long, end_byte long>>"
-    found = staged(source.mapInArrow(_scan(word, value, loss), kind), "passages")
-    # of scores that are log-odds, L is 1; K from the share of clean training texts that have any listed word
-    known = found.join(y, "doc_id")
-    clean = known.where("y = 0").agg(F.avg(F.when(F.col("best") > 0, 1.0).otherwise(0.0)), F.avg("n_tokens")).first()
-    k = -np.log(1 - min(0.999, max(clean[0] or 0.0, 1e-4))) / max(clean[1] or 1.0, 1.0)
-    chance = F.least(F.lit(k) * F.col("n_tokens") * F.exp(-F.col("best")), F.lit(30.0))
-    # -log of the p-value; 0 without a passage
-    rare = F.when(F.col("best") > 0, -F.log(F.greatest(-F.expm1(-chance), F.lit(1e-30)))).otherwise(F.lit(0.0))
-    grid = known.groupBy("y", F.round(rare, 1).alias("x")).agg(F.count("*").alias("w")).orderBy("y", "x").collect()  # 2 * 700 rows at most
-    if len({r["y"] for r in grid}) == 2:
-        slope, base = _logistic(*(np.array([r[c] for r in grid], float) for c in ("x", "y", "w")))
-        score = 1 / (1 + F.exp(-(F.lit(slope) * F.round(rare, 1) + F.lit(base))))
-    else:
-        score = F.lit(float(grid[0]["y"]) if grid else 0.5)
-    return found.select("doc_id", "held_out", score.alias("score"), F.when(score >= cut, 1).otherwise(0).alias("predicted"), "n_tokens", "n_hits", "passages")
+    model = word_list(source, y)
+    found = staged(source.mapInArrow(_measure(model), KIND), "passages")
+    model = calibrated(model, found.join(y, "doc_id"))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            s = model.score(*(batch.column(c).to_numpy() for c in ("best", "n_tokens")))
+            own = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(s), "predicted": pa.array((s >= cut).astype(np.int32))}
+            yield pa.RecordBatch.from_pydict(own | {c: batch.column(c) for c in ("n_tokens", "n_hits", "passages")})
+
+    return found.mapInArrow(score, KIND.replace("best double", "best_double").replace("held_out boolean, ", "held_out boolean, score double, predicted int, ").replace(" best_double,", ""))
+
+
+def clean_only(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
+    """The rows of docs, in all their columns, that score less than `cut`."""
+    y = staged(one_label(labels, "toxic"), "labels")
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
+    model = word_list(known, y)
+    found = staged(known.join(y.select("doc_id"), "doc_id", "left_semi").select("doc_id", "held_out", "text").mapInArrow(_measure(model), KIND), "passages")
+    model = calibrated(model, found.join(y, "doc_id"))
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            n, _, best, _ = model.passages(batch.column("text"))
+            yield batch.filter(pa.array(model.score(best, n) < cut))
+
+    return docs.mapInArrow(keep, docs.schema)
