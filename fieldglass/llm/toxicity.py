@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Words (runs of letters, A-Z lower-cased) get the log-odds of toxic over clean training documents under a Dirichlet prior that
-follows their share in both. Words whose documents are toxic more often than chance allows (log-likelihood ratio beyond the log of the number of words
+Words (runs of letters, A-Z lower-cased), and beginnings of STEMS bytes of longer words, get the log-odds of toxic over clean training documents
+under a Dirichlet prior that follows their share in both. Those whose documents are toxic more often than chance allows (log-likelihood ratio beyond the log of the number of words
 tried, plus MARGIN), and still are so if each pair of neighbours counts once (so copies of a text don't), score their log-odds; every other token scores the (negative) log ratio of the chance of such a token. A linear scan finds all maximal-scoring segments of a text. The chance that a clean text of as many
 tokens has a segment as good follows the extreme-value law 1 - exp(-K n exp(-L s)); a logistic of its logarithm, fitted on training rows, is the score.
 """
@@ -21,6 +21,7 @@ from fieldglass.llm.quality import one_label
 
 #: Weight of the prior in tokens, significance, size of the word list at most, least documents of a listed word, decision.
 PRIOR, MARGIN, LIST, LEAST_DOCS, CUT = 1000.0, 2.0, 20_000, 3, 0.5
+STEMS = (4, 5)
 #: Letters stay, all else separates.
 _LETTER = np.full(256, 0x20, np.uint8)
 for _c in [*range(65, 91), *range(97, 123), *range(128, 256)]:
@@ -35,6 +36,20 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
     return word_hashes(data, starts, lengths) if len(starts) else np.zeros(0, np.uint64), rows, starts - offsets[rows], lengths
 
 
+def forms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of each token (a row for whole words, one for each of STEMS; 0 where a word is no longer than that), row, start and length."""
+    data, offsets = flat(column)
+    data = _LETTER[data]
+    starts, lengths, rows = words(data, offsets)
+    out = np.zeros((1 + len(STEMS), len(starts)), np.uint64)
+    if len(starts):
+        out[0] = word_hashes(data, starts, lengths)
+        for k, n in enumerate(STEMS, 1):
+            longer = lengths > n
+            out[k, longer] = mixed(word_hashes(data, starts[longer], np.full(int(longer.sum()), n)) + np.uint64(n))
+    return out, rows, starts - offsets[rows], lengths
+
+
 def segments(places: np.ndarray, scores: np.ndarray, loss: float) -> list[tuple[float, int, int]]:
     """All maximal-scoring segments (score, first token, last token) of a text whose tokens score -loss but for those at `places`.
 
@@ -61,7 +76,8 @@ def segments(places: np.ndarray, scores: np.ndarray, loss: float) -> list[tuple[
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text", 8_000_000):
-        h, rows, _, _ = tokens(batch.column("text"))
+        h, rows, _, _ = forms(batch.column("text"))
+        rows, h = np.tile(rows, len(h))[(some := h.ravel() != 0)], h.ravel()[some]
         y = batch.column("y").to_numpy(zero_copy_only=False)[rows] if len(h) else np.zeros(0, np.int64)
         word, at = np.unique(h, return_inverse=True)
         pair = np.unique(at.astype(np.uint64) << np.uint64(32) | rows.astype(np.uint64))
@@ -77,14 +93,18 @@ def _contexts(word: np.ndarray):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text", 8_000_000):
-            h, rows, _, _ = tokens(batch.column("text"))
-            hits = np.flatnonzero(np.isin(h, word))
-            same = np.concatenate([[False], rows[1:] == rows[:-1], [False]])
-            wide = np.concatenate([[np.uint64(0)], h, [np.uint64(0)]])
-            left, right = np.where(same[hits], wide[hits], 1), np.where(same[hits + 1], wide[hits + 2], 2)
-            around = mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64))
-            y = batch.column("y").to_numpy(zero_copy_only=False)[rows[hits]]
-            yield pa.RecordBatch.from_arrays([pa.array(h[hits].view(np.int64)), pa.array(around.view(np.int64)), pa.array(y)], ["word", "around", "y"])
+            h, rows, _, _ = forms(batch.column("text"))
+            same = np.concatenate([[False], rows[1:] == rows[:-1], [False]]) if len(rows) else np.zeros(1, bool)
+            wide = np.concatenate([[np.uint64(0)], h[0], [np.uint64(0)]])
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            found = []
+            for kind in h:
+                hits = np.flatnonzero(np.isin(kind, word))
+                left, right = np.where(same[hits], wide[hits], 1), np.where(same[hits + 1], wide[hits + 2], 2)
+                around = mixed(left.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + right.astype(np.uint64))
+                found.append(np.stack([kind[hits], around, y[rows[hits]].astype(np.uint64)]))
+            word_, around, label = np.unique(np.concatenate(found, axis=1), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(word_.view(np.int64)), pa.array(around.view(np.int64)), pa.array(label.astype(np.int32))], ["word", "around", "y"])
 
     return run
 
@@ -111,15 +131,19 @@ class Words:
     def passages(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
         """Of each text: tokens, listed ones, best segment's score, all segments."""
         size = len(column)
-        h, rows, starts, lengths = tokens(column)
+        h, rows, starts, lengths = forms(column)
         n = np.bincount(rows, minlength=size).astype(np.int64)
         begin = np.cumsum(n) - n
-        at = np.minimum(np.searchsorted(self.word, h), max(0, len(self.word) - 1))
-        hits = np.flatnonzero(self.word[at] == h) if len(self.word) and len(h) else np.zeros(0, np.int64)
+        value = np.zeros(len(rows))
+        if len(self.word):
+            for kind in h:
+                at = np.minimum(np.searchsorted(self.word, kind), len(self.word) - 1)
+                value = np.maximum(value, np.where(self.word[at] == kind, self.value[at], 0.0))
+        hits = np.flatnonzero(value)
         best, count, spans = np.zeros(size), np.bincount(rows[hits], minlength=size).astype(np.int64), [[] for _ in range(size)]
         for own in np.split(hits, np.flatnonzero(np.diff(rows[hits])) + 1) if len(hits) else ():
             i = rows[own[0]]
-            found = segments(own - begin[i], self.value[at[own]], self.loss)
+            found = segments(own - begin[i], value[own], self.loss)
             best[i] = max(f[0] for f in found)
             spans[i] = [{"score": s, "first_byte": int(starts[begin[i] + a]), "end_byte": int(starts[begin[i] + b] + lengths[begin[i] + b])} for s, a, b in found]
         return n, count, best, spans
@@ -157,9 +181,10 @@ def word_list(docs: DataFrame, y: DataFrame) -> Words:
     counts = known.mapInArrow(_count, "word long, " + ", ".join(f"{c} long" for c in names))
     counts = staged(counts.groupBy("word").agg(*(F.sum(c).alias(c) for c in names)), "counts")
     tried = F.expr(f"toxic_docs + clean_docs >= {LEAST_DOCS}")
-    nt, nc, words_tried = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names[:2]), F.count(F.when(tried, 1))).first()
-    share = y.agg(F.avg("y")).first()[0]
-    if not nt or not nc or not 0 < share < 1:
+    nt, nc, in_toxic_docs, in_clean_docs, words_tried = counts.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names), F.count(F.when(tried, 1))).first()
+    # toxic documents may be longer: the share of all words in documents that is in toxic ones
+    share = in_toxic_docs / max(1, in_toxic_docs + in_clean_docs)
+    if not nt or not nc:
         return Words(np.zeros(0, np.uint64), np.zeros(0), 1.0)
     prior = (F.col("toxic") + F.col("clean")) * (PRIOR / (nt + nc))
     t, c = F.col("toxic") + prior, F.col("clean") + prior
