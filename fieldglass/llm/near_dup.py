@@ -7,9 +7,9 @@ neighbours that share at least the first DEPTH values, nearest (longest common p
 a region is dense, sorting by all remaining values makes this window reach deeper prefixes by itself.
 
 Round 1 takes for each node the nearest neighbour on either side whose signature agrees well enough, confirms these pairs on
-full sets and joins them to components. Round 2 looks at the nodes that agree with one of another component. It counts how many shingles each
-has that none of the others has; these bound the similarity of any pair from above. Every pair in the window whose components differ and whose
-bound reaches the limit is confirmed too. So neither copies nor a text's many loose variants become all pairs, and no link between components is passed over.
+full sets and joins them to components. Round 2 looks at the nodes that agree with one of another component, and gives these a
+signature of FINE values. Every pair in the window whose components differ and whose long signatures agree too is confirmed as well.
+So neither copies nor a text's many loose variants become all pairs, and no link between components is passed over.
 
 At similarity 0.75 a tree brings two nodes of a sparse region together with probability 0.56; that all 16 miss has odds of 2e-6.
 """
@@ -28,19 +28,21 @@ from fieldglass.llm.common import pieces, shingle_sets, staged
 
 TREES, STRIDE, DEPTH, WINDOW, WIDTH, SEED = 16, 6, 2, 512, 5, 20
 VALUES = TREES * STRIDE
-#: Similarity that links, in hundredths, and the share of equal signature values from which a pair is looked at (4.4 deviations below 0.75).
+#: Similarity that links, in hundredths, and the equal values of a signature from which a pair is looked at (4.4 deviations below 0.75; the same of FINE values).
 LINK, AGREE = 75, 53
+FINE = 1024
+FINE_AGREE = int(FINE * (LINK / 100 - 4.4 * (LINK / 100 * (1 - LINK / 100) / FINE) ** 0.5))
 
 _rng = np.random.default_rng(SEED)
-_A = _rng.integers(1, 2**63, VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_B = _rng.integers(0, 2**63, VALUES, dtype=np.uint64)
+_A = _rng.integers(1, 2**63, VALUES + FINE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_B = _rng.integers(0, 2**63, VALUES + FINE, dtype=np.uint64)
 
 
-def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """The MinHash values of each non-empty set, as rows of uint32."""
+def signatures(sets: list[np.ndarray], first: int = 0, values: int = VALUES) -> np.ndarray:
+    """The MinHash values of each non-empty set, as rows of uint32, from number `first` on."""
     sizes = np.array([len(s) for s in sets])
     begin = np.cumsum(sizes) - sizes
-    out = np.empty((len(sets), VALUES), np.uint32)
+    out = np.empty((len(sets), values), np.uint32)
     flat = np.concatenate(sets)
     step = 1 << 15  # stay in the cache
     cuts, at = [], 0
@@ -50,8 +52,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
         at = to
     for at, to in cuts:
         part = flat[begin[at] : begin[to - 1] + sizes[to - 1]]
-        for k in range(VALUES):
-            out[at:to, k] = np.minimum.reduceat((part * _A[k] + _B[k]) >> np.uint64(32), begin[at:to] - begin[at])
+        for k in range(values):
+            out[at:to, k] = np.minimum.reduceat((part * _A[first + k] + _B[first + k]) >> np.uint64(32), begin[at:to] - begin[at])
     return out
 
 
@@ -81,27 +83,28 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _orders(nodes: DataFrame) -> DataFrame:
-    """The rows of all trees, each tree in sorted order over range partitions. nodes: node, label, n, most (shingles that another may share), keys, marks."""
+    """The rows of all trees, each tree in sorted order over range partitions. nodes: node, label, keys, marks and maybe fine."""
     turned = F.concat(F.expr(f"substring(marks, tree * {STRIDE} + 1, {VALUES})"), F.expr(f"substring(marks, 1, tree * {STRIDE})"))
-    rows = nodes.select("node", "label", "n", "most", "marks", F.posexplode("keys").alias("tree", "key")).select("key", turned.alias("marks"), "node", "label", "n", "most")
+    more = [c for c in nodes.columns if c == "fine"]
+    rows = nodes.select("node", "label", "marks", *more, F.posexplode("keys").alias("tree", "key")).select("key", turned.alias("marks"), "node", "label", *more)
     return rows.repartitionByRange(*(F.col(c) for c in ("key", "marks", "node"))).sortWithinPartitions("key", "marks", "node")
 
 
 def _scan(task: str):
     """A scan of sorted rows for agreeing neighbours within WINDOW. task: "nearest" gives pairs, the nearest on each side;
-    "open" gives the nodes that have one with another label; "pairs" gives all pairs with different labels that can still be similar enough."""
+    "open" gives the nodes that have one with another label; "pairs" gives all pairs with different labels whose fine signatures agree too."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        widths = {"marks": VALUES, "node": 16, "label": 16}
+        widths = {"marks": VALUES, "node": 16, "label": 16} | ({"fine": FINE} if task == "pairs" else {})
         old: dict[str, np.ndarray] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, w) for c, w in widths.items()}
-            rows |= {c: batch.column(c).to_numpy(zero_copy_only=False) for c in ("key", "n", "most")}
+            rows["key"] = batch.column("key").to_numpy(zero_copy_only=False)
             carried = len(old["key"]) if old else 0
             rows = {c: np.concatenate([old[c], x]) if old else x for c, x in rows.items()}
-            key, marks, node, label, n, most = (rows[c] for c in ("key", "marks", "node", "label", "n", "most"))
+            key, marks, node, label = (rows[c] for c in ("key", "marks", "node", "label"))
             before, after = np.ones(len(key), bool), np.ones(len(key), bool)  # still without a neighbour on this side
             found: list[tuple[np.ndarray, np.ndarray]] = []
             new = np.arange(carried, len(key))
@@ -113,10 +116,10 @@ def _scan(task: str):
                 j = new[before[new] | after[new - off]] if task != "pairs" else new
                 if task != "nearest":
                     j = j[(label[j] != label[j - off]).any(axis=1)]
-                both = np.minimum(most[j], most[j - off])
-                j = j[100 * both >= LINK * (n[j] + n[j - off] - both)]
                 for part in np.array_split(j, max(1, len(j) // 20_000)):
                     hit = part[(marks[part] == marks[part - off]).sum(axis=1) >= AGREE]
+                    if task == "pairs" and len(hit):
+                        hit = hit[(rows["fine"][hit] == rows["fine"][hit - off]).sum(axis=1) >= FINE_AGREE]
                     if len(hit):
                         found.append((hit, hit - off))
                         before[hit] = False
@@ -135,12 +138,10 @@ def _scan(task: str):
     return scan
 
 
-def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in pieces(batches, "text"):
-        sets = shingle_sets(batch.column("text"), WIDTH)
-        sizes = [len(s) for s in sets]
-        if sum(sizes):
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64)), batch.column("node").take(pa.array(np.repeat(np.arange(len(sets)), sizes)))], ["shingle", "node"])
+        low = (signatures(shingle_sets(batch.column("text"), WIDTH), VALUES, FINE) & 0xFF).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in low], pa.binary())], ["node", "fine"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,25 +202,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     feats = staged(keys.mapInArrow(_features, "doc_id long, text_key binary, n_shingles long, node binary, keys array<long>, marks binary"), "shingles")
     one = F.min(F.struct("doc_id", "text_key")).alias("one")
     ids = F.min("doc_id").alias("least_id")
-    sizes = [F.first(c).alias(a) for c, a in (("n_shingles", "n"), ("keys", "keys"), ("marks", "marks"))]
-    classes = staged(feats.where("node is not null").groupBy("node").agg(ids, one, *sizes), "classes")
-    sought = classes.withColumns({"label": F.col("node"), "most": F.col("n")})
-    pairs = staged(_orders(sought).mapInArrow(_scan("nearest"), "a binary, b binary").distinct(), "pairs")
+    classes = staged(feats.where("node is not null").groupBy("node").agg(ids, one, F.first("keys").alias("keys"), F.first("marks").alias("marks")), "classes")
+    pairs = staged(_orders(classes.withColumn("label", F.col("node"))).mapInArrow(_scan("nearest"), "a binary, b binary").distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
-    asked = staged(asked.join(classes, "node").select("node", "one.*", "n", "keys", "marks"), "asked")
+    asked = staged(asked.join(classes, "node").select("node", "one.*", "keys", "marks"), "asked")
     # one text for each node that has a candidate
     wanted = asked.select("node", F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key"))
     texts = keys.join(wanted, (F.col("text_key") == F.col("its_key")) & F.col("doc_id").eqNullSafe(F.col("its_id")))
     texts = staged(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     first = components(confirmed(pairs, texts))
-    labels = asked.join(first, "node", "left").withColumns({"label": F.coalesce("label", "node"), "most": F.col("n")})
-    labels = staged(labels.select("node", "label", "n", "most", "keys", "marks"), "labels")
+    labels = staged(asked.join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "keys", "marks"), "labels")
     still = staged(_orders(labels).mapInArrow(_scan("open"), "node binary").distinct(), "open")
     if not still.isEmpty():
-        mine = texts.join(still, "node").mapInArrow(_spread, "shingle long, node binary").groupBy("shingle").agg(F.count("*").alias("nodes"), F.min("node").alias("node"))
-        alone = mine.where("nodes = 1").groupBy("node").agg(F.count("*").alias("alone"))
-        bound = labels.join(still, "node").join(alone, "node", "left").withColumn("most", F.col("n") - F.coalesce("alone", F.lit(0)))
-        more = staged(_orders(bound.select(*labels.columns)).mapInArrow(_scan("pairs"), "a binary, b binary").distinct(), "pairs")
+        fine = labels.join(texts.join(still, "node").mapInArrow(_fine, "node binary, fine binary"), "node")
+        more = staged(_orders(fine).mapInArrow(_scan("pairs"), "a binary, b binary").distinct(), "pairs")
         if not more.isEmpty():
             first = components(first.select(F.col("node").alias("u"), F.col("label").alias("v")).unionAll(confirmed(more, texts)))
     groups = classes.select("node", "least_id").join(first, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
