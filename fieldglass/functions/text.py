@@ -112,6 +112,7 @@ def lexicon_score(words: Column, positive: Sequence[str], negative: Sequence[str
 
 def language_by_stopwords(words: Column, lists: Mapping[str, Sequence[str]]) -> Column:
     """The language with most stop-word hits, the first in name order of several; null without any hit."""
-    hits = [F.struct(F.size(F.filter(words, lambda t, listed=listed: F.array_contains(F.array(*[F.lit(w) for w in listed]), t))).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, listed) in enumerate(sorted(lists.items()))]
+    count = lambda listed: F.size(F.filter(words, lambda t: F.array_contains(F.array(*[F.lit(w) for w in listed]), t)))
+    hits = [F.struct(count(listed).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, listed) in enumerate(sorted(lists.items()))]
     best = F.array_max(F.array(*hits))
     return F.when(best["n"] > 0, best["name"])

@@ -93,9 +93,10 @@ def numeric_columns(df: DataFrame) -> list[str]:
 
 
 def split_numeric(df: DataFrame) -> DataFrame:
-    """A row for each column: its name and whether it is numeric."""
-    numeric = set(numeric_columns(df))
-    return df.sparkSession.range(1).select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(c in numeric).alias("is_numeric")) for c in df.columns])).alias("s")).select("s.*")
+    """A row for each column: its name, whether it is numeric, and how many values it has."""
+    numeric = [F.lit(c) for c in numeric_columns(df)]
+    is_numeric = F.array_contains(F.array(*numeric), F.col("column_name")) if numeric else F.lit(False)
+    return _per_column(df, df.columns, lambda c: F.count(F.col(c)), "n_present").withColumn("is_numeric", is_numeric)
 
 
 def non_numeric_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -142,6 +142,6 @@ def centroids(df: DataFrame, topic: str, vector: str) -> DataFrame:
 def nearest(items: DataFrame, vector: str, labels: DataFrame, label: str, label_vector: str, k: int) -> DataFrame:
     """The k labels nearest by cosine to each item, as an array of (score, label), best first; labels are few and broadcast as one row."""
     listed = labels.agg(F.collect_list(F.struct(F.col(label).alias("label"), F.col(label_vector).alias("v"))).alias("_all"))
-    scored = F.transform("_all", lambda s: F.struct(-cosine(F.col(vector), s["v"]).alias("m"), s["label"].alias("label")))
+    scored = F.transform("_all", lambda s: F.struct((-cosine(F.col(vector), s["v"])).alias("m"), s["label"].alias("label")))
     best = F.slice(F.array_sort(scored), 1, k)
     return items.crossJoin(F.broadcast(listed)).withColumn("best", F.transform(best, lambda s: F.struct((-s["m"]).alias("score"), s["label"].alias("label")))).drop("_all")

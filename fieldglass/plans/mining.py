@@ -76,7 +76,7 @@ def _(t):
     return topic_terms(t).select("source", "rank", F.round("weight", 8).alias("weight"))
 
 
-@query("topic_info", f"WITH {_CTFIDF} SELECT source, n, source || '_' || array_to_string(list(term ORDER BY rank)[1:4], '_') AS name FROM k JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) USING (source) GROUP BY ALL")
+@query("topic_info", f"WITH {_CTFIDF} SELECT source, n, source || '_' || array_to_string(l[1:4], '_') AS name FROM (SELECT source, list(term ORDER BY rank) AS l FROM k GROUP BY 1) JOIN (SELECT source, count(*) AS n FROM documents GROUP BY 1) USING (source)")
 def _(t):
     counts = t("documents").groupBy("source").agg(F.count("*").alias("n"))
     return P.topic_names(topic_terms(t), "source").join(counts, "source").select("source", "n", "name")
@@ -128,9 +128,11 @@ def _lda(t, k: int = 4, iterations: int = 8, passes: int = 1):
     rows = t("documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), 1).alias("words"))
     counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2000, minDF=2).fit(rows).transform(rows).select("doc_id", "features")
     model = LDA(k=k, maxIter=iterations * passes, seed=7, optimizer="online").fit(counted)
+    # written once: each reference to the column would infer the topics again
     shares = model.transform(counted).select("doc_id", vector_to_array("topicDistribution").alias("shares"))
-    total = F.aggregate("shares", F.lit(0.0), lambda a, x: a + x)
-    return shares.withColumn("shares", F.transform("shares", lambda x: F.try_divide(x, total))).where("shares[0] is not null").withColumn("topic", V.argmax(F.col("shares")))
+    sinks.write_parquet(shares, path := scratch(shares))
+    shares = shares.sparkSession.read.schema(shares.schema).parquet(path)
+    return shares.where("array_max(shares) > 0").withColumn("topic", V.argmax(F.col("shares")))
 
 
 @query("lda_topics")
@@ -245,19 +247,19 @@ def _(t):
 _LANGS = _CTFIDF.replace("source", "lang").replace("<= 10", "<= 6")
 _PAIRS = f"""{_LANGS}, h AS (SELECT DISTINCT doc_id, term FROM ({_TERMS.replace('source', 'lang')}) WHERE term IN (SELECT term FROM k)), o AS (SELECT term, count(*) AS n FROM h GROUP BY 1),
     p AS (SELECT a.lang, a.term AS t1, b.term AS t2 FROM k a JOIN k b ON a.lang = b.lang AND a.rank < b.rank),
-    z AS (SELECT p.lang, t1, t2, any_value(o1.n) AS n1, any_value(o2.n) AS n2, count(y.doc_id) AS both, (SELECT count(*) FROM documents) AS n FROM p JOIN o o1 ON o1.term = t1 JOIN o o2 ON o2.term = t2 LEFT JOIN h x ON x.term = t1 LEFT JOIN h y ON y.term = t2 AND y.doc_id = x.doc_id GROUP BY p.lang, t1, t2)"""
+    z AS (SELECT p.lang, t1, t2, any_value(o1.n) AS n1, any_value(o2.n) AS n2, count(y.doc_id) AS pair_n, (SELECT count(*) FROM documents) AS n FROM p JOIN o o1 ON o1.term = t1 JOIN o o2 ON o2.term = t2 LEFT JOIN h x ON x.term = t1 LEFT JOIN h y ON y.term = t2 AND y.doc_id = x.doc_id GROUP BY p.lang, t1, t2)"""
 
 
 def _lang_words(t):
     return P.topic_words(P.ctfidf(t("documents"), "lang", "text"), "lang", 6)
 
 
-@query("topic_coherence", f"WITH {_PAIRS} SELECT lang, round(avg(ln((both + 1) / n1)), 6) AS coherence FROM z GROUP BY 1")
+@query("topic_coherence", f"WITH {_PAIRS} SELECT lang, round(avg(ln((pair_n + 1) / n1)), 6) AS coherence FROM z GROUP BY 1")
 def _(t):
     return P.coherence_umass(_lang_words(t), "lang", t("documents"), "doc_id", "text").withColumn("coherence", F.round("coherence", 6))
 
 
-@query("topic_coherence_npmi", f"WITH {_PAIRS}, q AS (SELECT *, both / n + 1e-12 AS p FROM z) SELECT lang, round(avg(ln(p / ((n1 / n) * (n2 / n))) / -ln(p)), 6) AS coherence FROM q GROUP BY 1")
+@query("topic_coherence_npmi", f"WITH {_PAIRS}, q AS (SELECT *, pair_n / n + 1e-12 AS p FROM z) SELECT lang, round(avg(ln(p / ((n1 / n) * (n2 / n))) / -ln(p)), 6) AS coherence FROM q GROUP BY 1")
 def _(t):
     return P.coherence_npmi(_lang_words(t), "lang", t("documents"), "doc_id", "text").withColumn("coherence", F.round("coherence", 6))
 
@@ -463,14 +465,14 @@ _DIMS = tuple(f"e{i}" for i in range(64))
 
 @query("gbm_multiclass")
 def _(t):
-    found, _ = L.classify(_vector_features(t), _DIMS[:16], "label", "vec_id", "gbt", maxIter=3, maxDepth=3)
+    found, _ = L.classify(_vector_features(t).withColumn("group", F.col("label") % 3), _DIMS[:16], "group", "vec_id", "gbt", maxIter=2, maxDepth=2)
     return L.classification_report(found, "label", "prediction")
 
 
 @query("mlp_with_time")
 def _(t):
     df = _vector_features(t).withColumn("day", (F.col("vec_id") % 365) / 365)
-    found, _ = L.classify(df, (*_DIMS, "day"), "label", "vec_id", "mlp", layers=[65, 24, 10])
+    found, _ = L.classify(df, (*_DIMS, "day"), "label", "vec_id", "mlp", layers=[65, 16, 10], maxIter=15)
     return L.accuracy(found, "label", "prediction")
 
 
@@ -657,9 +659,9 @@ def _(t):
     return M.zero_shot_frames(f, ["user_id", "day"], "event_type", "score", "session", kinds, ("yawn",)).select("user_id", "day", "kind")
 
 
-@query("detection_filter", "SELECT event_id, CASE user_id % 7 WHEN 0 THEN 'face' WHEN 1 THEN 'phone' ELSE 'cup' END || ': ' || printf('%.2f', (event_id % 100) / 128.0::DOUBLE) AS label FROM events WHERE user_id % 7 IN (0, 1, 5)")
+@query("detection_filter", "SELECT event_id, CASE user_id % 7 WHEN 0 THEN 'face' WHEN 1 THEN 'phone' ELSE 'cup' END || ': ' || printf('%.2f', (event_id % 100) / 131.0::DOUBLE) AS label FROM events WHERE user_id % 7 IN (0, 1, 5)")
 def _(t):
-    f = t("events").select("event_id", (F.col("user_id") % 7).cast("int").alias("class"), ((F.col("event_id") % 100) / 128).alias("conf"))
+    f = t("events").select("event_id", (F.col("user_id") % 7).cast("int").alias("class"), ((F.col("event_id") % 100) / 131).alias("conf"))
     return M.detection_labels(f, "class", "conf", {0: "face", 1: "phone", 5: "cup"}).select("event_id", "label")
 
 
