@@ -220,3 +220,17 @@ def align_clusters(df: DataFrame, cluster: str, label: str) -> DataFrame:
     return counts.groupBy(cluster).agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(label).alias("label"))).alias("s"), F.sum("n").alias("n")).select(cluster, F.col("s.label").alias("label"), (-F.col("s.m") / F.col("n")).alias("share"))
 
 
+def training_log(df: DataFrame, features: Sequence[str], target: str, key: str, rounds: int = 10) -> DataFrame:
+    """Mean squared error after each boosting round on the training and the validation part."""
+    rows = split(assembled(df, features), key, [("train", 80), ("valid", 20)]).withColumn("label", F.col(target).cast("double"))
+    parts = {p: rows.where(F.col("part") == p).select("features", "label") for p in ("train", "valid")}
+    model = GBTRegressor(maxIter=rounds, maxDepth=3, seed=7).fit(parts["train"])
+    loss = {p: model.evaluateEachIteration(d, "squared") for p, d in parts.items()}
+    found = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(loss["train"], loss["valid"], strict=True), 1)]
+    return df.sparkSession.createDataFrame(found, "round int, train double, valid double")
+
+
+def stored_and_loaded(model, path: str):
+    """A fitted model, saved and read back."""
+    model.write().overwrite().save(path)
+    return type(model).load(path)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +147,35 @@ def nearest(items: DataFrame, vector: str, labels: DataFrame, label: str, label_
     scored = F.transform("_all", lambda s: F.struct((-cosine(F.col(vector), s["v"])).alias("m"), s["label"].alias("label")))
     best = F.slice(F.array_sort(scored), 1, k)
     return items.crossJoin(F.broadcast(listed)).withColumn("best", F.transform(best, lambda s: F.struct((-s["m"]).alias("score"), s["label"].alias("label")))).drop("_all")
+
+
+def truecase_lexicon(df: DataFrame, text: str, least_share: float = 0.9, least_uses: int = 3) -> DataFrame:
+    """Words that stand capitalised within sentences in nearly all their uses: word (lower case), uses, share."""
+    rows = df.select(tokens(F.col(text)).alias("_w"))
+    inner = F.filter("_w", lambda x, i: (i > 0) & ~F.get(F.col("_w"), i - 1).rlike("[.!?:]$") & x.rlike("^[A-Za-z]+$"))
+    uses = rows.select(F.explode(inner).alias("w")).groupBy(F.lower("w").alias("word"))
+    out = uses.agg(F.count("*").alias("uses"), F.avg(F.col("w").rlike("^[A-Z]").cast("int")).alias("share"))
+    return out.where((F.col("uses") >= least_uses) & (F.col("share") >= least_share))
+
+
+def mmr(words: DataFrame, topic: str, vectors: DataFrame, n: int, diversity: float = 0.3, candidates: int = 30) -> DataFrame:
+    """n diverse terms of each topic out of its best `candidates`: each next one has the best (1 - diversity) * weight - diversity * similarity to those chosen.
+
+    words: topic, term, weight, rank; vectors: term, vector. Weights are scaled by the topic's best. A group has `candidates` rows at most.
+    """
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("rank").reset_index(drop=True)
+        v = np.stack(rows["vector"].to_numpy()).astype(float)
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        relevance, likeness = rows["weight"].to_numpy() / max(rows["weight"].max(), 1e-12), v @ v.T
+        chosen = [0]
+        while len(chosen) < min(n, len(rows)):
+            gain = (1 - diversity) * relevance - diversity * likeness[:, chosen].max(axis=1)
+            gain[chosen] = -np.inf
+            chosen.append(int(gain.argmax()))
+        return rows.iloc[chosen].assign(place=range(1, len(chosen) + 1))[[topic, "term", "place"]]
+
+    rows = words.where(F.col("rank") <= candidates).join(vectors, "term").select(topic, "term", "weight", "rank", "vector")
+    kind = dict(rows.dtypes)[topic]
+    return rows.groupBy(topic).applyInPandas(choose, f"{topic} {kind}, term string, place int")

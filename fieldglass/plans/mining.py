@@ -101,6 +101,21 @@ def _(t):
     return topic_terms(t, 1000).groupBy("source").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("total"))
 
 
+@query("truecase_lexicon", r"WITH d AS (SELECT list_filter(regexp_split_to_array(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents), u AS (SELECT unnest(list_filter(w, lambda x, i: i > 1 AND NOT regexp_matches(w[i - 1], '[.!?:]$') AND regexp_matches(x, '^[A-Za-z]+$'))) AS w FROM d) SELECT lower(w) AS word, count(*) AS uses, round(avg(regexp_matches(w, '^[A-Z]')::INT), 6) AS share FROM u GROUP BY 1 HAVING count(*) >= 3 AND avg(regexp_matches(w, '^[A-Z]')::INT) >= 0.5")
+def _(t):
+    return P.truecase_lexicon(t("documents"), "text", 0.5).withColumn("share", F.round("share", 6))
+
+
+@query("mmr")
+def _(t):
+    """Terms are alike when they weigh alike in the languages."""
+    weights = P.ctfidf(t("documents"), "source", "text")
+    langs = sorted(_HINTS)
+    by_lang = P.ctfidf(t("documents"), "lang", "text").groupBy("term")
+    vectors = by_lang.agg(*[F.sum(F.when(F.col("lang") == k, F.col("weight")).otherwise(0.0)).alias(k) for k in langs]).select("term", F.array(*langs).alias("vector"))
+    return P.mmr(P.topic_words(weights, "source", 30), "source", vectors, 10)
+
+
 _COOC = r"""
     v AS (SELECT word FROM (SELECT unnest(list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '')) AS word FROM conversations) GROUP BY 1 ORDER BY count(*) DESC, word LIMIT 100),
     d AS (SELECT conv_id * 1000 + turn AS id, role, list_filter(regexp_split_to_array(lower(text), '[ \t\r\n]+'), lambda x: x <> '') AS w FROM conversations),
@@ -423,6 +438,23 @@ def _features(t):
 _FEATURES = ("chars", "words", "distinct", "upper")
 
 
+@query("split_two", "SELECT o_orderkey FROM orders")
+def _(t):
+    return L.split(t("orders"), "o_orderkey", [("train", 80), ("test", 20)]).where("part is not null").select("o_orderkey")
+
+
+@query("training_log")
+def _(t):
+    return L.training_log(_order_features(t), ("month", "year", "c"), "o_totalprice", "o_orderkey", 5)
+
+
+@query("store_model")
+def _(t):
+    rows = L.assembled(_features(t), _FEATURES).withColumn("label", F.col("quality").cast("double"))
+    model = L.stored_and_loaded(L.CLASSIFIERS["logistic"](maxIter=10).fit(rows), scratch(rows))
+    return L.accuracy(model.transform(rows), "label", "prediction")
+
+
 @query("split_three", "SELECT o_orderkey FROM orders")
 def _(t):
     return L.split(t("orders"), "o_orderkey", [("train", 70), ("valid", 15), ("test", 15)]).where("part is not null").select("o_orderkey")
