@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import shared_dir
+from fieldglass.llm.common import shared_dir, staged
 
 LEAST_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
@@ -41,14 +41,20 @@ def write_archive(pages: DataFrame, path: str | None = None) -> str:
     html = F.coalesce(F.col("html").cast("binary"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), html.alias("payload"))
     heads = rows.select("page_id", "url", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").cast("long").alias("size"))
-    first = heads.groupBy("digest").agg(F.min("page_id").alias("first_id"))
+    # of each payload the smallest id, and how many rows have both
+    rows_of = heads.groupBy("digest", "page_id").agg(F.count("*").alias("n"))
+    least = F.min(F.struct(F.col("page_id").isNull().alias("no_id"), "page_id", "n")).alias("s")
+    first = staged(rows_of.groupBy("digest").agg(least).select("digest", F.col("s.page_id").alias("first_id"), F.col("s.n").alias("n")), "firsts")
     known = heads.join(first, "digest")
     again = (F.col("size") >= LEAST_REVISIT) & F.coalesce(F.col("page_id") != F.col("first_id"), F.col("first_id").isNotNull())
     known.select("page_id", "digest", F.when(again, _header("revisit")).otherwise(_header("response")).alias("header")).write.option("compression", "zstd").parquet(f"{path}/records")
     # only the rows with a payload's smallest id carry it over the network
     hashed = rows.select("page_id", "payload", F.sha2("payload", 256).alias("digest"))
-    lead = first.select(F.col("digest").alias("its"), "first_id")
-    stored = hashed.join(lead, (F.col("digest") == F.col("its")) & F.col("page_id").eqNullSafe(F.col("first_id"))).select("digest", "payload").dropDuplicates(["digest"])
+    lead = first.select(F.col("digest").alias("its"), "first_id", "n")
+    stored = hashed.join(lead, (F.col("digest") == F.col("its")) & F.col("page_id").eqNullSafe(F.col("first_id")))
+    if not first.where("n > 1").isEmpty():  # rows that repeat both id and payload
+        stored = stored.where("n = 1").select("digest", "payload").unionAll(stored.where("n > 1").select("digest", "payload").dropDuplicates(["digest"]))
+    stored = stored.select("digest", "payload")
     stored.write.option("compression", "zstd").parquet(f"{path}/payloads")
     return path
 
