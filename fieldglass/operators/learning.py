@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
@@ -38,7 +39,10 @@ def split_stratified(df: DataFrame, key: str, label: str, shares: Sequence[tuple
     return ranked.withColumn(into, F.coalesce(out, F.lit(shares[-1][0]))).drop("_rank")
 
 
-def assembled(df: DataFrame, features: Sequence[str]) -> DataFrame:
+def assembled(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
+    """A vector column `features` from number columns, or from one array column (many columns make Catalyst's constraints explode)."""
+    if isinstance(features, str):
+        return df.withColumn("features", array_to_vector(F.col(features).cast("array<double>")))
     return VectorAssembler(inputCols=list(features), outputCol="features", handleInvalid="skip").transform(df)
 
 
@@ -46,13 +50,13 @@ CLASSIFIERS = {
     "random_forest": lambda **k: RandomForestClassifier(**({"numTrees": 50, "seed": 7} | k)),
     "gbt": lambda **k: OneVsRest(classifier=GBTClassifier(**({"maxIter": 10, "seed": 7} | k))),
     "logistic": lambda **k: LogisticRegression(**k),
-    "one_vs_rest": lambda **k: OneVsRest(classifier=LogisticRegression(**k)),
     "mlp": lambda **k: MultilayerPerceptronClassifier(**({"seed": 7, "maxIter": 60} | k)),
+    "one_vs_rest": lambda **k: OneVsRest(classifier=LogisticRegression(**k)),
 }
 REGRESSORS = {"random_forest": lambda **k: RandomForestRegressor(**({"numTrees": 30, "seed": 7} | k)), "gbt": lambda **k: GBTRegressor(**({"maxIter": 20, "seed": 7} | k))}
 
 
-def classify(df: DataFrame, features: Sequence[str], label: str, key: str, model: str = "random_forest", train_percent: int = 80, **params) -> tuple[DataFrame, object]:
+def classify(df: DataFrame, features: Sequence[str] | str, label: str, key: str, model: str = "random_forest", train_percent: int = 80, **params) -> tuple[DataFrame, object]:
     """Predictions (key, label, prediction) on the held-out part, and the fitted model."""
     rows = split(assembled(df, features), key, [("train", train_percent), ("test", 100 - train_percent)]).withColumn("label", F.col(label).cast("double"))
     fitted = CLASSIFIERS[model](**params).fit(rows.where("part = 'train'"))

@@ -488,29 +488,23 @@ def _(t):
     return L.feature_importance(model, _FEATURES, df.sparkSession)
 
 
-def _vector_features(t):
-    return t("embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(64)])
-
-
-_DIMS = tuple(f"e{i}" for i in range(64))
-
-
 @query("gbm_multiclass")
 def _(t):
-    found, _ = L.classify(_vector_features(t).withColumn("group", F.col("label") % 3), _DIMS[:16], "group", "vec_id", "gbt", maxIter=2, maxDepth=2)
+    found, _ = L.classify(t("embeddings").select("vec_id", (F.col("label") % 3).alias("group"), F.slice("embedding", 1, 16).alias("v")), "v", "group", "vec_id", "gbt", maxIter=2, maxDepth=2)
     return L.classification_report(found, "label", "prediction")
 
 
 @query("mlp_with_time")
 def _(t):
-    df = _vector_features(t).withColumn("day", (F.col("vec_id") % 365) / 365)
-    found, _ = L.classify(df, (*_DIMS, "day"), "label", "vec_id", "mlp", layers=[65, 16, 10], maxIter=15)
+    day = F.array(((F.col("vec_id") % 365) / 365).cast("double"))
+    df = t("embeddings").select("vec_id", "label", F.concat(F.col("embedding").cast("array<double>"), day).alias("v"))
+    found, _ = L.classify(df, "v", "label", "vec_id", "mlp", layers=[65, 16, 10], maxIter=15)
     return L.accuracy(found, "label", "prediction")
 
 
 @query("one_vs_rest")
 def _(t):
-    found, _ = L.classify(_vector_features(t), _DIMS, "label", "vec_id", "one_vs_rest", maxIter=10)
+    found, _ = L.classify(t("embeddings"), "embedding", "label", "vec_id", "one_vs_rest", maxIter=10)
     return L.accuracy(found, "label", "prediction")
 
 
