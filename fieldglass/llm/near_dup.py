@@ -3,13 +3,18 @@
 Documents with equal shingle sets share a node (a 128-bit digest of the set). Each node gets `TREES` sorted orders of
 its signature, each beginning at another place of it. Range partitioning on (first DEPTH values, the rest) lays a
 tree's order out over tasks, however large a region of equal beginnings is. In each order a node meets the
-neighbours that share at least the first DEPTH values, nearest (longest common prefix) first, `WINDOW` at most: where
-a region is dense, sorting by all remaining values makes this window reach deeper prefixes by itself.
+neighbours that share at least the first DEPTH values, nearest (longest common prefix) first, `WINDOW` at most. A run of up to WINDOW
+equal beginnings stays in one task, so all of its pairs are met. Longer runs are dense: range partitioning spreads them, sorting by all
+remaining values makes the window reach deeper prefixes, and round 3 finds what the window misses.
 
 Round 1 takes for each node the nearest neighbour on either side whose signature agrees well enough, confirms these pairs on
 full sets and joins them to components. Round 2 looks at the nodes that agree with one of another component, and gives these a
 signature of FINE values. Every pair in the window whose components differ and whose long signatures agree too is confirmed as well.
-So neither copies nor a text's many loose variants become all pairs, and no link between components is passed over.
+So neither copies nor a text's many loose variants become all pairs.
+
+Round 3 joins the nodes of dense runs by shingles. In one order of all shingles (about from rare to frequent), two sets of similarity 0.75
+share one among the first 1/7 of the smaller and the first 1/4 of the larger, whatever the order is. Shingles that a single component has are
+left out, and those of many nodes are dealt out as pairs of blocks. So no window bounds which links between components are found.
 
 At similarity 0.75 a tree brings two nodes of a sparse region together with probability 0.56; that all 16 miss has odds of 2e-6.
 """
@@ -31,6 +36,8 @@ VALUES = TREES * STRIDE
 #: Similarity that links, in hundredths, and the equal values of a signature from which a pair is looked at (4.4 deviations below 0.75; the same of FINE values).
 LINK, AGREE = 75, 53
 FINE = 1024
+#: Slots of the shingle counts that order the shingles, and nodes of a block of a shingle's nodes.
+SLOTS, BLOCK = 1 << 20, 1024
 FINE_AGREE = int(FINE * (LINK / 100 - 4.4 * (LINK / 100 * (1 - LINK / 100) / FINE) ** 0.5))
 
 _rng = np.random.default_rng(SEED)
@@ -82,12 +89,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _orders(nodes: DataFrame) -> DataFrame:
-    """The rows of all trees, each tree in sorted order over range partitions. nodes: node, label, keys, marks and maybe fine."""
+def _orders(nodes: DataFrame, dense: DataFrame) -> DataFrame:
+    """The rows of all trees, each tree in sorted order over range partitions that cut runs of dense keys only. nodes: node, label, keys, marks and maybe fine."""
     turned = F.concat(F.expr(f"substring(marks, tree * {STRIDE} + 1, {VALUES})"), F.expr(f"substring(marks, 1, tree * {STRIDE})"))
     more = [c for c in nodes.columns if c == "fine"]
     rows = nodes.select("node", "label", "marks", *more, F.posexplode("keys").alias("tree", "key")).select("key", turned.alias("marks"), "node", "label", *more)
-    return rows.repartitionByRange(*(F.col(c) for c in ("key", "marks", "node"))).sortWithinPartitions("key", "marks", "node")
+    rows = rows.join(F.broadcast(dense.withColumn("dense", F.lit(True))), "key", "left")
+    placed = rows.repartitionByRange("key", *(F.when(F.col("dense"), F.col(c)) for c in ("marks", "node")))
+    return placed.drop("dense").sortWithinPartitions("key", "marks", "node")
 
 
 def _scan(task: str):
@@ -144,6 +153,98 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in low], pa.binary())], ["node", "fine"])
 
 
+def _slots(s: np.ndarray) -> np.ndarray:
+    return (s >> np.uint64(44)).astype(np.int64)
+
+
+def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of this task hold the shingles of a slot, where there are several."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in pieces(batches, "text"):
+        sets = shingle_sets(batch.column("text"), WIDTH)
+        if sets:
+            total += np.bincount(_slots(np.concatenate(sets)), minlength=SLOTS)
+    some = np.flatnonzero(total > 1)
+    yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["slot", "sets"])
+
+
+def _firsts(weight: np.ndarray):
+    """The first shingles of each set by weight, enough to meet a larger set; `small` are those enough to meet one at least as large."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in pieces(batches, "text"):
+            out: list[tuple] = []
+            at: list[int] = []
+            for i, s in enumerate(shingle_sets(batch.column("text"), WIDTH)):
+                n = len(s)
+                first = s[np.lexsort((s, weight[_slots(s)]))[: n - -(-LINK * n // 100) + 1]]
+                small = np.arange(len(first)) < n - -(-2 * LINK * n // (100 + LINK)) + 1
+                out.append((first.view(np.int64), np.full(len(first), n), small))
+                at += [i] * len(first)
+            columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(pa.array(at, pa.int64())) for c in ("node", "label"))], ["shingle", "n", "small", "node", "label"])
+
+    return run
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shingle and pair of blocks (low, high): pairs with different labels, possible sizes and agreeing signatures."""
+
+    def pairs(rows: dict[str, np.ndarray]) -> set[tuple[bytes, bytes]]:
+        n, small, node, label, marks = (rows[c] for c in ("n", "small", "node", "label", "marks"))
+        inside = rows["low"][0] == rows["high"][0]
+        left = np.arange(len(n)) if inside else np.flatnonzero(rows["block"] == rows["low"])
+        right = left if inside else np.flatnonzero(rows["block"] == rows["high"])
+        found = set()
+        for i in left:
+            j = right[right > i] if inside else right
+            j = j[((n[i] <= n[j]) & small[i]) | ((n[j] <= n[i]) & small[j])]
+            j = j[100 * np.minimum(n[i], n[j]) >= LINK * np.maximum(n[i], n[j])]
+            j = j[(label[j] != label[i]).any(axis=1)]
+            for k in j[(marks[j] == marks[i]).sum(axis=1) >= AGREE]:
+                x, y = node[i].tobytes(), node[k].tobytes()
+                found.add((min(x, y), max(x, y)))
+        return found
+
+    widths, plain = {"node": 16, "label": 16, "marks": VALUES}, ("shingle", "low", "high", "block", "n", "small")
+    old: dict[str, np.ndarray] = {}
+
+    def sent(found: set) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in found], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, w) for c, w in widths.items()}
+        rows |= {c: batch.column(c).to_numpy(zero_copy_only=False) for c in plain}
+        rows = {c: np.concatenate([old[c], x]) if old else x for c, x in rows.items()}
+        same = np.logical_and.reduce([rows[c][1:] == rows[c][:-1] for c in ("shingle", "low", "high")])
+        cuts = [0, *(np.flatnonzero(~same) + 1).tolist()]
+        found = set()
+        for a, b in zip(cuts, cuts[1:], strict=False):
+            if b - a > 1:
+                found |= pairs({c: x[a:b] for c, x in rows.items()})
+        yield sent(found)
+        old = {c: x[cuts[-1] :] for c, x in rows.items()}  # 2 * BLOCK rows of one group, about
+    if old:
+        yield sent(pairs(old))
+
+
+def _by_shingles(labels: DataFrame, texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes with different labels that may be similar enough, found by shingles. labels: node, label, marks; texts: node, text."""
+    both = texts.join(labels.select("node", "label"), "node")
+    counts = both.select("text").mapInArrow(_frequent, "slot long, sets long").groupBy("slot").agg(F.sum("sets").alias("sets")).toArrow()  # SLOTS rows at most
+    weight = np.zeros(SLOTS, np.int32)
+    weight[counts.column("slot").to_numpy()] = np.minimum(counts.column("sets").to_numpy(), 2**31 - 1)
+    firsts = staged(both.mapInArrow(_firsts(weight), "shingle long, n long, small boolean, node binary, label binary"), "firsts")
+    live = firsts.groupBy("shingle").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.max("small").alias("any"), F.count("*").alias("nodes"))
+    live = live.where("one < other and any").select("shingle", F.expr(f"int(ceil(nodes / {BLOCK}))").alias("blocks"))
+    rows = firsts.join(live, "shingle").join(labels.select("node", "marks"), "node")
+    rows = rows.withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.select("shingle", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "n", "small", "node", "label", "marks")
+    return rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(_meet, "a binary, b binary").distinct()
+
+
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets are similar enough, joined within the task to stars."""
     parent: dict[bytes, bytes] = {}
@@ -203,21 +304,29 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = F.min(F.struct("doc_id", "text_key")).alias("one")
     ids = F.min("doc_id").alias("least_id")
     classes = staged(feats.where("node is not null").groupBy("node").agg(ids, one, F.first("keys").alias("keys"), F.first("marks").alias("marks")), "classes")
-    pairs = staged(_orders(classes.withColumn("label", F.col("node"))).mapInArrow(_scan("nearest"), "a binary, b binary").distinct(), "pairs")
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).distinct()
+    begins = classes.select("node", F.explode("keys").alias("key"))
+    dense = staged(begins.groupBy("key").count().where(f"count > {WINDOW}").select("key"), "dense")
+    crowd = staged(begins.join(F.broadcast(dense), "key").select("node").distinct(), "crowd")
+    pairs = staged(_orders(classes.withColumn("label", F.col("node")), dense).mapInArrow(_scan("nearest"), "a binary, b binary").distinct(), "pairs")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).union(crowd).distinct()
     asked = staged(asked.join(classes, "node").select("node", "one.*", "keys", "marks"), "asked")
-    # one text for each node that has a candidate
+    # one text for each node that has a candidate or stands in a dense run
     wanted = asked.select("node", F.col("doc_id").alias("its_id"), F.col("text_key").alias("its_key"))
     texts = keys.join(wanted, (F.col("text_key") == F.col("its_key")) & F.col("doc_id").eqNullSafe(F.col("its_id")))
     texts = staged(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     first = components(confirmed(pairs, texts))
     labels = staged(asked.join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "keys", "marks"), "labels")
-    still = staged(_orders(labels).mapInArrow(_scan("open"), "node binary").distinct(), "open")
+    still = staged(_orders(labels, dense).mapInArrow(_scan("open"), "node binary").distinct(), "open")
     if not still.isEmpty():
         fine = labels.join(texts.join(still, "node").mapInArrow(_fine, "node binary, fine binary"), "node")
-        more = staged(_orders(fine).mapInArrow(_scan("pairs"), "a binary, b binary").distinct(), "pairs")
+        more = staged(_orders(fine, dense).mapInArrow(_scan("pairs"), "a binary, b binary").distinct(), "pairs")
         if not more.isEmpty():
             first = components(first.select(F.col("node").alias("u"), F.col("label").alias("v")).unionAll(confirmed(more, texts)))
+    if not crowd.isEmpty():
+        now = staged(crowd.join(labels.select("node", "marks"), "node").join(first, "node", "left").select("node", F.coalesce("label", "node").alias("label"), "marks"), "crowd")
+        far = staged(_by_shingles(now, texts), "pairs")
+        if not far.isEmpty():
+            first = components(first.select(F.col("node").alias("u"), F.col("label").alias("v")).unionAll(confirmed(far, texts)))
     groups = classes.select("node", "least_id").join(first, "node", "left").select("node", "least_id", F.coalesce("label", "node").alias("label"))
     least = groups.groupBy("label").agg(F.min("least_id").alias("component_id"))
     named = groups.join(least, "label").select("node", "component_id")

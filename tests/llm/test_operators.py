@@ -291,6 +291,26 @@ def test_a_family_of_variants(spark):
     assert got == brute_components(table)
 
 
+def test_links_in_a_large_family(spark):
+    # 8,000 texts of similarity 0.6, each with one mate of similarity 0.77: runs of equal beginnings are several windows long
+    base = [f"b{k}" for k in range(79)]
+    tails = [[f"t{i // 2}x{k}" for k in range(12)] + [f"u{i}x{k}" for k in range(13)] for i in range(8000)]
+    table = [(i, " ".join(base + t)) for i, t in enumerate(tails)]
+    assert brute_components(table[:60]) == collections.Counter((i, 100, i - i % 2, i % 2 == 0) for i in range(60))
+    got = collections.Counter(tuple(r)[:4] for r in near_dup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string").repartition(8)).collect())
+    assert got == collections.Counter((i, 100, i - i % 2, i % 2 == 0) for i in range(8000))
+
+
+def test_shingles_find_links_that_no_window_meets(spark):
+    base = [f"b{k}" for k in range(79)]
+    tails = [[f"t{i % 1500}x{k}" for k in range(12)] + [f"u{i}x{k}" for k in range(13)] for i in range(3000)]
+    text = [" ".join(base + t) for t in tails]
+    node = [hashlib.md5(t.encode()).digest() for t in text]
+    made = spark.createDataFrame(list(zip(node, node, [b"m" * near_dup.VALUES] * 3000, text, strict=True)), "node binary, label binary, marks binary, text string").repartition(8)
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in near_dup._by_shingles(made.drop("text"), made.select("node", "text")).collect()}
+    assert got == {(min(p), max(p)) for p in zip(node[:1500], node[1500:], strict=True)}
+
+
 # 6
 
 
