@@ -10,9 +10,11 @@ input size) are packed together by first fit.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections.abc import Iterator
-from functools import cache
+from functools import cache, partial
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -27,7 +29,7 @@ BLOCK_ROWS, LEAST_BLOCKS, MOST_BLOCKS = 1 << 17, 16, 1 << 17
 
 
 def vocabulary() -> str:
-    """The default vocabulary: byte_bpe_50k, as ranks. Its ids equal those of byte_bpe_50k.json."""
+    """The default vocabulary: byte_bpe_50k, as ranks. With the added tokens of the json file beside it, its ids equal those of byte_bpe_50k.json."""
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -35,12 +37,15 @@ def vocabulary() -> str:
 
 @cache
 def encoder(path: str):
+    """The encoding of a rank file; added tokens of the json file of the same name, if there is one, are matched in texts."""
     import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    whole = Path(path).with_suffix(".json")
+    added = {t["content"]: t["id"] for t in json.loads(whole.read_text("utf-8"))["added_tokens"]} if whole.exists() else {}
+    return tiktoken.Encoding("bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
@@ -58,7 +63,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
 
 def _cut(path: str, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode_ordinary
+        encode = partial(encoder(path).encode, allowed_special="all")
         for batch in pieces(batches, "text"):
             out: list[tuple] = []
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):

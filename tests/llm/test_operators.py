@@ -232,6 +232,19 @@ def test_packing_places_every_id_once(docs, empty):
     assert packing.packed(empty).count() == 0
 
 
+def test_added_tokens_are_matched_in_texts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    e = "<|endoftext|>"
+    texts = [f"a{e}b", f"{e}a b", f"a b{e}", e, e + e + e, f"a  {e}  b{e}\n\n{e} c", f"it's{e}'s", "<|endoftext|", f"<|{e}|>", "<|END|>", f"é{e}漢字" * 300]
+    found = packing.packed(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), with_ids=True).collect()
+    for i, text in enumerate(texts):
+        parts = sorted((r["start"], r["ids"]) for r in found if r["doc_id"] == i)
+        assert [x for _, p in parts for x in p] == [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+
+
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 511, 512, 700, 1023, 2047, 2048, 2049, 9999])
 def test_cuts_add_up(n):
     parts = packing.cuts(n)
