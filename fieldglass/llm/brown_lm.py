@@ -1,16 +1,18 @@
 """A class-based bigram language model with classes from exchange clustering.
 
-Every word belongs to a unit: each of the most frequent words is its own, other words share one by their ending, and the end of a text is one. The bigram
-counts of units cover all training texts; the exchange algorithm moves units between classes while that raises the likelihood of class bigrams. A
-word's probability is that of its class after the class before it, times its own in its class; both add-constant smoothed. Words are counted over all
-training texts, by 64-bit hash. The counts of the LOCAL most frequent words go to all tasks; a text's other words are joined with the
-counts by shuffle, so no count is left out at any size of the vocabulary.
+Every word belongs to a unit: each word that occurs MIN times or more in training is its own (UNITS words at most, the most frequent), the
+others share ENDINGS units by their ending, and the end of a text is one. Bigrams of units are counted over all training texts and laid out by word, in
+blocks. The exchange algorithm moves units between classes while that raises the likelihood of class bigrams: first the SEQUENTIAL most
+frequent units one after another, then all units in Spark rounds, where each block weighs its own words' moves exactly against the
+classes at the start of the round, half of the words a round. A word's probability is that of its class after the class before it, times its own in its
+class; both add-constant smoothed. Words are counted over all training texts, by 64-bit hash. The counts of the LOCAL most frequent words go
+to all tasks; a text's other words are joined with the counts by shuffle, so no count is left out at any size of the vocabulary.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -21,9 +23,15 @@ from pyspark.sql import functions as F
 
 from fieldglass.llm.common import bucket_of, flat, mixed, pieces, staged, word_hashes, words
 
-#: Words with a unit of their own, units for endings, classes, rounds of exchange, words whose counts go to all tasks, smoothing of class bigrams.
-OWN, ENDINGS, CLASSES, ROUNDS, LOCAL, SMOOTH = 700, 323, 64, 12, 200_000, 0.1
-UNITS = OWN + ENDINGS + 1
+#: Least count of a word with a unit of its own, units for endings, classes (0 is the end of a text), smoothing of class bigrams.
+MIN, ENDINGS, CLASSES, SMOOTH = 20, 323, 64, 0.1
+#: Units that are exchanged one after another, rounds of that, rounds over all units.
+SEQUENTIAL, FIRST_ROUNDS, ROUNDS = 1024, 5, 6
+#: Words whose counts go to all tasks: LOCAL at most, none rarer than LOCAL_MIN. Units fit SHIFT bits.
+SHIFT = 20
+LOCAL, LOCAL_MIN = (1 << SHIFT) - 1024, 5
+#: Tokens whose bigrams a task holds at once, pairs of a stored row, blocks of words at least and at most.
+TOKENS, ROW_PAIRS, LEAST_BLOCKS, MOST_BLOCKS = 4_000_000, 1_000_000, 16, 1 << 14
 HELD_OUT, MODULUS = 2, 7
 #: Stands for the end of a text among word hashes.
 END = np.uint64(0x656E64206F662074)
@@ -56,66 +64,237 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(word.view(np.int64)), pa.array(tails[first]), pa.array(n.astype(np.int64))], ["word", "tail", "n"])
 
 
-def units(h: np.ndarray, tails: np.ndarray, own: np.ndarray, own_unit: np.ndarray) -> np.ndarray:
-    """The unit of each token. own: sorted hashes of the words that have one each; END is the last unit."""
-    at = np.minimum(np.searchsorted(own, h), len(own) - 1)
-    return np.where(own[at] == h, own_unit[at], np.where(tails < 0, UNITS - 1, OWN + np.maximum(tails, 0))).astype(np.int64)
+@dataclass
+class Vocabulary:
+    """Sorted hashes of the LOCAL words, their counts and units (-1: by ending); how many words have a unit; tokens and distinct words of training."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    unit: np.ndarray
+    own: int
+    tokens: int
+    distinct: int
+
+    @property
+    def size(self) -> int:
+        """All units: own words, then endings, then the end of a text."""
+        return self.own + ENDINGS + 1
+
+    def find(self, h: np.ndarray, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Unit of each token, whether it is a LOCAL word, and its count then."""
+        at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+        here = (self.words[at] == h) & (self.counts[at] > 0)
+        unit = np.where(here, self.unit[at], -1).astype(np.int64)
+        unit = np.where(tails < 0, self.size - 1, np.where(unit < 0, self.own + np.maximum(tails, 0), unit))
+        return unit, here, np.where(here, self.counts[at], 0)
+
+
+def vocabulary(counts: DataFrame) -> Vocabulary:
+    """From all words' counts (word, n). The driver gets LOCAL words at most."""
+    distinct, total = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    # the least count with which all words fit, from how many words have each: 64 steps a doubling
+    step = lambda c: F.floor(F.log2(c) * 64)
+    often = counts.where(F.col("n") >= LOCAL_MIN).groupBy(step("n").alias("step")).agg(F.count("*").alias("words"), F.min("n").alias("least")).orderBy(F.desc("step")).collect()
+    least, fit = None, 0
+    for r in often:
+        if (fit := fit + r["words"]) > LOCAL:
+            break
+        least = r["least"]
+    if least is None:
+        return Vocabulary(np.array([END]), np.zeros(1, np.int64), np.array([-1], np.int32), 0, int(total), int(distinct))
+    top = counts.where(F.col("n") >= least).select("word", "n").toArrow()
+    h, n = top.column("word").to_numpy().view(np.uint64), top.column("n").to_numpy()
+    ranked = np.lexsort((h, -n))
+    ranked = ranked[(h[ranked] != END) & (n[ranked] >= MIN)]
+    unit = np.full(len(h), -1, np.int32)
+    unit[ranked] = np.arange(len(ranked))
+    order = np.argsort(h)
+    return Vocabulary(h[order], n[order], unit[order], len(ranked), int(total), int(distinct))
+
+
+def _coded(code: np.ndarray, n: np.ndarray) -> tuple[bytes, int]:
+    """Sorted codes as differences, and their counts, compressed."""
+    raw = np.diff(code, prepend=0).astype("<i8").tobytes() + n.astype("<i8").tobytes()
+    return pa.compress(raw, "zstd", asbytes=True), len(code)
+
+
+def _decoded(pairs: bytes, size: int) -> tuple[np.ndarray, np.ndarray]:
+    raw = np.frombuffer(pa.decompress(pairs, 16 * size, "zstd"), "<i8")
+    return np.cumsum(raw[:size]), raw[size:]
+
+
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(code, kind="stable")
+    code, n = code[order], n[order]
+    first = np.flatnonzero(np.diff(code, prepend=-1))
+    return code[first], np.add.reduceat(n, first) if len(first) else n
+
 
+def _bigrams(vocab: Vocabulary, blocks: int) -> Callable:
+    """Rows of a block of words: codes of (word, 0, next word) and (word, 1, word before), and counts."""
+
+    def sent(pairs: list[np.ndarray]) -> pa.RecordBatch:
+        pair, n = np.unique(np.concatenate(pairs), return_counts=True)
+        before, after = pair >> SHIFT, pair & ((1 << SHIFT) - 1)
+        code = np.concatenate([before << SHIFT + 1 | after, after << SHIFT + 1 | 1 << SHIFT | before])
+        n = np.concatenate([n, n])
+        block = (code >> SHIFT + 1) % blocks
+        order = np.lexsort((code, block))
+        code, n, block = code[order], n[order], block[order]
+        cuts = [*np.flatnonzero(np.diff(block, prepend=-1)).tolist(), len(block)]
+        out = [(int(block[a]), *_coded(code[a:b], n[a:b])) for a, b in zip(cuts, cuts[1:], strict=False)]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*out, strict=True)], ["block", "pairs", "size"])
 
-def _bigrams(own: np.ndarray, own_unit: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(UNITS * UNITS, np.int64)
+        held, n = [], 0
         for batch in pieces(batches, "text"):
-            h, tails, _ = read(batch.column("text"))
-            u = units(h, tails, own, own_unit)
-            before = np.concatenate([[UNITS - 1], u[:-1]])  # a text begins after an end
-            total += np.bincount(before * UNITS + u, minlength=UNITS * UNITS)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["pair", "n"])
+            u = vocab.find(*read(batch.column("text"))[:2])[0]
+            held.append(np.concatenate([[vocab.size - 1], u[:-1]]) << SHIFT | u)  # a text begins after an end
+            if (n := n + len(u)) >= TOKENS:
+                yield sent(held)
+                held, n = [], 0
+        if n:
+            yield sent(held)
 
     return run
 
 
-def exchanged(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
-    """The class of each unit: starting from classes by rank of count, each unit in turn moves to the class that raises the likelihood most."""
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block added up, as rows of about ROW_PAIRS that hold all pairs of their words."""
+    block, held, size = None, [], 0
+
+    def added() -> tuple[np.ndarray, np.ndarray]:
+        return _summed(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def sent() -> Iterator[pa.RecordBatch]:
+        code, n = added()
+        begin = np.flatnonzero(np.diff(code >> SHIFT + 1, prepend=-1))
+        cuts = np.unique(begin[np.searchsorted(begin, np.arange(0, len(code), ROW_PAIRS), side="right") - 1])
+        for a, b in zip(cuts, [*cuts[1:], len(code)], strict=True):
+            pairs, many = _coded(code[a:b], n[a:b])
+            yield pa.RecordBatch.from_arrays([pa.array([pairs]), pa.array([many])], ["pairs", "size"])
+
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row["block"] != block:
+                yield from sent()
+                held, size = [], 0
+            block = row["block"]
+            held.append(_decoded(row["pairs"], row["size"]))
+            if (size := size + row["size"]) > 4 * ROW_PAIRS:
+                held = [added()]
+                size = len(held[0][0]) // 2  # so that a block of many distinct pairs isn't added up at each row
+    if held:
+        yield from sent()
+
+
+def bigrams(train: DataFrame, vocab: Vocabulary) -> DataFrame:
+    """All bigrams of units by word: rows of pairs (see _bigrams) and their number."""
+    blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, vocab.tokens // TOKENS))
+    found = train.mapInArrow(_bigrams(vocab, blocks), "block long, pairs binary, size long")
+    placed = found.repartition(blocks, "block").sortWithinPartitions("block")
+    return staged(placed.mapInArrow(_merged, "pairs binary, size long"), "bigrams")
+
+
+def by_class(code: np.ndarray, n: np.ndarray, of: np.ndarray, classes: int = CLASSES) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the words of a row: ids, counts (word, side, class of the other), counts of the word after itself."""
+    word, side, other = code >> SHIFT + 1, code >> SHIFT & 1, code & ((1 << SHIFT) - 1)
+    ids, at = np.unique(word, return_inverse=True)
+    cells = np.bincount((at * 2 + side) * classes + of[other], n, len(ids) * 2 * classes).reshape(len(ids), 2, classes)
+    itself = np.bincount(at, n * ((side == 0) & (word == other)), len(ids))
+    return ids, cells, itself
+
+
+def _table(of: np.ndarray) -> Callable:
+    """Counts of class bigrams of a task's rows, as one row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((CLASSES, CLASSES))
+        for batch in batches:
+            for pairs, size in zip(batch.column("pairs"), batch.column("size"), strict=True):
+                code, n = _decoded(pairs.as_py(), size.as_py())
+                next_ = code >> SHIFT & 1 == 0
+                code, n = code[next_], n[next_]
+                total += np.bincount(of[code >> SHIFT + 1].astype(np.int64) * CLASSES + of[code & ((1 << SHIFT) - 1)], n, CLASSES**2).reshape(CLASSES, CLASSES)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()])], ["counts"])
+
+    return run
+
+
+def class_table(pairs: DataFrame, of: np.ndarray) -> np.ndarray:
+    total = np.zeros((CLASSES, CLASSES))
+    for r in pairs.mapInArrow(_table(of), "counts binary").toLocalIterator():  # a small row a task
+        total += np.frombuffer(r["counts"]).reshape(CLASSES, CLASSES)
+    return total
+
+
+def _xlogx(x: np.ndarray) -> np.ndarray:
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def likelihood(table: np.ndarray) -> float:
+    """What classes add to the log likelihood of a class bigram model, but for a constant."""
+    return float(_xlogx(table).sum() - _xlogx(table.sum(axis=0)).sum() - _xlogx(table.sum(axis=1)).sum())
+
+
+def gains(table: np.ndarray, before: np.ndarray, after: np.ndarray, itself: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each word and class, the likelihood with the word there, less that without the word.
+
+    before, after: counts of each class before and after the word, the word itself among its own class; itself: counts of the word after itself.
+    """
+    m, classes = before.shape
+    at = np.arange(m)
+    a, b = before.copy(), after.copy()
+    a[at, own] -= itself
+    b[at, own] -= itself
+    rest = np.repeat(table[None], m, axis=0)
+    rest[at, :, own] -= a
+    rest[at, own, :] -= b
+    rest[at, own, own] -= itself
+    rest = np.maximum(rest, 0)
+    rows, cols = rest.sum(axis=2), rest.sum(axis=1)
+    old = _xlogx(rest)
+    gain = (_xlogx(rest + a[:, :, None]) - old).sum(axis=1) + (_xlogx(rest + b[:, None, :]) - old).sum(axis=2)
+    cell = np.diagonal(rest, axis1=1, axis2=2)
+    gain += _xlogx(cell + a + b + itself[:, None]) - _xlogx(cell + a) - _xlogx(cell + b) + _xlogx(cell)
+    # other rows grow by a, the class's own row by b and the self count too; columns likewise
+    for sums, x, y in ((rows, a, b), (cols, b, a)):
+        grown = _xlogx(sums + x) - _xlogx(sums)
+        gain -= grown.sum(axis=1, keepdims=True) - grown + _xlogx(sums + x + (y.sum(axis=1) + itself)[:, None]) - _xlogx(sums)
+    return gain
+
+
+def exchanged(pairs: np.ndarray, classes: int = CLASSES, rounds: int = FIRST_ROUNDS, fixed: int | None = None) -> np.ndarray:
+    """The class of each unit: starting from classes by rank of count, each unit in turn moves to the class that raises the likelihood most.
+
+    pairs: counts of each unit after each. fixed: a unit that stays alone in class 0.
+    """
     size = len(pairs)
     often = pairs.sum(axis=0) + pairs.sum(axis=1)
+    ranked = [w for w in np.argsort(-often, kind="stable") if w != fixed]
+    least = 0 if fixed is None else 1
     of = np.zeros(size, np.int64)
-    of[np.argsort(-often, kind="stable")] = np.arange(size) % classes
-    xlogx = lambda x: x * np.log(np.maximum(x, 1e-300))
+    of[ranked] = least + np.arange(len(ranked)) % (classes - least)
     member = np.eye(classes)[of]
     left, right = pairs.T @ member, pairs @ member  # of each unit: counts after each class, before each class
     table = member.T @ right
     for _ in range(rounds):
         moved = 0
-        for w in np.argsort(-often, kind="stable"):
+        for w in ranked:
             if not often[w]:
-                continue
-            own, self_n = of[w], pairs[w, w]
-            a, b = left[w].copy(), right[w].copy()
-            a[own] -= self_n
-            b[own] -= self_n
-            rest = table.copy()
-            rest[:, own] -= a
-            rest[own, :] -= b
-            rest[own, own] -= self_n
-            rows, cols = rest.sum(axis=1), rest.sum(axis=0)
-            # the likelihood is the sum over cells of x log x, less those of row and column sums
-            gain = (xlogx(rest + a[:, None]) - xlogx(rest)).sum(axis=0) + (xlogx(rest + b[None, :]) - xlogx(rest)).sum(axis=1)
-            cell = np.diag(rest)
-            da, db = np.arange(classes), np.arange(classes)
-            gain += xlogx(cell + a[da] + b[db] + self_n) - xlogx(cell + a[da]) - xlogx(cell + b[db]) + xlogx(cell)
-            # other rows grow by a, the class's own row by b and the self count; columns likewise
-            total_a, total_b = a.sum() + self_n, b.sum() + self_n
-            row_gain = (xlogx(rows + a) - xlogx(rows)).sum() - (xlogx(rows + a) - xlogx(rows)) + xlogx(rows + a + total_b) - xlogx(rows)
-            col_gain = (xlogx(cols + b) - xlogx(cols)).sum() - (xlogx(cols + b) - xlogx(cols)) + xlogx(cols + b + total_a) - xlogx(cols)
-            best = int(np.argmax(gain - row_gain - col_gain))
-            table = rest
-            table[:, best] += a
-            table[best, :] += b
-            table[best, best] += self_n
-            if best != own:
+                break
+            own, s = of[w], pairs[w, w]
+            gain = gains(table, left[w][None], right[w][None], np.array([s]), np.array([own]))[0]
+            best = least + int(np.argmax(gain[least:]))
+            if best != own and gain[best] > gain[own] + 1e-9:
                 moved += 1
+                a, b = left[w].copy(), right[w].copy()
+                a[own] -= s
+                b[own] -= s
+                for k, sign in ((own, -1), (best, 1)):
+                    table[:, k] += sign * a
+                    table[k, :] += sign * b
+                    table[k, k] += sign * s
                 of[w] = best
                 left[:, own] -= pairs[w]
                 left[:, best] += pairs[w]
@@ -126,45 +305,105 @@ def exchanged(pairs: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -
     return of
 
 
+def _first_units(chosen: np.ndarray) -> Callable:
+    """Dense counts of the chosen units after each chosen one; place: number among the chosen, -1 of others."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        many = int(chosen.max()) + 1
+        for batch in batches:
+            for pairs, size in zip(batch.column("pairs"), batch.column("size"), strict=True):
+                code, n = _decoded(pairs.as_py(), size.as_py())
+                row, col = chosen[code >> SHIFT + 1], chosen[code & ((1 << SHIFT) - 1)]
+                some = (code >> SHIFT & 1 == 0) & (row >= 0) & (col >= 0)
+                row, col, n = row[some], col[some], n[some]
+                which, at = np.unique(row, return_inverse=True)
+                counts = np.bincount(at * many + col, n, len(which) * many).reshape(len(which), many)
+                yield pa.RecordBatch.from_arrays([pa.array(which), pa.array([c.tobytes() for c in counts], pa.binary())], ["unit", "counts"])
+
+    return run
+
+
+def _moves(of: np.ndarray, table: np.ndarray, turn: int, last: int) -> Callable:
+    """The words of this turn's half that move, and where."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for pairs, size in zip(batch.column("pairs"), batch.column("size"), strict=True):
+                ids, cells, itself = by_class(*_decoded(pairs.as_py(), size.as_py()), of)
+                some = np.flatnonzero((mixed(ids.astype(np.uint64)) & np.uint64(1) == turn % 2) & (ids != last))
+                unit, to = [], []
+                for part in np.array_split(some, max(1, len(some) // 64)):
+                    if len(part):
+                        own = of[ids[part]].astype(np.int64)
+                        gain = gains(table, cells[part, 1], cells[part, 0], itself[part], own)[:, 1:]
+                        best = gain.argmax(axis=1) + 1
+                        better = gain[np.arange(len(part)), best - 1] > gain[np.arange(len(part)), own - 1] + 1e-6
+                        unit.append(ids[part][better])
+                        to.append(best[better])
+                if unit:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(unit)), pa.array(np.concatenate(to).astype(np.int32))], ["unit", "class"])
+
+    return run
+
+
+def clustered(pairs: DataFrame, vocab: Vocabulary, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each unit and the counts of class bigrams. tails: the ending of each own word."""
+    last = vocab.size - 1
+    own = min(SEQUENTIAL - ENDINGS - 1, vocab.own)
+    chosen = np.full(vocab.size, -1)
+    chosen[np.r_[0:own, vocab.own : vocab.size]] = np.arange(own + ENDINGS + 1)
+    first = np.zeros((own + ENDINGS + 1,) * 2)
+    for r in pairs.mapInArrow(_first_units(chosen), "unit long, counts binary").toLocalIterator():  # SEQUENTIAL rows
+        first[r["unit"]] += np.frombuffer(r["counts"])
+    start = exchanged(first, fixed=len(first) - 1)
+    of = np.zeros(vocab.size, np.int8)
+    of[chosen >= 0] = start
+    of[own : vocab.own] = of[vocab.own + tails[own:]]  # a word begins with its ending's class
+    table = class_table(pairs, of)
+    for turn in range(ROUNDS):
+        moves = pairs.mapInArrow(_moves(of, table, turn, last), "unit long, class int").toArrow()  # LOCAL rows at most
+        moved = of.copy()
+        moved[moves.column("unit").to_numpy()] = moves.column("class").to_numpy()
+        new = class_table(pairs, moved)
+        if likelihood(new) <= likelihood(table):  # moves at once can undo each other
+            break
+        of, table = moved, new
+    return of, table
+
+
 @dataclass
 class ClassModel:
-    """Sorted hashes of the OWN words and their units; the class of each unit; log10 class bigrams; log10 (words + tokens + 1) of each class;
-    sorted hashes of the LOCAL words and their counts; tokens and distinct words of training."""
+    """The vocabulary; the class of each unit; log10 class bigrams; log10 (words + tokens + 1) of each class."""
 
-    own: np.ndarray
-    own_unit: np.ndarray
+    vocab: Vocabulary
     of: np.ndarray
     steps: np.ndarray
     bases: np.ndarray
-    local: np.ndarray
-    local_n: np.ndarray
-    tokens: int
-    distinct: int
 
 
-def _score(m: ClassModel):
+def _score(m: ClassModel) -> Callable:
     kinds = ["uid", "doc_id", "held_out", "n_tokens", "known", "base", "model", "words", "times"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 33
-        unit_base = math.log10(m.tokens + m.distinct + 1)
+        unit_base = math.log10(m.vocab.tokens + m.vocab.distinct + 1)
         for batch in pieces(batches, "text"):
             size = batch.num_rows
             h, tails, rows = read(batch.column("text"))
-            c = m.of[units(h, tails, m.own, m.own_unit)]
-            before = np.concatenate([[m.of[UNITS - 1]], c[:-1]])
+            unit, here, count = m.vocab.find(h, tails)
+            c = m.of[unit]
+            before = np.concatenate([[m.of[m.vocab.size - 1]], c[:-1]])
             step = m.steps[before, c] - m.bases[c]
-            at = np.minimum(np.searchsorted(m.local, h), len(m.local) - 1)
-            here = m.local[at] == h
-            emit = np.where(here, np.log10(m.local_n[at] + 1.0), 0.0)
+            emit = np.log10(count + 1.0)
             n = np.bincount(rows, minlength=size)
             known = np.bincount(rows, here, size).astype(np.int64)
             emitted = np.bincount(rows, emit, size)
             far = np.flatnonzero(~here)
-            key = np.rec.fromarrays([rows[far], h[far]])
-            pair, times = np.unique(key, return_counts=True) if len(far) else (np.rec.fromarrays([rows[:0], h[:0]]), np.zeros(0, np.int64))
-            cuts = np.searchsorted(pair.f0, np.arange(size + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(cuts, x) for x in (np.ascontiguousarray(pair.f1).view(np.int64), times.astype(np.int64))]
+            far = far[np.lexsort((h[far], rows[far]))]
+            first = np.flatnonzero(np.r_[True, (np.diff(rows[far]) != 0) | (np.diff(h[far]) != 0)]) if len(far) else np.zeros(0, np.int64)
+            times = np.diff(np.r_[first, len(far)])
+            cuts = np.searchsorted(rows[far][first], np.arange(size + 1)).astype(np.int32)
+            lists = [pa.ListArray.from_arrays(cuts, x) for x in (h[far][first].view(np.int64), times.astype(np.int64))]
             ids = np.arange(uid, uid + size)
             uid += size
             values = [pa.array(ids), batch.column("doc_id"), batch.column("held_out"), pa.array(n.astype(np.int64)), pa.array(known), pa.array(emitted - n * unit_base), pa.array(emitted + np.bincount(rows, step, size)), *lists]
@@ -175,33 +414,28 @@ def _score(m: ClassModel):
 
 def trained(train: DataFrame) -> tuple[ClassModel, DataFrame]:
     """The model, and the counts of all training words: word, tail, n. train: text."""
-    vocab = staged(train.mapInArrow(_counts, "word long, tail int, n long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n")), "vocabulary")
-    distinct, total = vocab.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = vocab.orderBy(F.desc("n"), "word").limit(LOCAL).toPandas()  # LOCAL rows at most
-    hashes = top["word"].to_numpy(np.int64, copy=True).view(np.uint64)
-    owners = hashes[hashes != END][:OWN]
-    order = np.argsort(owners)
-    own, own_unit = (owners[order], order) if len(owners) else (np.zeros(1, np.uint64), np.array([UNITS - 1]))
-    pairs = np.zeros(UNITS * UNITS)
-    found = train.mapInArrow(_bigrams(own, own_unit), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toPandas()  # UNITS ** 2 rows at most
-    pairs[found["pair"].to_numpy()] = found["n"].to_numpy()
-    pairs = pairs.reshape(UNITS, UNITS)
-    of = exchanged(pairs)
-    member = np.eye(CLASSES)[of]
-    table = member.T @ pairs @ member
+    counts = staged(train.mapInArrow(_counts, "word long, tail int, n long").groupBy("word").agg(F.first("tail").alias("tail"), F.sum("n").alias("n")), "vocabulary")
+    vocab = vocabulary(counts)
+    # distinct words and tokens of each ending, of words without a unit; endings of those with one
+    own = np.sort(vocab.words[vocab.unit >= 0])
+    least = int(vocab.counts[vocab.unit >= 0].min()) if len(own) else None
+    rare = counts.where("tail >= 0") if least is None else counts.where((F.col("tail") >= 0) & (F.col("n") < least))
+    spread, tokens = np.zeros(vocab.size), np.zeros(vocab.size)
+    for r in rare.groupBy("tail").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect():  # ENDINGS rows
+        spread[vocab.own + r["tail"]], tokens[vocab.own + r["tail"]] = r["words"], r["n"]
+    tails = np.zeros(vocab.own, np.int64)
+    if least is not None:
+        found = counts.where((F.col("tail") >= 0) & (F.col("n") >= least)).select("word", "tail").toArrow()  # LOCAL rows at most
+        at = np.searchsorted(vocab.words, found.column("word").to_numpy().view(np.uint64))
+        tails[vocab.unit[at]] = found.column("tail").to_numpy()
+        spread[: vocab.own] = 1
+        tokens[vocab.unit[vocab.unit >= 0]] = vocab.counts[vocab.unit >= 0]
+    spread[-1] = 1
+    tokens[-1] = vocab.tokens - tokens.sum()  # what isn't a word is an end
+    of, table = clustered(bigrams(train, vocab), vocab, tails)
     steps = np.log10((table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * CLASSES))
-    # distinct words of each unit: those with a unit of their own one each, the rest by ending
-    spread = np.zeros(UNITS)
-    for r in vocab.where("tail >= 0").groupBy("tail").agg(F.count("*").alias("v")).collect():  # ENDINGS rows
-        spread[OWN + r["tail"]] = r["v"]
-    own_tails = top["tail"].to_numpy()[: OWN + 1][hashes[: OWN + 1] != END][:OWN]
-    np.subtract.at(spread, OWN + own_tails, 1)
-    spread[own_unit[: len(owners)]] = 1
-    spread[UNITS - 1] = 1
-    bases = np.log10(member.T @ (pairs.sum(axis=0) + spread) + 1)
-    by_hash = np.argsort(hashes)
-    local, local_n = (hashes[by_hash], top["n"].to_numpy(np.int64)[by_hash]) if len(top) else (np.array([END]), np.zeros(1, np.int64))
-    return ClassModel(own, own_unit, of, steps, bases, local, local_n, int(total), int(distinct)), vocab
+    bases = np.log10(np.bincount(of, tokens + spread, CLASSES) + 1)
+    return ClassModel(vocab, of, steps, bases), counts
 
 
 def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,17 +445,17 @@ def scored(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     the empty text. An empty table gives no rows; if no row is for training, all words are unknown. Other columns play no part.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), (bucket_of(id_col, MODULUS) == HELD_OUT).alias("held_out"), F.col(text_col).alias("text"))
-    model, vocab = trained(source.where(~F.col("held_out")).select("text"))
+    model, counts = trained(source.where(~F.col("held_out")).select("text"))
     kinds = "uid long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double, words array<long>, times array<long>"
     local = staged(source.mapInArrow(_score(model), kinds), "scores")
     far = local.select("uid", F.explode(F.arrays_zip("words", "times")).alias("w")).select("uid", "w.words", "w.times")
-    joined = far.join(vocab.select(F.col("word").alias("words"), "n"), "words")
+    joined = far.join(counts.select(F.col("word").alias("words"), "n"), "words")
     # an unknown word's log10(0 + 1) is 0, so it needs no row
     sums = joined.groupBy("uid").agg(F.sum("times").alias("more"), F.sum(F.col("times") * F.log10(F.col("n") + 1.0)).alias("gain"))
     whole = local.select("uid", "doc_id", "held_out", "n_tokens", "known", "base", "model").join(sums, "uid", "left")
     gain = F.coalesce("gain", F.lit(0.0))
     score = F.col("model") + gain
     return whole.select(
-        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.vocab.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + gain).alias("base_score"), score.alias("score"), F.pow(F.lit(10.0), -score / F.col("n_tokens")).alias("perplexity"),
     )

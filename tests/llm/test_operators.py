@@ -351,8 +351,13 @@ def test_archive_round_trip(spark):
 # 7
 
 
-def test_lm_base_equals_brute_force(docs, empty, monkeypatch):
-    monkeypatch.setattr(brown_lm, "LOCAL", 900)  # so that some words are joined
+@pytest.mark.parametrize(("local_min", "least"), [(2, 3), (1, 1), (10**9, 10**9)])
+def test_lm_scores_equal_brute_force(docs, empty, monkeypatch, local_min, least):
+    monkeypatch.setattr(brown_lm, "LOCAL_MIN", local_min)  # so that some words, or all, are joined
+    monkeypatch.setattr(brown_lm, "MIN", least)
+    models = []
+    train = brown_lm.trained
+    monkeypatch.setattr(brown_lm, "trained", lambda d: models.append(train(d)) or models[-1])
     found = brown_lm.scored(docs).collect()
     tokens = [words(r[1]) + [None] for r in rows()]
     counts = collections.Counter()
@@ -360,10 +365,107 @@ def test_lm_base_equals_brute_force(docs, empty, monkeypatch):
         if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2:
             counts.update(w)
     n, v = sum(counts.values()), len(counts)
-    want = collections.Counter((r[0], len(w), sum(counts[x] > 0 for x in w), n, round(sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w), 4)) for r, w in zip(rows(), tokens, strict=True))
-    assert collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], round(r["base_score"], 4)) for r in found) == want
-    assert all(r["score"] < 0 for r in found)
-    assert brown_lm.scored(empty).count() == 0
+    m = models[0][0]
+    # class of each word, from its unit
+    h, tails, _ = brown_lm.read(brown_lm.pa.array([b" ".join(x for x in counts if x is not None).decode()]))
+    unit = dict(zip([x for x in counts if x is not None] + [None], m.vocab.find(h, tails)[0].tolist(), strict=True))
+    assert unit[None] == m.vocab.size - 1 and m.of[unit[None]] == 0 and list(m.of).count(0) == 1
+    of = {w: int(m.of[u]) for w, u in unit.items()}
+    tallies = collections.Counter()
+    for w, k in counts.items():
+        tallies[of[w]] += k
+    sizes = collections.Counter(of.values())
+    bigrams = collections.Counter()
+    for r, w in zip(rows(), tokens, strict=True):
+        if zlib.crc32(("" if r[0] is None else str(r[0])).encode()) % 7 != 2:
+            bigrams.update((of[x], of[y]) for x, y in zip([None] + w, w, strict=False))
+    after = collections.Counter()
+    for (x, _), k in bigrams.items():
+        after[x] += k
+
+    def class_of(word):
+        if word in of:
+            return of[word]
+        h, tails, _ = brown_lm.read(brown_lm.pa.array([word.decode()]))
+        return int(m.of[m.vocab.find(h, tails)[0][0]])
+
+    def p(x, y, word):
+        step = (bigrams[x, y] + brown_lm.SMOOTH) / (after[x] + brown_lm.SMOOTH * brown_lm.CLASSES)
+        return step * (counts[word] + 1) / (tallies[y] + sizes[y] + 1)
+
+    want = collections.Counter()
+    for r, w in zip(rows(), tokens, strict=True):
+        c = [0] + [class_of(x) for x in w]
+        score = sum(math.log10(p(x, y, word)) for x, y, word in zip(c, c[1:], w, strict=False))
+        base = sum(math.log10((counts[x] + 1) / (n + v + 1)) for x in w)
+        want[r[0], len(w), sum(counts[x] > 0 for x in w), n, f"{base:.7g}", f"{score:.7g}"] += 1
+    assert collections.Counter((r["doc_id"], r["n_tokens"], r["n_known"], r["train_tokens"], f"{r['base_score']:.7g}", f"{r['score']:.7g}") for r in found) == want
+    for x in range(brown_lm.CLASSES):  # all known words and one unknown word a class share all of the probability
+        assert abs(sum(p(x, of[w], w) for w in counts) + sum((bigrams[x, y] + 0.1) / (after[x] + 6.4) / (tallies[y] + sizes[y] + 1) for y in range(64)) - 1) < 1e-9
+    if least == 3:
+        assert brown_lm.scored(empty).count() == 0
+
+
+def test_gain_of_a_move_equals_the_difference_of_likelihoods():
+    rng = np.random.default_rng(4)
+    pairs = rng.integers(0, 6, (9, 9)) * rng.integers(0, 2, (9, 9)).astype(float)
+    of = rng.integers(0, 4, 9)
+    table = lambda of: np.eye(4)[of].T @ pairs @ np.eye(4)[of]
+    member = np.eye(4)[of]
+    found = brown_lm.gains(table(of), pairs.T @ member, pairs @ member, np.diag(pairs), of)
+    for w in range(9):
+        moved = [brown_lm.likelihood(table(np.where(np.arange(9) == w, k, of))) for k in range(4)]
+        assert np.allclose(np.array(moved) - moved[of[w]], found[w] - found[w, of[w]], atol=1e-9)
+
+
+def test_rounds_in_spark_raise_the_likelihood(spark, monkeypatch):
+    monkeypatch.setattr(brown_lm, "MIN", 2)
+    monkeypatch.setattr(brown_lm, "SEQUENTIAL", brown_lm.ENDINGS + 21)
+    rng = random.Random(9)
+    kinds = [[f"{c}{k}" for k in range(60)] for c in "pqr"]
+    texts = [" ".join(rng.choice(kinds[k % 3]) for k in range(rng.randint(1, 120))) for _ in range(150)]
+    train = spark.createDataFrame([(t,) for t in texts], "text string").repartition(4)
+    counts = train.mapInArrow(brown_lm._counts, "word long, tail int, n long").groupBy("word").agg(brown_lm.F.first("tail").alias("tail"), brown_lm.F.sum("n").alias("n"))
+    vocab = brown_lm.vocabulary(counts)
+    pairs = brown_lm.bigrams(train, vocab)
+    got = collections.Counter()
+    for r in pairs.collect():
+        code, n = brown_lm._decoded(r["pairs"], r["size"])
+        assert len(np.unique(code)) == len(code)
+        for c, k in zip(code.tolist(), n.tolist(), strict=True):
+            x, y = c >> brown_lm.SHIFT + 1, c & ((1 << brown_lm.SHIFT) - 1)
+            got[(x, y, 0) if not c >> brown_lm.SHIFT & 1 else (y, x, 1)] += k
+    want = collections.Counter()
+    for t in texts:
+        h, tails, _ = brown_lm.read(brown_lm.pa.array([t]))
+        u = [vocab.size - 1, *vocab.find(h, tails)[0].tolist()]
+        want.update((x, y, k) for x, y in zip(u, u[1:], strict=False) for k in (0, 1))
+    assert got == want
+    monkeypatch.setattr(brown_lm, "ROUNDS", 0)
+    _, first = brown_lm.clustered(pairs, vocab, np.zeros(vocab.own, np.int64))
+    monkeypatch.setattr(brown_lm, "ROUNDS", 6)
+    of, table = brown_lm.clustered(pairs, vocab, np.zeros(vocab.own, np.int64))
+    assert brown_lm.likelihood(table) > brown_lm.likelihood(first)
+    assert np.array_equal(table, brown_lm.class_table(pairs, of)) and table.sum() == sum(map(len, map(str.split, texts))) + len(texts)
+
+
+def test_blocks_are_added_up_and_cut_between_words(monkeypatch):
+    monkeypatch.setattr(brown_lm, "ROW_PAIRS", 100)
+    rng = np.random.default_rng(2)
+    rows_, want = [], collections.Counter()
+    for block in (0, 0, 0, 0, 0, 0, 3, 3, 7):
+        code = np.unique((rng.integers(0, 40, 150) * 8 + block) << brown_lm.SHIFT + 1 | rng.integers(0, 60, 150))
+        n = rng.integers(1, 5, len(code))
+        want.update(dict(zip(code.tolist(), n.tolist(), strict=True)))
+        rows_.append((block, *brown_lm._coded(code, n)))
+    batches = [brown_lm.pa.RecordBatch.from_arrays([brown_lm.pa.array(c) for c in zip(*part, strict=True)], ["block", "pairs", "size"]) for part in (rows_[:2], rows_[2:7], rows_[7:])]
+    got, owner = collections.Counter(), {}
+    out = [r for b in brown_lm._merged(iter(batches)) for r in b.to_pylist()]
+    for k, r in enumerate(out):
+        code, n = brown_lm._decoded(r["pairs"], r["size"])
+        assert r["size"] < 300 and all(owner.setdefault(c >> brown_lm.SHIFT + 1, k) == k for c in code.tolist())
+        got.update(dict(zip(code.tolist(), n.tolist(), strict=True)))
+    assert got == want and len(out) > 5
 
 
 def test_exchange_finds_the_two_kinds_of_words():
