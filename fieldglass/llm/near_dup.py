@@ -13,8 +13,9 @@ signature of FINE values. Every pair in the window whose components differ and w
 So neither copies nor a text's many loose variants become all pairs.
 
 Round 3 joins the nodes of dense runs by shingles. In one order of all shingles (about from rare to frequent), two sets of similarity 0.75
-share one among the first 1/7 of the smaller and the first 1/4 of the larger, whatever the order is. Shingles that a single component has are
-left out, and those of many nodes are dealt out as pairs of blocks. So no window bounds which links between components are found.
+share one among the first 1/7 of the smaller and the first 1/4 of the larger, whatever the order is, and the places of the first they share bound their overlap.
+Shingles that a single component has are left out; nodes of a shingle's largest component meet those of others only, and the nodes of a
+frequent shingle are dealt out in blocks. So no window bounds which links between components are found.
 
 At similarity 0.75 a tree brings two nodes of a sparse region together with probability 0.56; that all 16 miss has odds of 2e-6.
 """
@@ -169,7 +170,8 @@ def _frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _firsts(weight: np.ndarray):
-    """The first shingles of each set by weight, enough to meet a larger set; `small` are those enough to meet one at least as large."""
+    """The first shingles of each set by weight that a set similar enough can share first. At place p (from 0) of a set of n the two share n - p at most,
+    so `most` is the largest size of such another set; it is no less than 3/4 of n."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
@@ -178,35 +180,35 @@ def _firsts(weight: np.ndarray):
             for i, s in enumerate(shingle_sets(batch.column("text"), WIDTH)):
                 n = len(s)
                 first = s[np.lexsort((s, weight[_slots(s)]))[: n - -(-LINK * n // 100) + 1]]
-                small = np.arange(len(first)) < n - -(-2 * LINK * n // (100 + LINK)) + 1
-                out.append((first.view(np.int64), np.full(len(first), n), small))
+                most = (100 + LINK) * (n - np.arange(len(first))) // LINK - n
+                out.append((first.view(np.int64), np.full(len(first), n), most))
                 at += [i] * len(first)
             columns = [pa.array(np.concatenate(c)) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(pa.array(at, pa.int64())) for c in ("node", "label"))], ["shingle", "n", "small", "node", "label"])
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c).take(pa.array(at, pa.int64())) for c in ("node", "label"))], ["shingle", "n", "most", "node", "label"])
 
     return run
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shingle and pair of blocks (low, high): pairs with different labels, possible sizes and agreeing signatures."""
+    """Rows sorted by shingle and cell (home, guest): pairs of a row at home and a guest with different labels, possible sizes and agreeing signatures."""
 
     def pairs(rows: dict[str, np.ndarray]) -> set[tuple[bytes, bytes]]:
-        n, small, node, label, marks = (rows[c] for c in ("n", "small", "node", "label", "marks"))
-        inside = rows["low"][0] == rows["high"][0]
-        left = np.arange(len(n)) if inside else np.flatnonzero(rows["block"] == rows["low"])
-        right = left if inside else np.flatnonzero(rows["block"] == rows["high"])
-        found = set()
-        for i in left:
-            j = right[right > i] if inside else right
-            j = j[((n[i] <= n[j]) & small[i]) | ((n[j] <= n[i]) & small[j])]
-            j = j[100 * np.minimum(n[i], n[j]) >= LINK * np.maximum(n[i], n[j])]
-            j = j[(label[j] != label[i]).any(axis=1)]
-            for k in j[(marks[j] == marks[i]).sum(axis=1) >= AGREE]:
-                x, y = node[i].tobytes(), node[k].tobytes()
-                found.add((min(x, y), max(x, y)))
+        guest = rows["guest"]
+        x, y = ({c: v[side] for c, v in rows.items()} for side in (np.flatnonzero(~guest), np.flatnonzero(guest)))
+        found: set[tuple[bytes, bytes]] = set()
+        labels = np.unique(rows["label"].view("V16").ravel(), return_inverse=True)[1].reshape(-1)
+        lx, ly = labels[~guest], labels[guest]
+        nx, ny = x["n"][:, None], y["n"][None]
+        ok = (lx[:, None] != ly[None]) & (ny <= x["most"][:, None]) & (nx <= y["most"][None]) & (100 * np.minimum(nx, ny) >= LINK * np.maximum(nx, ny))
+        left, right = np.nonzero(ok)
+        for part in np.array_split(np.arange(len(left)), max(1, len(left) // 20_000)):
+            i, j = left[part], right[part]
+            hit = (x["marks"][i] == y["marks"][j]).sum(axis=1) >= AGREE
+            ends = (x["node"][i[hit]].copy().view("V16").ravel(), y["node"][j[hit]].copy().view("V16").ravel())
+            found |= {(min(p, q), max(p, q)) for p, q in zip(*(([v.tobytes() for v in e]) for e in ends), strict=True)}
         return found
 
-    widths, plain = {"node": 16, "label": 16, "marks": VALUES}, ("shingle", "low", "high", "block", "n", "small")
+    widths, plain = {"node": 16, "label": 16, "marks": VALUES}, ("shingle", "home", "room", "guest", "n", "most")
     old: dict[str, np.ndarray] = {}
 
     def sent(found: set) -> pa.RecordBatch:
@@ -218,31 +220,41 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, w) for c, w in widths.items()}
         rows |= {c: batch.column(c).to_numpy(zero_copy_only=False) for c in plain}
         rows = {c: np.concatenate([old[c], x]) if old else x for c, x in rows.items()}
-        same = np.logical_and.reduce([rows[c][1:] == rows[c][:-1] for c in ("shingle", "low", "high")])
+        same = np.logical_and.reduce([rows[c][1:] == rows[c][:-1] for c in ("shingle", "home", "room")])
         cuts = [0, *(np.flatnonzero(~same) + 1).tolist()]
         found = set()
         for a, b in zip(cuts, cuts[1:], strict=False):
             if b - a > 1:
                 found |= pairs({c: x[a:b] for c, x in rows.items()})
         yield sent(found)
-        old = {c: x[cuts[-1] :] for c, x in rows.items()}  # 2 * BLOCK rows of one group, about
+        old = {c: x[cuts[-1] :] for c, x in rows.items()}  # 2 * BLOCK rows of one cell, about
     if old:
         yield sent(pairs(old))
 
 
 def _by_shingles(labels: DataFrame, texts: DataFrame) -> DataFrame:
-    """Pairs (a, b) of nodes with different labels that may be similar enough, found by shingles. labels: node, label, marks; texts: node, text."""
+    """Pairs (a, b) of nodes with different labels that may be similar enough, found by shingles. labels: node, label, marks; texts: node, text.
+
+    Of the nodes of a shingle, those with its most frequent label needn't meet each other: the others are guests of every block of nodes.
+    """
     both = texts.join(labels.select("node", "label"), "node")
     counts = both.select("text").mapInArrow(_frequent, "slot long, sets long").groupBy("slot").agg(F.sum("sets").alias("sets")).toArrow()  # SLOTS rows at most
     weight = np.zeros(SLOTS, np.int32)
     weight[counts.column("slot").to_numpy()] = np.minimum(counts.column("sets").to_numpy(), 2**31 - 1)
-    firsts = staged(both.mapInArrow(_firsts(weight), "shingle long, n long, small boolean, node binary, label binary"), "firsts")
-    live = firsts.groupBy("shingle").agg(F.min("label").alias("one"), F.max("label").alias("other"), F.max("small").alias("any"), F.count("*").alias("nodes"))
-    live = live.where("one < other and any").select("shingle", F.expr(f"int(ceil(nodes / {BLOCK}))").alias("blocks"))
-    rows = firsts.join(live, "shingle").join(labels.select("node", "marks"), "node")
-    rows = rows.withColumn("block", F.expr("int(pmod(xxhash64(node), blocks))")).withColumn("with", F.explode(F.expr("sequence(0, blocks - 1)")))
-    rows = rows.select("shingle", F.least("block", "with").alias("low"), F.greatest("block", "with").alias("high"), "block", "n", "small", "node", "label", "marks")
-    return rows.repartition("shingle", "low", "high").sortWithinPartitions("shingle", "low", "high").mapInArrow(_meet, "a binary, b binary").distinct()
+    firsts = staged(both.mapInArrow(_firsts(weight), "shingle long, n long, most long, node binary, label binary"), "firsts")
+    # the smaller of two sets has most >= n, so a row needs such a one no larger than its most
+    smallest = firsts.where("most >= n").groupBy("shingle").agg(F.min("n").alias("least"))
+    fit = firsts.join(smallest, "shingle").where("most >= least").drop("least")
+    by_label = fit.groupBy("shingle", "label").agg(F.count("*").alias("n"))
+    live = by_label.groupBy("shingle").agg(F.sum("n").alias("nodes"), F.max("n").alias("top"), F.expr("max_by(label, struct(n, label))").alias("major"))
+    live = live.where("nodes > top").select("shingle", "major", F.expr(f"int(ceil(nodes / {BLOCK}))").alias("homes"), F.expr(f"int(ceil((nodes - top) / {BLOCK}))").alias("rooms"))
+    rows = fit.join(live, "shingle").join(labels.select("node", "marks"), "node")
+    at = lambda blocks: F.expr(f"int(pmod(xxhash64(node), {blocks}))")
+    rows = rows.withColumn("own_home", at("homes")).withColumn("own_room", at("rooms"))
+    cells = F.expr("""concat(transform(sequence(0, rooms - 1), r -> struct(own_home as home, r as room, false as guest)),
+        if(label = major, cast(array() as array<struct<home:int,room:int,guest:boolean>>), transform(sequence(0, homes - 1), h -> struct(h as home, own_room as room, true as guest))))""")
+    rows = rows.withColumn("cell", F.explode(cells)).select("shingle", "cell.*", "n", "most", "node", "label", "marks")
+    return rows.repartition("shingle", "home", "room").sortWithinPartitions("shingle", "home", "room").mapInArrow(_meet, "a binary, b binary").distinct()
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

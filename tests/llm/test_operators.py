@@ -314,14 +314,67 @@ def test_links_in_a_large_family(spark):
     assert got == collections.Counter((i, 100, i - i % 2, i % 2 == 0) for i in range(8000))
 
 
-def test_shingles_find_links_that_no_window_meets(spark):
+@pytest.mark.parametrize("major", [0, 2000])
+def test_shingles_find_links_that_no_window_meets(spark, major):
+    # 3,000 texts with a mate each; `major` of them have one label, so only pairs with another are left
     base = [f"b{k}" for k in range(79)]
     tails = [[f"t{i % 1500}x{k}" for k in range(12)] + [f"u{i}x{k}" for k in range(13)] for i in range(3000)]
     text = [" ".join(base + t) for t in tails]
     node = [hashlib.md5(t.encode()).digest() for t in text]
-    made = spark.createDataFrame(list(zip(node, node, [b"m" * near_dup.VALUES] * 3000, text, strict=True)), "node binary, label binary, marks binary, text string").repartition(8)
+    label = [node[0] if i < major else node[i] for i in range(3000)]
+    made = spark.createDataFrame(list(zip(node, label, [b"m" * near_dup.VALUES] * 3000, text, strict=True)), "node binary, label binary, marks binary, text string").repartition(8)
     got = {(bytes(r["a"]), bytes(r["b"])) for r in near_dup._by_shingles(made.drop("text"), made.select("node", "text")).collect()}
-    assert got == {(min(p), max(p)) for p in zip(node[:1500], node[1500:], strict=True)}
+    want = {(min(node[i], node[i + 1500]), max(node[i], node[i + 1500])) for i in range(1500) if label[i] != label[i + 1500]}
+    # at most the pairs that share a place where both could still be similar enough
+    assert want <= got and len(got) < 3 * 1500
+
+
+def test_shingle_join_equals_all_pairs(spark, monkeypatch):
+    rng = random.Random(21)
+    text, label = [], []
+    for _ in range(12):
+        base = [f"w{rng.randrange(500)}" for _ in range(rng.choice([4, 30, 60]))]
+        for _ in range(25):
+            w = list(base[: rng.randint(max(3, len(base) - 12), len(base))])
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = f"v{rng.randrange(50)}"
+            text.append(" ".join(w))
+    text = sorted(set(text))
+    sets = near_dup.shingle_sets(near_dup.pa.array(text))
+    node = [hashlib.md5(s.tobytes()).digest() for s in sets]
+    label = [node[i % 40] if i % 3 else node[i] for i in range(len(text))]
+    made = spark.createDataFrame(list(zip(node, label, [b"m" * near_dup.VALUES] * len(text), text, strict=True)), "node binary, label binary, marks binary, text string")
+    monkeypatch.setattr(near_dup, "BLOCK", 7)
+    got = {(bytes(r["a"]), bytes(r["b"])) for r in near_dup._by_shingles(made.drop("text"), made.select("node", "text")).collect()}
+    want = set()
+    for i in range(len(text)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if label[i] != label[j] and 100 * both >= 75 * (len(sets[i]) + len(sets[j]) - both):
+                want.add((min(node[i], node[j]), max(node[i], node[j])))
+    assert len(want) > 100 and want <= got
+
+
+@pytest.mark.parametrize("parts", [1, 8, 64])
+def test_a_dense_family_under_any_partitioning(spark, parts):
+    rng = random.Random(31)
+    base = prose(rng, 70).split()
+    table = []
+    for i in range(2200):
+        w = list(base)
+        for _ in range(rng.randint(3, 9)):
+            w[rng.randrange(len(w))] = f"x{rng.randrange(40)}"
+        table.append((i, " ".join(w)))
+    want = test_a_dense_family_under_any_partitioning.__dict__.setdefault("want", {})
+    if not want:
+        want.update(brute_components(table))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = collections.Counter(tuple(r)[:4] for r in near_dup.near_duplicates(spark.createDataFrame(table, "doc_id long, text string").repartition(parts)).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == collections.Counter(want)
 
 
 # 6
