@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import math
+import os
 import random
 import struct
 import zlib
@@ -551,6 +552,78 @@ def test_differencing_deletes_what_neighbours_share(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found.values())
 
 
+def brute_lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("cells", [1, 30, 1 << 28])
+def test_shared_lines_are_a_longest_common_subsequence(monkeypatch, cells):
+    monkeypatch.setattr(html_text, "CELLS", cells)  # so that long ones are halved
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ([rng.choice("abcdefg"[: rng.randint(1, 7)]) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        places = sorted(html_text.shared(a, b))
+        rest = iter(b)
+        assert len(places) == brute_lcs(a, b) and all(a[i] in rest for i in places)
+
+
+def test_shared_lines_of_long_pages():
+    rng = random.Random(7)
+    assert len(html_text.shared(["Reply"] * 2500, ["Reply"] * 2500)) == 2500
+    a = [f"line {i}" for i in range(20_000)]
+    assert html_text.shared(a, a[::2]) == set(range(0, 20_000, 2))
+    a = [rng.choice(["Reply", "Share", "Like"]) for _ in range(30_000)]
+    assert len(html_text.shared(["x", *a], [*a[1:], "y"])) == 29_999
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_differencing_equals_brute_force(spark, parts):
+    rng = random.Random(12)
+    table = []
+    for i in range(60):
+        host = rng.choice(["a.org", "b.org", "c.org"]) if i != 59 else "lonely.org"
+        top, bottom = ([f"{host} {w} {k}" for k in range(rng.choice([2, 3]))] for w in ("menu", "end"))
+        body = [f"story {i} {k}" for k in range(rng.choice([0, 2, 4]))] if i != 17 else [f"long {k}" for k in range(3000)]
+        parts_ = top + body + (["Share"] * rng.randint(0, 3)) + bottom
+        table.append((i, f"https://{host}/{rng.choice(['x', 'x/y', 'z'])}/{rng.randrange(20)}", "".join(f"<p>{x}</p>" for x in parts_)))
+    table += [(100 + k, table[k][1], table[k][2]) for k in (3, 4, 5)] + [(3, table[3][1], table[3][2]), (None, table[6][1], table[6][2]), (110, "https://same.org/1", "<p>q</p>"), (111, "https://same.org/2", "<p>q</p>")]
+    plain = [(i, u.split("/")[2], "/" + u.split("/", 3)[3], [t for t, _ in html_text.lines(h)]) for i, u, h in table]
+    first = {}
+    for k, (i, host, path, own) in sorted(enumerate(plain), key=lambda r: (r[1][2], r[1][0] is not None, r[1][0] or 0, r[0])):
+        first.setdefault((host, tuple(own)), (host, path, own))
+    order = sorted(first.values(), key=lambda r: (r[0], r[1]))
+    want = collections.Counter()
+    for (i, host, path, own), (_, url, _) in zip(plain, table, strict=True):
+        at = order.index(first[host, tuple(own)])
+        near = [order[k] for k in (at - 1, at + 1) if 0 <= k < len(order) and order[k][0] == host]
+        text = own
+        if near:
+            path = order[at][1]
+            same = lambda n, path=path: sum(len(s) + 1 for s in os.path.commonprefix([n[1].split("/"), path.split("/")]))
+            other = max(near, key=same)[2]
+            drop = html_text.shared(own, other)
+            assert len(drop) == brute_lcs(own, other)
+            text = [t for k, t in enumerate(own) if k not in drop]
+        want[i, url, "\n".join(text)] += 1
+    pages = spark.createDataFrame([(*r, b"t") for r in table], "page_id long, url string, html string, digest binary").repartition(parts)
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        got = collections.Counter((r["page_id"], r["url"], r["text"]) for r in html_text.main_texts(pages).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert got == want
+    assert got[110, "https://same.org/1", "q"] == got[111, "https://same.org/2", "q"] == 1
+
+
+def test_names_of_missing_things_mark_nothing():
+    assert [t for t, _ in html_text.lines('<article><p class="ad-free">kept</p><p class="ad-box">gone</p><p class="lead ad-free">kept too</p></article>')] == ["kept", "kept too"]
+
+
 # 10
 
 
