@@ -1,9 +1,10 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Words (runs of letters, A-Z lower-cased), and beginnings of STEMS bytes of longer words, get the log-odds of toxic over clean training documents
-under a Dirichlet prior that follows their share in both. Those whose documents are toxic more often than chance allows (log-likelihood ratio beyond the log of the number of words
-tried, plus MARGIN), and still are so if each pair of neighbours counts once (so copies of a text don't), score their log-odds; every other token scores the (negative) log ratio of the chance of such a token. A linear scan finds all maximal-scoring segments of a text. The chance that a clean text of as many
-tokens has a segment as good follows the extreme-value law 1 - exp(-K n exp(-L s)); a logistic of its logarithm, fitted on training rows, is the score.
+Words (runs of letters, A-Z lower-cased), and beginnings of STEMS letters of longer words, get the log-odds of toxic over clean training documents
+under a Dirichlet prior that follows their share in both. Words whose documents are toxic more or less often than chance allows (log-likelihood ratio beyond the log of the number of words
+tried, plus MARGIN) score their own; toxic ones only if they still stand out when each pair of neighbours counts once (so copies of a text don't).
+The words that tell nothing share one score, the log-odds of all of them together. A linear scan finds all maximal-scoring segments of a text. The chance that a clean text of as many
+tokens has a segment as good follows the extreme-value law 1 - exp(-K n exp(-L s)), K and L fitted on clean training texts by maximum likelihood; a logistic of its logarithm, fitted on training rows, is the score.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import bucket_of, flat, mixed, pieces, staged, word_hashes, words
 from fieldglass.llm.quality import one_label
 
-#: Weight of the prior in tokens, significance, size of the word list at most, least documents of a listed word, decision.
-PRIOR, MARGIN, LIST, LEAST_DOCS, CUT = 1000.0, 2.0, 20_000, 3, 0.5
+#: Weight of the prior in tokens, significance, least documents of a listed word, decision.
+PRIOR, MARGIN, LEAST_DOCS, CUT = 1000.0, 2.0, 3, 0.5
 STEMS = (4, 5)
 #: Letters stay, all else separates.
 _LETTER = np.full(256, 0x20, np.uint8)
@@ -37,41 +38,48 @@ def tokens(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
 
 
 def forms(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes of each token (a row for whole words, one for each of STEMS; 0 where a word is no longer than that), row, start and length."""
+    """Hashes of each token (a row for whole words, one for each of STEMS; 0 where a word has no more letters), row, start and length."""
     data, offsets = flat(column)
     data = _LETTER[data]
     starts, lengths, rows = words(data, offsets)
     out = np.zeros((1 + len(STEMS), len(starts)), np.uint64)
     if len(starts):
         out[0] = word_hashes(data, starts, lengths)
+        letters = np.flatnonzero(data & 0xC0 != 0x80)  # the first byte of each
+        first, after = np.searchsorted(letters, starts), np.searchsorted(letters, starts + lengths)
         for k, n in enumerate(STEMS, 1):
-            longer = lengths > n
-            out[k, longer] = mixed(word_hashes(data, starts[longer], np.full(int(longer.sum()), n)) + np.uint64(n))
+            longer = np.flatnonzero(after - first > n)
+            out[k, longer] = mixed(word_hashes(data, starts[longer], letters[first[longer] + n] - starts[longer]) + np.uint64(n))
     return out, rows, starts - offsets[rows], lengths
 
 
-def segments(places: np.ndarray, scores: np.ndarray, loss: float) -> list[tuple[float, int, int]]:
-    """All maximal-scoring segments (score, first token, last token) of a text whose tokens score -loss but for those at `places`.
+def segments(score: np.ndarray) -> list[tuple[float, int, int]]:
+    """All maximal-scoring segments (score, first token, last token) of a text with these scores of its tokens, in linear time.
 
-    Each segment keeps the sum before it and up to its end; a new one merges leftwards into the nearest that begins lower, as long as it
-    ends higher than that one.
+    Candidates keep the sum before and up to their end, and which earlier candidate is the nearest to begin lower. A new one merges leftwards into
+    that, as long as it ends higher.
     """
-    kept: list[list] = []  # [sum before, sum after, first, last]
-    gained = 0.0
-    for place, s in zip(places.tolist(), scores.tolist(), strict=True):
-        before = gained - loss * place  # all earlier tokens: `place` of them lost, but for those that gained
-        gained += s + loss
-        new = [before, gained - loss * (place + 1), place, place]
+    sums = np.concatenate([[0.0], np.cumsum(score)])
+    gains = np.flatnonzero(score > 0)
+    low: list[float] = []
+    high: list[float] = []
+    first: list[int] = []
+    last: list[int] = []
+    lower: list[int] = []
+    for place, before, after in zip(gains.tolist(), sums[gains].tolist(), sums[gains + 1].tolist(), strict=True):
+        begin, j = place, len(low) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][0] >= new[0]:
-                j -= 1
-            if j < 0 or kept[j][1] >= new[1]:
-                kept.append(new)
+            while j >= 0 and low[j] >= before:
+                j = lower[j]
+            if j < 0 or high[j] >= after:
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
-            del kept[j:]
-    return [(b - a, first, last) for a, b, first, last in kept]
+            before, begin, k = low[j], first[j], lower[j]
+            for kept in (low, high, first, last, lower):
+                del kept[j:]
+            j = k
+        for kept, x in zip((low, high, first, last, lower), (before, after, begin, place, j), strict=True):
+            kept.append(x)
+    return [(b - a, i, j) for a, b, i, j in zip(low, high, first, last, strict=True)]
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,39 +119,43 @@ def _contexts(word: np.ndarray):
 
 @dataclass
 class Words:
-    """Sorted hashes of the listed words, their log-odds, the loss of any other token; K of the extreme-value law; the logistic's slope and base."""
+    """Sorted hashes of the telling words and their log-odds, the loss of any other token; K and L of the extreme-value law; the logistic's slope and base."""
 
     word: np.ndarray
     value: np.ndarray
     loss: float
     k: float = 0.0
+    decay: float = 1.0
     slope: float = 0.0
     base: float = 0.0
 
     def rarity(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
         """-log of the chance of such a segment in a clean text; 0 without a segment."""
-        chance = np.minimum(self.k * n * np.exp(-best), 30.0)
-        return np.where(best > 0, -np.log(np.maximum(-np.expm1(-chance), 1e-30)), 0.0)
+        chance = np.clip(self.k * n * np.exp(-self.decay * best), 1e-30, 30.0)
+        return np.where(best > 0, -np.log(-np.expm1(-chance)), 0.0)
 
     def score(self, best: np.ndarray, n: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-(self.slope * self.rarity(best, n) + self.base)))
 
+    def values(self, h: np.ndarray) -> np.ndarray:
+        """Score of each token: of its listed forms the most toxic one's, else the loss. h: hashes of its forms."""
+        value = np.full(h.shape[1], -np.inf)
+        if len(self.word):
+            for kind in h:
+                at = np.minimum(np.searchsorted(self.word, kind), len(self.word) - 1)
+                value = np.maximum(value, np.where(self.word[at] == kind, self.value[at], -np.inf))
+        return np.where(np.isinf(value), -self.loss, value)
+
     def passages(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[list[dict]]]:
-        """Of each text: tokens, listed ones, best segment's score, all segments."""
+        """Of each text: tokens, toxic ones, best segment's score, all segments."""
         size = len(column)
         h, rows, starts, lengths = forms(column)
         n = np.bincount(rows, minlength=size).astype(np.int64)
         begin = np.cumsum(n) - n
-        value = np.zeros(len(rows))
-        if len(self.word):
-            for kind in h:
-                at = np.minimum(np.searchsorted(self.word, kind), len(self.word) - 1)
-                value = np.maximum(value, np.where(self.word[at] == kind, self.value[at], 0.0))
-        hits = np.flatnonzero(value)
-        best, count, spans = np.zeros(size), np.bincount(rows[hits], minlength=size).astype(np.int64), [[] for _ in range(size)]
-        for own in np.split(hits, np.flatnonzero(np.diff(rows[hits])) + 1) if len(hits) else ():
-            i = rows[own[0]]
-            found = segments(own - begin[i], value[own], self.loss)
+        value = self.values(h)
+        best, count, spans = np.zeros(size), np.bincount(rows, value > 0, size).astype(np.int64), [[] for _ in range(size)]
+        for i in np.flatnonzero(count):
+            found = segments(value[begin[i] : begin[i] + n[i]])
             best[i] = max(f[0] for f in found)
             spans[i] = [{"score": s, "first_byte": int(starts[begin[i] + a]), "end_byte": int(starts[begin[i] + b] + lengths[begin[i] + b])} for s, a, b in found]
         return n, count, best, spans
@@ -155,7 +167,7 @@ def _measure(words_: Words):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, "text"):
             n, count, best, spans = words_.passages(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(n), pa.array(count), pa.array(best), pa.array(spans, kind)], ["doc_id", "held_out", "n_tokens", "n_hits", "best", "passages"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(best), pa.array(n), pa.array(count), pa.array(spans, kind)], ["doc_id", "held_out", "best", "n_tokens", "n_hits", "passages"])
 
     return run
 
@@ -175,7 +187,22 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return max(float(beta[0]), 0.0), float(beta[1])
 
 
+def extreme_value(best: np.ndarray, n: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """K and L of largest likelihood, w rows of each (best segment, tokens): P(best <= s) = exp(-K n exp(-L s)), and best is 0 if there is no segment.
+
+    For each L the best K is (texts with a segment) / sum of n exp(-L best); half a text more with one keeps K positive.
+    """
+    some = best > 0
+    hits = float(w[some].sum()) + 0.5
+    whole = lambda decay: float((w * n * np.exp(-decay * best)).sum()) + 1e-9
+    rates = np.geomspace(0.05, 5, 400) if some.any() else np.ones(1)
+    fit = [hits * np.log(rate * hits / whole(rate)) - rate * float((w * best).sum()) for rate in rates]
+    rate = float(rates[int(np.argmax(fit))])
+    return hits / whole(rate), rate
+
+
 def word_list(docs: DataFrame, y: DataFrame) -> Words:
+    """The telling words of the labelled texts; they are as many as these texts have, and go to all tasks."""
     names = ("toxic", "clean", "toxic_docs", "clean_docs")
     known = docs.select("doc_id", "text").join(y, "doc_id").select("text", "y")
     counts = known.mapInArrow(_count, "word long, " + ", ".join(f"{c} long" for c in names))
@@ -193,27 +220,30 @@ def word_list(docs: DataFrame, y: DataFrame) -> Words:
 
     def telling(a: Column, b: Column) -> Column:
         term = lambda x, p: F.when(x > 0, x * F.log(x / ((a + b) * p))).otherwise(0.0)
-        return (a > (a + b) * share) & (term(a, share) + term(b, 1 - share) >= least)
-
-    some = counts.where(tried).withColumn("odds", odds).where((F.col("odds") > 0) & telling(F.col("toxic_docs"), F.col("clean_docs")))
-    top = some.orderBy(F.desc("toxic_docs"), "word").limit(LIST).collect()
-    listed = np.array([r["word"] for r in top], np.int64).view(np.uint64)
-    around = known.mapInArrow(_contexts(listed), "word long, around long, y int").distinct().groupBy("word")
-    apart = around.agg(F.count(F.when(F.col("y") == 1, 1)).alias("a"), F.count(F.when(F.col("y") == 0, 1)).alias("b"))
-    kept = {r["word"] for r in apart.where(telling(F.col("a"), F.col("b"))).collect()}  # LIST rows at most
-    top = sorted((r for r in top if r["word"] in kept), key=lambda r: r["word"] % 2**64)
-    in_toxic, in_clean = (sum(r[k] for r in top) for k in ("toxic", "clean"))
-    loss = float(np.log((1 - in_clean / nc) / max(1e-9, 1 - in_toxic / nt)))
-    return Words(np.array([r["word"] for r in top], np.int64).view(np.uint64), np.array([r["odds"] for r in top], float), max(loss, 1e-3))
+        return term(a, share) + term(b, 1 - share) >= least
+
+    more = lambda a, b: a > (a + b) * share
+    apart = more(F.col("toxic_docs"), F.col("clean_docs")) == (F.col("odds") > 0)
+    listed = staged(counts.where(tried).withColumn("odds", odds).where(apart & telling(F.col("toxic_docs"), F.col("clean_docs"))), "listed")
+    toxic = listed.where("odds > 0")
+    hashes = toxic.select("word").toArrow().column("word").to_numpy().view(np.uint64)
+    around = known.mapInArrow(_contexts(hashes), "word long, around long, y int").distinct().groupBy("word")
+    around = around.agg(F.count(F.when(F.col("y") == 1, 1)).alias("a"), F.count(F.when(F.col("y") == 0, 1)).alias("b"))
+    stands = around.where(more(F.col("a"), F.col("b")) & telling(F.col("a"), F.col("b"))).select("word")
+    kept = toxic.join(stands, "word").select("word", "toxic", "clean", "odds").unionAll(listed.where("odds <= 0").select("word", "toxic", "clean", "odds")).toArrow()
+    word, value, in_toxic, in_clean = (kept.column(c).to_numpy() for c in ("word", "odds", "toxic", "clean"))
+    order = np.argsort(word.view(np.uint64))
+    loss = float(np.log(max(1e-9, 1 - in_clean.sum() / nc) / max(1e-9, 1 - in_toxic.sum() / nt)))
+    return Words(word.view(np.uint64)[order], value[order], max(loss, 1e-3))
 
 
 def calibrated(found: Words, known: DataFrame) -> Words:
-    """With K and the logistic fitted on known: y, best, n_tokens of training rows."""
-    # of scores that are log-odds, L is 1; K from the share of clean training texts that have any listed word
-    some, n = known.where("y = 0").agg(F.avg(F.when(F.col("best") > 0, 1.0).otherwise(0.0)), F.avg("n_tokens")).first()
-    found.k = float(-np.log(1 - min(0.999, max(some or 0.0, 1e-4))) / max(n or 1.0, 1.0))
-    chance = F.least(F.lit(found.k) * F.col("n_tokens") * F.exp(-F.col("best")), F.lit(30.0))
-    rare = F.when(F.col("best") > 0, -F.log(F.greatest(-F.expm1(-chance), F.lit(1e-30)))).otherwise(F.lit(0.0))
+    """With K, L and the logistic fitted on known: y, best, n_tokens of training rows."""
+    long_ = F.round(F.log(F.greatest(F.col("n_tokens"), F.lit(1))), 1)
+    grid = known.where("y = 0").groupBy(F.round(F.least("best", F.lit(200.0)), 1).alias("best"), long_.alias("n")).agg(F.count("*").alias("w")).collect()  # 2001 * 300 rows at most
+    found.k, found.decay = extreme_value(*(np.array([f(r) for r in grid], float) for f in (lambda r: r["best"], lambda r: np.exp(r["n"]), lambda r: r["w"])))
+    chance = F.least(F.greatest(F.lit(found.k) * F.col("n_tokens") * F.exp(-F.lit(found.decay) * F.col("best")), F.lit(1e-30)), F.lit(30.0))
+    rare = F.when(F.col("best") > 0, -F.log(-F.expm1(-chance))).otherwise(F.lit(0.0))
     grid = known.groupBy("y", F.round(rare, 1).alias("x")).agg(F.count("*").alias("w")).orderBy("y", "x").collect()  # 2 * 700 rows at most
     if len({r["y"] for r in grid}) == 2:
         found.slope, found.base = _logistic(*(np.array([r[c] for r in grid], float) for c in ("x", "y", "w")))
@@ -222,7 +252,8 @@ def calibrated(found: Words, known: DataFrame) -> Words:
     return found
 
 
-KIND = "doc_id long, held_out boolean, n_tokens long, n_hits long, best double, passages array<struct<score double, first_byte long, end_byte long>>"
+SPANS = "n_tokens long, n_hits long, passages array<struct<score double, first_byte long, end_byte long>>"
+KIND = f"doc_id long, held_out boolean, best double, {SPANS}"
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -244,7 +275,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col
             own = {"doc_id": batch.column("doc_id"), "held_out": batch.column("held_out"), "score": pa.array(s), "predicted": pa.array((s >= cut).astype(np.int32))}
             yield pa.RecordBatch.from_pydict(own | {c: batch.column(c) for c in ("n_tokens", "n_hits", "passages")})
 
-    return found.mapInArrow(score, KIND.replace("best double", "best_double").replace("held_out boolean, ", "held_out boolean, score double, predicted int, ").replace(" best_double,", ""))
+    return found.mapInArrow(score, f"doc_id long, held_out boolean, score double, predicted int, {SPANS}")
 
 
 def clean_only(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:

@@ -6,6 +6,7 @@ import math
 import os
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -155,20 +156,74 @@ def test_toxicity_on_held_out_rows(judged, docs, empty):
 
 def test_segments_are_the_maximal_ones():
     rng = random.Random(3)
-    for _ in range(300):
-        n, loss = rng.randint(1, 20), rng.choice([0.1, 0.5, 1.0])
-        places = sorted(rng.sample(range(n), rng.randint(1, n)))
-        scores = [rng.uniform(0.1, 3) for _ in places]
-        x = [-loss] * n
-        for p, s in zip(places, scores, strict=True):
-            x[p] = s
+    for _ in range(500):
+        x = [rng.choice([rng.uniform(-2, 0), rng.uniform(0.1, 3)]) for _ in range(rng.randint(0, 20))]
 
         def split(lo, hi, x=x):
             best = max(((sum(x[i:j]), i, j) for i in range(lo, hi) for j in range(i + 1, hi + 1)), default=(0, 0, 0))
             return split(lo, best[1]) + [best] + split(best[2], hi) if best[0] > 1e-12 else []
 
-        want = [(round(s, 6), i, j - 1) for s, i, j in split(0, n)]
-        assert want == [(round(s, 6), i, j) for s, i, j in toxicity.segments(np.array(places), np.array(scores), loss)]
+        want = [(round(s, 6), i, j - 1) for s, i, j in split(0, len(x))]
+        assert want == [(round(s, 6), i, j) for s, i, j in toxicity.segments(np.array(x))]
+
+
+@pytest.mark.parametrize("loss", [0.01, 0.5, 3.0])
+def test_segments_take_linear_time(loss):
+    rng = np.random.default_rng(1)
+    took = []
+    for n in (20_000, 200_000):
+        x = np.where(rng.random(n) < 0.5, rng.uniform(0, 3, n), -loss)
+        x[: n // 2] -= np.linspace(0, 3, n // 2)  # falling sums: many candidates
+        began = time.perf_counter()
+        toxicity.segments(x)
+        took.append(time.perf_counter() - began)
+    assert took[0] < 0.2 and took[1] < 40 * took[0] + 0.2
+
+
+def test_extreme_value_law_is_found_again():
+    rng = np.random.default_rng(5)
+    k, decay, n = 0.02, 0.7, rng.integers(20, 400, 50_000).astype(float)
+    best = np.maximum(0, (np.log(k * n) - np.log(-np.log(rng.random(50_000)))) / decay)
+    found = toxicity.extreme_value(best, n, np.ones(50_000))
+    assert abs(found[0] / k - 1) < 0.1 and abs(found[1] / decay - 1) < 0.05
+    assert toxicity.extreme_value(np.zeros(4), np.ones(4), np.ones(4))[1] == 1
+
+
+def test_stems_end_between_letters():
+    h = toxicity.forms(toxicity.pa.array(["größer größen über überall abcd abcde"]))[0]
+    assert h[1, 0] == h[1, 1] != 0 and h[1, 2] == 0 and h[1, 3] != 0 and h[1, 4] == 0 and h[1, 5] != 0
+    stem = toxicity.forms(toxicity.pa.array(["größ größXY"]))[0]
+    assert stem[1, 0] == 0 and stem[1, 1] == h[1, 0]
+
+
+def test_word_odds_equal_brute_force(judged):
+    d, labels, out = judged
+    y = {r["doc_id"]: r["y"] for r in quality.one_label(labels, "toxic").collect()}
+    found = toxicity.word_list(d, quality.one_label(labels, "toxic"))
+    counts = collections.defaultdict(lambda: [0, 0, 0, 0])
+    for i, text, *_ in out:
+        if i in y:
+            h = toxicity.forms(toxicity.pa.array([text]))[0]
+            for x, k in zip(*np.unique(h[h != 0], return_counts=True), strict=True):
+                counts[int(x)][1 - y[i]] += int(k)
+                counts[int(x)][3 - y[i]] += 1
+    nt, nc, dt, dc = (sum(c[k] for c in counts.values()) for k in range(4))
+    share, tried = dt / (dt + dc), [c for c in counts.values() if c[2] + c[3] >= toxicity.LEAST_DOCS]
+    value = dict(zip(found.word.tolist(), found.value.tolist(), strict=True))
+    for x, (t, c, a, b) in counts.items():
+        prior = (t + c) * toxicity.PRIOR / (nt + nc)
+        odds = math.log((t + prior) / (nt + toxicity.PRIOR - t - prior)) - math.log((c + prior) / (nc + toxicity.PRIOR - c - prior))
+        ratio = sum(k * math.log(k / ((a + b) * p)) for k, p in ((a, share), (b, 1 - share)) if k)
+        telling = a + b >= toxicity.LEAST_DOCS and ratio >= math.log(len(tried)) + toxicity.MARGIN and (a > (a + b) * share) == (odds > 0)
+        assert telling or x not in value
+        if telling and odds <= 0:
+            assert x in value
+        if x in value:
+            assert abs(value[x] - odds) < 1e-9
+    toxic = toxicity.forms(toxicity.pa.array(["vile wretch rotten scoundrel"]))[0][0]
+    assert all(value.get(int(x), 0) > 1 for x in toxic)
+    with_words = [counts[x] for x in value]
+    assert abs(found.loss - max(1e-3, math.log((1 - sum(c[1] for c in with_words) / nc) / (1 - sum(c[0] for c in with_words) / nt)))) < 1e-9
 
 
 # 3
