@@ -698,6 +698,43 @@ def test_leaks_of_exact_and_edited_items(spark, docs, empty):
     assert decontaminate.without_leaks(docs, bench).columns == docs.columns
 
 
+def test_long_passages_count_whatever_the_items_length(spark):
+    rng = random.Random(18)
+    items = [(i, prose(rng, 300)) for i in range(3)]
+    table = [(0, prose(rng, 60) + " " + " ".join(items[0][1].split()[40:160]) + " " + prose(rng, 60)), (1, prose(rng, 30) + " " + " ".join(items[1][1].split()[-30:])), (2, prose(rng, 400))]
+    corpus, bench = spark.createDataFrame([(*r, "x", b"y") for r in table], "doc_id long, text string, item string, text_key binary"), spark.createDataFrame(items, "item_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(corpus, bench).collect()} == {(0, 0), (1, 1)}
+    kept = decontaminate.without_leaks(corpus, bench)
+    assert [r["doc_id"] for r in kept.collect()] == [2] and kept.columns == corpus.columns
+
+
+def test_edited_copies_are_found_as_by_alignment_of_all_pairs(spark):
+    rng = random.Random(28)
+    items = [(i, prose(rng, rng.choice([9, 16, 30, 60]))) for i in range(40)] + [(40, "same words here twice"), (41, "Same words here twice!"), (42, "one"), (43, None)]
+    table = []
+    for i in range(240):
+        w = items[i % 40][1].split()
+        every = rng.choice([3, 4, 5, 8, 100])
+        w = [x if k % every != every - 1 or rng.random() < 0.2 else rng.choice(["edited", "", "more words", "changed"]) for k, x in enumerate(w)]
+        table.append((i, prose(rng, rng.randint(0, 40)) + " " + " ".join(w) + " " + prose(rng, rng.randint(0, 40))))
+    table += [(300, "the same words here twice and"), (301, table[0][1]), (302, prose(rng, 3000))]
+    corpus, bench = spark.createDataFrame(table, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(corpus, bench).collect()}
+    want = set()
+    hashed = {i: decontaminate.tokens(decontaminate.pa.array([t or ""]))[0] for i, t in items}
+    for i, text in table:
+        h = decontaminate.tokens(decontaminate.pa.array([text]))[0]
+        for j, own in hashed.items():
+            if len(own):
+                score, first, last = decontaminate.aligned(own, h)
+                equal = np.isin(h[first : last + 1], own).sum()
+                if (score >= 2 * len(own) * decontaminate.SHARE and equal >= min(8, len(own))) or score >= 50:
+                    want.add((i, j))
+    assert len(want) > 150 and found <= want
+    assert len(found) >= 0.9 * len(want)
+    assert {(300, 40), (300, 41)} <= found and {j for i, j in found if i == 301} == {j for i, j in found if i == 0}
+
+
 def test_alignment_equals_the_table():
     rng = random.Random(2)
     for _ in range(200):
