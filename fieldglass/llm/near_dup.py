@@ -23,6 +23,7 @@ At similarity 0.75 a tree brings two nodes of a sparse region together with prob
 from __future__ import annotations
 
 import hashlib
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -350,15 +351,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The rows of docs, in all their columns, with one row of each group of near-duplicates and all rows that have no words.
 
-    The row that stays has the smallest id (if all ids of a group are null, the smallest text digest); of repeated rows one stays.
+    The row that stays has the smallest id (if all ids of a group are null, the smallest text digest); of repeated rows one stays. Rows with a null or
+    empty text, or one without words, all stay. No name of docs' columns clashes.
     """
-    keyed = docs.withColumn("_key", F.unhex(F.md5(F.col("text").cast("binary"))))
+    mark = uuid.uuid4().hex
+    key, group, one, many, its_id, its_key = (f"{c}_{mark}" for c in ("key", "group", "one", "rows", "id", "its_key"))  # clash with no column of docs
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.col("text").cast("binary"))))
     found = near_duplicates(docs)
-    group = F.coalesce(F.col("component_id").cast("string").cast("binary"), F.col("text_key"))
-    best = found.where("n_shingles > 0 and kept").groupBy(group.alias("_group")).agg(F.min(F.struct("doc_id", "text_key")).alias("_one"), F.count("*").alias("_rows"))
-    best = staged(best.select(F.col("_one.doc_id").alias("_id"), F.col("_one.text_key").alias("_its_key"), "_rows"), "kept")
-    stay = keyed.join(best, (F.col("_key") == F.col("_its_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id")))
-    if not best.where("_rows > 1").isEmpty():
-        stay = stay.where("_rows = 1").unionAll(stay.where("_rows > 1").dropDuplicates(["_id", "_key"]))
+    own = F.coalesce(F.col("component_id").cast("string").cast("binary"), F.col("text_key"))
+    best = found.where("n_shingles > 0 and kept").groupBy(own.alias(group)).agg(F.min(F.struct("doc_id", "text_key")).alias(one), F.count("*").alias(many))
+    best = staged(best.select(F.col(f"{one}.doc_id").alias(its_id), F.col(f"{one}.text_key").alias(its_key), many), "kept")
+    stay = keyed.join(best, (F.col(key) == F.col(its_key)) & F.col("doc_id").cast("long").eqNullSafe(F.col(its_id)))
+    if not best.where(F.col(many) > 1).isEmpty():
+        stay = stay.where(F.col(many) == 1).unionAll(stay.where(F.col(many) > 1).dropDuplicates([its_id, key]))
     bare = ~F.coalesce(F.col("text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]")
     return stay.select(*docs.columns).unionAll(docs.where(bare))

@@ -53,7 +53,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     out = [capacity] * (n // capacity)
     left = n % capacity
     while left:
-        if left <= TINY or capacity % left + 0 <= SLACK * capacity:
+        if left <= TINY or capacity % left <= SLACK * capacity:
             out.append(left)
             break
         out.append(capacity // -(-capacity // left))
@@ -61,7 +61,7 @@ def cuts(n: int, capacity: int = CAPACITY) -> list[int]:
     return out
 
 
-def _cut(path: str, with_ids: bool):
+def _cut(path: str, with_ids: bool, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = partial(encoder(path).encode, allowed_special="all")
         for batch in pieces(batches, "text"):
@@ -69,7 +69,7 @@ def _cut(path: str, with_ids: bool):
             for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 ids = np.array([*encode(text or ""), END], "<u4")
                 at = 0
-                for n in cuts(len(ids)):
+                for n in cuts(len(ids), capacity):
                     part = ids[at : at + n]
                     out.append((doc, at, n, zlib.crc32(part.tobytes()), len(ids), *([part.tolist()] if with_ids else [])))
                     at += n
@@ -107,7 +107,7 @@ def packed(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     """
     kinds = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<long>" * with_ids
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    cut = staged(source.mapInArrow(_cut(tokenizer or vocabulary(), with_ids), kinds).withColumn("k", F.expr(f"{capacity} div length")), "pieces")
+    cut = staged(source.mapInArrow(_cut(tokenizer or vocabulary(), with_ids, capacity), kinds).withColumn("k", F.expr(f"{capacity} div length")), "pieces")
     n = cut.count()
     blocks = min(MOST_BLOCKS, max(LEAST_BLOCKS, 1 << (n // BLOCK_ROWS).bit_length()))
     cut = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("int"))

@@ -154,7 +154,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col:
 
 
 def good_only(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of docs, in all their columns, that score `cut` or more."""
+    """The rows of docs, in all their columns, that score `cut` or more. Null and empty texts are judged as texts of no words, repeated rows alike."""
     y = one_label(labels, "quality")
     model = trained(measured(docs.join(y.select("doc_id"), "doc_id", "left_semi")), y)
 

@@ -279,7 +279,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, cut: float = CUT, id_col
 
 
 def clean_only(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
-    """The rows of docs, in all their columns, that score less than `cut`."""
+    """The rows of docs, in all their columns, that score less than `cut`. Null and empty texts score as texts without a passage, repeated rows alike."""
     y = staged(one_label(labels, "toxic"), "labels")
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(False).alias("held_out"), "text")
     model = word_list(known, y)

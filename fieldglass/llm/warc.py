@@ -1,7 +1,7 @@
 """A content-addressed WARC archive as two tables.
 
-`payloads` holds each distinct payload once under its SHA-256, `records` the exact header of every record. A WARC file is the
-records' headers, each followed by its block, in record order; joining the tables on the digest gives any record's bytes back.
+`payloads` holds each distinct payload once under its SHA-256, `records` the exact header of every record: the WARC header and, of a response, the HTTP header
+before the payload. A WARC file is the records' headers, each followed by its payload, in record order; joining the tables on the digest gives any record's bytes back.
 """
 
 from __future__ import annotations
@@ -15,19 +15,23 @@ from fieldglass.llm.common import shared_dir, staged
 
 LEAST_REVISIT = 100
 DATE = "1970-01-01T00:00:00Z"
+#: Parts that the records of one digest are dealt out to where they meet its payload or size.
+SALTS = 16
+CLOSE = b"\r\n\r\n"
 
 
 def _header(kind: str) -> Column:
-    """The WARC header of a response, or of a revisit to the record of `first_id`."""
+    """The header of a response, or of a revisit to the record of `first_id`."""
     own = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(F.col(c).cast("string"), F.lit("null")), F.lit(">"))
     # line ends in a target would end its header line
-    url = F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), r"[\r\n]", " ")
+    url = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("url"), F.lit("")), "\r", "%0D"), "\n", "%0A")
     lines = ["WARC/1.1", f"WARC-Type: {kind}", F.concat(F.lit("WARC-Record-ID: "), own("page_id")), f"WARC-Date: {DATE}", F.concat(F.lit("WARC-Target-URI: "), url), F.concat(F.lit("WARC-Payload-Digest: sha256:"), F.col("digest"))]
     if kind == "revisit":
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", F.concat(F.lit("WARC-Refers-To: "), own("first_id")), "Content-Length: 0"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", F.concat(F.lit("WARC-Refers-To: "), own("first_id")), "Content-Length: 0", "", ""]
     else:
-        lines += ["Content-Type: text/html; charset=utf-8", F.concat(F.lit("Content-Length: "), F.col("size").cast("string"))]
-    return F.concat_ws("\r\n", *(F.lit(x) if isinstance(x, str) else x for x in lines), F.lit("\r\n")).cast("binary")
+        http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("size").cast("string"), F.lit("\r\n\r\n"))
+        lines += ["Content-Type: application/http; msgtype=response", F.concat(F.lit("Content-Length: "), (F.length(http) + F.col("size")).cast("string")), "", http]
+    return F.concat_ws("\r\n", *(F.lit(x) if isinstance(x, str) else x for x in lines)).cast("binary")
 
 
 def write_archive(pages: DataFrame, path: str | None = None) -> str:
@@ -76,15 +80,41 @@ def read_payloads(spark, path: str) -> DataFrame:
     return rows.select("payload", F.when(F.col("read") == F.col("digest"), F.col("read")).otherwise(F.raise_error(F.lit("payload differs from its digest")).cast("string")).alias("digest"))
 
 
+def _salted(records: DataFrame, payloads: DataFrame) -> DataFrame:
+    """records with their payloads' columns; a digest of very many records is dealt out to SALTS parts."""
+    parts = payloads.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return records.withColumn("salt", F.pmod(F.xxhash64("header"), F.lit(SALTS)).cast("int")).join(parts, ["digest", "salt"]).drop("salt")
+
+
 def rebuilt(spark, path: str) -> DataFrame:
-    """page_id and the original record bytes: header, payload (none in a revisit) and the closing line ends."""
-    block = F.when(F.col("record_type") == "revisit", F.lit(b"")).otherwise(F.col("payload"))
-    return read_records(spark, path).join(read_payloads(spark, path), "digest").select("page_id", "record_type", F.concat("header", block, F.lit(b"\r\n\r\n")).alias("record"), "payload")
+    """page_id, digest, record_type, refers_to, and the original record bytes: header, payload (none in a revisit) and the closing line ends."""
+    records, payloads = read_records(spark, path), read_payloads(spark, path)
+    names = ("page_id", "digest", "record_type", "refers_to")
+    # a payload that may have many responses is short
+    long_ = F.octet_length("payload") >= LEAST_REVISIT
+    responses = records.where("record_type = 'response'")
+    joined = responses.join(payloads.where(long_), "digest").unionByName(_salted(responses, payloads.where(~long_)))
+    whole = joined.select(*names, F.concat("header", "payload", F.lit(CLOSE)).alias("record"))
+    return whole.unionAll(records.where("record_type = 'revisit'").select(*names, F.concat("header", F.lit(CLOSE)).alias("record")))
 
 
 def archived(pages: DataFrame, path: str | None = None) -> DataFrame:
-    """Write pages as an archive, read it back: page_id, payload_bytes, payload_digest, record_type, refers_to for each row. An empty table gives no rows."""
+    """Write pages as an archive, rebuild its records and read these: page_id, payload_bytes, payload_digest, record_type, refers_to for each row.
+
+    A response's payload is what follows its HTTP header, and its digest is computed anew; a revisit has the size of the payload stored under its
+    digest. An empty table gives no rows.
+    """
     spark = pages.sparkSession
     path = write_archive(pages, path)
+    records = rebuilt(spark, path)
+    # a response is its WARC header, a blank line, its HTTP header, a blank line, the payload and the closing line ends
+    text = F.decode("record", "ISO-8859-1")  # a character a byte
+    gap = lambda after: F.expr(rf"locate('\r\n\r\n', text, {after})")
+    responses = records.where("record_type = 'response'").withColumn("text", text).withColumn("head", gap("1")).withColumn("http", gap("head + 4"))
+    payload = F.expr("substring(record, http + 4, octet_length(record) - http - 7)")
+    read = responses.select("page_id", "digest", "record_type", "refers_to", payload.alias("payload")).withColumn("again", F.sha2("payload", 256))
+    same = F.when(F.col("again") == F.col("digest"), F.col("again")).otherwise(F.raise_error(F.lit("payload differs from its digest")).cast("string"))
+    own = read.select("page_id", F.octet_length("payload").cast("long").alias("payload_bytes"), same.alias("payload_digest"), "record_type", "refers_to")
     sizes = read_payloads(spark, path).select("digest", F.octet_length("payload").cast("long").alias("payload_bytes"))
-    return read_records(spark, path).join(sizes, "digest").select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to")
+    again = _salted(read_records(spark, path).where("record_type = 'revisit'"), sizes)
+    return own.unionAll(again.select("page_id", "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", "refers_to"))

@@ -14,7 +14,7 @@ import pytest
 
 from fieldglass.llm import brown_lm, decontaminate, html_text, media, near_dup, packing, quality, sharding, toxicity, warc
 
-KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, label string, key long"
+KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, label string, key long, _key string, _id long, _rows string, _its_key binary"
 
 
 def prose(rng, n):
@@ -27,8 +27,8 @@ def rows():
     near = prose(rng, 80).split()
     texts += [" ".join(near[:k] + ["changed"] + near[k:]) for k in (5, 30, 60)] + [" ".join(near)] * 3
     texts += [None, "", " \n\t ", "one", "ONE", "one two three four", prose(rng, 20_000), "é ü 漢字 !!", "x" * 5000]
-    out = [(i, t, "en", "s", 0, 0.5, "n", "l", 1) for i, t in enumerate(texts)]
-    return out + [out[7], out[7], (None, texts[8], None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None)]
+    out = [(i, t, "en", "s", 0, 0.5, "n", "l", 1, "k", 2, "r", b"i") for i, t in enumerate(texts)]
+    return out + [out[7], out[7], (None, texts[8], *[None] * 11), (None,) * 13]
 
 
 @pytest.fixture(scope="module")
@@ -107,7 +107,7 @@ def judged(spark):
             for _ in range(4):
                 parts.insert(rng.randrange(len(parts)), rng.choice(["vile", "Wretch,", "rotten", "scoundrel"]))
             text = " ".join(parts)
-        out.append((i, text, "en", "s", 0, 0.5, "n", "l", 1))
+        out.append((i, text, "en", "s", 0, 0.5, "n", "l", 1, "k", 2, "r", b"i"))
         if i % 7:
             marks.append((i, int(not junk), int(toxic)))
     marks += [(None, 1, 1), (5, None, None)]
@@ -302,9 +302,20 @@ def test_added_tokens_are_matched_in_texts(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 63, 64, 65, 511, 512, 700, 1023, 2047, 2048, 2049, 9999])
-def test_cuts_add_up(n):
-    parts = packing.cuts(n)
-    assert sum(parts) == n and all(0 < p <= packing.CAPACITY for p in parts)
+@pytest.mark.parametrize("capacity", [512, 1000, packing.CAPACITY])
+def test_cuts_add_up(n, capacity):
+    parts = packing.cuts(n, capacity)
+    assert sum(parts) == n and all(0 < p <= capacity for p in parts)
+
+
+def test_packing_into_shorter_sequences(docs):
+    found = packing.packed(docs, capacity=512).collect()
+    by = collections.defaultdict(list)
+    for r in found:
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for v in by.values():
+        assert [o for o, _ in sorted(v)] == list(np.cumsum([0, *(n for _, n in sorted(v))])[:-1]) and sum(n for _, n in v) <= 512
+    assert sum(r["length"] for r in found) == sum(r["length"] for r in packing.packed(docs).collect())
 
 
 # 5
@@ -345,6 +356,7 @@ def test_near_duplicates_equal_brute_force(docs, empty):
     table = [r for r in rows() if words(r[1])]
     assert len([k for k in kept]) == len({c[2] for c in brute_components(table)}) + sum(not words(r[1]) for r in rows())
     assert near_dup.near_duplicates(empty).count() == 0 and near_dup.one_of_each(empty).count() == 0
+    assert near_dup.one_of_each(docs).columns == docs.columns and {r["_key"] for r in near_dup.one_of_each(docs).collect()} == {"k", None}
 
 
 def test_a_family_of_variants(spark):
@@ -449,10 +461,24 @@ def test_archive_round_trip(spark):
         again = len(b) >= 100 and i != min(ids)
         want[i, len(b), hashlib.sha256(b).hexdigest(), "revisit" if again else "response", min(ids) if again else None] += 1
     assert found == want
+    byte = collections.Counter((i, (h or "").encode()) for i, _, h in table)
+    seen = collections.Counter()
     for r in warc.rebuilt(spark, path).collect():
         head, _, block = bytes(r["record"]).partition(b"\r\n\r\n")
-        length = int(next(x for x in head.split(b"\r\n") if x.startswith(b"Content-Length")).split(b": ")[1])
-        assert block[length:] == b"\r\n\r\n" and (block[:length] == bytes(r["payload"]) or r["record_type"] == "revisit")
+        fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
+        assert head.startswith(b"WARC/1.1\r\n") and fields[b"WARC-Type"].decode() == r["record_type"]
+        length = int(fields[b"Content-Length"])
+        assert block[length:] == b"\r\n\r\n"
+        if r["record_type"] == "response":
+            http, _, payload = block[:length].partition(b"\r\n\r\n")
+            assert http.startswith(b"HTTP/1.1 200 OK\r\n") and f"Content-Length: {len(payload)}".encode() in http and fields[b"Content-Type"].startswith(b"application/http")
+            assert fields[b"WARC-Payload-Digest"] == b"sha256:" + hashlib.sha256(payload).hexdigest().encode() and byte[r["page_id"], payload]
+            if r["page_id"] == 1:
+                assert fields[b"WARC-Target-URI"] == b"http://a/%0D%0Ax"
+        else:
+            assert length == 0
+        seen[r["page_id"]] += 1
+    assert seen == collections.Counter(i for i, _, _ in table)
     assert spark.read.parquet(f"{path}/payloads").count() == 4
     assert warc.archived(pages.limit(0)).count() == 0
 
