@@ -8,11 +8,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python task handles at once.
 CHUNK_BYTES = 2_000_000
+#: Keys of at most 16 bytes that may go to all tasks.
+FEW_KEYS = 500_000
 #: White space that separates words, as ASCII codes (fixed values).
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -41,6 +43,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def among(df: DataFrame, keys: DataFrame, on: Column, how: str = "left_semi") -> DataFrame:
+    """The rows of df whose `on` is among keys (one column, staged); with how="left_anti" the others.
+
+    Up to FEW_KEYS keys go to all tasks, so that df isn't shuffled; more are joined by shuffle.
+    """
+    own = f"key_{uuid.uuid4().hex}"  # clashes with no column of df
+    named = keys.toDF(own)
+    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return df.join(F.broadcast(named) if few else named, on == F.col(own), how)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

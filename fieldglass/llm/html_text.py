@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import pieces, staged
+from fieldglass.llm.common import among, pieces, staged
 
 #: Elements of HTML by role (fixed values).
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
@@ -239,9 +239,11 @@ def main_texts(pages: DataFrame) -> DataFrame:
     one = F.min(F.struct("path", "page_id", "uid", F.size("open").alias("open"))).alias("one")
     first = staged(parsed.groupBy("host", "digest").agg(one).select("host", "digest", "one.*"), "firsts")
     asked = first.where("open > 0").select("uid").join(nearest(first), "uid", "left")
-    texts = parsed.select(F.col("uid").alias("other"), F.col("text").alias("other_text"))
-    both = asked.join(parsed.select("uid", "host", "digest", "text", "open"), "uid").join(texts, "other", "left")
+    asked = staged(asked, "asked")
+    open_ = parsed.where("size(open) > 0")
+    others = among(parsed, staged(asked.where("other is not null").select("other").distinct(), "others"), F.col("uid"))
+    both = asked.join(open_.select("uid", "host", "digest", "text", "open"), "uid").join(others.select(F.col("uid").alias("other"), F.col("text").alias("other_text")), "other", "left")
     bare = both.select("host", "digest", "text", F.col("other_text").alias("other"), "open").mapInArrow(_difference, "host string, digest binary, text string")
     whole = parsed.where("size(open) = 0").select("page_id", "url", "text")
-    rows = parsed.where("size(open) > 0").select("page_id", "url", "host", "digest").join(bare, ["host", "digest"]).select("page_id", "url", "text")
+    rows = open_.select("page_id", "url", "host", "digest").join(bare, ["host", "digest"]).select("page_id", "url", "text")
     return whole.unionAll(rows).select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
