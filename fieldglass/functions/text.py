@@ -53,11 +53,9 @@ def remove_single_chars(text: Column) -> Column:
 
 
 def clean_sentences(text: Column) -> Column:
-    """URLs, tags, punctuation, other signs, numbers and single characters go; a slash between words becomes a space; lower case."""
-    steps = [(r"https?://[^ \t\r\n]+", ""), (r"([A-Za-z0-9])/([A-Za-z0-9])", "$1 $2")]
-    out = F.trim(chained(text, steps))
-    out = F.lower(chained(out, [(r"<[^>]*>", "")]))
-    return F.trim(chained(out, [(PUNCTUATION, " "), (r"[^A-Za-z0-9 ]", ""), (r"[0-9]+", " "), (r"\b[A-Za-z0-9_]\b", ""), (r" +", " ")]))
+    """URLs, tags, punctuation and other signs go and leave no gap; a slash between words becomes a space; numbers and single characters go; lower case."""
+    out = F.lower(chained(text, [(r"(?i)https?://\S+|www\.\S+", ""), (r"(?U)(?<=\w)/(?=\w)", " "), (r"<[^>]*>", "")]))
+    return F.trim(chained(out, [(r"[^a-z0-9\s]", ""), (r"[0-9]+", " "), (r"\b[a-z]\b", ""), (r"\s+", " ")]))
 
 
 def clean_text(text: Column) -> Column:
@@ -66,11 +64,11 @@ def clean_text(text: Column) -> Column:
 
 
 def handle_negations(words: Column, negations: Sequence[str] = NEGATIONS) -> Column:
-    """not x -> not_x: a negation goes and marks the next word; several in a row mark it once, one at the end goes."""
+    """not x -> not_x: a negation in any case goes and marks the next word, whose case stays; several in a row mark it once, one at the end goes."""
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("on"))
 
     def step(state: Column, word: Column) -> Column:
-        is_negation = word.isin(*negations)
+        is_negation = F.lower(word).isin(*negations)
         kept = F.concat(state["out"], F.array(F.when(state["on"], F.concat(F.lit("not_"), word)).otherwise(word)))
         return F.struct(F.when(is_negation, state["out"]).otherwise(kept).alias("out"), is_negation.alias("on"))
 
@@ -97,11 +95,12 @@ def parse_numbers(text: Column) -> Column:
 
 
 #: Steps that tidy a generated topic label (patterns in order).
-LABEL_STEPS = [(r"^[0-9]+[.)] *", ""), (r"^- *", ""), (r"^[^:]*: *", ""), (r" - .*$", ""), (r"\b[A-Za-z]\b", ""), (r'"', ""), (r"Explanation.*$", ""), (r", *", "; "), (r" +", " ")]
+LABEL_STEPS = [(r"\d+\.\s*", ""), (r"^\s*-\s*", ""), (r":.*", ""), (r"-.*", ""), (r"(?U)\b\w\b", ""), (r"\s+", " "), (r"^ +| +$", ""), (r"[\"']", ""), (r"Explanation.*", ""), (",", ";")]
 
 
 def clean_topic_label(label: Column, steps: Sequence[tuple[str, str]] = LABEL_STEPS) -> Column:
-    return F.trim(chained(label, steps))
+    """Numbers with a full stop, a dash in front, and all from a colon or another dash on go; also single letters and quotes."""
+    return chained(label, steps)
 
 
 def lexicon_score(words: Column, positive: Sequence[str], negative: Sequence[str]) -> Column:

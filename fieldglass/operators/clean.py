@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fieldglass.operators.ordered import quantiles
+
 
 def select_by_name(df: DataFrame, prefix: str = "", contains: str = "") -> DataFrame:
     """Columns whose name starts with prefix and contains the other text."""
@@ -64,13 +66,13 @@ def profile_shape(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Count, mean, sample deviation, minimum, exact quartiles and maximum of each column, from one pass."""
-    stats = {
-        "n": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"), "q25": lambda c: F.percentile(c, F.lit(0.25)),
-        "q50": lambda c: F.percentile(c, F.lit(0.5)), "q75": lambda c: F.percentile(c, F.lit(0.75)), "max": lambda c: F.max(c).cast("double"),
-    }
+    """Count, mean, sample deviation, minimum, exact quartiles and maximum of each column."""
+    stats = {"n": lambda c: F.count(c).cast("double"), "mean": F.avg, "std": F.stddev_samp, "min": lambda c: F.min(c).cast("double"), "max": lambda c: F.max(c).cast("double")}
     wide = df.agg(*[F.struct(F.lit(c).alias("column_name"), *[f(F.col(c)).alias(k) for k, f in stats.items()]).alias(c) for c in columns])
-    return wide.select(F.explode(F.array(*columns)).alias("s")).select("s.*")
+    rows = wide.select(F.explode(F.array(*columns)).alias("s")).select("s.*")
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s")).select("s.*")
+    quarters = quantiles(values, ["column_name"], "value", {"q25": 0.25, "q50": 0.5, "q75": 0.75})
+    return rows.join(quarters, "column_name", "left").select("column_name", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def describe_object(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -122,7 +124,10 @@ def _filled(df: DataFrame, columns: Sequence[str], value) -> DataFrame:
 
 
 def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return _filled(df, columns, F.median)
+    values = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.col(c).cast("double").alias("value")) for c in columns])).alias("s")).select("s.*")
+    # a row for each column
+    medians = quantiles(values, ["name"], "value", {"median": 0.5}).agg(F.map_from_entries(F.collect_list(F.struct("name", "median"))).alias("_medians"))
+    return df.crossJoin(F.broadcast(medians)).withColumns({c: F.coalesce(F.col(c), F.col("_medians")[c]) for c in columns}).drop("_medians")
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:

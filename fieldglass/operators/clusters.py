@@ -2,18 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.functions.vectors import cosine, distance, l2_normalize
+from fieldglass.functions.vectors import distance
 from fieldglass.operators.topics import centroids
 
+#: Pivots of the similarity join at most, rows of a block of a cell.
+MOST_PIVOTS, BLOCK = 1024, 2048
+
 
 def _vectors(df: DataFrame, vector: str) -> DataFrame:
     return df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
@@ -48,12 +54,10 @@ def hierarchical_cluster(df: DataFrame, vector: str, k: int, seed: int = 7, meas
 
 
 def hierarchical_batches(df: DataFrame, id_col: str, vector: str, batch_rows: int, k: int) -> DataFrame:
-    """Average-linkage clusters within batches of about batch_rows rows (by hash of the id), numbered over all batches: id, cluster."""
+    """Average-linkage clusters within batches of about batch_rows rows (by hash of the id), numbered apart over all batches (not without gaps): id, cluster."""
     batches = max(1, -(-df.count() // batch_rows))
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         rows = rows.sort_values(id_col).reset_index(drop=True)
         x = np.stack(rows[vector].to_numpy()).astype(float)
         d = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(-1), 0))
@@ -69,44 +73,117 @@ def hierarchical_batches(df: DataFrame, id_col: str, vector: str, batch_rows: in
 
     source = df.select(F.col(id_col).cast("long"), vector, F.pmod(F.xxhash64(id_col), F.lit(batches)).alias("batch"))
     found = source.groupBy("batch").applyInPandas(link, f"{id_col} long, batch long, local long")
-    numbers = found.select("batch", "local").distinct().withColumn("cluster", F.dense_rank().over(Window.orderBy("batch", "local")) - 1)
-    return found.join(F.broadcast(numbers), ["batch", "local"]).select(id_col, "cluster")
+    # a batch has k clusters at most, so this numbers them all apart
+    return found.select(id_col, (F.col("batch") * k + F.col("local")).alias("cluster"))
 
 
-def similar_pairs(df: DataFrame, id_col: str, vector: str, threshold: float, prefix: int = 12, bits: int = 24, seed: int = 7) -> DataFrame:
-    """Pairs a < b with cosine of at least the threshold, from random-hyperplane buckets: tables of `prefix` bits each out of `bits`.
+def _units(column: pa.Array) -> np.ndarray:
+    """Rows of unit vectors; vectors without length stay zero."""
+    x = np.asarray(column.flatten(), float).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
-    Rows meet only within a bucket of some table and each candidate is confirmed exactly.
-    """
-    import numpy as np
 
-    d = len(df.select(vector).first()[0])
-    planes = np.random.default_rng(seed).normal(size=(bits, d)).round(6)
-    sign = lambda p: F.when(F.aggregate(F.zip_with(F.col("u"), F.array(*[F.lit(float(x)) for x in p]), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x) >= 0, 1).otherwise(0)
-    unit = df.select(F.col(id_col).alias("id"), l2_normalize(F.col(vector)).alias("u"))
-    marked = unit.select("id", "u", F.array(*[sign(p) for p in planes]).alias("s"))
-    tables = [F.array_join(F.slice("s", t * prefix + 1, prefix), "") for t in range(bits // prefix)]
-    rows = marked.select("id", "u", F.posexplode(F.array(*tables)).alias("t", "bucket"))
-    a, b = rows.select("t", "bucket", F.col("id").alias("a"), F.col("u").alias("ua")), rows.select("t", "bucket", F.col("id").alias("b"), F.col("u").alias("ub"))
-    return a.join(b, ["t", "bucket"]).where("a < b").select("a", "b", F.round(cosine(F.col("ua"), F.col("ub")), 6).alias("similarity")).where(F.col("similarity") >= threshold).distinct()
+def _angles(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(x @ pivots.T, -1, 1))
 
 
-def similar_pairs_exact(df: DataFrame, id_col: str, vector: str, threshold: float, cells: int = 16) -> DataFrame:
-    """All pairs a < b with cosine of at least the threshold.
+def similar_pairs_exact(df: DataFrame, id_col: str, vector: str, threshold: float) -> DataFrame:
+    """All pairs a < b with cosine of at least the threshold; rows with a null vector have none.
 
-    Each vector goes to the cells of its nearest pivot and of every pivot near enough that a partner could be there (by the triangle
-    inequality on the unit sphere), so that only cells are compared and no pair is lost.
+    Each vector has a home, the cell of its nearest pivot (about the root of the number of rows, MOST_PIVOTS at most), and each cell a radius. By the triangle inequality of angles a vector
+    needs to visit only the cells whose radius and the threshold's angle together reach it, and of two cells that could both see a pair the
+    first alone does, so no pair is lost or found twice. Homes are cut into blocks of about BLOCK rows, which visitors pass as a stream.
     """
-    pivots = df.orderBy(F.xxhash64(id_col), id_col).limit(cells).select(F.col(id_col).alias("p"), l2_normalize(F.col(vector)).alias("pv"))
-    listed = F.broadcast(pivots.agg(F.collect_list(F.struct("p", "pv")).alias("_p")))
-    unit = df.select(F.col(id_col).alias("id"), l2_normalize(F.col(vector)).alias("u")).crossJoin(listed)
-    far = unit.withColumn("d", F.transform("_p", lambda s: F.struct(distance(F.col("u"), s["pv"]).alias("x"), s["p"].alias("p")))).withColumn("near", F.array_min("d"))
-    reach = 2 * (2 - 2 * threshold) ** 0.5 + 1e-9
-    home = far.select(F.col("near.p").alias("cell"), F.col("id").alias("a"), F.col("u").alias("ua"))
-    # |x - y| <= r: y's distance to x's pivot is at most its own nearest distance + 2r
-    visits = far.select("id", "u", F.explode(F.filter("d", lambda s: s["x"] <= F.col("near.x") + reach)).alias("s")).select(F.col("s.p").alias("cell"), F.col("id").alias("b"), F.col("u").alias("ub"))
-    pairs = home.join(visits, "cell").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.round(cosine(F.col("ua"), F.col("ub")), 6).alias("similarity"))
-    return pairs.where(F.col("similarity") >= threshold).distinct()
+    source = df.where(F.col(vector).isNotNull()).select(F.col(id_col).alias("id"), F.col(vector).alias("v"))
+    n = source.count()
+    kind = dict(source.dtypes)["id"]
+    if not n:
+        return df.sparkSession.createDataFrame([], f"a {kind}, b {kind}, similarity double")
+    few = source.orderBy(F.xxhash64("id"), "id").limit(max(8, min(MOST_PIVOTS, math.isqrt(n)))).toArrow()
+    pivots = _units(few.column("v").combine_chunks())
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            far = _angles(_units(batch.column("v")), pivots)
+            cell = far.argmin(axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(far[np.arange(len(far)), cell])], ["cell", "angle"])
+
+    cells = source.mapInArrow(homes, "cell long, angle double").groupBy("cell").agg(F.max("angle").alias("radius"), F.count("*").alias("n")).collect()  # a row a pivot
+    radius, blocks = np.full(len(pivots), -10.0), np.ones(len(pivots), np.int64)
+    for r in cells:
+        radius[r["cell"]], blocks[r["cell"]] = r["radius"], -(-r["n"] // BLOCK)
+    reach = math.acos(max(-1.0, min(1.0, threshold - 5e-7))) + 1e-9
+
+    def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                far = _angles(_units(part.column("v")), pivots)
+                home = far.argmin(axis=1)
+                row, cell = np.nonzero((far <= radius + reach) & (np.arange(len(pivots)) <= home[:, None]))
+                times = blocks[cell]  # a visitor passes all blocks of a cell
+                row, cell = np.repeat(row, times), np.repeat(cell, times)
+                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
+                own = part.column("block_hash").to_numpy() % blocks[home]
+                rows = np.concatenate([np.arange(part.num_rows), row])
+                columns = [np.concatenate(x) for x in ((home, cell), (own, block), (np.zeros(part.num_rows, bool), np.ones(len(row), bool)), (home, home[row]))]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), part.column("id").take(pa.array(rows)), part.column("v").take(pa.array(rows))], ["cell", "block", "visits", "home", "id", "v"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, ids, own = None, [], []
+        for batch in batches:
+            cell, block, guest, home = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "visits", "home"))
+            x, names = _units(batch.column("v")), np.array(batch.column("id").to_pylist(), object)
+            cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(guest.astype(np.int8)) != 0)) + 1).tolist(), len(cell)]
+            for i, j in zip(cuts, cuts[1:], strict=False):
+                if i == j:
+                    continue
+                if (cell[i], block[i]) != at:
+                    at, ids, own = (cell[i], block[i]), [], []
+                if not guest[i]:
+                    ids.append(names[i:j])
+                    own.append(x[i:j])
+                elif own:
+                    if len(own) > 1:
+                        ids, own = [np.concatenate(ids)], [np.concatenate(own)]
+                    for k in range(i, j, 2000):
+                        part = slice(k, min(j, k + 2000))
+                        near = np.round(own[0] @ x[part].T, 6)
+                        left, right = np.nonzero(near >= threshold)
+                        a, b = ids[0][left], names[part][right]
+                        once = (home[part][right] != at[0]) & (a != b) | (a < b)
+                        a, b = a[once], b[once]
+                        swap = a > b
+                        yield pa.RecordBatch.from_arrays([pa.array(np.where(swap, b, a), id_type), pa.array(np.where(swap, a, b), id_type), pa.array(near[left, right][once])], ["a", "b", "similarity"])
+
+    id_type = few.schema.field("id").type
+    element = dict(source.dtypes)["v"]
+    placed = source.withColumn("block_hash", F.pmod(F.xxhash64("id"), F.lit(1 << 40))).mapInArrow(visits, f"cell long, block long, visits boolean, home long, id {kind}, v {element}")
+    return placed.repartition("cell", "block").sortWithinPartitions("cell", "block", "visits").mapInArrow(meet, f"a {kind}, b {kind}, similarity double")
+
+
+def communities(pairs: DataFrame, least: int) -> DataFrame:
+    """Groups of similar rows without overlap, large ones first: id, centre. pairs: a, b, all that are similar enough.
+
+    A row's community is itself and the rows similar to it. In each round a row whose community is the largest (of equals the smallest id)
+    among all within two steps of it claims its members, which leave; until no community has `least` members. Rows in none have no row.
+    """
+    both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = both.unionAll(both.select("a", F.col("a").alias("b"))).distinct().checkpoint()
+    out = None
+    while True:
+        size = edges.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+        rank = F.struct(-F.col("n"), F.col("a")).alias("rank")
+        best = edges.join(size, "a").groupBy("b").agg(F.min(rank).alias("rank"))  # of the communities that a row is in
+        second = edges.join(best, "b").groupBy("a").agg(F.min("rank").alias("first"))
+        won = size.join(second, "a").where(F.col("first") == F.struct(-F.col("n"), F.col("a"))).select("a")
+        claimed = edges.join(won, "a").select(F.col("b").alias("id"), F.col("a").alias("centre")).checkpoint()
+        if claimed.isEmpty():
+            return out if out is not None else claimed
+        out = claimed if out is None else out.unionAll(claimed)
+        gone = claimed.select("id")
+        left = edges.join(gone.withColumnRenamed("id", "a"), "a", "left_anti")
+        edges = left.join(gone.withColumnRenamed("id", "b"), "b", "left_anti").select("a", "b").checkpoint()
 
 
 def density_cluster(df: DataFrame, id_col: str, pairs: DataFrame, min_neighbours: int, min_cluster: int) -> DataFrame:

@@ -8,6 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fieldglass.operators.ordered import quantiles, running, text_place
+
 EPSILON = 1e-9
 
 
@@ -55,7 +57,7 @@ def discretize(df: DataFrame, column: str, n: int) -> DataFrame:
 
 def without_outliers(df: DataFrame, column: str, fence: float = 1.5) -> DataFrame:
     """Rows strictly inside the fence around the quartiles."""
-    out = _with_stats(df, a=F.percentile(column, F.lit(0.25)), b=F.percentile(column, F.lit(0.75)))
+    out = df.crossJoin(F.broadcast(quantiles(df, [], column, {"_a": 0.25, "_b": 0.75})))
     reach = (F.col("_b") - F.col("_a")) * fence
     return out.where((F.col(column) > F.col("_a") - reach) & (F.col(column) < F.col("_b") + reach)).drop("_a", "_b")
 
@@ -63,14 +65,15 @@ def without_outliers(df: DataFrame, column: str, fence: float = 1.5) -> DataFram
 def label_encode(df: DataFrame, column: str, into: str) -> DataFrame:
     """Rank of the value's text among all values, from 0; null counts as the text 'nan'."""
     codes = df.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("_text")).distinct()
-    codes = codes.agg(F.array_sort(F.collect_set("_text")).alias("_all")).select(F.posexplode("_all").alias(into, "_text"))
+    codes = running(codes, [], text_place(F.col("_text")), [F.col("_text")], {"_upto": F.lit(1)}).select((F.col("_upto") - 1).cast("int").alias(into), "_text")
     return df.withColumn("_text", F.coalesce(F.col(column).cast("string"), F.lit("nan"))).join(codes, "_text").drop("_text")
 
 
 def factorize(df: DataFrame, column: str, order: str, into: str) -> DataFrame:
     """Rank of the value by its first appearance in `order`, from 0; null is -1."""
     first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
-    codes = first.agg(F.array_sort(F.collect_list(F.struct("_first", F.col(column).alias("_value")))).alias("_all")).select(F.posexplode("_all").alias(into, "_s")).select(into, F.col("_s._value").alias(column))
+    place = F.col("_first").cast("double") if dict(first.dtypes)["_first"] != "string" else text_place(F.col("_first"))
+    codes = running(first, [], place, [F.col("_first"), F.col(column)], {"_upto": F.lit(1)}).select((F.col("_upto") - 1).cast("int").alias(into), column)
     return df.join(codes, column, "left").withColumn(into, F.coalesce(into, F.lit(-1)))
 
 

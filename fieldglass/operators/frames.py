@@ -75,9 +75,9 @@ def zero_shot_frames(df: DataFrame, frame: Sequence[str], caption: str, score: s
 
 
 def detection_labels(df: DataFrame, kind: str, confidence: str, names: dict[int, str]) -> DataFrame:
-    """Detections of the named classes, with `name: confidence` in two decimals."""
+    """Detections of the named classes, with `name: confidence`, rounded half to even to two decimals at most and written without padding (0.5, 0.12)."""
     name = F.create_map(*[F.lit(x) for kv in names.items() for x in kv])[F.col(kind)]
-    return df.where(F.col(kind).isin(*names)).withColumn("label", F.format_string("%s: %.2f", name, F.col(confidence)))
+    return df.where(F.col(kind).isin(*names)).withColumn("label", F.concat(name, F.lit(": "), F.bround(F.col(confidence), 2).cast("string")))
 
 
 def video_name_parts(name: Column) -> Column:

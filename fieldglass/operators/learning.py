@@ -13,6 +13,8 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.operators.ordered import running
+
 
 def hash_bucket(key: str, buckets: int = 100, seed: int = 7) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)).cast("int")
@@ -27,16 +29,21 @@ def split(df: DataFrame, key: str, shares: Sequence[tuple[str, int]], seed: int
     return df.withColumn(into, out)
 
 
+def _by_hash(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
+    """df with its row's number (`_upto`, from 1) in its class by hash of the key, and the size of the class (`_upto_all`)."""
+    hashed = df.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
+    return running(hashed, [label], F.col("_hash"), [F.col("_hash"), F.col(key)], {"_upto": F.lit(1)}, block=F.shiftright("_hash", 56))
+
+
 def split_stratified(df: DataFrame, key: str, label: str, shares: Sequence[tuple[str, float]], seed: int = 7, into: str = "part") -> DataFrame:
     """The same shares of each class, by rank of the key's hash within the class."""
-    rank = F.percent_rank().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)))
     upto, out = 0.0, None
-    ranked = df.withColumn("_rank", rank)
+    ranked = _by_hash(df, key, label, seed).withColumn("_rank", F.try_divide(F.col("_upto") - 1, F.col("_upto_all") - 1)).na.fill(0.0, ["_rank"])
     for name, share in shares:
         upto += share
         hit = F.col("_rank") <= upto + 1e-12
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return ranked.withColumn(into, F.coalesce(out, F.lit(shares[-1][0]))).drop("_rank")
+    return ranked.withColumn(into, F.coalesce(out, F.lit(shares[-1][0]))).drop("_rank", "_hash", "_upto", "_upto_all")
 
 
 def assembled(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
@@ -138,11 +145,18 @@ def smote(df: DataFrame, key: str, label: str, vector: str, minority, copies: in
 
 def random_oversample(df: DataFrame, key: str, label: str, seed: int = 7) -> DataFrame:
     """Rows repeated until each class is as large as the largest; which rows are used once more follows from their hash."""
-    sizes = df.groupBy(label).agg(F.count("*").alias("_n"))
-    top = sizes.agg(F.max("_n").alias("_top"))
-    ranked = df.join(F.broadcast(sizes.crossJoin(top)), label).withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key))))
-    times = F.expr("_top div _n + if(_r <= _top % _n, 1, 0)").cast("int")
-    return ranked.withColumn("_i", F.explode(F.sequence(F.lit(1), times))).drop("_n", "_top", "_r", "_i")
+    top = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("_top"))
+    ranked = _by_hash(df, key, label, seed).crossJoin(F.broadcast(top))
+    times = F.expr("_top div _upto_all + if(_upto <= _top % _upto_all, 1, 0)").cast("int")
+    return ranked.withColumn("_i", F.explode(F.sequence(F.lit(1), times))).drop("_top", "_i", "_hash", "_upto", "_upto_all")
+
+
+def balanced(df: DataFrame, key: str, label: str, train: float, seed: int = 7, into: str = "part") -> DataFrame:
+    """As many rows of each class as the smallest has, by hash of the key: the share `train` (rounded down) for training, the others for validation."""
+    least = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
+    ranked = _by_hash(df, key, label, seed).crossJoin(F.broadcast(least)).where("_upto <= _least")
+    part = F.when(F.col("_upto") <= F.floor(F.col("_least") * train), "train").otherwise("valid")
+    return ranked.withColumn(into, part).drop("_hash", "_upto", "_upto_all", "_least")
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -167,31 +181,27 @@ def accuracy(df: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
 def _steps(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Positives and negatives down to each distinct score, and of all rows."""
     each = df.groupBy(F.col(score).alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    down = Window.orderBy(F.desc("score"))
-    total = each.agg(F.sum("p").alias("P"), F.sum("q").alias("Q"))
-    return each.select("score", F.sum("p").over(down).alias("tp"), F.sum("q").over(down).alias("fp")).crossJoin(F.broadcast(total))
+    out = running(each, [], -F.col("score").cast("double"), [F.desc("score")], {"tp": F.col("p"), "fp": F.col("q")})
+    return out.withColumnsRenamed({"tp_all": "all_positive", "fp_all": "all_negative"})
 
 
 def roc_curve(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    return _steps(df, score, positive).select("score", (F.col("fp") / F.col("Q")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"))
+    return _steps(df, score, positive).select("score", (F.col("fp") / F.col("all_negative")).alias("fpr"), (F.col("tp") / F.col("all_positive")).alias("tpr"))
 
 
 def auc(df: DataFrame, score: str, positive: Column) -> DataFrame:
     """Area under the ROC curve by trapezoids; equal scores are one step."""
-    curve = roc_curve(df, score, positive)
-    w = Window.orderBy(F.desc("score"))
-    x0, y0 = F.coalesce(F.lag("fpr").over(w), F.lit(0.0)), F.coalesce(F.lag("tpr").over(w), F.lit(0.0))
-    return curve.select(((F.col("fpr") - x0) * (F.col("tpr") + y0) / 2).alias("a")).agg(F.sum("a").alias("auc"))
+    step = F.col("q") / F.col("all_negative") * (2 * F.col("tp") - F.col("p")) / F.col("all_positive") / 2
+    return _steps(df, score, positive).agg(F.sum(step).alias("auc"))
 
 
 def pr_curve(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    return _steps(df, score, positive).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("P")).alias("recall"))
+    return _steps(df, score, positive).select("score", (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"), (F.col("tp") / F.col("all_positive")).alias("recall"))
 
 
 def average_precision(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    curve = pr_curve(df, score, positive)
-    before = F.coalesce(F.lag("recall").over(Window.orderBy(F.desc("score"))), F.lit(0.0))
-    return curve.select(((F.col("recall") - before) * F.col("precision")).alias("a")).agg(F.sum("a").alias("average_precision"))
+    step = F.col("p") / F.col("all_positive") * F.col("tp") / (F.col("tp") + F.col("fp"))
+    return _steps(df, score, positive).agg(F.sum(step).alias("average_precision"))
 
 
 def regression_metrics(df: DataFrame, truth: str, predicted: str, tolerance: float = 0.1) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fieldglass.operators.features import equal_width_bin
+from fieldglass.operators.ordered import quantiles
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
@@ -60,7 +61,8 @@ def pivot_counts(df: DataFrame, row: Column, row_domain: Sequence, column: Colum
 
 
 def group_stats(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.max(value).alias("max"), F.min(value).alias("min"), F.avg(value).alias("mean"), F.median(value).alias("median"))
+    stats = df.groupBy(*by).agg(F.max(value).alias("max"), F.min(value).alias("min"), F.avg(value).alias("mean"))
+    return stats.join(quantiles(df, by, value, {"median": 0.5}), list(by), "left")
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str]) -> DataFrame:
@@ -76,11 +78,11 @@ def share_of_buckets(df: DataFrame, slices: Sequence[str], year: str, bucket: st
 
 def box_stats(df: DataFrame, by: str, value: str, fence: float = 1.5) -> DataFrame:
     """Quartiles, whisker ends (last values inside the fence) and the number of values outside, for each group."""
-    q = df.groupBy(by).agg(*[F.percentile(value, F.lit(p)).alias(n) for p, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
+    q = quantiles(df, [by], value, {"q1": 0.25, "q2": 0.5, "q3": 0.75})
     reach = (F.col("q3") - F.col("q1")) * fence
     inside = F.col(value).between(F.col("q1") - reach, F.col("q3") + reach)
     low, high = F.min(F.when(inside, F.col(value))), F.max(F.when(inside, F.col(value)))
-    return df.join(F.broadcast(q), by).groupBy(by, "q1", "q2", "q3").agg(low.alias("whisker_low"), high.alias("whisker_high"), F.count_if(~inside).alias("n_outside"))
+    return df.join(q, by).groupBy(by, "q1", "q2", "q3").agg(low.alias("whisker_low"), high.alias("whisker_high"), F.count_if(~inside).alias("n_outside"))
 
 
 def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:

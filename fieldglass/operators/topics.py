@@ -54,11 +54,11 @@ def tfidf(df: DataFrame, id_col: str, text: str, stopwords: Sequence[str] = ())
 
 
 def ctfidf(df: DataFrame, topic: str, text: str, reduce_frequent: bool = False, stopwords: Sequence[str] = (), ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
-    """topic, term, weight: tf(term, topic) / words(topic) * ln(1 + average words of a topic / f(term))."""
+    """topic, term, weight: tf(term, topic) / words(topic) * ln(1 + average words of a topic, cut to an integer, / f(term))."""
     tf = terms(df, [topic], text, stopwords=stopwords, ngrams=ngrams).groupBy(topic, "term").agg(F.count("*").alias("tf"))
     of = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     size = tf.groupBy(topic).agg(F.sum("tf").alias("size"))
-    average = size.agg(F.avg("size").alias("average"))
+    average = size.agg(F.floor(F.avg("size")).alias("average"))
     share = F.col("tf") / F.col("size")
     out = tf.join(F.broadcast(size), topic).join(of, "term").crossJoin(F.broadcast(average))
     return out.select(topic, "term", ((F.sqrt(share) if reduce_frequent else share) * F.log(1 + F.col("average") / F.col("f"))).alias("weight"))

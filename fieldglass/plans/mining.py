@@ -28,7 +28,7 @@ query = R.query
 _TERMS = "SELECT doc_id, source, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents"
 _CTFIDF = f"""
     tf AS (SELECT source, term, count(*) AS tf FROM ({_TERMS}) GROUP BY ALL), f AS (SELECT term, sum(tf) AS f FROM tf GROUP BY 1), s AS (SELECT source, sum(tf) AS size FROM tf GROUP BY 1),
-    w AS (SELECT source, term, tf / size * ln(1 + (SELECT avg(size) FROM s) / f) AS weight FROM tf JOIN f USING (term) JOIN s USING (source)),
+    w AS (SELECT source, term, tf / size * ln(1 + (SELECT floor(avg(size)) FROM s) / f) AS weight FROM tf JOIN f USING (term) JOIN s USING (source)),
     k AS (SELECT source, term, weight, row_number() OVER (PARTITION BY source ORDER BY weight DESC, term)::INT AS rank FROM w QUALIFY rank <= 10)"""
 
 
@@ -378,7 +378,7 @@ def _(t):
     return K.density_cluster(t("embeddings"), "vec_id", pairs, 3, 3)
 
 
-@query("community_detection", f"WITH p AS ({_SIMILAR}), n AS (SELECT a AS x FROM p UNION ALL SELECT b FROM p) SELECT x AS vec_id, count(*) AS neighbours FROM n GROUP BY 1 HAVING count(*) >= 2")
+@query("similar_neighbours", f"WITH p AS ({_SIMILAR}), n AS (SELECT a AS x FROM p UNION ALL SELECT b FROM p) SELECT x AS vec_id, count(*) AS neighbours FROM n GROUP BY 1 HAVING count(*) >= 2")
 def _(t):
     """Candidate centres of communities: rows with enough similar ones."""
     pairs = K.similar_pairs_exact(t("embeddings"), "vec_id", "embedding", 0.8)
@@ -386,6 +386,13 @@ def _(t):
     return both.groupBy("vec_id").agg(F.count("*").alias("neighbours")).where("neighbours >= 2")
 
 
+@query("community_detection")
+def _(t):
+    pairs = K.similar_pairs_exact(t("embeddings"), "vec_id", "embedding", 0.8)
+    scratch(pairs)  # makes sure of a folder for checkpoints
+    return K.communities(pairs, 2).withColumnsRenamed({"id": "vec_id"})
+
+
 @query("silhouette", """
     WITH p AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) ** 2) AS s, count(*) AS n FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id GROUP BY ALL),
          m AS (SELECT vec_id, own, max(s / n) FILTER (own = other) AS a, min(s / n) FILTER (own <> other) AS b FROM p GROUP BY ALL)
@@ -438,9 +445,19 @@ def _features(t):
 _FEATURES = ("chars", "words", "distinct", "upper")
 
 
-@query("split_two", "SELECT o_orderkey FROM orders")
+def split_facts(t, shares):
+    """Of each part: whether its share of the keys is as asked (to 3 points), keys that are in another part too, and the rows of all parts."""
+    rows = L.split(t("lineitem"), "l_orderkey", shares)
+    keys = rows.groupBy("l_orderkey").agg(F.min("part").alias("part"), F.max("part").alias("other"), F.count("*").alias("n"))
+    asked = F.create_map(*[F.lit(x) for kv in shares for x in kv])[F.col("part")]
+    parts = keys.groupBy("part").agg(F.count("*").alias("keys"), F.count_if(F.col("part") != F.col("other")).alias("in_two"), F.sum("n").alias("rows"))
+    whole = Window.partitionBy(F.lit(1))  # a row a part
+    return parts.select("part", (F.abs(100 * F.col("keys") / F.sum("keys").over(whole) - asked) < 3).alias("as_asked"), "in_two", F.sum("rows").over(whole).alias("all_rows"))
+
+
+@query("split_two", "SELECT part, true AS as_asked, 0 AS in_two, (SELECT count(*) FROM lineitem) AS all_rows FROM (VALUES ('train'), ('test')) p(part)")
 def _(t):
-    return L.split(t("orders"), "o_orderkey", [("train", 80), ("test", 20)]).where("part is not null").select("o_orderkey")
+    return split_facts(t, [("train", 80), ("test", 20)])
 
 
 @query("training_log")
@@ -455,12 +472,14 @@ def _(t):
     return L.accuracy(model.transform(rows), "label", "prediction")
 
 
-@query("split_three", "SELECT o_orderkey FROM orders")
+@query("split_three", "SELECT part, true AS as_asked, 0 AS in_two, (SELECT count(*) FROM lineitem) AS all_rows FROM (VALUES ('train'), ('valid'), ('test')) p(part)")
 def _(t):
-    return L.split(t("orders"), "o_orderkey", [("train", 70), ("valid", 15), ("test", 15)]).where("part is not null").select("o_orderkey")
+    return split_facts(t, [("train", 70), ("valid", 15), ("test", 15)])
 
 
-@query("split_stratified")
+@query("split_stratified", """
+    WITH c AS (SELECT quality, count(*) AS n FROM labels GROUP BY 1), r AS (SELECT quality, n, unnest(range(n)) AS i FROM c)
+    SELECT quality, CASE WHEN coalesce(i / nullif(n - 1, 0), 0) <= 0.7 + 1e-12 THEN 'train' WHEN i / (n - 1) <= 0.7 + 0.15 + 1e-12 THEN 'valid' ELSE 'test' END AS part, count(*) AS n FROM r GROUP BY ALL""")
 def _(t):
     return L.split_stratified(t("labels"), "doc_id", "quality", [("train", 0.7), ("valid", 0.15), ("test", 0.15)]).groupBy("quality", "part").agg(F.count("*").alias("n"))
 
@@ -618,10 +637,13 @@ def _(t):
     return L.align_clusters(t("embeddings").withColumn("cluster", F.col("vec_id") % 7), "cluster", "label").withColumn("share", F.round("share", 6))
 
 
-@query("balanced_train_valid")
+@query("balanced_train_valid", """
+    WITH c AS (SELECT quality, count(*) AS n FROM labels WHERE quality IS NOT NULL GROUP BY 1), m AS (SELECT min(n) AS m FROM c)
+    SELECT quality, unnest(['train', 'valid']) AS part, unnest([m * 3 // 4, m - m * 3 // 4]) AS n, m AS keys FROM c, m""")
 def _(t):
-    ranked = t("labels").withColumn("r", F.row_number().over(Window.partitionBy("quality").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")))
-    return ranked.where("r <= 40").select("doc_id", "quality", F.when(F.col("r") <= 30, "train").otherwise("valid").alias("part"))
+    out = L.balanced(t("labels").where("quality is not null"), "doc_id", "quality", 0.75)
+    keys = out.groupBy("quality").agg(F.count_distinct("doc_id").alias("keys"))
+    return out.groupBy("quality", "part").agg(F.count("*").alias("n")).join(keys, "quality")
 
 
 # --- frames
@@ -685,9 +707,9 @@ def _(t):
     return M.zero_shot_frames(f, ["user_id", "day"], "event_type", "score", "session", kinds, ("yawn",)).select("user_id", "day", "kind")
 
 
-@query("detection_filter", "SELECT event_id, CASE user_id % 7 WHEN 0 THEN 'face' WHEN 1 THEN 'phone' ELSE 'cup' END || ': ' || printf('%.2f', (event_id % 100) / 131.0::DOUBLE) AS label FROM events WHERE user_id % 7 IN (0, 1, 5)")
+@query("detection_filter", "SELECT event_id, CASE user_id % 7 WHEN 0 THEN 'face' WHEN 1 THEN 'phone' ELSE 'cup' END || ': ' || round_even((event_id % 128) / 128.0::DOUBLE, 2)::VARCHAR AS label FROM events WHERE user_id % 7 IN (0, 1, 5)")
 def _(t):
-    f = t("events").select("event_id", (F.col("user_id") % 7).cast("int").alias("class"), ((F.col("event_id") % 100) / 131).alias("conf"))
+    f = t("events").select("event_id", (F.col("user_id") % 7).cast("int").alias("class"), ((F.col("event_id") % 128) / 128).alias("conf"))
     return M.detection_labels(f, "class", "conf", {0: "face", 1: "phone", 5: "cup"}).select("event_id", "label")
 
 

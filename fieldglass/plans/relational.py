@@ -47,11 +47,12 @@ _PUNCT = r"[!-/:-@\[-`{-~]"
 
 
 @query("clean_sentences", rf"""
-    WITH a AS (SELECT doc_id, lower(regexp_replace(trim(regexp_replace(regexp_replace(text, 'https?://[^ \t\r\n]+', '', 'g'), '([A-Za-z0-9])/([A-Za-z0-9])', '\1 \2', 'g')), '<[^>]*>', '', 'g')) AS s FROM documents WHERE lang = 'en'),
-         b AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(s, '{_PUNCT}', ' ', 'g'), '[^A-Za-z0-9 ]', '', 'g'), '[0-9]+', ' ', 'g') AS s FROM a)
-    SELECT doc_id, trim(regexp_replace(regexp_replace(s, '\b[A-Za-z0-9_]\b', '', 'g'), ' +', ' ', 'g')) AS text FROM b""")
+    WITH u AS (SELECT doc_id, regexp_replace(text, '(http|https)://[^ \t\r\n\v\f]+|www\.[^ \t\r\n\v\f]+', '', 'gi') AS s FROM documents),
+         h AS (SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(s, '([\pL\pN_])/([\pL\pN_])', '\1 \2', 'g'), '([\pL\pN_])/([\pL\pN_])', '\1 \2', 'g'), '<[^>]*>', '', 'g')) AS s FROM u),
+         w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_replace(regexp_replace(s, '[^a-z0-9 \t\r\n\v\f]', '', 'g'), '[0-9]', ' ', 'g'), '[ \t\r\n\v\f]+'), lambda x: length(x) > 1) AS w FROM h)
+    SELECT doc_id, array_to_string(w, ' ') AS text FROM w""")
 def _(t):
-    return t("documents").where("lang = 'en'").select("doc_id", X.clean_sentences(F.col("text")).alias("text"))
+    return t("documents").select("doc_id", X.clean_sentences(F.col("text")).alias("text"))
 
 
 @query("remove_single_chars", r"SELECT item_id, regexp_replace(regexp_replace(text, '[^ -~]', '', 'g'), '\b[A-Za-z0-9_]\b\s*', '', 'g') AS text FROM benchmark")
@@ -70,10 +71,10 @@ def _(t):
 
 
 @query("handle_negations", rf"""
-    WITH w AS (SELECT conv_id, turn, list_transform({_TOKENS.format('lower(text)')}, lambda x: CASE WHEN x IN ('the', 'that') THEN 'not' ELSE x END) AS w FROM conversations)
-    SELECT conv_id, turn, array_to_string(list_filter(list_transform(w, lambda x, i: CASE WHEN x IN ('not', 'no', 'never') THEN NULL WHEN i > 1 AND w[i - 1] IN ('not', 'no', 'never') THEN 'not_' || x ELSE x END), lambda y: y IS NOT NULL), ' ') AS text FROM w""")
+    WITH w AS (SELECT conv_id, turn, list_transform({_TOKENS.format('text')}, lambda x: CASE lower(x) WHEN 'the' THEN 'Not' WHEN 'that' THEN 'NEVER' ELSE x END) AS w FROM conversations)
+    SELECT conv_id, turn, array_to_string(list_filter(list_transform(w, lambda x, i: CASE WHEN lower(x) IN ('not', 'no', 'never') THEN NULL WHEN i > 1 AND lower(w[i - 1]) IN ('not', 'no', 'never') THEN 'not_' || x ELSE x END), lambda y: y IS NOT NULL), ' ') AS text FROM w""")
 def _(t):
-    words = F.transform(X.tokens(F.lower("text")), lambda x: F.when(x.isin("the", "that"), "not").otherwise(x))
+    words = F.transform(X.tokens(F.col("text")), lambda x: F.when(F.lower(x) == "the", "Not").when(F.lower(x) == "that", "NEVER").otherwise(x))
     return t("conversations").select("conv_id", "turn", F.array_join(X.handle_negations(words), " ").alias("text"))
 
 
@@ -100,10 +101,11 @@ def _(t):
 
 
 @query("clean_topic_label", r"""
-    WITH l AS (SELECT p_partkey, '3. Topic: "' || p_name || '", ' || p_brand || ' - because' AS s FROM part)
-    SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '^[0-9]+[.)] *', ''), '^- *', ''), '^[^:]*: *', ''), ' - .*$', ''), '\b[A-Za-z]\b', '', 'g'), '"', '', 'g'), 'Explanation.*$', ''), ', *', '; ', 'g'), ' +', ' ', 'g')) AS label FROM l""")
+    -- what is left of: a number, a dash, name and brand (whose one-digit number goes) in quotes, a word and a letter, and a tail of one of three kinds
+    SELECT p_partkey, p_name || '; ' || regexp_replace(p_brand, '#.$', '#') || ' Talk' || CASE p_partkey % 3 WHEN 2 THEN ' ' ELSE '' END AS label FROM part""")
 def _(t):
-    raw = F.concat(F.lit('3. Topic: "'), "p_name", F.lit('", '), "p_brand", F.lit(" - because"))
+    tail = F.when(F.col("p_partkey") % 3 == 0, ": and more, 2. too").when(F.col("p_partkey") % 3 == 1, " - because").otherwise(" Explanation: none")
+    raw = F.concat(F.lit('3. - "'), "p_name", F.lit("\", '"), "p_brand", F.lit("'  Talk  x"), tail)
     return t("part").select("p_partkey", X.clean_topic_label(raw).alias("label"))
 
 

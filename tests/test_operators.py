@@ -146,3 +146,89 @@ def test_top_plus_other(spark):
     day = datetime.date(2020, 1, 1)
     df = spark.createDataFrame([(day,), (day,), (day + datetime.timedelta(1),), (day + datetime.timedelta(2),)], "d date")
     assert sorted(values(tables.top_plus_other(df, F.col("d"), 1), "value", "n")) == [("2020-01-01", 2), ("other", 2)]
+
+
+def one(spark, column, **values):
+    return spark.createDataFrame([tuple(values.values())], list(values)).select(column).first()[0]
+
+
+def test_topic_labels_are_cut_as_computed_by_hand(spark):
+    for label, want in {
+        "1. Gun Control: laws and limits": "Gun Control", "- Drugs - a summary": "Drugs", "12. 'Crypto', money a b": "Crypto; money", "Travel Explanation: they travel": "Travel ", "Hate  speech, 3. groups": "Hate speech; groups", "well-being": "well",
+    }.items():
+        assert one(spark, X.clean_topic_label(F.col("s")), s=label) == want
+
+
+def test_sentences_are_cleaned_as_computed_by_hand(spark):
+    for s, want in {
+        "Don't visit WWW.Spam.com or HTTPS://x.org/a?b now!": "dont visit or now", "either/or <b>Bold</b> 2nd part": "either or bold nd part", "é naïve x_y a 42": "nave xy", "new\tline\nhere": "new line here",
+    }.items():
+        assert one(spark, X.clean_sentences(F.col("s")), s=s) == want
+
+
+def test_negation_in_any_case_marks_the_next_word(spark):
+    assert one(spark, X.handle_negations(F.split("s", " ")), s="NOT Good Never no way but not") == ["not_Good", "not_way", "but"]
+
+
+def test_confidence_is_rounded_half_to_even_without_padding(spark):
+    df = spark.createDataFrame([(0, 0.5), (0, 0.125), (1, 0.375), (0, 1.0), (2, 0.9)], "c int, p double")
+    assert [r["label"] for r in frames.detection_labels(df, "c", "p", {0: "a", 1: "b"}).collect()] == ["a: 0.5", "a: 0.12", "b: 0.38", "a: 1.0"]
+
+
+def test_quantiles_and_running_sums_equal_sorting(spark):
+    import numpy as np
+
+    from fieldglass.operators import ordered
+
+    rng = np.random.default_rng(3)
+    rows = [(str(g), float(v)) for g in range(3) for v in rng.integers(-20, 20, 400 * g + 1)] + [("x", None), (None, 2.0), (None, 5.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    found = {r["g"]: (r["a"], r["b"], r["c"]) for r in ordered.quantiles(df, ["g"], "v", {"a": 0.25, "b": 0.5, "c": 0.9}).collect()}
+    for g in ("0", "1", "2", None):
+        assert np.allclose(found[g], np.quantile([v for k, v in rows if k == g], [0.25, 0.5, 0.9]))
+    assert set(found) == {"0", "1", "2", None}
+    words = sorted({"".join(rng.choice(list("abé"), rng.integers(0, 9))) for _ in range(500)}, key=lambda w: w.encode())
+    coded = features.label_encode(spark.createDataFrame([(w,) for w in words], "w string").repartition(3), "w", "code").collect()
+    assert {r["w"]: r["code"] for r in coded} == {w: i for i, w in enumerate(words)}
+
+
+@pytest.mark.parametrize("block", [2048, 7])
+def test_similar_pairs_equal_all_pairs(spark, monkeypatch, block):
+    import numpy as np
+
+    monkeypatch.setattr(clusters, "BLOCK", block)
+    rng = np.random.default_rng(8)
+    middle = rng.normal(size=(12, 16))
+    x = np.concatenate([middle[rng.integers(0, 12, 400)] + 0.35 * rng.normal(size=(400, 16)), np.repeat(middle[:1], 5, axis=0)])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(999, None)], "id long, v array<float>").repartition(4)
+    u = x.astype(np.float32).astype(float)
+    u /= np.linalg.norm(u, axis=1, keepdims=True)
+    near = np.round(u @ u.T, 6)
+    want = {(i, j) for i in range(405) for j in range(i + 1, 405) if near[i, j] >= 0.8}
+    got = [(r["a"], r["b"]) for r in clusters.similar_pairs_exact(df, "id", "v", 0.8).collect()]
+    assert len(got) == len(want) > 1000 and {*got} == want
+    assert clusters.similar_pairs_exact(df.limit(0), "id", "v", 0.8).count() == 0
+    names = df.where("v is not null").select(F.concat(F.lit("n"), F.col("id").cast("string")).alias("id"), "v")
+    assert clusters.similar_pairs_exact(names, "id", "v", 0.8).count() == len(want)
+
+
+def test_communities_equal_claiming_one_after_another(spark):
+    import random
+
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    rng = random.Random(4)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(110)})
+    near = {i: {i} for i in range(60)}
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want = {}
+    while True:
+        size, centre = max(((len(v), -k) for k, v in near.items()), default=(0, 0))
+        if size < 3:
+            break
+        members = set(near[-centre])
+        want |= {m: -centre for m in members}
+        near = {k: v - members for k, v in near.items() if k not in members}
+    got = clusters.communities(spark.createDataFrame(pairs, "a long, b long"), 3).collect()
+    assert len(got) == len(want) and {r["id"]: r["centre"] for r in got} == want
