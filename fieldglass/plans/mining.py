@@ -305,11 +305,11 @@ def _(t):
     return t("conversations").where("text is not null").select("conv_id", "turn", F.when(s > 0, "POS").when(s < 0, "NEG").otherwise("NEU").alias("sentiment"))
 
 
-@query("topic_label_clean")
+@query("topic_label_clean", f"WITH {_CTFIDF} SELECT source, array_to_string(list(term ORDER BY rank), '; ') AS label FROM k WHERE rank <= 3 GROUP BY 1")
 def _(t):
     """Prompts of topic words go to a caller's model; its raw answers are tidied."""
     prompts = P.topic_names(topic_terms(t, 3), "source").select("source", F.array_join("words", ", ").alias("prompt"))
-    answers = score_batches(prompts, "prompt", lambda texts: [(f"1. Topic: {x}", 1.0) for x in texts], "answer string, p double", ("Error", 0.0))
+    answers = score_batches(prompts, "prompt", lambda texts: [(f'1. - "{x}": what these words share', 1.0) for x in texts], "answer string, p double", ("Error", 0.0))
     return answers.select("source", X.clean_topic_label(F.col("answer")).alias("label"))
 
 
@@ -335,12 +335,12 @@ def _(t):
     return K.pca_optimal_k(t("embeddings"), "embedding", 64)
 
 
-@query("cumulative_variance")
+@query("cumulative_variance", "WITH x AS (SELECT unnest(range(64)) AS d, unnest(embedding)::DOUBLE AS x FROM embeddings), v AS (SELECT d, var_pop(x) AS v FROM x GROUP BY 1) SELECT d, round(sum(v) OVER (ORDER BY v DESC, d) / (SELECT sum(v) FROM v), 6) AS share FROM v")
 def _(t):
     """Variance by dimension, largest first, with its running share."""
     each = t("embeddings").select(F.posexplode("embedding").alias("d", "x")).groupBy("d").agg(F.var_pop("x").alias("v"))
     total = each.agg(F.sum("v").alias("total"))
-    return each.crossJoin(total).select("d", (F.sum("v").over(Window.orderBy(F.desc("v"), "d")) / F.col("total")).alias("share"))
+    return each.crossJoin(total).select("d", F.round(F.sum("v").over(Window.orderBy(F.desc("v"), "d")) / F.col("total"), 6).alias("share"))
 
 
 @query("kmeans_cluster")
@@ -509,7 +509,7 @@ def _(t):
 
 @query("gbm_multiclass")
 def _(t):
-    found, _ = L.classify(t("embeddings").select("vec_id", (F.col("label") % 3).alias("group"), F.slice("embedding", 1, 16).alias("v")), "v", "group", "vec_id", "gbt", maxIter=2, maxDepth=2)
+    found, _ = L.classify(t("embeddings"), "embedding", "label", "vec_id", "gbt", maxIter=3, maxDepth=3)
     return L.classification_report(found, "label", "prediction")
 
 
@@ -517,7 +517,7 @@ def _(t):
 def _(t):
     day = F.array(((F.col("vec_id") % 365) / 365).cast("double"))
     df = t("embeddings").select("vec_id", "label", F.concat(F.col("embedding").cast("array<double>"), day).alias("v"))
-    found, _ = L.classify(df, "v", "label", "vec_id", "mlp", layers=[65, 16, 10], maxIter=15)
+    found, _ = L.classify(df, "v", "label", "vec_id", "mlp", layers=[65, 24, 10], maxIter=60)
     return L.accuracy(found, "label", "prediction")
 
 
@@ -729,27 +729,30 @@ def _(t):
 
 
 def _events(t):
-    """The events table as a stream: a copy in a folder of its own, since streams read folders."""
+    """The events table as a stream: a copy in a folder of its own, since streams read folders, and a last event that closes all windows."""
     df = t("events")
     df.write.parquet(path := scratch(df))
+    streams.closing_event(df, "ts").write.mode("append").parquet(path)
     return streams.event_stream(df.sparkSession, path, df.schema)
 
 
 @query("stream_daily_counts", "SELECT ts::DATE AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def _(t):
-    return streams.drained(streams.daily_counts(_events(t), "ts", "event_type"), "complete")
+    return streams.drained(streams.daily_counts(_events(t), "ts", "event_type"))
 
 
-@query("stream_frames", "SELECT user_id, time_bucket(INTERVAL '5 minutes', ts) AS start, count(*) AS frames, round(avg((value > 50)::INT), 6) AS closed_share FROM events GROUP BY ALL")
+@query("stream_frames", """
+    SELECT user_id, start, count(*) AS frames, round(avg((value > 50)::INT), 6) AS closed_share
+    FROM (SELECT user_id, value, unnest([time_bucket(INTERVAL '5 minutes', ts), time_bucket(INTERVAL '5 minutes', ts) - INTERVAL '5 minutes']) AS start FROM events) GROUP BY ALL""")
 def _(t):
-    out = streams.drained(streams.frame_alerts(_events(t), "user_id", "ts", F.col("value") > 50), "complete")
+    out = streams.drained(streams.frame_alerts(_events(t), "user_id", "ts", F.col("value") > 50))
     return out.withColumn("closed_share", F.round("closed_share", 6))
 
 
-@query("stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_dedupe", "SELECT DISTINCT ts::DATE AS day, user_id, event_type FROM events")
 def _(t):
-    found = streams.first_of_each(_events(t).select("ts", "user_id", "event_type"), ["user_id", "event_type"], "ts", "5000 days")
-    return streams.drained(found).select("user_id", "event_type")
+    found = streams.first_of_each(_events(t), ["user_id", "event_type"], "ts")
+    return streams.drained(found).select("day", "user_id", "event_type")
 
 
 @query("stream_score", f"WITH {_CENTRES}, {_BEST} SELECT vec_id, label FROM b WHERE r = 1")

@@ -156,13 +156,17 @@ def _(t):
 
 @query("mean_word_vector", rf"""
     WITH v AS (SELECT 'w' || vec_id AS word, embedding FROM embeddings), w AS (SELECT conv_id, turn, unnest({_TOKENS.format('text')}) AS word FROM conversations),
-         k AS (SELECT conv_id, turn, 'w' || (length(word) * 7 % 50) AS word FROM w)
-    SELECT conv_id, turn, round(avg(embedding[1]::DOUBLE), 6) AS d0, round(avg(embedding[2]::DOUBLE), 6) AS d1 FROM k JOIN v USING (word) GROUP BY ALL""")
+         k AS (SELECT conv_id, turn, 'w' || (('0x' || md5(word)[1:5])::BIGINT % 10000) AS word FROM w)
+    SELECT c.conv_id, c.turn, round(coalesce(avg(embedding[1]::DOUBLE), 0), 6) AS d0, round(coalesce(avg(embedding[2]::DOUBLE), 0), 6) AS d1
+    FROM conversations c LEFT JOIN (k JOIN v USING (word)) k ON k.conv_id = c.conv_id AND k.turn = c.turn GROUP BY ALL""")
 def _(t):
-    listed = F.broadcast(t("embeddings").where("vec_id < 50").select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), "embedding"))
-    words = t("conversations").select("conv_id", "turn", F.explode(X.tokens(F.col("text"))).alias("word"))
-    keyed = words.withColumn("word", F.concat(F.lit("w"), (F.length("word") * 7 % 50).cast("string")))
-    return keyed.join(listed, "word").groupBy("conv_id", "turn").agg(*[F.round(F.avg(F.get("embedding", F.lit(i)).cast("double")), 6).alias(f"d{i}") for i in (0, 1)])
+    """Each word stands for one of 10,000 names; those that are the name of a vector have it, the others are unknown. Without a known word the mean is zeros."""
+    listed = t("embeddings").select(F.concat(F.lit("w"), F.col("vec_id").cast("string")).alias("word"), "embedding")
+    words = t("conversations").select("conv_id", "turn", F.explode_outer(X.tokens(F.col("text"))).alias("word"))
+    name = F.conv(F.substring(F.md5(F.col("word").cast("binary")), 1, 5), 16, 10).cast("long") % 10_000
+    keyed = words.withColumn("word", F.concat(F.lit("w"), name.cast("string")))
+    means = [F.round(F.coalesce(F.avg(F.get("embedding", F.lit(i)).cast("double")), F.lit(0.0)), 6).alias(f"d{i}") for i in (0, 1)]
+    return keyed.join(listed, "word", "left").groupBy("conv_id", "turn").agg(*means)
 
 
 # --- joins
@@ -489,6 +493,14 @@ def _(t):
     return W.sample_per_group(t("events").select("user_id", "event_id"), ["user_id"], "event_id", 3)
 
 
+@query("sample_per_group_sizes", "SELECT user_id, least(3, count(*)) AS n, least(3, count(DISTINCT event_id)) AS n_events FROM events GROUP BY 1")
+def _(t):
+    """Of each sample of sample_per_group: its rows, and its events that are events of the group."""
+    found = W.sample_per_group(t("events").select("user_id", "event_id"), ["user_id"], "event_id", 3)
+    own = found.join(t("events").select("user_id", "event_id"), ["user_id", "event_id"], "left_semi").groupBy("user_id").agg(F.count_distinct("event_id").alias("n_events"))
+    return found.groupBy("user_id").agg(F.count("*").alias("n")).join(own, "user_id")
+
+
 @query("adjacent_size_ratio", "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1 ORDER BY n DESC, label LIMIT 4), d AS (SELECT n, lag(n) OVER (ORDER BY n DESC, label) AS b FROM c) SELECT bool_and((b - n) / b <= 0.15) AS within FROM d WHERE b IS NOT NULL")
 def _(t):
     top = t("embeddings").groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(4)

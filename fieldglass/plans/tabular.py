@@ -143,7 +143,7 @@ def _(t):
     return readers.unzipped(text.mapInArrow(pack, "content binary"), df.schema)
 
 
-@query("sink_append_log")
+@query("sink_append_log", "SELECT o_orderstatus, count(*) AS n, run FROM orders, (VALUES (1), (2)) r(run) GROUP BY ALL")
 def _(t):
     df = t("orders").groupBy("o_orderstatus").agg(F.count("*").alias("n"))
     path = scratch(df)

@@ -19,9 +19,15 @@ def event_stream(spark: SparkSession, path: str, schema, ts: str = "ts", max_fil
     return reader.parquet(path).withColumn(ts, F.col(ts).cast("timestamp"))
 
 
-def frame_alerts(frames: DataFrame, video: str, ts: str, closed, size: str = "5 minutes", late: str = "1 hour") -> DataFrame:
-    """Share of closed-eye frames of each video in tumbling windows; frames may come in any order within the watermark."""
-    w = frames.withWatermark(ts, late).groupBy(video, F.window(ts, size)).agg(F.count("*").alias("frames"), F.avg(closed.cast("double")).alias("closed_share"))
+def closing_event(events: DataFrame, ts: str) -> DataFrame:
+    """One event ten years after the last: once a stream has it, the watermark has passed all windows before."""
+    last = events.agg(F.max_by(F.struct(*events.columns), ts).alias("e")).where("e is not null").select("e.*")
+    return last.withColumn(ts, F.col(ts) + F.expr("interval 10 years"))
+
+
+def frame_alerts(frames: DataFrame, video: str, ts: str, closed, size: str = "10 minutes", slide: str = "5 minutes", late: str = "1 hour") -> DataFrame:
+    """Share of closed-eye frames of each video in sliding windows; frames may come in any order within the watermark."""
+    w = frames.withWatermark(ts, late).groupBy(video, F.window(ts, size, slide)).agg(F.count("*").alias("frames"), F.avg(closed.cast("double")).alias("closed_share"))
     return w.select(video, F.col("window.start").cast("timestamp_ntz").alias("start"), "frames", "closed_share")
 
 
@@ -31,7 +37,9 @@ def daily_counts(events: DataFrame, ts: str, kind: str, late: str = "1 day") ->
 
 
 def first_of_each(events: DataFrame, keys: list[str], ts: str, late: str = "1 day") -> DataFrame:
-    return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
+    """One row a day for each value of the keys: day and keys. A day's values leave the state when the watermark has passed it."""
+    days = events.withWatermark(ts, late).groupBy(F.window(ts, "1 day"), *keys).agg(F.count("*").alias("n"))
+    return days.select(F.to_date("window.start").alias("day"), *keys)
 
 
 def scored(items: DataFrame, vector: str, labels: DataFrame, label: str, label_vector: str) -> DataFrame:
