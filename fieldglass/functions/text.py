@@ -101,17 +101,3 @@ LABEL_STEPS = [(r"\d+\.\s*", ""), (r"^\s*-\s*", ""), (r":.*", ""), (r"-.*", ""),
 def clean_topic_label(label: Column, steps: Sequence[tuple[str, str]] = LABEL_STEPS) -> Column:
     """Numbers with a full stop, a dash in front, and all from a colon or another dash on go; also single letters and quotes."""
     return chained(label, steps)
-
-
-def lexicon_score(words: Column, positive: Sequence[str], negative: Sequence[str]) -> Column:
-    """Words of the positive list less words of the negative one."""
-    count = lambda listed: F.size(F.filter(words, lambda t: F.array_contains(F.array(*[F.lit(w) for w in listed]), t)))
-    return count(positive) - count(negative)
-
-
-def language_by_stopwords(words: Column, lists: Mapping[str, Sequence[str]]) -> Column:
-    """The language with most stop-word hits, the first in name order of several; null without any hit."""
-    count = lambda listed: F.size(F.filter(words, lambda t: F.array_contains(F.array(*[F.lit(w) for w in listed]), t)))
-    hits = [F.struct(count(listed).alias("n"), F.lit(-k).alias("k"), F.lit(name).alias("name")) for k, (name, listed) in enumerate(sorted(lists.items()))]
-    best = F.array_max(F.array(*hits))
-    return F.when(best["n"] > 0, best["name"])

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, OneVsRest, RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator, RegressionEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -16,6 +18,10 @@ from pyspark.sql import functions as F
 from fieldglass.operators.ordered import running
 
 
+#: Rows among which the nearest of a class are looked for.
+CELL_ROWS = 2000
+
+
 def hash_bucket(key: str, buckets: int = 100, seed: int = 7) -> Column:
     return F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(buckets)).cast("int")
 
@@ -125,22 +131,47 @@ def knn_classify(df: DataFrame, features: Sequence[str], label: str, key: str, k
     return rows.where("part = 'test'").join(best, list(features)).select(key, label, "prediction")
 
 
-def smote(df: DataFrame, key: str, label: str, vector: str, minority, copies: int = 1, k: int = 5, seed: int = 7) -> DataFrame:
-    """Synthetic rows of the minority class, each between a row and one of its k nearest of the class: key, label, vector.
+def smote(df: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: int = 7) -> DataFrame:
+    """Synthetic rows that raise every class to the largest one's size: key (of the row it begins at), label, vector.
 
-    Rows meet within hash cells of the class, so no row is compared with the whole class.
+    Each lies between a row and one of its k nearest of the class (all others, if they are fewer); a row alone in its class is repeated. How many begin at a row follows
+    from its rank by hash. Rows meet in cells of the class by nearest pivot, cut to CELL_ROWS by hash where they are larger, so no row is compared with a whole class;
+    a row alone in its cell is repeated. Rows with a null label or vector have no part.
     """
-    own = df.where(F.col(label) == minority).select(F.col(key).alias("a"), F.col(vector).cast("array<double>").alias("va"))
-    cells = max(1, own.count() // 500)
-    cell = F.pmod(F.xxhash64("a", F.lit(seed)), F.lit(cells))
-    own = own.withColumn("cell", cell)
-    other = own.select("cell", F.col("a").alias("b"), F.col("va").alias("vb"))
-    d = F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
-    near = own.join(other, "cell").where("a <> b").withColumn("d", d)
-    ranked = near.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))).where(F.col("r") <= k)
-    draws = ranked.withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(copies)))).where(F.col("r") == F.pmod(F.xxhash64("a", "i", F.lit(seed)), F.lit(k)) + 1)
-    t = F.pmod(F.xxhash64("a", "b", "i"), F.lit(1000)) / 1000
-    return draws.select(F.col("a").alias(key), F.lit(minority).alias(label), F.zip_with("va", "vb", lambda x, y: x + (y - x) * t).alias(vector))
+    rows = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("class"), F.col(vector).cast("array<double>").alias("v"))
+    ranked = _by_hash(rows, "key", "class", seed)
+    top = rows.groupBy("class").agg(F.count("*").alias("n")).agg(F.max("n").alias("top"))
+    want = F.expr("(top - _upto_all) div _upto_all + if(_upto <= (top - _upto_all) % _upto_all, 1, 0)")
+    ranked = ranked.crossJoin(F.broadcast(top)).select("key", "class", "v", want.cast("int").alias("times"))
+    pivots = rows.orderBy(F.xxhash64("key"), "key").limit(max(1, min(1024, rows.count() // CELL_ROWS))).toPandas()["v"]
+    middle = np.stack(pivots.to_list()) if len(pivots) else np.zeros((1, 1))
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in batches:
+            if len(part):
+                x = np.stack(part["v"].to_list())
+                yield part.assign(cell=((x**2).sum(1)[:, None] - 2 * x @ middle.T + (middle**2).sum(1)).argmin(axis=1))
+
+    def drawn(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values("key").reset_index(drop=True)
+        x = np.stack(part["v"].to_list())
+        d = (x**2).sum(1)[:, None] - 2 * x @ x.T + (x**2).sum(1)
+        np.fill_diagonal(d, np.inf)
+        near = d.argsort(axis=1, kind="stable")[:, : min(k, len(x) - 1)]
+        out = []
+        for i in np.flatnonzero(part["times"]):
+            rng = np.random.default_rng([seed, int(part["draw"][i]) & 0xFFFFFFFF])
+            for _ in range(part["times"][i]):
+                y = x[near[i, rng.integers(near.shape[1])]] if near.shape[1] else x[i]
+                out.append((part["key"][i], part["class"][i], (x[i] + (y - x[i]) * rng.random()).tolist()))
+        return pd.DataFrame(out, columns=["key", "class", "v"])
+
+    kinds = {c: k_ for c, k_ in rows.dtypes}
+    cells = ranked.mapInPandas(placed, f"key {kinds['key']}, class {kinds['class']}, v array<double>, times int, cell long").withColumn("draw", F.xxhash64("key", F.lit(seed)))
+    sizes = cells.groupBy("class", "cell").agg(F.ceil(F.count("*") / CELL_ROWS).alias("parts"))
+    cut = cells.join(sizes, ["class", "cell"]).withColumn("part", F.expr("pmod(draw, parts)")).drop("parts")
+    made = cut.groupBy("class", "cell", "part").applyInPandas(drawn, f"key {kinds['key']}, class {kinds['class']}, v array<double>")
+    return made.toDF(key, label, vector)
 
 
 def random_oversample(df: DataFrame, key: str, label: str, seed: int = 7) -> DataFrame:

@@ -179,3 +179,25 @@ def mmr(words: DataFrame, topic: str, vectors: DataFrame, n: int, diversity: flo
     rows = words.where(F.col("rank") <= candidates).join(vectors, "term").select(topic, "term", "weight", "rank", "vector")
     kind = dict(rows.dtypes)[topic]
     return rows.groupBy(topic).applyInPandas(choose, f"{topic} {kind}, term string, place int")
+
+
+def lexicon_score(df: DataFrame, ids: Sequence[str], text: str, lexicon: DataFrame) -> DataFrame:
+    """ids, score: the sum of the weights of each text's words. lexicon: term, weight, a row a term. Texts without a listed word score 0; null texts have no row."""
+    texts = df.where(F.col(text).isNotNull())
+    found = terms(texts, ids, text).join(lexicon, "term").groupBy(*ids).agg(F.sum("weight").alias("score"))
+    return texts.select(*ids).join(found, list(ids), "left").na.fill(0, ["score"])
+
+
+def language_by_words(df: DataFrame, id_col: str, text: str, hints: DataFrame, language: str) -> DataFrame:
+    """id, guess: the language of which a text has most words, the first by name of several; null without any. hints: term, language, rows of frequent words."""
+    hits = terms(df, [id_col], text).join(hints, "term").groupBy(id_col, language).agg(F.count("*").alias("n"))
+    best = hits.groupBy(id_col).agg(F.min(F.struct((-F.col("n")).alias("n"), language)).alias("s"))
+    return df.select(id_col).join(best, id_col, "left").select(id_col, F.col(f"s.{language}").alias("guess"))
+
+
+def with_lemmas(df: DataFrame, id_col: str, words: str, lemmas: DataFrame) -> DataFrame:
+    """df with each word of the array column replaced by its lemma, where there is one. lemmas: word, lemma, a row a word; id_col: unique."""
+    each = df.select(id_col, F.posexplode(words).alias("_at", "word")).join(lemmas, "word", "left")
+    found = each.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("lemma", "word").alias("word")))).alias("_all"))
+    back = found.select(id_col, F.transform("_all", lambda s: s["word"]).alias("_words"))
+    return df.join(back, id_col, "left").withColumn(words, F.coalesce("_words", words)).drop("_words")

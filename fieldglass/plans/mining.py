@@ -110,7 +110,7 @@ def _(t):
 def _(t):
     """Terms are alike when they weigh alike in the languages."""
     weights = P.ctfidf(t("documents"), "source", "text")
-    langs = sorted(_HINTS)
+    langs = ["de", "en", "es", "fr"]
     by_lang = P.ctfidf(t("documents"), "lang", "text").groupBy("term")
     vectors = by_lang.agg(*[F.sum(F.when(F.col("lang") == k, F.col("weight")).otherwise(0.0)).alias(k) for k in langs]).select("term", F.array(*langs).alias("vector"))
     return P.mmr(P.topic_words(weights, "source", 30), "source", vectors, 10)
@@ -289,20 +289,32 @@ def _(t):
     return t("embeddings").agg(F.count_if(F.col("label") == 0).alias("n"), F.round(F.avg((F.col("label") == 0).cast("int")), 6).alias("share"))
 
 
-_HINTS = {"de": ("der", "die", "und", "das", "in"), "en": ("the", "of", "and", "to", "in"), "es": ("de", "la", "que", "el", "en"), "fr": ("de", "la", "le", "et", "les")}
+_TERM_ROWS = "SELECT doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z]{2,}')) AS term FROM documents"
 
 
-@query("detect_language", "WITH w AS (SELECT doc_id, lang, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents), h AS (SELECT doc_id, unnest(['de', 'en', 'es', 'fr']) AS guess, unnest([" + ", ".join(f"len(list_filter(w, lambda x: x IN {_HINTS[k]}))" for k in sorted(_HINTS)) + "]) AS n FROM w) SELECT doc_id, CASE WHEN n > 0 THEN guess END AS guess FROM h QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, guess) = 1")
+@query("detect_language", f"""
+    WITH w AS ({_TERM_ROWS}), c AS (SELECT lang, term, count(*) AS n FROM w GROUP BY ALL), h AS (SELECT lang AS of, term FROM c QUALIFY row_number() OVER (PARTITION BY lang ORDER BY n DESC, term) <= 100),
+         g AS (SELECT doc_id, of, count(*) AS n FROM w JOIN h USING (term) GROUP BY ALL), b AS (SELECT doc_id, of FROM g QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, of) = 1)
+    SELECT d.doc_id, b.of AS guess FROM documents d LEFT JOIN b USING (doc_id)""")
 def _(t):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), 1)
-    return t("documents").select("doc_id", X.language_by_stopwords(words, _HINTS).alias("guess"))
+    """The hundred most frequent words of each language of the corpus are its hints."""
+    counts = P.terms(t("documents"), ["lang"], "text").groupBy("lang", "term").agg(F.count("*").alias("n"))
+    hints = W.top_per_group(counts, ["lang"], [F.desc("n"), F.asc("term")], 100).select("term", F.col("lang").alias("language"))
+    return P.language_by_words(t("documents"), "doc_id", "text", hints, "language")
 
 
-@query("sentiment_score", "WITH s AS (SELECT conv_id, turn, len(list_filter(regexp_extract_all(lower(text), '[a-z]{2,}'), lambda x: x IN ('good', 'the', 'great'))) - len(list_filter(regexp_extract_all(lower(text), '[a-z]{2,}'), lambda x: x IN ('bad', 'of', 'awful'))) AS s FROM conversations) SELECT conv_id, turn, CASE WHEN s > 0 THEN 'POS' WHEN s < 0 THEN 'NEG' ELSE 'NEU' END AS sentiment FROM s WHERE s IS NOT NULL")
+@query("sentiment_score", f"""
+    WITH w AS (SELECT DISTINCT doc_id, term FROM ({_TERM_ROWS})), l AS (SELECT term, count(*) AS n, avg(quality) AS share FROM w JOIN labels USING (doc_id) WHERE quality IS NOT NULL GROUP BY 1),
+         x AS (SELECT term, CASE WHEN share >= 0.9 THEN 1 ELSE -1 END AS weight FROM l WHERE n >= 5 AND (share >= 0.9 OR share <= 0.5)),
+         s AS (SELECT conv_id, turn, sum(weight) AS s FROM (SELECT conv_id, turn, unnest(regexp_extract_all(lower(text), '[a-z]{{2,}}')) AS term FROM conversations) JOIN x USING (term) GROUP BY ALL)
+    SELECT conv_id, turn, CASE WHEN s > 0 THEN 'POS' WHEN s < 0 THEN 'NEG' ELSE 'NEU' END AS sentiment FROM conversations LEFT JOIN s USING (conv_id, turn) WHERE text IS NOT NULL""")
 def _(t):
-    words = F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), 1)
-    s = X.lexicon_score(words, ("good", "the", "great"), ("bad", "of", "awful"))
-    return t("conversations").where("text is not null").select("conv_id", "turn", F.when(s > 0, "POS").when(s < 0, "NEG").otherwise("NEU").alias("sentiment"))
+    """Words of texts that people judged good or bad are the lexicon."""
+    words = P.terms(t("documents"), ["doc_id"], "text").distinct().join(t("labels").where("quality is not null"), "doc_id")
+    share = words.groupBy("term").agg(F.count("*").alias("n"), F.avg("quality").alias("share"))
+    lexicon = share.where("n >= 5 and (share >= 0.9 or share <= 0.5)").select("term", F.when(F.col("share") >= 0.9, 1).otherwise(-1).alias("weight"))
+    s = F.col("score")
+    return P.lexicon_score(t("conversations"), ["conv_id", "turn"], "text", lexicon).select("conv_id", "turn", F.when(s > 0, "POS").when(s < 0, "NEG").otherwise("NEU").alias("sentiment"))
 
 
 @query("topic_label_clean", f"WITH {_CTFIDF} SELECT source, array_to_string(list(term ORDER BY rank), '; ') AS label FROM k WHERE rank <= 3 GROUP BY 1")
@@ -573,9 +585,10 @@ def _(t):
     return L.k_fold_summary(recalls).select("fold", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"))
 
 
-@query("smote")
+@query("smote", "WITH c AS (SELECT label, count(*) AS n FROM embeddings GROUP BY 1), m AS (SELECT max(n) AS m FROM c) SELECT label, m - n AS n, 64 AS dimensions FROM c, m WHERE n < m")
 def _(t):
-    return L.smote(t("embeddings"), "vec_id", "label", "embedding", 3, 2).select("vec_id", "label")
+    made = L.smote(t("embeddings"), "vec_id", "label", "embedding")
+    return made.groupBy("label").agg(F.count("*").alias("n"), F.max(F.size("embedding")).alias("dimensions"))
 
 
 @query("random_oversample", "SELECT quality, (SELECT max(c) FROM (SELECT count(*) AS c FROM labels GROUP BY quality)) AS n FROM labels GROUP BY 1")

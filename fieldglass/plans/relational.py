@@ -37,10 +37,18 @@ def _(t):
     return t("documents").select("doc_id", X.preprocess_content(F.col("text")).alias("text"))
 
 
-@query("preprocess_title", rf"SELECT page_id, array_to_string(list_filter({_TOKENS.format('lower(title)')}, lambda x: regexp_matches(x, '^[A-Za-z]+$') AND NOT list_contains({_STOP}, lower(x))), ' ') AS title FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)")
-def _(t):
-    title = F.regexp_extract("html", "<title>([^<]*)</title>", 1)
-    return t("pages").select("page_id", X.preprocess_content(title).alias("title"))
+@query("preprocess_title", rf"""
+    WITH w AS (SELECT page_id, list_filter({_TOKENS.format('lower(title)')}, lambda x: regexp_matches(x, '^[A-Za-z]+$') AND NOT list_contains({_STOP}, lower(x))) AS w FROM (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages)),
+         d AS (SELECT DISTINCT unnest(w) AS x FROM w), l AS (SELECT a.x AS word, b.x AS lemma FROM d a JOIN d b ON a.x = b.x || 's'),
+         e AS (SELECT page_id, unnest(w) AS word, unnest(range(len(w))) AS i FROM w)
+    SELECT page_id, coalesce((SELECT string_agg(coalesce(lemma, word), ' ' ORDER BY i) FROM e LEFT JOIN l USING (word) WHERE e.page_id = w.page_id), '') AS title FROM w""")
+def _(t):
+    """A plural whose singular is in some title has that as its lemma."""
+    words = X.without_stopwords(X.alphabetic(X.tokens(F.lower(F.regexp_extract("html", "<title>([^<]*)</title>", 1)))))
+    titles = t("pages").select("page_id", words.alias("words"))
+    known = titles.select(F.explode("words").alias("lemma")).distinct()
+    lemmas = known.select(F.concat("lemma", F.lit("s")).alias("word"), "lemma").join(known.withColumnRenamed("lemma", "word"), "word")
+    return P.with_lemmas(titles, "page_id", "words", lemmas).select("page_id", F.array_join("words", " ").alias("title"))
 
 
 _PUNCT = r"[!-/:-@\[-`{-~]"

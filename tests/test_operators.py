@@ -232,3 +232,36 @@ def test_communities_equal_claiming_one_after_another(spark):
         near = {k: v - members for k, v in near.items() if k not in members}
     got = clusters.communities(spark.createDataFrame(pairs, "a long, b long"), 3).collect()
     assert len(got) == len(want) and {r["id"]: r["centre"] for r in got} == want
+
+
+def test_smote_raises_every_class_to_the_largest(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(learning, "CELL_ROWS", 40)
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 3 if i % 7 else 0, (rng.normal(size=4) + 5 * (i % 3)).tolist()) for i in range(200)] + [(500, 9, [1.0, 2.0, 3.0, 4.0]), (501, None, [0.0] * 4), (502, 1, None)]
+    df = spark.createDataFrame(rows, "id long, c int, v array<double>")
+    made = learning.smote(df, "id", "c", "v").collect()
+    count = lambda xs: {c: sum(x == c for x in xs) for c in {*xs} - {None}}
+    own = count([c for _, c, v in rows if v])
+    more = count([r["c"] for r in made])
+    assert {c: own[c] + more.get(c, 0) for c in own} == dict.fromkeys(own, max(own.values()))
+    x = {i: np.array(v) for i, c, v in rows if v}
+    for r in made:
+        if r["c"] == 9:
+            assert r["v"] == [1.0, 2.0, 3.0, 4.0]
+            continue
+        a, p = x[r["id"]], np.array(r["v"])
+        between = [np.linalg.norm(a - p) + np.linalg.norm(p - x[i]) - np.linalg.norm(a - x[i]) for i, c, v in rows if v and c == r["c"]]
+        assert min(between) < 1e-6
+    assert learning.smote(df.limit(0), "id", "c", "v").count() == 0
+
+
+def test_lemmas_and_lexicon_and_language(spark):
+    df = spark.createDataFrame([(1, ["cats", "run", "cats"], "good good bad"), (2, [], "none"), (3, None, None)], "id long, w array<string>, t string")
+    lemmas = spark.createDataFrame([("cats", "cat")], "word string, lemma string")
+    assert {r["id"]: r["w"] for r in topics.with_lemmas(df, "id", "w", lemmas).collect()} == {1: ["cat", "run", "cat"], 2: [], 3: None}
+    lexicon = spark.createDataFrame([("good", 1), ("bad", -3)], "term string, weight int")
+    assert {r["id"]: r["score"] for r in topics.lexicon_score(df, ["id"], "t", lexicon).collect()} == {1: -1, 2: 0}
+    hints = spark.createDataFrame([("good", "en"), ("bad", "de"), ("none", "fr"), ("none", "en")], "term string, k string")
+    assert {r["id"]: r["guess"] for r in topics.language_by_words(df, "id", "t", hints, "k").collect()} == {1: "en", 2: "en", 3: None}
