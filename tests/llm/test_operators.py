@@ -127,6 +127,28 @@ def test_quality_on_held_out_rows(judged, docs, empty):
     assert {r["score"] for r in quality.quality_scores(docs, labels.limit(0)).collect()} == {0.5}
 
 
+def test_statistics_equal_brute_force():
+    texts = [r[1] for r in rows() if r[1] is None or len(r[1]) < 20_000] + ["A| B! b! 12 3.", "x  x x\ty\n\ny", "|||", "a, (b) 'c' é", "é漢", "\u00a0 z"]
+    want = []
+    for text in texts:
+        b = (text or "").encode()
+        w = b.split()  # b.split splits at the same six bytes
+        low = [x.translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))) for x in w]
+        some, chars = max(len(w), 1), max(len(b), 1)
+        lengths = np.array([len(x) for x in w] or [0], float)
+        upper, other = sum(65 <= c <= 90 for c in b), sum(97 <= c <= 122 or c >= 128 for c in b)
+        mark = lambda c: 33 <= c < 127 and not chr(c).isalnum() and chr(c) not in ".,;:?'\")"
+        share = lambda x, of: math.asin(math.sqrt(min(1, x / of)))
+        mean = lengths.sum() / some
+        spread = math.sqrt(max((lengths**2).sum() / some - mean**2, 0))
+        want.append([
+            math.log1p(len(w)), math.log1p(mean), math.log1p(spread), share(upper, max(upper + other, 1)), share(sum(mark(x[-1]) for x in w), some), share(sum(x == y for x, y in zip(low, low[1:], strict=False)), some),
+            math.log1p(len(w)) - math.log1p(len({*low})), share(b.count(b"|"), some), share(b.count(b"!"), some), share(sum(48 <= c <= 57 for c in b), chars), share(sum(c in (9, 10, 11, 12, 13, 32) for c in b), chars),
+            share(sum(c >= 128 for c in b), chars), share(sum(chr(c) in ".,;:?" for c in b), some), share(b.count(b"\n"), some),
+        ])
+    assert np.allclose(quality.statistics(quality.pa.array(texts, quality.pa.string())), want, atol=1e-7)
+
+
 def test_discriminant_equals_the_formula():
     rng = np.random.default_rng(1)
     x = {0: rng.normal(size=(200, 4)) * [1, 2, 1, 3], 1: rng.normal(size=(300, 4)) + 2}
