@@ -38,13 +38,14 @@ def pca_optimal_k(df: DataFrame, vector: str, dimensions: int, threshold: float
 
 
 def kmeans_cluster(df: DataFrame, vector: str, k: int, seed: int = 7, into: str = "cluster") -> DataFrame:
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=into).fit(vs := _vectors(df, vector).cache())
+    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=into).fit(vs := _vectors(df, vector))
     return model.transform(vs).drop("_v")
 
 
 def kmeans_elbow(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 7) -> DataFrame:
     vs = _vectors(df, vector).cache()
     rows = [(k, float(KMeans(k=k, seed=seed, featuresCol="_v").fit(vs).summary.trainingCost)) for k in ks]
+    vs.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, cost double")
 
 
@@ -193,16 +194,16 @@ def density_cluster(df: DataFrame, id_col: str, pairs: DataFrame, min_neighbours
     """
     both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
     core = both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_neighbours).select(F.col("a").alias("id"))
-    edges = both.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").persist()
+    edges = both.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").checkpoint()
     labels = core.withColumn("cluster", F.col("id"))
     moved = True
     while moved:
         near = edges.join(labels, edges.b == labels.id).groupBy("a").agg(F.min("cluster").alias("low"))
         new = labels.join(near, labels.id == near.a, "left").select("id", F.least("cluster", "low").alias("new"), "cluster")
         jump = new.select(F.col("id").alias("new"), F.col("new").alias("hop"))
-        new = new.join(jump, "new", "left").select("id", F.least("new", "hop").alias("new"), "cluster").persist()
+        new = new.join(jump, "new", "left").select("id", F.least("new", "hop").alias("new"), "cluster").checkpoint()
         moved = not new.where("new <> cluster").isEmpty()
-        labels = new.select("id", F.col("new").alias("cluster")).checkpoint()
+        labels = new.select("id", F.col("new").alias("cluster"))
     border = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("cluster").alias("cluster")).select(F.col("a").alias("id"), "cluster")
     member = labels.unionByName(border.join(labels.select("id"), "id", "left_anti"))
     large = member.groupBy("cluster").agg(F.count("*").alias("n")).where(F.col("n") >= min_cluster).select("cluster")
@@ -230,7 +231,7 @@ def silhouette(df: DataFrame, cluster: str, vector: str) -> DataFrame:
 def davies_bouldin(df: DataFrame, cluster: str, vector: str) -> DataFrame:
     """Mean over clusters of the worst (spread + spread) / distance of centroids."""
     middle = centroids(df, cluster, vector)
-    spread = df.join(F.broadcast(middle), cluster).groupBy(cluster).agg(F.avg(distance(F.col(vector), F.col("centroid"))).alias("spread"))
+    spread = df.join(middle, cluster).groupBy(cluster).agg(F.avg(distance(F.col(vector), F.col("centroid"))).alias("spread"))
     k = middle.join(spread, cluster)
     a, b = k.select(F.col(cluster).alias("a"), F.col("centroid").alias("ca"), F.col("spread").alias("sa")), k.select(F.col(cluster).alias("b"), F.col("centroid").alias("cb"), F.col("spread").alias("sb"))
     # clusters are few; every two of them are compared

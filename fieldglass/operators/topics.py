@@ -60,7 +60,7 @@ def ctfidf(df: DataFrame, topic: str, text: str, reduce_frequent: bool = False,
     size = tf.groupBy(topic).agg(F.sum("tf").alias("size"))
     average = size.agg(F.floor(F.avg("size")).alias("average"))
     share = F.col("tf") / F.col("size")
-    out = tf.join(F.broadcast(size), topic).join(of, "term").crossJoin(F.broadcast(average))
+    out = tf.join(size, topic).join(of, "term").crossJoin(F.broadcast(average))
     return out.select(topic, "term", ((F.sqrt(share) if reduce_frequent else share) * F.log(1 + F.col("average") / F.col("f"))).alias("weight"))
 
 
@@ -83,7 +83,7 @@ def cooccurrence(df: DataFrame, id_col: str, text: str, vocabulary: DataFrame, w
     """
     rows = df.select(*group, id_col, tokens(F.lower(text)).alias("_t"))
     places = rows.select(*group, id_col, F.size("_t").alias("_n"), F.posexplode("_t").alias("pos", "word")).where(F.col("_n") >= window)
-    places = places.join(F.broadcast(vocabulary.select("word")), "word").withColumn("block", F.floor(F.col("pos") / window))
+    places = places.join(vocabulary.select("word"), "word").withColumn("block", F.floor(F.col("pos") / window))
     right = places.select(*group, id_col, F.col("word").alias("w2"), F.col("pos").alias("pos2"), F.col("block").alias("block2"))
     # a place meets those of its own block and the next
     left = places.select("*", F.explode(F.array(F.col("block"), F.col("block") + 1)).alias("block2"))
@@ -104,12 +104,12 @@ def topic_overlap(words: DataFrame, topic: str) -> DataFrame:
 
 def _pair_counts(words: DataFrame, topic: str, df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Document counts of each topic's words and pairs of words: topic, rank and term of both, n1, n2, both, n."""
-    listed = F.broadcast(words.select("term").distinct())
+    listed = words.select("term").distinct()
     has = terms(df, [id_col], text).distinct().join(listed, "term")
     single = has.groupBy("term").agg(F.count("*").alias("n1"))
     a, b = words.select(topic, F.col("rank").alias("r1"), F.col("term").alias("t1")), words.select(topic, F.col("rank").alias("r2"), F.col("term").alias("t2"))
     pairs = a.join(b, topic).where("r1 < r2")
-    wanted = F.broadcast(pairs.select("t1", "t2").distinct())
+    wanted = pairs.select("t1", "t2").distinct()
     both = has.withColumnRenamed("term", "t1").join(wanted, "t1").join(has.select(F.col(id_col), F.col("term").alias("t2")), [id_col, "t2"]).groupBy("t1", "t2").agg(F.count("*").alias("both"))
     out = pairs.join(both, ["t1", "t2"], "left").na.fill({"both": 0})
     out = out.join(single.select(F.col("term").alias("t1"), "n1"), "t1", "left").join(single.select(F.col("term").alias("t2"), F.col("n1").alias("n2")), "t2", "left")
