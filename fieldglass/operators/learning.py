@@ -15,9 +15,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fieldglass.operators.neighbours import nearest_points
 from fieldglass.operators.ordered import running
 
-
 #: Rows among which the nearest of a class are looked for.
 CELL_ROWS = 2000
 
@@ -113,22 +113,19 @@ def best_per_target(df: DataFrame, features: Sequence[str], targets: Sequence[st
 
 
 def knn_classify(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, train_percent: int = 80) -> DataFrame:
-    """Majority vote of the k nearest training rows; ties go to the smaller distance, then label.
+    """Majority vote of the k nearest training rows; ties go to the smaller distance, then label. Rows with a null have no part.
 
-    Equal feature points are counted first, so that what is compared and broadcast are distinct points: survey codes have few.
+    Equal feature points are counted first, so that what is compared are distinct points: survey codes have few.
     """
     rows = split(df.na.drop(subset=[*features, label]), key, [("train", train_percent), ("test", 100 - train_percent)])
-    points = rows.where("part = 'train'").groupBy(*features, label).agg(F.count("*").alias("w"))
-    if (n := points.count()) > 200_000:
-        raise ValueError(f"{n} distinct training points; bin the features first")
-    asked = rows.where("part = 'test'").select(*[F.col(f).alias(f"q_{f}") for f in features]).distinct()
-    d = F.sqrt(sum((F.col(f"q_{f}") - F.col(f)) ** 2 for f in features))
-    near = asked.crossJoin(F.broadcast(points)).withColumn("d", d)
-    ahead = F.coalesce(F.sum("w").over(Window.partitionBy(*[f"q_{f}" for f in features]).orderBy("d", label).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    votes = near.withColumn("vote", F.least(F.col("w"), k - ahead)).where("vote > 0").groupBy(*[f"q_{f}" for f in features], label).agg(F.sum("vote").alias("votes"), F.min("d").alias("d"))
-    best = votes.groupBy(*[f"q_{f}" for f in features]).agg(F.min(F.struct((-F.col("votes")).alias("v"), "d", F.col(label).alias("prediction"))).alias("s"))
-    best = best.select(*[F.col(f"q_{f}").alias(f) for f in features], F.col("s.prediction"))
-    return rows.where("part = 'test'").join(best, list(features)).select(key, label, "prediction")
+    rows = rows.select(F.col(key), F.col(label), "part", F.array(*[F.col(f).cast("double") for f in features]).alias("x"))
+    points = rows.where("part = 'train'").groupBy("x", F.col(label).alias("label")).agg(F.count("*").alias("w"))
+    near = nearest_points(rows.where("part = 'test'").select("x").distinct(), points, k)
+    ahead = F.coalesce(F.sum("w").over(Window.partitionBy("x").orderBy("d", "label").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    votes = near.withColumn("vote", F.least(F.col("w"), k - ahead)).where("vote > 0").groupBy("x", "label").agg(F.sum("vote").alias("votes"), F.min("d").alias("d"))
+    best = votes.groupBy("x").agg(F.min(F.struct((-F.col("votes")).alias("v"), "d", F.col("label").alias("prediction"))).alias("s"))
+    asked = rows.where("part = 'test'").select(F.col(key), F.col(label), "x")
+    return asked.join(best.select("x", "s.prediction"), "x").select(key, label, "prediction")
 
 
 def smote(df: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: int = 7) -> DataFrame:

@@ -129,6 +129,51 @@ def coherence_npmi(words: DataFrame, topic: str, df: DataFrame, id_col: str, tex
     return _pair_counts(words, topic, df, id_col, text).groupBy(topic).agg(F.avg(npmi).alias("coherence"))
 
 
+def _window_counts(words: DataFrame, topic: str, df: DataFrame, id_col: str, text: str, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """In how many windows of so many tokens each word is (term, n), each pair of a topic's words is (t1 < t2, both), and how many windows there are (n).
+
+    A window is known by its start. An occurrence stands for the starts of those windows in which it is the word's first, so a word's spans don't overlap and two
+    words share as many windows as their spans have starts in common. Spans are cut at multiples of `window` and meet by text and block, never a text whole.
+    """
+    rows = df.select(id_col, F.coalesce(tokens(F.lower(text)), F.array()).alias("_t")).withColumn("_starts", F.greatest(F.size("_t") - (window - 1), F.lit(1)))
+    listed = words.select("term").distinct()
+    places = rows.select(id_col, "_starts", F.posexplode("_t").alias("pos", "term")).join(listed, "term")
+    before = F.lag("pos").over(Window.partitionBy(id_col, "term").orderBy("pos"))
+    low = F.greatest(F.coalesce(before + 1, F.lit(0)), F.col("pos") - (window - 1), F.lit(0))
+    spans = places.select(id_col, "term", low.alias("low"), F.least("pos", F.col("_starts") - 1).alias("high")).where("low <= high")
+    cut = spans.select("*", F.explode(F.sequence(F.floor(F.col("low") / window), F.floor(F.col("high") / window))).alias("block"))
+    first = F.col("block") * window
+    cut = cut.select(id_col, "term", "block", F.greatest("low", first).alias("low"), F.least("high", first + (window - 1)).alias("high"))
+    a, b = words.select(topic, F.col("term").alias("t1")), words.select(topic, F.col("term").alias("t2"))
+    wanted = a.join(b, topic).where("t1 < t2").select("t1", "t2").distinct()
+    left = cut.withColumnRenamed("term", "t1").join(wanted, "t1")
+    right = cut.select(id_col, "block", F.col("term").alias("t2"), F.col("low").alias("low2"), F.col("high").alias("high2"))
+    shared = F.least("high", "high2") - F.greatest("low", "low2") + 1
+    pairs = left.join(right, [id_col, "block", "t2"]).withColumn("shared", shared).where("shared > 0").groupBy("t1", "t2").agg(F.sum("shared").alias("both"))
+    return spans.groupBy("term").agg(F.sum(F.col("high") - F.col("low") + 1).alias("n")), pairs, rows.agg(F.sum("_starts").alias("n"))
+
+
+def coherence_cv(words: DataFrame, topic: str, df: DataFrame, id_col: str, text: str, window: int = 110, epsilon: float = 1e-12) -> DataFrame:
+    """C_v: each word of a topic has a vector of its normalised pointwise mutual information with all the topic's words, itself included; mean cosine with the sum of these.
+
+    Counts are of sliding windows of white-space tokens, lower-cased; a text shorter than a window is one. A word that is in no window shares nothing with any; a
+    word whose vector is zero has cosine 0. id_col: unique.
+    """
+    single, pairs, total = _window_counts(words, topic, df, id_col, text, window)
+    a, b = words.select(topic, F.col("term").alias("a")), words.select(topic, F.col("term").alias("b"))
+    own = single.select(F.col("term").alias("t1"), F.col("term").alias("t2"), F.col("n").alias("both"))
+    each = a.join(b, topic).withColumns({"t1": F.least("a", "b"), "t2": F.greatest("a", "b")}).join(pairs.unionByName(own), ["t1", "t2"], "left")
+    each = each.join(single.select(F.col("term").alias("a"), F.col("n").alias("n1")), "a", "left").join(single.select(F.col("term").alias("b"), F.col("n").alias("n2")), "b", "left")
+    each = each.crossJoin(F.broadcast(total))  # one row
+    p = F.coalesce("both", F.lit(0)) / F.col("n") + epsilon
+    npmi = F.coalesce(F.log(p / ((F.col("n1") / F.col("n")) * (F.col("n2") / F.col("n")))) / -F.log(p), F.lit(0.0))
+    vectors = each.select(topic, "a", "b", npmi.alias("x"))
+    sums = vectors.groupBy(topic, "b").agg(F.sum("x").alias("s"))
+    product = lambda x, y: F.sum(F.col(x) * F.col(y))
+    cosines = vectors.join(sums, [topic, "b"]).groupBy(topic, "a").agg(F.coalesce(F.try_divide(product("x", "s"), F.sqrt(product("x", "x")) * F.sqrt(product("s", "s"))), F.lit(0.0)).alias("c"))
+    return cosines.groupBy(topic).agg(F.avg("c").alias("coherence"))
+
+
 def topics_meet_criteria(words: DataFrame, topic: str, groups: Mapping[str, Sequence[str]], least_topics: int = 3) -> DataFrame:
     """Whether each keyword group occurs among the words of some topic, in at least so many topics together."""
     hits = words.select(topic, F.explode(F.array(*[F.when(F.col("term").isin(*v), k) for k, v in groups.items()])).alias("group")).where("group is not null")

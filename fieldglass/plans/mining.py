@@ -279,6 +279,19 @@ def _(t):
     return P.coherence_npmi(_lang_words(t), "lang", t("documents"), "doc_id", "text").withColumn("coherence", F.round("coherence", 6))
 
 
+_CV = f"""{_LANGS}, d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[ \\t\\r\\n]+'), lambda x: x <> '') AS w FROM documents), g AS (SELECT doc_id, greatest(len(w) - 109, 1) AS s, w FROM d),
+    o AS (SELECT doc_id, s, unnest(w) AS term, unnest(range(0, len(w))) AS pos FROM g), v AS (SELECT DISTINCT doc_id, term, unnest(range(greatest(pos - 109, 0), least(pos, s - 1) + 1)) AS start FROM o WHERE term IN (SELECT term FROM k)),
+    n AS (SELECT term, count(*) AS n FROM v GROUP BY 1), p AS (SELECT a.lang, a.term AS t1, b.term AS t2 FROM k a JOIN k b USING (lang)), c AS (SELECT x.term AS t1, y.term AS t2, count(*) AS c FROM v x JOIN v y USING (doc_id, start) GROUP BY ALL),
+    q AS (SELECT lang, t1, t2, coalesce(c, 0) / (SELECT sum(s) FROM g) + 1e-12 AS p, n1.n / (SELECT sum(s) FROM g) * (n2.n / (SELECT sum(s) FROM g)) AS pp FROM p LEFT JOIN c USING (t1, t2) LEFT JOIN n n1 ON n1.term = t1 LEFT JOIN n n2 ON n2.term = t2),
+    m AS (SELECT lang, t1, t2, coalesce(ln(p / pp) / -ln(p), 0) AS m FROM q), u AS (SELECT lang, t2, sum(m) AS s FROM m GROUP BY ALL),
+    z AS (SELECT lang, t1, sum(m * s) / (sqrt(sum(m * m)) * sqrt(sum(s * s))) AS cos FROM m JOIN u USING (lang, t2) GROUP BY ALL)"""
+
+
+@query("topic_coherence_cv", f"WITH {_CV} SELECT lang, round(avg(cos), 6) AS coherence FROM z GROUP BY 1")
+def _(t):
+    return P.coherence_cv(_lang_words(t), "lang", t("documents"), "doc_id", "text").withColumn("coherence", F.round("coherence", 6))
+
+
 @query("topics_meet_criteria", f"WITH {_LANGS}, g AS (SELECT lang, CASE WHEN term IN ('the', 'of') THEN 'english' WHEN term IN ('der', 'die') THEN 'german' WHEN term IN ('de', 'la') THEN 'romance' END AS g FROM k) SELECT count(DISTINCT g) = 3 AND count(DISTINCT lang) >= 3 AS meets FROM g WHERE g IS NOT NULL")
 def _(t):
     return P.topics_meet_criteria(_lang_words(t), "lang", {"english": ["the", "of"], "german": ["der", "die"], "romance": ["de", "la"]})

@@ -2,12 +2,13 @@
 
 import datetime
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from fieldglass.functions import text as X
-from fieldglass.operators import clean, clusters, features, frames, learning, tables, topics, windows
+from fieldglass.operators import clean, clusters, features, frames, learning, neighbours, tables, topics, windows
 from fieldglass.sources import scorers, sinks
 
 
@@ -265,3 +266,49 @@ def test_lemmas_and_lexicon_and_language(spark):
     assert {r["id"]: r["score"] for r in topics.lexicon_score(df, ["id"], "t", lexicon).collect()} == {1: -1, 2: 0}
     hints = spark.createDataFrame([("good", "en"), ("bad", "de"), ("none", "fr"), ("none", "en")], "term string, k string")
     assert {r["id"]: r["guess"] for r in topics.language_by_words(df, "id", "t", hints, "k").collect()} == {1: "en", 2: "en", 3: None}
+
+
+@pytest.mark.parametrize("window", [4, 110])
+def test_cv_coherence_equals_counting_every_window(spark, window):
+    texts = ["a b c a d e f a b", "a", "", None, "c c b e e e e e e e a", "f d a c", " ".join("ab cd a f b".split() * 9)]
+    topic_terms = {"one": ["a", "b", "c"], "two": ["f", "d", "a", "absent"]}
+    seen = []
+    for text in texts:
+        words = (text or "").split()
+        seen += [set(words[s : s + window]) for s in range(max(1, len(words) - window + 1))]
+    share = lambda *ws: sum(all(w in s for w in ws) for s in seen) / len(seen)
+
+    def npmi(a, b):
+        p = share(a, b) + 1e-12
+        return math.log(p / (share(a) * share(b))) / -math.log(p) if share(a) and share(b) else 0.0
+
+    want = {}
+    for name, words in topic_terms.items():
+        rows = [[npmi(a, b) for b in words] for a in words]
+        total = [sum(c) for c in zip(*rows, strict=True)]
+        length = lambda v: math.sqrt(sum(x * x for x in v))
+        want[name] = sum(sum(x * y for x, y in zip(r, total, strict=True)) / (length(r) * length(total)) if any(r) else 0.0 for r in rows) / len(rows)
+    words = spark.createDataFrame([(k, w, i) for k, v in topic_terms.items() for i, w in enumerate(v, 1)], "topic string, term string, rank int")
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = dict(values(topics.coherence_cv(words, "topic", df, "id", "text", window), "topic", "coherence"))
+    assert got == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("block", [7, 2048])
+def test_nearest_points_equal_comparing_all(spark, monkeypatch, block):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    rng = random.Random(3)
+    rows = [(i, float(rng.randrange(12)), float(rng.randrange(9)) if rng.random() < 0.9 else 40.0 + rng.random(), rng.choice("xyz")) for i in range(700)]
+    rows += [(1000, None, 1.0, "x"), (1001, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, p double, q double, label string")
+    parts = dict(values(learning.split(df, "id", [("train", 80), ("test", 20)]), "id", "part"))
+    for k in (1, 5, 5000):
+        got = {r[0]: r[2] for r in values(learning.knn_classify(df, ("p", "q"), "label", "id", k), "id", "label", "prediction")}
+        full = [r for r in rows if None not in r]
+        want = {}
+        for i, p, q, _ in (r for r in full if parts[r[0]] == "test"):
+            near = sorted((math.sqrt((p - r[1]) ** 2 + (q - r[2]) ** 2), r[3]) for r in full if parts[r[0]] == "train")[:k]
+            votes = {c: (-sum(x[1] == c for x in near), min(x[0] for x in near if x[1] == c), c) for c in {x[1] for x in near}}
+            want[i] = min(votes.values())[2]
+        assert got == want
+    assert learning.knn_classify(df.where("id < 0"), ("p", "q"), "label", "id").count() == 0
