@@ -82,10 +82,14 @@ def _(t):
     return P.topic_names(topic_terms(t), "source").join(counts, "source").select("source", "n", "name")
 
 
-@query("keywords_of_cluster")
+@query("keywords_of_cluster", r"""
+    WITH d AS (SELECT lang, regexp_extract_all(lower(text), '[a-z]{2,}') AS w FROM documents), g AS (SELECT lang, unnest(w) AS term FROM d UNION ALL SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM d),
+         tf AS (SELECT lang, term, count(*) AS tf FROM g GROUP BY ALL), f AS (SELECT term, sum(tf) AS f FROM tf GROUP BY 1), s AS (SELECT lang, sum(tf) AS size FROM tf GROUP BY 1),
+         w AS (SELECT lang, term, tf / size * ln(1 + (SELECT floor(avg(size)) FROM s) / f) AS weight FROM tf JOIN f USING (term) JOIN s USING (lang))
+    SELECT lang, term, round(weight, 8) AS weight, row_number() OVER (PARTITION BY lang ORDER BY weight DESC, term)::INT AS rank FROM w QUALIFY rank <= 10""")
 def _(t):
     weights = P.ctfidf(t("documents"), "lang", "text", ngrams=(1, 2))
-    return P.topic_words(weights, "lang", 10)
+    return P.topic_words(weights, "lang", 10).withColumn("weight", F.round("weight", 8))
 
 
 @query("summarize_clusters", f"WITH {_CTFIDF} SELECT source, round(n / sum(n) OVER () * 100, 6) AS percent, words, first_doc FROM (SELECT source, count(*) AS n, min(doc_id) AS first_doc FROM documents GROUP BY 1) JOIN (SELECT source, array_to_string(list(term ORDER BY rank), ' ') AS words FROM k GROUP BY 1) USING (source)")
@@ -396,7 +400,11 @@ def _(t):
     return K.similar_pairs_exact(t("embeddings"), "vec_id", "embedding", 0.8)
 
 
-@query("density_cluster")
+@query("density_cluster", f"""
+    WITH RECURSIVE p AS ({_SIMILAR.replace(">= 0.8", ">= 0.75")}), e AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p), o AS (SELECT a FROM e GROUP BY 1 HAVING count(*) + 1 >= 3),
+        c AS (SELECT a, b FROM e WHERE a IN (FROM o) AND b IN (FROM o)), r(id, low) AS (SELECT a, a FROM o UNION SELECT c.a, r.low FROM r JOIN c ON c.b = r.id), l AS (SELECT id, min(low) AS cluster FROM r GROUP BY 1),
+        m AS (FROM l UNION ALL SELECT a, min(cluster) FROM e JOIN l ON b = id WHERE a NOT IN (SELECT id FROM l) GROUP BY 1), g AS (SELECT cluster FROM m GROUP BY 1 HAVING count(*) >= 3)
+    SELECT vec_id, coalesce(cluster, -1) AS cluster FROM embeddings LEFT JOIN (SELECT id, cluster FROM m JOIN g USING (cluster)) ON vec_id = id""")
 def _(t):
     pairs = K.similar_pairs_exact(t("embeddings"), "vec_id", "embedding", 0.75)
     scratch(pairs)  # makes sure of a folder for checkpoints
