@@ -143,14 +143,18 @@ def _(t):
     return P.cooccurrence(_turns(t), "id", "text", vocabulary, group=["role"]).where("weight >= 20")
 
 
+def stored(df):
+    """df, written once and read back."""
+    sinks.write_parquet(df, path := scratch(df))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _lda(t, k: int = 4, iterations: int = 8, passes: int = 1):
     rows = t("documents").select("doc_id", F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{2,})"), 1).alias("words"))
     counted = CountVectorizer(inputCol="words", outputCol="features", vocabSize=2000, minDF=2).fit(rows).transform(rows).select("doc_id", "features")
     model = LDA(k=k, maxIter=iterations * passes, seed=7, optimizer="online").fit(counted)
-    # written once: each reference to the column would infer the topics again
     shares = model.transform(counted).select("doc_id", vector_to_array("topicDistribution").alias("shares"))
-    sinks.write_parquet(shares, path := scratch(shares))
-    shares = shares.sparkSession.read.schema(shares.schema).parquet(path)
+    shares = stored(shares)  # each reference to the column would infer the topics again
     return shares.where("array_max(shares) > 0").withColumn("topic", V.argmax(F.col("shares")))
 
 
@@ -270,7 +274,7 @@ _PAIRS = f"""{_LANGS}, h AS (SELECT DISTINCT doc_id, term FROM ({_TERMS.replace(
 
 
 def _lang_words(t):
-    return P.topic_words(P.ctfidf(t("documents"), "lang", "text"), "lang", 6)
+    return stored(P.topic_words(P.ctfidf(t("documents"), "lang", "text"), "lang", 6))  # read many times; a few rows a language
 
 
 @query("topic_coherence", f"WITH {_PAIRS} SELECT lang, round(avg(ln((pair_n + 1) / n1)), 6) AS coherence FROM z GROUP BY 1")

@@ -312,3 +312,23 @@ def test_nearest_points_equal_comparing_all(spark, monkeypatch, block):
             want[i] = min(votes.values())[2]
         assert got == want
     assert learning.knn_classify(df.where("id < 0"), ("p", "q"), "label", "id").count() == 0
+
+
+def test_density_clusters_equal_a_walk(spark, tmp_path):
+    spark.sparkContext.setCheckpointDir(f"file://{tmp_path}")
+    rng = random.Random(5)
+    pairs = sorted({tuple(sorted(rng.sample(range(120), 2))) for _ in range(75)})
+    near = {i: {b for a, b in pairs if a == i} | {a for a, b in pairs if b == i} for i in range(120)}
+    core = {i for i in near if len(near[i]) + 1 >= 3}
+    of = {}
+    for i in sorted(core):
+        todo = [] if i in of else [i]
+        while todo:
+            if (x := todo.pop()) not in of:
+                of[x] = i
+                todo += near[x] & core
+    of |= {i: min(of[x] for x in near[i] & core) for i in set(near) - core if near[i] & core}
+    want = {i: of[i] if i in of and sum(c == of[i] for c in of.values()) >= 4 else -1 for i in near}
+    df = spark.createDataFrame([(i,) for i in near], "id long")
+    found = clusters.density_cluster(df, "id", spark.createDataFrame(pairs, "a long, b long"), 3, 4)
+    assert dict(values(found, "id", "cluster")) == want and len(set(want.values())) > 3
