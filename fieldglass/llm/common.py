@@ -43,15 +43,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def to_all(keys: DataFrame) -> DataFrame:
+    """keys (staged), to be sent to all tasks by a join if they are FEW_KEYS at most; more are left to a join by shuffle."""
+    return F.broadcast(keys) if keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS else keys
+
+
 def among(df: DataFrame, keys: DataFrame, on: Column, how: str = "left_semi") -> DataFrame:
     """The rows of df whose `on` is among keys (one column, staged); with how="left_anti" the others.
 
     Up to FEW_KEYS keys go to all tasks, so that df isn't shuffled; more are joined by shuffle.
     """
     own = f"key_{uuid.uuid4().hex}"  # clashes with no column of df
-    named = keys.toDF(own)
-    few = keys.limit(FEW_KEYS + 1).count() <= FEW_KEYS
-    return df.join(F.broadcast(named) if few else named, on == F.col(own), how)
+    return df.join(to_all(keys.toDF(own)), on == F.col(own), how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import pieces, shingle_sets, staged
+from fieldglass.llm.common import pieces, shingle_sets, staged, to_all
 
 TREES, STRIDE, DEPTH, WINDOW, WIDTH, SEED = 16, 6, 2, 512, 5, 20
 VALUES = TREES * STRIDE
@@ -96,7 +96,7 @@ def _orders(nodes: DataFrame, dense: DataFrame) -> DataFrame:
     turned = F.concat(F.expr(f"substring(marks, tree * {STRIDE} + 1, {VALUES})"), F.expr(f"substring(marks, 1, tree * {STRIDE})"))
     more = [c for c in nodes.columns if c == "fine"]
     rows = nodes.select("node", "label", "marks", *more, F.posexplode("keys").alias("tree", "key")).select("key", turned.alias("marks"), "node", "label", *more)
-    rows = rows.join(F.broadcast(dense.withColumn("dense", F.lit(True))), "key", "left")
+    rows = rows.join(to_all(dense.withColumn("dense", F.lit(True))), "key", "left")
     placed = rows.repartitionByRange("key", *(F.when(F.col("dense"), F.col(c)) for c in ("marks", "node")))
     return placed.drop("dense").sortWithinPartitions("key", "marks", "node")
 
@@ -319,7 +319,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = staged(feats.where("node is not null").groupBy("node").agg(ids, one, F.first("keys").alias("keys"), F.first("marks").alias("marks")), "classes")
     begins = classes.select("node", F.explode("keys").alias("key"))
     dense = staged(begins.groupBy("key").count().where(f"count > {WINDOW}").select("key"), "dense")
-    crowd = staged(begins.join(F.broadcast(dense), "key").select("node").distinct(), "crowd")
+    crowd = staged(begins.join(to_all(dense), "key").select("node").distinct(), "crowd")
     pairs = staged(_orders(classes.withColumn("label", F.col("node")), dense).mapInArrow(_scan("nearest"), "a binary, b binary").distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b"))).union(crowd).distinct()
     asked = staged(asked.join(classes, "node").select("node", "one.*", "keys", "marks"), "asked")

@@ -12,7 +12,7 @@ import zlib
 import numpy as np
 import pytest
 
-from fieldglass.llm import brown_lm, decontaminate, html_text, media, near_dup, packing, quality, sharding, toxicity, warc
+from fieldglass.llm import brown_lm, common, decontaminate, html_text, media, near_dup, packing, quality, sharding, toxicity, warc
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, label string, key long, _key string, _id long, _rows string, _its_key binary"
 
@@ -445,8 +445,9 @@ def test_shingle_join_equals_all_pairs(spark, monkeypatch):
     assert len(want) > 100 and want <= got
 
 
-@pytest.mark.parametrize("parts", [1, 8, 64])
-def test_a_dense_family_under_any_partitioning(spark, parts):
+@pytest.mark.parametrize(("parts", "few"), [(1, common.FEW_KEYS), (8, common.FEW_KEYS), (64, common.FEW_KEYS), (8, 0)])
+def test_a_dense_family_under_any_partitioning(spark, monkeypatch, parts, few):
+    monkeypatch.setattr(common, "FEW_KEYS", few)  # with 0 the dense runs are found by shuffle
     rng = random.Random(31)
     base = prose(rng, 70).split()
     table = []
