@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 CHUNK_BYTES = 2_000_000
 #: Keys of at most 16 bytes that may go to all tasks.
 FEW_KEYS = 500_000
+#: Hot keys that go to all tasks, at most.
+MANY_KEYS = 50_000
 #: White space that separates words, as ASCII codes (fixed values).
 SPACES = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 
@@ -57,6 +59,21 @@ def among(df: DataFrame, keys: DataFrame, on: Column, how: str = "left_semi") ->
     return df.join(to_all(keys.toDF(own)), on == F.col(own), how)
 
 
+def by_weight(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
+    """left joined with right (staged) on keys that are never null. right has a row a key, and in `weight` how many rows of left have it; total is the rows of left.
+
+    Keys of at least 1/MANY_KEYS of all rows go to all tasks: there are MANY_KEYS of them at most. So no task gets all rows of a hot key; the other keys are joined by shuffle.
+    """
+    least = max(2, total // MANY_KEYS)
+    mark = f"hot_{uuid.uuid4().hex}"
+    more = [c for c in right.columns if c not in on]
+    hot = right.where(F.col("weight") >= least).select(*on, F.struct(*more).alias(mark))
+    marked = left.join(F.broadcast(hot), on, "left")
+    met = marked.where(F.col(mark).isNotNull()).select(*left.columns, *(F.col(f"{mark}.{c}").alias(c) for c in more))
+    rest = marked.where(F.col(mark).isNull()).drop(mark).join(right.where(F.col("weight") < least).hint("merge"), on)
+    return met.unionByName(rest.select(*left.columns, *more))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -111,8 +128,8 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, lengths, np.searchsorted(offsets, starts, side="right") - 1
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = CHUNK_BYTES) -> np.ndarray:
-    """64-bit hashes of words with A-Z lower-cased."""
+def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most: int = CHUNK_BYTES, fold: np.ndarray = _LOWER) -> np.ndarray:
+    """64-bit hashes of words with A-Z lower-cased, or as `fold` maps their bytes."""
     out = np.empty(len(starts), np.uint64)
     ends = np.cumsum(lengths)
     at = 0
@@ -122,7 +139,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, most:
         begin = np.cumsum(n) - n
         place = np.arange(int(n.sum())) - np.repeat(begin, n)
         powers = np.multiply.accumulate(np.full(int(n.max()), 0x9E3779B97F4A7C15, np.uint64))
-        chars = _LOWER[data[place + np.repeat(starts[at:to], n)]].astype(np.uint64) + np.uint64(1)
+        chars = fold[data[place + np.repeat(starts[at:to], n)]].astype(np.uint64) + np.uint64(1)
         out[at:to] = mixed(np.add.reduceat(chars * powers[place], begin) ^ n.astype(np.uint64))
         at = to
     return out

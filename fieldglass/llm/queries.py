@@ -10,13 +10,16 @@ from fieldglass.llm.brown_lm import scored
 from fieldglass.llm.common import table
 from fieldglass.llm.decontaminate import leaks
 from fieldglass.llm.html_text import main_texts
+from fieldglass.llm.lexical import search
 from fieldglass.llm.media import media_features, media_table
 from fieldglass.llm.near_dup import near_duplicates
 from fieldglass.llm.packing import packed
 from fieldglass.llm.quality import quality_scores
 from fieldglass.llm.sharding import sharded
+from fieldglass.llm.substrings import without_repeats
 from fieldglass.llm.toxicity import toxicity_scores
 from fieldglass.llm.warc import archived
+from fieldglass.llm.whitening import whitened
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,18 @@ def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFram
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sharding": op1_sharding,
     "op2_quality_classifier": op2_quality_classifier,
@@ -70,6 +85,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_extraction": op8_html_extraction,
     "op9_toxicity": op9_toxicity,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
+    "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_substring_dedup": op12_substring_dedup,
+    "op13_lexical_search": op13_lexical_search,
 }
 ORACLES: dict[str, str] = {
     # all pairs that share a shingle: for small tables only
@@ -92,4 +110,24 @@ ORACLES: dict[str, str] = {
                CASE WHEN n >= 100 AND page_id <> m THEN m END AS refers_to
         FROM q
     """,
+    "op12_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS w FROM documents),
+            s AS (SELECT doc_id, i, array_to_string(w[i:i + 19], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+            r AS (SELECT doc_id, i FROM s QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id, i) > 1),
+            x AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM r),
+            g AS (SELECT doc_id, list(k) AS gone, count(*) AS n FROM x GROUP BY 1),
+            k AS (SELECT doc_id, string_agg(p.w[p.k], ' ' ORDER BY p.k) AS t FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d) p ANTI JOIN x ON x.doc_id = p.doc_id AND x.k = p.k GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN g USING (doc_id) LEFT JOIN k USING (doc_id)
+    """,
+    "op13_lexical_search": r"""
+        WITH t AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+            f AS (SELECT doc_id, term, count(*) AS tf FROM t GROUP BY 1, 2), n AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM f GROUP BY 1),
+            a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+            w AS (SELECT term, floor(1000 * ln((2 * any_value(docs) + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, a GROUP BY 1),
+            q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+            s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // l))))::BIGINT AS score FROM q JOIN f USING (term) JOIN w USING (term) JOIN n USING (doc_id), a GROUP BY 1, 2),
+            r AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+        SELECT item_id, rank::INT AS rank, doc_id, score FROM r WHERE rank <= 10
+    """,
 }
