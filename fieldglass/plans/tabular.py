@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldglass.operators import clean as C
 from fieldglass.operators import dates as D
 from fieldglass.operators import features as E
+from fieldglass.operators.shared import shared_dir
 from fieldglass.plans.registry import Registry
 from fieldglass.sources import readers, sinks
 
@@ -18,15 +19,7 @@ query = R.query
 
 def scratch(df) -> str:
     """A new folder among those that driver and executors share."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        import tempfile
-
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(base := f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    return f"{base}/{uuid.uuid4().hex}"
+    return f"{shared_dir(df.sparkSession)}/{uuid.uuid4().hex}"
 
 
 # --- sources and sinks

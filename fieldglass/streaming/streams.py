@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from fieldglass.operators.shared import shared_dir
 from fieldglass.operators.topics import nearest
 
 
@@ -42,6 +45,44 @@ def first_of_each(events: DataFrame, keys: list[str], ts: str, late: str = "1 da
     return days.select(F.to_date("window.start").alias("day"), *keys)
 
 
+def keep_first(events: DataFrame, keys: list[str], ts: str, id_col: str, within: str = "1 day", late: str = "1 day") -> DataFrame:
+    """The whole first row (by time, then id) of each value of the keys; a row within `within` of the one kept before it is a duplicate.
+
+    Files may come in any order within `late`: a row waits until the watermark has passed it, so an earlier one that comes later still wins, and the rows kept
+    are those of a batch over all events. Timers decide what waits, and forget a value once nothing can be its duplicate any more, so state
+    holds only what is young. A null key is a value like any other; rows with a null time or id are left out.
+    """
+    spark = events.sparkSession
+    span = int(spark.sql(f"SELECT unix_micros(timestamp'1970-01-01 00:00:00Z' + interval '{within}')").first()[0])
+
+    def decide(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, waiting = state.get if state.exists else (None, [])
+        waiting = list(waiting)
+        for batch in batches:
+            waiting += [(int(r[0]), int(r[1]), r[2]) for r in zip(batch["at"], batch["order"], batch["row"], strict=True)]
+        passed, kept, left = state.getCurrentWatermarkMs() * 1000, [], []
+        for at, order, row in sorted(waiting):
+            if at > passed:
+                left.append((at, order, row))
+            elif last is None or at > last + span:
+                kept.append(row)
+                last = at
+        until = min([x[0] for x in left], default=last + span if last is not None else passed)
+        if not left and until <= passed:
+            state.remove()
+        else:
+            state.update((last, left))
+            state.setTimeoutTimestamp(max(until, passed) // 1000 + 1)
+        yield pd.DataFrame({"row": kept}, dtype=object)
+
+    packed = F.to_json(F.struct(*events.columns), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "ignoreNullFields": "false"})
+    known = events.where(F.col(ts).isNotNull() & F.col(id_col).isNotNull()).withWatermark(ts, late)
+    rows = known.select(*(F.to_json(F.struct(F.col(c).alias("k"))).alias(f"key{k}") for k, c in enumerate(keys)), F.unix_micros(ts).alias("at"), F.col(id_col).cast("long").alias("order"), packed.alias("row"), ts)
+    state = "last long, waiting array<struct<at: long, order: long, row: string>>"
+    found = rows.groupBy(*(f"key{k}" for k in range(len(keys)))).applyInPandasWithState(decide, "row string", state, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select(F.from_json("row", events.schema, {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("r")).select("r.*")
+
+
 def scored(items: DataFrame, vector: str, labels: DataFrame, label: str, label_vector: str) -> DataFrame:
     """Each item with its nearest label as it arrives: a join with few broadcast labels, without state."""
     return nearest(items, vector, labels, label, label_vector, 1)
@@ -53,12 +94,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     Append mode closes only windows behind the watermark; complete mode gives all groups. The table goes to the shared folder.
     """
     spark = stream.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        spark.sparkContext.setCheckpointDir(base := f"file://{tempfile.mkdtemp(prefix='spark-')}")
-    place = f"{base}/stream-{uuid.uuid4().hex}"
+    place = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{place}/state").trigger(availableNow=True)
     if mode == "append":
         writer.format("parquet").option("path", f"{place}/out").start().awaitTermination()

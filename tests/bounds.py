@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from fieldglass.plans import ALL_ORACLES
+from tests import brute
 
 
 def vectors(ask):
@@ -170,7 +171,27 @@ def community_detection(rows, ask):
     assert all(n >= 2 for n in size.values()) and all(r["vec_id"] == r["centre"] or cosine(x[r["vec_id"]], x[r["centre"]]) > 0.7999 for r in rows)
 
 
+def density_cluster_tree(rows, ask):
+    x = vectors(ask)
+    want = brute.hdbscan(list(x), np.stack(list(x.values())), max(2, int(len(x) * 0.02)), 3)
+    assert {r["vec_id"]: r["cluster"] for r in rows} == {i: c for i, (c, _) in want.items()}
+    assert all(r["probability"] == pytest.approx(want[r["vec_id"]][1], rel=1e-9) for r in rows)
+
+
+def hierarchical_average(rows, ask):
+    x = vectors(ask)
+    assert {r["vec_id"]: r["cluster"] for r in rows} == brute.average_linkage(list(x), np.stack(list(x.values())), 10)
+
+
+def gbm_early_stopping(rows, ask):
+    log = sorted((r["round"], r["train_loss"], r["valid_loss"], r["kept"]) for r in rows)
+    assert [r[0] for r in log] == list(range(len(log))) and len(log) < 41 and all(a[1] > b[1] for a, b in zip(log, log[1:], strict=False))
+    best = min(log, key=lambda r: r[2])
+    assert all(r[3] == (r[0] <= best[0]) for r in log) and {r["accuracy"] > 0.9 for r in rows} == {True}
+
+
 BOUNDS = {
+    "density_cluster_tree": density_cluster_tree, "hierarchical_average": hierarchical_average, "gbm_early_stopping": gbm_early_stopping,
     "pair_sample": pair_sample, "sample_per_group": sample_per_group, "top_n_keywords": top_n_keywords, "mmr": mmr, "lda_topics": lda_topics, "lda_silhouette": silhouettes(1),
     "lda_grid_search": lda_grid_search, "text_clf_vectors": good_as_majority, "pca_reduce": pca_reduce, "pca_optimal_k": pca_optimal_k, "kmeans_cluster": clustered(lambda n: 10),
     "kmeans_elbow": kmeans_elbow, "hierarchical_cluster": clustered(lambda n: 6), "hierarchical_batches": clustered(lambda n: 5 * -(-n // 200)), "community_detection": community_detection,
