@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.llm.common import by_weight, flat, mixed, pieces, staged, to_all, word_hashes, words
+from fieldglass.llm.common import by_weight, discarded, flat, mixed, pieces, staged, to_all, word_hashes, words
 
 WIDTH = 20
 _AS_IS = np.arange(256, dtype=np.uint8)
@@ -113,7 +113,8 @@ def _extended(width: int):
             if not len(start):
                 continue
             a, b = (rolled(t.h, width, f)[start] for f in _FACTORS[2:])
-            middle = start + np.minimum(least - start, width - half)
+            # to the right of the least part if it stands in the first half, else to the left
+            middle = np.where(least - start <= width - half, least, least + t.part - half)
             row = t.rows[start]
             order = np.lexsort((start, b, a, row))
             again = np.zeros(len(start), bool)
@@ -184,6 +185,8 @@ def repeated_windows(texts: DataFrame, width: int) -> DataFrame | None:
     live = by_weight(seeds, twice, ["h"], seeds.count())
     places = staged(live.groupBy("doc").agg(F.collect_list("at").alias("places")), "places")
     some = texts.join(to_all(places.select("doc")), "doc", "left_semi").join(places, "doc")
+    discarded(seeds)
+    discarded(twice)
     longer = staged(some.select("doc", "text", "places").mapInArrow(_extended(width), "h long, doc long, at int, starts array<int>, a array<long>, b array<long>"), "longer")
     within = longer.where("h is null").select("doc", F.explode("starts").alias("start"))
     once = longer.where("h is not null")
@@ -194,6 +197,7 @@ def repeated_windows(texts: DataFrame, width: int) -> DataFrame | None:
         return within
     full = by_weight(once, twice, ["h"], once.count()).select("doc", F.inline(F.arrays_zip("starts", "a", "b")))
     full = staged(full.select("doc", F.col("starts").alias("start"), "a", "b"), "full")
+    discarded(twice)
     first = staged(full.groupBy("a", "b").agg(F.count("*").alias("weight"), F.min("doc").alias("first")).where("weight > 1"), "first")
     return by_weight(full, first, ["a", "b"], full.count()).where(F.col("doc") > F.col("first")).select("doc", "start").unionAll(within)
 
