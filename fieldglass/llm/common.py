@@ -70,16 +70,17 @@ def among(df: DataFrame, keys: DataFrame, on: Column, how: str = "left_semi") ->
 def by_weight(left: DataFrame, right: DataFrame, on: list[str], total: int) -> DataFrame:
     """left joined with right (staged) on keys that are never null. right has a row a key, and in `weight` how many rows of left have it; total is the rows of left.
 
-    Keys of at least 1/MANY_KEYS of all rows go to all tasks: there are MANY_KEYS of them at most. So no task gets all rows of a hot key; the other keys are joined by shuffle.
+    Rows of left with a hot key (at least 1/MANY_KEYS of all) are dealt out, and its row in right is repeated as often. All tasks are told the hot
+    keys: there are MANY_KEYS of them at most. So no task gets all rows of a hot key.
     """
     least = max(2, total // MANY_KEYS)
-    mark = f"hot_{uuid.uuid4().hex}"
-    more = [c for c in right.columns if c not in on]
-    hot = right.where(F.col("weight") >= least).select(*on, F.struct(*more).alias(mark))
-    marked = left.join(F.broadcast(hot), on, "left")
-    met = marked.where(F.col(mark).isNotNull()).select(*left.columns, *(F.col(f"{mark}.{c}").alias(c) for c in more))
-    rest = marked.where(F.col(mark).isNull()).drop(mark).join(right.where(F.col("weight") < least).hint("merge"), on)
-    return met.unionByName(rest.select(*left.columns, *more))
+    rooms, room = (f"{c}_{uuid.uuid4().hex}" for c in ("rooms", "room"))  # clash with no column
+    hot = right.where(F.col("weight") >= least).select(*on, F.ceil(F.col("weight") / least).alias(rooms))
+    own = F.when(F.col(rooms).isNull(), 0).otherwise(F.pmod(F.xxhash64(*left.columns), F.col(rooms)))
+    dealt = left.join(F.broadcast(hot), on, "left").withColumn(room, own.cast("int"))
+    ready = F.when(F.col("weight") >= least, F.ceil(F.col("weight") / least) - 1).otherwise(0).cast("int")
+    repeated = right.withColumn(room, F.explode(F.sequence(F.lit(0), ready)))
+    return dealt.join(repeated, [*on, room]).select(*left.columns, *(c for c in right.columns if c not in on))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
