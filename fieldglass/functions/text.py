@@ -52,10 +52,19 @@ def remove_single_chars(text: Column) -> Column:
     return F.regexp_replace(text, r"\b[A-Za-z0-9_]\b\s*", "")
 
 
+def without_links(text: Column) -> Column:
+    """URLs and tags go; a slash between words becomes a space."""
+    return chained(text, [(r"(?i)https?://\S+|www\.\S+", ""), (r"(?U)(?<=\w)/(?=\w)", " "), (r"<[^>]*>", "")])
+
+
+def without_signs(text: Column) -> Column:
+    """Signs go and leave no gap; numbers and single characters go; single spaces."""
+    return F.trim(chained(text, [(r"[^a-zA-Z0-9\s]", ""), (r"[0-9]+", " "), (r"\b[a-zA-Z]\b", ""), (r"\s+", " ")]))
+
+
 def clean_sentences(text: Column) -> Column:
     """URLs, tags, punctuation and other signs go and leave no gap; a slash between words becomes a space; numbers and single characters go; lower case."""
-    out = F.lower(chained(text, [(r"(?i)https?://\S+|www\.\S+", ""), (r"(?U)(?<=\w)/(?=\w)", " "), (r"<[^>]*>", "")]))
-    return F.trim(chained(out, [(r"[^a-z0-9\s]", ""), (r"[0-9]+", " "), (r"\b[a-z]\b", ""), (r"\s+", " ")]))
+    return without_signs(F.lower(without_links(text)))
 
 
 def clean_text(text: Column) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -15,43 +16,108 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.functions.vectors import distance
+from fieldglass.operators.shared import fresh, shared_dir
 from fieldglass.operators.topics import centroids
 
 #: Pivots of the similarity join at most, rows of a block of a cell.
 MOST_PIVOTS, BLOCK = 1024, 2048
+#: Rows among which the first centres of mini-batches are chosen.
+SAMPLE = 4096
+
+
+#: Columns that models read and write, dropped again; no table has them.
+_V, _R = fresh("vector"), fresh("reduced")
 
 
 def _vectors(df: DataFrame, vector: str) -> DataFrame:
-    return df.withColumn("_v", array_to_vector(F.col(vector).cast("array<double>")))
+    return df.withColumn(_V, array_to_vector(F.col(vector).cast("array<double>")))
 
 
 def pca_reduce(df: DataFrame, vector: str, k: int, into: str = "reduced") -> DataFrame:
-    model = PCA(k=k, inputCol="_v", outputCol="_r").fit(vs := _vectors(df, vector))
-    return model.transform(vs).withColumn(into, vector_to_array("_r")).drop("_v", "_r")
+    model = PCA(k=k, inputCol=_V, outputCol=_R).fit(vs := _vectors(df, vector))
+    return model.transform(vs).withColumn(into, vector_to_array(_R)).drop(_V, _R)
 
 
 def pca_optimal_k(df: DataFrame, vector: str, dimensions: int, threshold: float = 0.95) -> DataFrame:
     """The fewest components whose variance reaches the threshold, and that share."""
-    explained = PCA(k=dimensions, inputCol="_v", outputCol="_r").fit(_vectors(df, vector)).explainedVariance.toArray().cumsum()
+    explained = PCA(k=dimensions, inputCol=_V, outputCol=_R).fit(_vectors(df, vector)).explainedVariance.toArray().cumsum()
     k = next((i for i, x in enumerate(explained, 1) if x >= threshold), dimensions)
     return df.sparkSession.createDataFrame([(k, float(explained[k - 1]))], "k int, variance double")
 
 
 def kmeans_cluster(df: DataFrame, vector: str, k: int, seed: int = 7, into: str = "cluster") -> DataFrame:
-    model = KMeans(k=k, seed=seed, featuresCol="_v", predictionCol=into).fit(vs := _vectors(df, vector))
-    return model.transform(vs).drop("_v")
+    model = KMeans(k=k, seed=seed, featuresCol=_V, predictionCol=into).fit(vs := _vectors(df, vector))
+    return model.transform(vs).drop(_V)
+
+
+def kmeans_minibatch(df: DataFrame, vector: str, k: int, batch_rows: int, epochs: int = 3, seed: int = 7) -> np.ndarray:
+    """Centres (rows) by mini-batches: each batch moves the centres nearest to its rows towards them, the less the more rows a centre has seen.
+
+    Rows with a null vector play no part. Batches are parts of about batch_rows rows by hash, written apart, so that each step reads its own rows only. The first centres are spread
+    out among SAMPLE rows at most (each next one by its squared distance to those before). With fewer distinct rows in it than k there are fewer centres.
+    """
+    spark = df.sparkSession
+    rows = df.where(F.col(vector).isNotNull()).select(F.col(vector).cast("array<double>").alias("x"))
+    n = rows.count()
+    batches = max(1, -(-n // batch_rows))
+    path = f"{shared_dir(spark)}/batches-{uuid.uuid4().hex}"
+    # a batch's rows may lie in several files, each of which a task reads
+    rows.withColumn("batch", F.pmod(F.xxhash64("x", F.lit(seed)), F.lit(batches)).cast("int")).repartition("batch").write.partitionBy("batch").parquet(path)
+    parts = spark.read.schema("x array<double>, batch int").parquet(path)
+    few = parts.select("x").orderBy(F.xxhash64("x", F.lit(seed + 1)), "x").limit(SAMPLE).toArrow().column("x").combine_chunks()
+    sample, rng = np.asarray(few.flatten()).reshape(len(few), -1) if len(few) else np.zeros((0, 1)), np.random.default_rng(seed)
+    centres = sample[:1].copy()
+    while 0 < len(centres) < k:
+        far = ((sample[:, None] - centres[None]) ** 2).sum(-1).min(axis=1)
+        if not far.any():
+            break
+        centres = np.vstack([centres, sample[rng.choice(len(sample), p=far / far.sum())]])
+    seen = np.zeros(len(centres))
+
+    def sums(now: np.ndarray):
+        def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, count = np.zeros_like(now), np.zeros(len(now), np.int64)
+            for batch in found:
+                if batch.num_rows:
+                    x = np.asarray(batch.column("x").flatten()).reshape(batch.num_rows, -1)
+                    at = (((now**2).sum(axis=1)[None] - 2 * x @ now.T)).argmin(axis=1)
+                    np.add.at(total, at, x)
+                    count += np.bincount(at, minlength=len(now))
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(now)), pa.int32()), pa.array(count), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "n", "s"])
+
+        return run
+
+    for step in range(epochs * batches if len(centres) else 0):
+        own = parts.where(F.col("batch") == step % batches).select("x").mapInArrow(sums(centres), "i int, n long, s array<double>")
+        for r in own.collect():  # a row a centre and task of the batch
+            seen[r["i"]] += r["n"]
+            if r["n"]:
+                centres[r["i"]] += (np.array(r["s"]) - r["n"] * centres[r["i"]]) / seen[r["i"]]
+    return centres
+
+
+def assigned(df: DataFrame, vector: str, centres: np.ndarray, into: str = "cluster") -> DataFrame:
+    """df with the number of the nearest centre (of equal ones the first); null for a null vector."""
+
+    @F.pandas_udf("int")
+    def near(vectors: pd.Series) -> pd.Series:
+        x = np.stack(vectors.to_numpy()).astype(float) if len(vectors) else np.zeros((0, centres.shape[1]))
+        return pd.Series(((centres**2).sum(axis=1)[None] - 2 * x @ centres.T).argmin(axis=1), dtype="int32")
+
+    known = df.where(F.col(vector).isNotNull()).withColumn(into, near(F.col(vector).cast("array<double>")))
+    return known.unionByName(df.where(F.col(vector).isNull()), allowMissingColumns=True)
 
 
 def kmeans_elbow(df: DataFrame, vector: str, ks: Sequence[int], seed: int = 7) -> DataFrame:
     vs = _vectors(df, vector).cache()
-    rows = [(k, float(KMeans(k=k, seed=seed, featuresCol="_v").fit(vs).summary.trainingCost)) for k in ks]
+    rows = [(k, float(KMeans(k=k, seed=seed, featuresCol=_V).fit(vs).summary.trainingCost)) for k in ks]
     vs.unpersist()
     return df.sparkSession.createDataFrame(rows, "k int, cost double")
 
 
 def hierarchical_cluster(df: DataFrame, vector: str, k: int, seed: int = 7, measure: str = "euclidean", into: str = "cluster") -> DataFrame:
-    model = BisectingKMeans(k=k, seed=seed, distanceMeasure=measure, featuresCol="_v", predictionCol=into).fit(vs := _vectors(df, vector))
-    return model.transform(vs).drop("_v")
+    model = BisectingKMeans(k=k, seed=seed, distanceMeasure=measure, featuresCol=_V, predictionCol=into).fit(vs := _vectors(df, vector))
+    return model.transform(vs).drop(_V)
 
 
 def hierarchical_batches(df: DataFrame, id_col: str, vector: str, batch_rows: int, k: int) -> DataFrame:

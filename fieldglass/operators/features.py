@@ -8,7 +8,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fieldglass.operators.ordered import quantiles, running, text_place
+from fieldglass.operators.ordered import quantiles, running
+from fieldglass.operators.shared import fresh
 
 EPSILON = 1e-9
 
@@ -57,23 +58,25 @@ def discretize(df: DataFrame, column: str, n: int) -> DataFrame:
 
 def without_outliers(df: DataFrame, column: str, fence: float = 1.5) -> DataFrame:
     """Rows strictly inside the fence around the quartiles."""
-    out = df.crossJoin(F.broadcast(quantiles(df, [], column, {"_a": 0.25, "_b": 0.75})))
-    reach = (F.col("_b") - F.col("_a")) * fence
-    return out.where((F.col(column) > F.col("_a") - reach) & (F.col(column) < F.col("_b") + reach)).drop("_a", "_b")
+    low, high = fresh("low"), fresh("high")
+    out = df.crossJoin(F.broadcast(quantiles(df, [], column, {low: 0.25, high: 0.75})))
+    reach = (F.col(high) - F.col(low)) * fence
+    return out.where((F.col(column) > F.col(low) - reach) & (F.col(column) < F.col(high) + reach)).drop(low, high)
 
 
 def label_encode(df: DataFrame, column: str, into: str) -> DataFrame:
     """Rank of the value's text among all values, from 0; null counts as the text 'nan'."""
-    codes = df.select(F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias("_text")).distinct()
-    codes = running(codes, [], text_place(F.col("_text")), [F.col("_text")], {"_upto": F.lit(1)}).select((F.col("_upto") - 1).cast("int").alias(into), "_text")
-    return df.withColumn("_text", F.coalesce(F.col(column).cast("string"), F.lit("nan"))).join(codes, "_text").drop("_text")
+    text, upto = fresh("text"), fresh("upto")
+    own = F.coalesce(F.col(column).cast("string"), F.lit("nan")).alias(text)
+    codes = running(df.select(own).distinct(), [], [F.col(text)], {upto: F.lit(1)}).select((F.col(upto) - 1).cast("int").alias(into), text)
+    return df.select("*", own).join(codes, text).select(*df.columns, into)
 
 
 def factorize(df: DataFrame, column: str, order: str, into: str) -> DataFrame:
     """Rank of the value by its first appearance in `order`, from 0; null is -1."""
-    first = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias("_first"))
-    place = F.col("_first").cast("double") if dict(first.dtypes)["_first"] != "string" else text_place(F.col("_first"))
-    codes = running(first, [], place, [F.col("_first"), F.col(column)], {"_upto": F.lit(1)}).select((F.col("_upto") - 1).cast("int").alias(into), column)
+    first, upto = fresh("first"), fresh("upto")
+    values = df.where(F.col(column).isNotNull()).groupBy(column).agg(F.min(order).alias(first))
+    codes = running(values, [], [F.col(first), F.col(column)], {upto: F.lit(1)}).select((F.col(upto) - 1).cast("int").alias(into), column)
     return df.join(codes, column, "left").withColumn(into, F.coalesce(into, F.lit(-1)))
 
 

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.operators.neighbours import nearest_points
 from fieldglass.operators.ordered import running
+from fieldglass.operators.shared import fresh, written
 
 #: Rows among which the nearest of a class are looked for.
 CELL_ROWS = 2000
@@ -35,21 +37,23 @@ def split(df: DataFrame, key: str, shares: Sequence[tuple[str, int]], seed: int
     return df.withColumn(into, out)
 
 
-def _by_hash(df: DataFrame, key: str, label: str, seed: int) -> DataFrame:
-    """df with its row's number (`_upto`, from 1) in its class by hash of the key, and the size of the class (`_upto_all`)."""
-    hashed = df.withColumn("_hash", F.xxhash64(F.col(key), F.lit(seed)))
-    return running(hashed, [label], F.col("_hash"), [F.col("_hash"), F.col(key)], {"_upto": F.lit(1)}, block=F.shiftright("_hash", 56))
+def _by_hash(df: DataFrame, key: str, label: str, seed: int) -> tuple[DataFrame, Column, Column]:
+    """df and more columns, the row's number in its class by hash of the key (from 1), and the size of the class."""
+    hashed, upto = fresh("hash"), fresh("upto")
+    ranked = running(df.withColumn(hashed, F.xxhash64(F.col(key), F.lit(seed))), [label], [F.col(hashed), F.col(key)], {upto: F.lit(1)})
+    return ranked, F.col(upto), F.col(f"{upto}_all")
 
 
 def split_stratified(df: DataFrame, key: str, label: str, shares: Sequence[tuple[str, float]], seed: int = 7, into: str = "part") -> DataFrame:
     """The same shares of each class, by rank of the key's hash within the class."""
-    upto, out = 0.0, None
-    ranked = _by_hash(df, key, label, seed).withColumn("_rank", F.try_divide(F.col("_upto") - 1, F.col("_upto_all") - 1)).na.fill(0.0, ["_rank"])
+    end, out = 0.0, None
+    ranked, upto, size = _by_hash(df, key, label, seed)
+    place = F.coalesce(F.try_divide(upto - 1, size - 1), F.lit(0.0))
     for name, share in shares:
-        upto += share
-        hit = F.col("_rank") <= upto + 1e-12
+        end += share
+        hit = place <= end + 1e-12
         out = F.when(hit, name) if out is None else out.when(hit, name)
-    return ranked.withColumn(into, F.coalesce(out, F.lit(shares[-1][0]))).drop("_rank", "_hash", "_upto", "_upto_all")
+    return ranked.select(*[c for c in df.columns if c != into], F.coalesce(out, F.lit(shares[-1][0])).alias(into))
 
 
 def assembled(df: DataFrame, features: Sequence[str] | str) -> DataFrame:
@@ -112,6 +116,34 @@ def best_per_target(df: DataFrame, features: Sequence[str], targets: Sequence[st
     return df.sparkSession.createDataFrame(out, "target string, model string, rmse double")
 
 
+def filled_targets(df: DataFrame, features: Sequence[str], targets: Sequence[str], key: str, parallel: int = 4) -> tuple[DataFrame, DataFrame]:
+    """df with every null of a target filled by a model, and what was chosen: target, model, rmse, filled (rows), chosen.
+
+    For each target all candidates are trained on the rows that have it and compared on a held-out part; the one with the least error is fitted again on all rows that have the
+    target, and predicts those that lack it. Targets are worked on side by side. A row with a null feature keeps its null; so does a target that no row has.
+    """
+    keys = [fresh("filled") for _ in targets]
+
+    def one(target: str, name: str) -> tuple[DataFrame | None, list[tuple]]:
+        known = df.where(F.col(target).isNotNull())
+        if known.isEmpty():
+            return None, []
+        error = {m: RegressionEvaluator(metricName="rmse").evaluate(regress(known, features, target, key, [m])) for m in REGRESSORS}
+        best = min(error, key=error.get)
+        fitted = REGRESSORS[best]().setPredictionCol(name).fit(assembled(known, features).withColumn("label", F.col(target).cast("double")))
+        guesses = written(fitted.transform(assembled(df.where(F.col(target).isNull()), features)).select(key, name).dropDuplicates([key]), "filled")
+        return guesses, [(target, m, float(e), guesses.count(), m == best) for m, e in error.items()]
+
+    with ThreadPoolExecutor(parallel) as pool:
+        done = list(pool.map(one, targets, keys))
+    out = df
+    for target, name, (guesses, _) in zip(targets, keys, done, strict=True):
+        if guesses is not None:
+            out = out.join(guesses, key, "left").withColumn(target, F.coalesce(F.col(target).cast("double"), F.col(name))).drop(name)
+    log = [row for _, rows in done for row in rows]
+    return out, df.sparkSession.createDataFrame(log, "target string, model string, rmse double, filled long, chosen boolean")
+
+
 def knn_classify(df: DataFrame, features: Sequence[str], label: str, key: str, k: int = 5, train_percent: int = 80) -> DataFrame:
     """Majority vote of the k nearest training rows; ties go to the smaller distance, then label. Rows with a null have no part.
 
@@ -136,9 +168,9 @@ def smote(df: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: in
     a row alone in its cell is repeated. Rows with a null label or vector have no part.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("key"), F.col(label).alias("class"), F.col(vector).cast("array<double>").alias("v"))
-    ranked = _by_hash(rows, "key", "class", seed)
+    ranked, upto, size = _by_hash(rows, "key", "class", seed)
     top = rows.groupBy("class").agg(F.count("*").alias("n")).agg(F.max("n").alias("top"))
-    want = F.expr("(top - _upto_all) div _upto_all + if(_upto <= (top - _upto_all) % _upto_all, 1, 0)")
+    want = F.floor((F.col("top") - size) / size) + F.when(upto <= (F.col("top") - size) % size, 1).otherwise(0)
     ranked = ranked.crossJoin(F.broadcast(top)).select("key", "class", "v", want.cast("int").alias("times"))
     pivots = rows.orderBy(F.xxhash64("key"), "key").limit(max(1, min(1024, rows.count() // CELL_ROWS))).toPandas()["v"]
     middle = np.stack(pivots.to_list()) if len(pivots) else np.zeros((1, 1))
@@ -173,18 +205,20 @@ def smote(df: DataFrame, key: str, label: str, vector: str, k: int = 5, seed: in
 
 def random_oversample(df: DataFrame, key: str, label: str, seed: int = 7) -> DataFrame:
     """Rows repeated until each class is as large as the largest; which rows are used once more follows from their hash."""
-    top = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.max("_n").alias("_top"))
-    ranked = _by_hash(df, key, label, seed).crossJoin(F.broadcast(top))
-    times = F.expr("_top div _upto_all + if(_upto <= _top % _upto_all, 1, 0)").cast("int")
-    return ranked.withColumn("_i", F.explode(F.sequence(F.lit(1), times))).drop("_top", "_i", "_hash", "_upto", "_upto_all")
+    n, top = fresh("n"), fresh("top")
+    ranked, upto, size = _by_hash(df, key, label, seed)
+    most = df.groupBy(label).agg(F.count("*").alias(n)).agg(F.max(n).alias(top))
+    times = (F.floor(F.col(top) / size) + F.when(upto <= F.col(top) % size, 1).otherwise(0)).cast("int")
+    return ranked.crossJoin(F.broadcast(most)).withColumn(n, F.explode(F.sequence(F.lit(1), times))).select(*df.columns)
 
 
 def balanced(df: DataFrame, key: str, label: str, train: float, seed: int = 7, into: str = "part") -> DataFrame:
     """As many rows of each class as the smallest has, by hash of the key: the share `train` (rounded down) for training, the others for validation."""
-    least = df.groupBy(label).agg(F.count("*").alias("_n")).agg(F.min("_n").alias("_least"))
-    ranked = _by_hash(df, key, label, seed).crossJoin(F.broadcast(least)).where("_upto <= _least")
-    part = F.when(F.col("_upto") <= F.floor(F.col("_least") * train), "train").otherwise("valid")
-    return ranked.withColumn(into, part).drop("_hash", "_upto", "_upto_all", "_least")
+    n, least = fresh("n"), fresh("least")
+    ranked, upto, _ = _by_hash(df, key, label, seed)
+    few = df.groupBy(label).agg(F.count("*").alias(n)).agg(F.min(n).alias(least))
+    part = F.when(upto <= F.floor(F.col(least) * train), "train").otherwise("valid")
+    return ranked.crossJoin(F.broadcast(few)).where(upto <= F.col(least)).select(*[c for c in df.columns if c != into], part.alias(into))
 
 
 def confusion_matrix(df: DataFrame, truth: str, predicted: str) -> DataFrame:
@@ -202,14 +236,50 @@ def classification_report(df: DataFrame, truth: str, predicted: str) -> DataFram
     return rows.select("class", p.alias("precision"), r.alias("recall"), F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0)).alias("f1"), "support")
 
 
+def report_means(report: DataFrame) -> DataFrame:
+    """Rows "macro" (mean over classes), "weighted" (by support) and "accuracy" of a classification report, with the support of all."""
+    n = F.sum("support")
+    names = ("precision", "recall", "f1")
+    sums = report.agg(n.alias("n"), *[F.avg(c).alias(f"macro_{c}") for c in names], *[(F.sum(F.col(c) * F.col("support")) / n).alias(f"weighted_{c}") for c in names])
+    # of all rows those of their class that are found: recall by support
+    rows = [F.struct(F.lit(m).alias("class"), *[F.col(f"{m}_{c}").alias(c) for c in names], F.col("n").alias("support")) for m in ("macro", "weighted")]
+    rows.append(F.struct(F.lit("accuracy").alias("class"), *[F.col("weighted_recall").alias(c) for c in names], F.col("n").alias("support")))
+    return sums.select(F.inline(F.array(*rows)))
+
+
+def class_scores(df: DataFrame, truth: str, scores: Mapping[object, Column]) -> DataFrame:
+    """class, score, positive: each row once for each class, with its score for that class and whether it is one; for curves of one class against the rest.
+
+    Rows without truth, and null scores, are left out.
+    """
+    each = [F.struct(F.lit(c).alias("class"), s.cast("double").alias("score"), (F.col(truth) == F.lit(c)).alias("positive")) for c, s in scores.items()]
+    return df.where(F.col(truth).isNotNull()).select(F.inline(F.array(*each))).where("score is not null")
+
+
+def class_curves(rows: DataFrame) -> DataFrame:
+    """class, score, tpr, fpr, precision down to each distinct score of each class; a rate is null where a class has no positives or no negatives."""
+    steps = _steps(rows, "score", F.col("positive"), ["class"])
+    rate = lambda a, b: F.try_divide(F.col(a), F.col(b))
+    return steps.select("class", "score", rate("tp", "all_positive").alias("tpr"), rate("fp", "all_negative").alias("fpr"), (F.col("tp") / (F.col("tp") + F.col("fp"))).alias("precision"))
+
+
+def class_areas(rows: DataFrame) -> DataFrame:
+    """class, auc, average_precision of each class, and of class null their means over all classes that have both."""
+    area = F.try_divide(F.col("q"), F.col("all_negative")) * F.try_divide(2 * F.col("tp") - F.col("p"), F.col("all_positive")) / 2
+    precise = F.try_divide(F.col("p"), F.col("all_positive")) * F.col("tp") / (F.col("tp") + F.col("fp"))
+    each = _steps(rows, "score", F.col("positive"), ["class"]).groupBy("class").agg(F.sum(area).alias("auc"), F.sum(precise).alias("average_precision"))
+    kind = dict(each.dtypes)["class"]
+    return each.unionAll(each.where("auc is not null and average_precision is not null").select(F.lit(None).cast(kind).alias("class"), F.col("auc"), F.col("average_precision")).groupBy("class").agg(F.avg("auc"), F.avg("average_precision")))
+
+
 def accuracy(df: DataFrame, truth: str, predicted: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.avg((F.col(truth) == F.col(predicted)).cast("int")).alias("accuracy"))
 
 
-def _steps(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    """Positives and negatives down to each distinct score, and of all rows."""
-    each = df.groupBy(F.col(score).alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
-    out = running(each, [], -F.col("score").cast("double"), [F.desc("score")], {"tp": F.col("p"), "fp": F.col("q")})
+def _steps(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -> DataFrame:
+    """Positives and negatives down to each distinct score, and of all rows, within each value of `by`."""
+    each = df.groupBy(*by, F.col(score).alias("score")).agg(F.count_if(positive).alias("p"), F.count_if(~positive).alias("q"))
+    out = running(each, by, [F.desc("score")], {"tp": F.col("p"), "fp": F.col("q")})
     return out.withColumnsRenamed({"tp_all": "all_positive", "fp_all": "all_negative"})
 
 

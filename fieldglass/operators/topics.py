@@ -9,8 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.functions.text import tokens
+from fieldglass.functions.text import tokens, without_links, without_signs
 from fieldglass.functions.vectors import cosine
+from fieldglass.operators.shared import fresh, written
 from fieldglass.operators.windows import top_per_group
 
 
@@ -75,6 +76,56 @@ def topic_names(words: DataFrame, topic: str, n: int = 4) -> DataFrame:
     return lists.withColumn("name", F.concat_ws("_", F.col(topic).cast("string"), F.slice("words", 1, n)))
 
 
+def evolving_words(df: DataFrame, topic: str, bin_: str, text: str, n: int, stopwords: Sequence[str] = ()) -> DataFrame:
+    """topic, bin, term, weight, rank: the n best terms of each topic in each bin of time.
+
+    A weight is the term's share of the topic's words in the bin times ln(1 + average words of a topic, cut to an integer, / its count in all texts), and each list of
+    weights is scaled to sum 1. A bin's list is averaged with that of the bin before, if the topic is there, and the result with the topic's own list over
+    all bins. Weights count to 10 digits; of equal ones the first term. Rows without topic, bin or text play no part.
+    """
+    tf = terms(df.where(F.col(topic).isNotNull() & F.col(bin_).isNotNull()), [topic, bin_], text, stopwords=stopwords).groupBy(topic, bin_, "term").agg(F.count("*").alias("tf"))
+    tf = written(tf, "terms")
+    whole = tf.groupBy(topic, "term").agg(F.sum("tf").alias("tf"))
+    size = whole.groupBy(topic).agg(F.sum("tf").alias("size"))
+    odds = F.log(1 + F.col("average") / F.sum("tf"))
+    idf = whole.crossJoin(F.broadcast(size.agg(F.floor(F.avg("size")).alias("average")))).groupBy("term", "average").agg(odds.alias("idf")).select("term", "idf")
+
+    def scaled(counts: DataFrame, keys: list[str]) -> DataFrame:
+        raw = counts.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
+        # a topic's total divides out the number of its words
+        return raw.join(raw.groupBy(*keys).agg(F.sum("w").alias("all")), keys).select(*keys, "term", (F.col("w") / F.col("all")).alias("w"))
+
+    own = written(scaled(tf, [topic, bin_]), "own")
+    seen = own.select(topic, bin_).distinct()
+    later = own.withColumn(bin_, F.col(bin_) + 1).join(seen, [topic, bin_], "left_semi")
+    count = seen.join(seen.select(topic, (F.col(bin_) + 1).alias(bin_), F.lit(2).alias("lists")), [topic, bin_], "left")
+    both = own.unionAll(later.select(own.columns)).groupBy(topic, bin_, "term").agg(F.sum("w").alias("w"))
+    both = both.join(count, [topic, bin_]).select(topic, bin_, "term", (F.col("w") / F.coalesce("lists", F.lit(1))).alias("w"))
+    # a term of the topic that is missing in the bin has half its weight in the topic
+    fixed = scaled(whole, [topic]).join(seen, topic).select(topic, bin_, "term", "w")
+    weight = F.round(F.sum("w") / 2, 10).alias("weight")
+    return top_per_group(both.unionAll(fixed).groupBy(topic, bin_, "term").agg(weight), [topic, bin_], [F.desc("weight"), F.asc("term")], n)
+
+
+def representatives(df: DataFrame, topic: str, id_col: str, text: str, n: int, stopwords: Sequence[str] = ()) -> DataFrame:
+    """topic, id, similarity, rank: the n texts of each topic that are most like it, by the cosine of their term weights.
+
+    A text's weights are its term counts times ln(1 + average words of a topic, cut to an integer, / the term's count in all texts); a topic's are those of all its texts together.
+    Every text is compared; before the shuffle each task keeps the n best of a topic. Similarities count to 8 digits; of equal ones the smallest id.
+    Texts without terms are no one's representative.
+    """
+    tf = written(terms(df.where(F.col(topic).isNotNull()), [topic, id_col], text, stopwords=stopwords).groupBy(topic, id_col, "term").agg(F.count("*").alias("tf")), "terms")
+    whole = written(tf.groupBy(topic, "term").agg(F.sum("tf").alias("of_topic")), "topics")
+    average = whole.groupBy(topic).agg(F.sum("of_topic").alias("size")).agg(F.floor(F.avg("size")).alias("average"))
+    idf = whole.groupBy("term").agg(F.sum("of_topic").alias("f")).crossJoin(F.broadcast(average)).select("term", F.log(1 + F.col("average") / F.col("f")).alias("idf"))
+    weighted = whole.join(idf, "term").select(topic, "term", "idf", (F.col("of_topic") * F.col("idf")).alias("w"))
+    length = weighted.groupBy(topic).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("length"))
+    own = F.col("tf") * F.col("idf")
+    texts = tf.join(weighted, [topic, "term"]).groupBy(topic, id_col).agg(F.sum(own * F.col("w")).alias("dot"), F.sqrt(F.sum(own * own)).alias("its"))
+    found = texts.join(length, topic).select(topic, id_col, F.round(F.col("dot") / F.col("its") / F.col("length"), 8).alias("similarity"))
+    return top_per_group(found, [topic], [F.desc("similarity"), F.asc(id_col)], n)
+
+
 def cooccurrence(df: DataFrame, id_col: str, text: str, vocabulary: DataFrame, window: int = 5, group: Sequence[str] = ()) -> DataFrame:
     """w1 <= w2, weight: pairs of listed words in the same window of `window` tokens, twice the number of windows that hold the pair of places.
 
@@ -203,6 +254,23 @@ def truecase_lexicon(df: DataFrame, text: str, least_share: float = 0.9, least_u
     return out.where((F.col("uses") >= least_uses) & (F.col("share") >= least_share))
 
 
+def sentences_with_names(df: DataFrame, id_col: str, text: str, names: DataFrame) -> DataFrame:
+    """id, text: cleaned sentences in lower case, but for words among names (column word, lower case), which keep theirs.
+
+    URLs and tags go, a slash between words becomes a space. Each word, without the signs around it, is looked up; the text is put together again in the order of its
+    places, and then loses signs, numbers and single characters like clean_sentences. Each row of df gives one, a null text a null; ids needn't be unique.
+    """
+    place, pos, words, key = fresh("row"), fresh("pos"), fresh("words"), fresh("key")
+    # rows are told apart by a number that is written with them
+    rows = written(df.select(id_col, tokens(without_links(F.col(text))).alias(words), F.monotonically_increasing_id().alias(place)), "words")
+    each = rows.select(place, F.posexplode(words).alias(pos, "word")).withColumn(key, F.lower(F.regexp_replace("word", r"^[^A-Za-z]+|[^A-Za-z]+$", "")))
+    kept = each.join(names.select(F.col("word").alias(key), F.lit(True).alias("kept")).dropDuplicates([key]), key, "left")
+    back = kept.groupBy(place).agg(F.array_sort(F.collect_list(F.struct(F.col(pos), F.when(F.col("kept"), F.col("word")).otherwise(F.lower("word")).alias("word")))).alias("all"))
+    joined = F.array_join(F.transform("all", lambda s: s["word"]), " ")
+    out = rows.join(back, place, "left").withColumn(words, F.when(F.col(words).isNotNull(), F.coalesce(joined, F.lit(""))))
+    return out.select(id_col, without_signs(F.col(words)).alias(text))
+
+
 def mmr(words: DataFrame, topic: str, vectors: DataFrame, n: int, diversity: float = 0.3, candidates: int = 30) -> DataFrame:
     """n diverse terms of each topic out of its best `candidates`: each next one has the best (1 - diversity) * weight - diversity * similarity to those chosen.
 

@@ -190,7 +190,43 @@ def gbm_early_stopping(rows, ask):
     assert all(r[3] == (r[0] <= best[0]) for r in log) and {r["accuracy"] > 0.9 for r in rows} == {True}
 
 
+def kmeans_minibatch(rows, ask):
+    """Scatter within 5 % of what plain k-means reaches from several beginnings."""
+    x = vectors(ask)
+    clustered(lambda n: 10)(rows, ask)
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["cluster"], []).append(x[r["vec_id"]])
+    mine, all_, rng, costs = sum(scatter(np.stack(g)) for g in groups.values()), np.stack(list(x.values())), np.random.default_rng(1), []
+    for _ in range(5):
+        centres = all_[rng.choice(len(all_), 10, replace=False)]
+        for _ in range(30):
+            at = ((all_[:, None] - centres[None]) ** 2).sum(-1).argmin(axis=1)
+            centres = np.stack([all_[at == k].mean(axis=0) if (at == k).any() else centres[k] for k in range(10)])
+        costs.append(((all_ - centres[at]) ** 2).sum())
+    assert mine < 1.05 * np.median(costs)
+
+
+def detect_language_model(rows, ask):
+    truth = dict(ask("SELECT doc_id, lang FROM documents WHERE lang IS NOT NULL AND regexp_matches(text, '[A-Za-z]')"))
+    hits = dict(ask(ALL_ORACLES["detect_language"]))
+    held = [r for r in rows if r["held_out"] and r["doc_id"] in truth]
+    right = sum(r["language"] == truth[r["doc_id"]] for r in held)
+    assert len(rows) == ask("SELECT count(*) FROM documents")[0][0] and right / len(held) > 0.97 and right >= sum(hits[r["doc_id"]] == truth[r["doc_id"]] for r in held)
+
+
+def multi_target_filled(rows, ask):
+    for target in ("price", "year"):
+        own = [r for r in rows if r["target"] == target]
+        best = min(own, key=lambda r: r["rmse"])
+        assert [r["model"] for r in own if r["chosen"]] == [best["model"]] and len(own) == 2
+        assert all(r["left_null"] == 0 and r["changed"] == 0 and r["filled"] > 0 for r in own) and best["error"] < 1.5 * best["rmse"]
+    # the price follows from the day: spread 1,050 or so
+    assert min(r["error"] for r in rows if r["target"] == "price") < 100
+
+
 BOUNDS = {
+    "kmeans_minibatch": kmeans_minibatch, "detect_language_model": detect_language_model, "multi_target_filled": multi_target_filled,
     "density_cluster_tree": density_cluster_tree, "hierarchical_average": hierarchical_average, "gbm_early_stopping": gbm_early_stopping,
     "pair_sample": pair_sample, "sample_per_group": sample_per_group, "top_n_keywords": top_n_keywords, "mmr": mmr, "lda_topics": lda_topics, "lda_silhouette": silhouettes(1),
     "lda_grid_search": lda_grid_search, "text_clf_vectors": good_as_majority, "pca_reduce": pca_reduce, "pca_optimal_k": pca_optimal_k, "kmeans_cluster": clustered(lambda n: 10),

@@ -1,12 +1,16 @@
 """Clusterings against versions over all pairs, boosting on planted labels, keep-first on streams against the batch."""
 
+import collections
+import math
 import random
+import zipfile
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.operators import agglomerate, boosting, density
+from fieldglass.operators import agglomerate, boosting, clusters, density, features, language, learning, ordered, topics
+from fieldglass.sources import readers
 from fieldglass.streaming import streams
 from tests import brute
 
@@ -114,3 +118,97 @@ def test_keep_first_on_a_stream_equals_the_batch_in_any_order_of_files(spark, tm
     assert {r["event_id"]: (r["ts"], r["_key"]) for r in got}.items() <= {r[0]: (r[1], r[3]) for r in rows}.items()
     left = [p["stateOperators"][0]["numRowsTotal"] for p in second.recentProgress if p["stateOperators"]][-1]
     assert held == 4 and left == 1  # only the closing event's user is still known
+
+
+def test_language_odds_equal_brute_force(spark):
+    rows = [("a", "The cat sat"), ("a", "the mat É"), ("b", "le chat"), ("b", None), (None, "the"), ("b", "")]
+    model = language.learned(spark.createDataFrame(rows, "lang string, text string").repartition(3), "text", "lang")
+    assert model.names == ["a", "b"] and np.allclose(np.exp(model.prior), [0.5, 0.5])
+    count = collections.defaultdict(collections.Counter)
+    for name, text in rows:
+        if name and text is not None:
+            count[name].update(language.slots(text).tolist())
+    for k, name in enumerate("ab"):
+        total = sum(count[name].values()) + language.SLOTS
+        assert all(math.isclose(math.exp(model.table[k, s]), (count[name][s] + 1) / total) for s in [*count["a"], *count["b"], 7])
+    b = b" abca "
+    assert len(language.slots("ABCA")) == len(b) - 2 and (language.slots("abca") == language.slots("ABCA")).all() and len(language.slots("")) == 0
+    asked = spark.createDataFrame([(1, "the the cat"), (2, "le chat"), (3, None), (4, "12 !"), (5, "le " * 5000)], "id int, text string")
+    got = {r["id"]: (r["language"], r["probability"]) for r in model.detect(asked, "text").collect()}
+    assert [got[k][0] for k in range(1, 6)] == ["a", "b", None, None, "b"] and got[3][1] is None
+    s = model.scores("le chat")
+    assert math.isclose(got[2][1], math.exp(s[1]) / (math.exp(s[0]) + math.exp(s[1])), rel_tol=1e-9)
+    with pytest.raises(ValueError):
+        language.learned(asked.selectExpr("text", "cast(null as string) as lang"), "text", "lang")
+
+
+def test_mini_batches_move_centres_by_their_counts(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(size=(200, 3)) * 0.1 + c for c in ([0, 0, 0], [5, 0, 0], [0, 5, 0])])
+    df = table(spark, list(range(600)), x, [(900, None, 1, 2.0)])
+    centres = clusters.kmeans_minibatch(df, "v", 3, 100)
+    assert np.allclose(sorted(centres.round(1).tolist()), [[0, 0, 0], [0, 5, 0], [5, 0, 0]], atol=0.15)
+    got = {r["id"]: r["cluster"] for r in clusters.assigned(df, "v", centres).collect()}
+    assert got.pop(900) is None and all(len({got[i] for i in range(a, a + 200)}) == 1 for a in (0, 200, 400)) and len(set(got.values())) == 3
+    assert len(clusters.kmeans_minibatch(table(spark, [1, 2], np.ones((2, 2))), "v", 3, 10)) == 1
+    assert len(clusters.kmeans_minibatch(df.limit(0), "v", 3, 10)) == 0
+
+
+def test_ranges_part_values_with_a_long_common_beginning(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which joins ranges while they are small
+    values = [f"Customer#{k:09d}" for k in range(400)]
+    df = spark.createDataFrame([(v, k) for k, v in enumerate(values)], "v string, k int").repartition(5)
+    got = ordered.running(df, [], [F.col("v")], {"upto": F.lit(1)}).collect()
+    assert all(r["upto"] == r["k"] + 1 and r["upto_all"] == 400 for r in got)
+    rows = ordered.written(df.repartitionByRange("v").withColumn("block", F.spark_partition_id())).groupBy("block").count().collect()
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(rows) > 4 and max(r["count"] for r in rows) < 150
+
+
+def test_columns_with_the_names_of_helpers_keep_their_values(spark):
+    df = spark.createDataFrame([(i, i % 3, i + 0.5, -i, [float(i), 1.0], i * 2, 7, 8, 9) for i in range(30)], "key int, label int, _block double, _top int, _v array<double>, _text int, _hash int, _upto int, _least int")
+    value = {r["key"]: tuple(r) for r in df.collect()}
+    assert all(tuple(r) == value[r["key"]] for r in learning.random_oversample(df.where("key < 25"), "key", "label").collect())
+    assert all(tuple(r)[:-1] == value[r["key"]] for r in learning.split_stratified(df, "key", "label", [("a", 0.5), ("b", 0.5)]).collect())
+    assert all(tuple(r)[:-1] == value[r["key"]] for r in learning.balanced(df, "key", "label", 0.5).collect())
+    assert all(tuple(r)[:-1] == value[r["key"]] for r in features.label_encode(df, "label", "code").collect())
+    assert all(tuple(r)[:-1] == value[r["key"]] for r in clusters.kmeans_cluster(df, "_v", 2).collect())
+    assert all(tuple(r) == value[r["key"]] for r in features.without_outliers(df, "_top").collect())
+
+
+def test_curves_of_each_class(spark):
+    rows = [("a", 0.9, 0.1), ("a", 0.8, 0.4), ("b", 0.8, 0.6), ("b", 0.1, None), (None, 0.5, 0.5)]
+    found = learning.class_scores(spark.createDataFrame(rows, "t string, x double, y double"), "t", {"a": F.col("x"), "b": F.col("y"), "c": F.lit(0.5)})
+    got = {r["class"]: (r["auc"], r["average_precision"]) for r in learning.class_areas(found).collect()}
+    assert got["a"] == pytest.approx((7 / 8, 0.5 + 0.5 * 2 / 3)) and got["b"] == pytest.approx((1, 1)) and got["c"] == (None, None)
+    assert got[None] == pytest.approx((15 / 16, (0.5 + 1 / 3 + 1) / 2))
+    assert {tuple(r)[1:] for r in learning.class_curves(found).where("class = 'a'").collect()} == {(0.9, 0.5, 0.0, 1.0), (0.8, 1.0, 0.5, 2 / 3), (0.1, 1.0, 1.0, 0.5)}
+
+
+def test_sentences_keep_the_case_of_names(spark):
+    names = spark.createDataFrame([("berlin",), ("mary",), ("mary",)], "word string")
+    rows = [(1, "The Cat, in (Berlin), Rome/Mary saw <b>Mary's</b> x 12 http://a.b"), (1, "MARY berlin Mary."), (2, None), (3, ""), (4, "!! 7")]
+    got = topics.sentences_with_names(spark.createDataFrame(rows, "id int, text string"), "id", "text", names).collect()
+    assert collections.Counter(tuple(r) for r in got) == collections.Counter([(1, "the cat in Berlin rome Mary saw marys"), (1, "MARY berlin Mary"), (2, None), (3, ""), (4, "")])
+
+
+def test_zipped_csv_is_read_back_by_member(spark, tmp_path):
+    for k in range(3):
+        with zipfile.ZipFile(tmp_path / f"part{k}.zip", "w") as z:
+            z.writestr("a.csv", 'id,name,score,more\n' + "".join(f'{10 * k + i},"x, ""{i}""\ny",{i}.5,z\n' for i in range(3)))
+            z.writestr("b/b.csv", f"name,id\n,{10 * k + 9}\nq,bad\n")
+            z.writestr("notes.txt", "id\n5\n")
+    df = readers.read_zipped_csv(spark, str(tmp_path), "id long, name string, score double")
+    want = [(10 * k + i, f'x, "{i}"\ny', i + 0.5) for k in range(3) for i in range(3)] + [x for k in range(3) for x in ((10 * k + 9, None, None), (None, "q", None))]
+    assert collections.Counter(tuple(r) for r in df.collect()) == collections.Counter(want)
+    assert df.rdd.getNumPartitions() == 6
+    assert {r["score"] for r in readers.read_zipped_csv(spark, f"file://{tmp_path}/part1.zip", "score float").collect()} == {0.5, 1.5, 2.5, None}
+
+
+def test_representatives_and_words_of_bins(spark):
+    rows = [(1, "t", 0, "red red blue"), (2, "t", 0, "red blue"), (3, "t", 1, "green green"), (4, "u", 0, "grey"), (5, None, 0, "red"), (6, "t", None, "blue"), (7, "t", 0, None), (8, "t", 0, "")]
+    df = spark.createDataFrame(rows, "id int, topic string, bin int, text string")
+    got = {(r["topic"], r["bin"], r["rank"]): r["term"] for r in topics.evolving_words(df, "topic", "bin", "text", 2).collect()}
+    assert got == {("t", 0, 1): "red", ("t", 0, 2): "blue", ("t", 1, 1): "green", ("t", 1, 2): "red", ("u", 0, 1): "grey"}
+    best = topics.representatives(df, "topic", "id", "text", 1).collect()
+    assert {(r["topic"], r["rank"]) for r in best} == {("t", 1), ("u", 1)} and next(r for r in best if r["topic"] == "u")["similarity"] == 1.0
