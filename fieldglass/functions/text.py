@@ -103,7 +103,7 @@ def parse_numbers(text: Column) -> Column:
     return F.transform(tokens(text), lambda t: t.try_cast("double"))
 
 
-#: Steps that tidy a generated topic label (patterns in order).
+#: Steps that tidy a generated topic label (fixed values: patterns in order).
 LABEL_STEPS = [(r"\d+\.\s*", ""), (r"^\s*-\s*", ""), (r":.*", ""), (r"-.*", ""), (r"(?U)\b\w\b", ""), (r"\s+", " "), (r"^ +| +$", ""), (r"[\"']", ""), (r"Explanation.*", ""), (",", ";")]
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fieldglass.operators.ordered import quantiles
+from fieldglass.operators.shared import fresh
 
 
 def select_by_name(df: DataFrame, prefix: str = "", contains: str = "") -> DataFrame:
@@ -131,8 +132,14 @@ def fill_median(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def fill_mode(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """The most frequent value; of several the smallest."""
-    return _filled(df, columns, lambda c: F.mode(c, True))
+    """The most frequent value; of several the smallest. Values are counted by group, so a column may have any number of them."""
+    out, n, best = df, fresh("n"), fresh("best")
+    for c in columns:
+        counts = df.where(F.col(c).isNotNull()).groupBy(c).agg(F.count("*").alias(n))
+        # one row
+        first = counts.agg(F.min(F.struct(-F.col(n), F.col(c))).alias(best)).select(F.col(f"{best}.{c}").alias(best))
+        out = out.crossJoin(F.broadcast(first)).withColumn(c, F.coalesce(c, best)).drop(best)
+    return out
 
 
 def fill_mean(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -236,6 +236,7 @@ def communities(pairs: DataFrame, least: int) -> DataFrame:
     among all within two steps of it claims its members, which leave; until no community has `least` members. Rows in none have no row.
     """
     both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    shared_dir(pairs.sparkSession)  # where checkpoints go
     edges = both.unionAll(both.select("a", F.col("a").alias("b"))).distinct().checkpoint()
     out = None
     while True:
@@ -259,6 +260,7 @@ def density_cluster(df: DataFrame, id_col: str, pairs: DataFrame, min_neighbours
     Labels spread along edges until none changes; each round is a join and an aggregate on the edges.
     """
     both = pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    shared_dir(df.sparkSession)  # where checkpoints go
     core = both.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") + 1 >= min_neighbours).select(F.col("a").alias("id"))
     edges = both.join(core.select(F.col("id").alias("a")), "a").join(core.select(F.col("id").alias("b")), "b").checkpoint()
     labels = core.withColumn("cluster", F.col("id"))

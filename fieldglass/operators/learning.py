@@ -312,7 +312,8 @@ def regression_metrics(df: DataFrame, truth: str, predicted: str, tolerance: flo
 
 def k_fold_recall(df: DataFrame, features: Sequence[str], label: str, key: str, folds: int = 3) -> DataFrame:
     """Recall of each class in each fold: fold, label, recall."""
-    rows = assembled(df, features).withColumns({"label": F.col(label).cast("double"), "fold": hash_bucket(key, folds, 11)}).cache()
+    rows = assembled(df, features).withColumns({"label": F.col(label).cast("double"), "fold": hash_bucket(key, folds, 11)})
+    rows = written(rows.select("features", "label", "fold"), "folds")
     out = None
     for k in range(folds):
         fitted = RandomForestClassifier(numTrees=20, seed=7).fit(rows.where(F.col("fold") != k))

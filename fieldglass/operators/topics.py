@@ -14,6 +14,9 @@ from fieldglass.functions.vectors import cosine
 from fieldglass.operators.shared import fresh, written
 from fieldglass.operators.windows import top_per_group
 
+#: Words that go to all tasks, at most.
+FEW_WORDS = 100_000
+
 
 def corpus(df: DataFrame, text: str, id_col: str) -> DataFrame:
     """Distinct lower-cased texts with the smallest id of each."""
@@ -46,7 +49,7 @@ def tfidf(df: DataFrame, id_col: str, text: str, stopwords: Sequence[str] = ())
     Term counts are combined before the shuffle; document frequencies join back by term, so a term in most documents is a skewed join
     that AQE splits.
     """
-    tf = terms(df, [id_col], text, stopwords=stopwords).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+    tf = written(terms(df, [id_col], text, stopwords=stopwords).groupBy(id_col, "term").agg(F.count("*").alias("tf")), "terms")
     of = tf.groupBy("term").agg(F.count("*").alias("df"))
     n = df.agg(F.count("*").alias("n"))
     raw = tf.join(of, "term").crossJoin(F.broadcast(n)).withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
@@ -56,7 +59,7 @@ def tfidf(df: DataFrame, id_col: str, text: str, stopwords: Sequence[str] = ())
 
 def ctfidf(df: DataFrame, topic: str, text: str, reduce_frequent: bool = False, stopwords: Sequence[str] = (), ngrams: tuple[int, int] = (1, 1)) -> DataFrame:
     """topic, term, weight: tf(term, topic) / words(topic) * ln(1 + average words of a topic, cut to an integer, / f(term))."""
-    tf = terms(df, [topic], text, stopwords=stopwords, ngrams=ngrams).groupBy(topic, "term").agg(F.count("*").alias("tf"))
+    tf = written(terms(df, [topic], text, stopwords=stopwords, ngrams=ngrams).groupBy(topic, "term").agg(F.count("*").alias("tf")), "terms")
     of = tf.groupBy("term").agg(F.sum("tf").alias("f"))
     size = tf.groupBy(topic).agg(F.sum("tf").alias("size"))
     average = size.agg(F.floor(F.avg("size")).alias("average"))
@@ -153,10 +156,17 @@ def topic_overlap(words: DataFrame, topic: str) -> DataFrame:
     return shared.crossJoin(k).select(F.try_divide(F.col("shared") * 2, F.col("k") * (F.col("k") - 1)).alias("overlap"))
 
 
+def _listed(words: DataFrame) -> DataFrame:
+    """The distinct terms of words (written); up to FEW_WORDS of them go to all tasks, so that texts aren't shuffled to find them."""
+    listed = words.select("term").distinct()
+    return F.broadcast(listed) if listed.limit(FEW_WORDS + 1).count() <= FEW_WORDS else listed
+
+
 def _pair_counts(words: DataFrame, topic: str, df: DataFrame, id_col: str, text: str) -> DataFrame:
     """Document counts of each topic's words and pairs of words: topic, rank and term of both, n1, n2, both, n."""
-    listed = words.select("term").distinct()
-    has = terms(df, [id_col], text).distinct().join(listed, "term")
+    words = written(words.select(topic, "rank", "term"), "words")
+    own = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("([a-z]{2,})"), 1))
+    has = written(df.select(id_col, F.explode(own).alias("term")).join(_listed(words), "term").distinct(), "has")
     single = has.groupBy("term").agg(F.count("*").alias("n1"))
     a, b = words.select(topic, F.col("rank").alias("r1"), F.col("term").alias("t1")), words.select(topic, F.col("rank").alias("r2"), F.col("term").alias("t2"))
     pairs = a.join(b, topic).where("r1 < r2")
@@ -187,11 +197,10 @@ def _window_counts(words: DataFrame, topic: str, df: DataFrame, id_col: str, tex
     words share as many windows as their spans have starts in common. Spans are cut at multiples of `window` and meet by text and block, never a text whole.
     """
     rows = df.select(id_col, F.coalesce(tokens(F.lower(text)), F.array()).alias("_t")).withColumn("_starts", F.greatest(F.size("_t") - (window - 1), F.lit(1)))
-    listed = words.select("term").distinct()
-    places = rows.select(id_col, "_starts", F.posexplode("_t").alias("pos", "term")).join(listed, "term")
+    places = rows.select(id_col, "_starts", F.posexplode("_t").alias("pos", "term")).join(_listed(words), "term")
     before = F.lag("pos").over(Window.partitionBy(id_col, "term").orderBy("pos"))
     low = F.greatest(F.coalesce(before + 1, F.lit(0)), F.col("pos") - (window - 1), F.lit(0))
-    spans = places.select(id_col, "term", low.alias("low"), F.least("pos", F.col("_starts") - 1).alias("high")).where("low <= high")
+    spans = written(places.select(id_col, "term", low.alias("low"), F.least("pos", F.col("_starts") - 1).alias("high")).where("low <= high"), "spans")
     cut = spans.select("*", F.explode(F.sequence(F.floor(F.col("low") / window), F.floor(F.col("high") / window))).alias("block"))
     first = F.col("block") * window
     cut = cut.select(id_col, "term", "block", F.greatest("low", first).alias("low"), F.least("high", first + (window - 1)).alias("high"))
@@ -210,6 +219,7 @@ def coherence_cv(words: DataFrame, topic: str, df: DataFrame, id_col: str, text:
     Counts are of sliding windows of white-space tokens, lower-cased; a text shorter than a window is one. A word that is in no window shares nothing with any; a
     word whose vector is zero has cosine 0. id_col: unique.
     """
+    words = written(words.select(topic, "term"), "words")
     single, pairs, total = _window_counts(words, topic, df, id_col, text, window)
     a, b = words.select(topic, F.col("term").alias("a")), words.select(topic, F.col("term").alias("b"))
     own = single.select(F.col("term").alias("t1"), F.col("term").alias("t2"), F.col("n").alias("both"))

@@ -411,7 +411,6 @@ def _(t):
     SELECT vec_id, coalesce(cluster, -1) AS cluster FROM embeddings LEFT JOIN (SELECT id, cluster FROM m JOIN g USING (cluster)) ON vec_id = id""")
 def _(t):
     pairs = K.similar_pairs_exact(t("embeddings"), "vec_id", "embedding", 0.75)
-    scratch(pairs)  # makes sure of a folder for checkpoints
     return K.density_cluster(t("embeddings"), "vec_id", pairs, 3, 3)
 
 
@@ -426,7 +425,6 @@ def _(t):
 @query("community_detection")
 def _(t):
     pairs = K.similar_pairs_exact(t("embeddings"), "vec_id", "embedding", 0.8)
-    scratch(pairs)  # makes sure of a folder for checkpoints
     return K.communities(pairs, 2).withColumnsRenamed({"id": "vec_id"})
 
 
