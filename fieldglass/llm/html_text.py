@@ -25,6 +25,13 @@ from fieldglass.llm.common import among, pieces, staged
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 OUT = set("aside button canvas datalist dialog footer form head iframe menu nav noscript object script select style svg template textarea title".split())
+#: Elements that a start tag or their parent's end closes, and where the search for them ends (fixed values of HTML).
+IMPLIED = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "option": {"option"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "tbody": {"tr", "td", "th", "tbody", "thead"}, "tfoot": {"tr", "td", "th", "tbody", "thead"}}
+ENDS_P = set("address article aside blockquote details dialog div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section summary table ul".split())
+CLOSED = {"p", "caption", "tbody", "thead", "tfoot"}.union(*IMPLIED.values())
+BARRIERS = set("ul ol menu dl table select div section article aside blockquote button td th".split())
+#: Words of a name that is a heading's, not a role's: notice-of-death (fixed values).
+PHRASE = re.compile(r"[_-](?:a|an|and|at|by|for|from|in|of|on|or|the|to|with)[_-]", re.IGNORECASE)
 #: Words in class, id and role that mark what isn't the article.
 MARKS = re.compile(
     r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|notification|alert|popup|modal|sidebar|side|nav|navbar|navigation|menu|breadcrumbs?|footer|masthead|site-header|page-header|topbar|comments?|commentlist|disqus|replies|respond|share|sharing|social|related|recommended|newsletter|subscribe|widget|complementary|contentinfo|search|login|signup|pagination|pager|skip)(?:$|[\s_-])",
@@ -37,10 +44,22 @@ CELLS = 1 << 28
 
 
 def _names(attrs: list) -> Iterator[str]:
-    """What an element is called by its attributes, without names of missing things."""
+    """What an element is called by its attributes, without names of missing things and phrases as ids."""
     for k, v in attrs:
         if v and k in ("class", "id", "role", "aria-label"):
-            yield " ".join(n for n in v.split() if not WITHOUT.search(n))
+            yield " ".join(n for n in v.split() if not WITHOUT.search(n) and not (k == "id" and PHRASE.search(n)))
+
+
+def _still_open(out: list[str], tag: str) -> int:
+    """How many of the open elements a start tag leaves open: HTML lets it end an earlier sibling and an open paragraph."""
+    ends = IMPLIED.get(tag, set())
+    keep = len(out)
+    for i in range(len(out) - 1, -1, -1):
+        if out[i] in ends or (out[i] == "p" and tag in ENDS_P):
+            keep = i
+        elif out[i] in BARRIERS:
+            break
+    return keep
 
 
 class _Lines(HTMLParser):
@@ -66,7 +85,9 @@ class _Lines(HTMLParser):
             elif not self.out:
                 self.parts.append(" " if tag == "br" else "")
             return
-        marked = any(MARKS.search(v) for v in _names(attrs)) and tag not in ("html", "body")
+        del self.out[_still_open(self.out, tag) :]
+        # a mark on a word inside a sentence says how it looks
+        marked = tag in BLOCKS and tag not in ("html", "body") and any(MARKS.search(v) for v in _names(attrs))
         article = tag in ("article", "main") and not marked
         if self.out:
             if not article or {"aside", "dialog", "template", "noscript", "svg"} & {*self.out} or self.sure:
@@ -86,8 +107,8 @@ class _Lines(HTMLParser):
             if tag in self.out:
                 del self.out[len(self.out) - 1 - self.out[::-1].index(tag) :]
                 return
-            if not (tag in ("article", "main") and self.sure):
-                return
+            if not (tag in ("article", "main") and self.sure) and not (tag in BLOCKS - {"p"} and {*self.out} <= CLOSED):
+                return  # else the parent's end closes what has no end of its own
             self.out = []
         if tag in BLOCKS:
             self.end_block()
@@ -238,7 +259,8 @@ def main_texts(pages: DataFrame) -> DataFrame:
     parsed = staged(source.mapInArrow(_parse, PARSED), "lines")
     one = F.min(F.struct("path", "page_id", "uid", F.size("open").alias("open"))).alias("one")
     first = staged(parsed.groupBy("host", "digest").agg(one).select("host", "digest", "one.*"), "firsts")
-    asked = first.where("open > 0").select("uid").join(nearest(first), "uid", "left")
+    hosts = staged(first.where("open > 0").select("host").distinct(), "hosts")  # the others need no order
+    asked = first.where("open > 0").select("uid").join(nearest(among(first, hosts, F.col("host"))), "uid", "left")
     asked = staged(asked, "asked")
     open_ = parsed.where("size(open) > 0")
     others = among(parsed, staged(asked.where("other is not null").select("other").distinct(), "others"), F.col("uid"))

@@ -728,6 +728,19 @@ def test_names_of_missing_things_mark_nothing():
     assert [t for t, _ in html_text.lines('<article><p class="ad-free">kept</p><p class="ad-box">gone</p><p class="lead ad-free">kept too</p></article>')] == ["kept", "kept too"]
 
 
+def test_implied_ends_and_names_that_mark_no_role():
+    def texts(html):
+        return [t for t, _ in html_text.lines(html)]
+
+    assert texts('<article><p class="ad">x<p>real text<p>more</article>') == ["real text", "more"]
+    assert texts('<article><ul><li class="menu">x<li>y</ul><p>z</p></article>') == ["y", "z"]
+    assert texts('<article><ul><li>y<li class="menu">x <b>x</b></ul>z</article>w') == ["y", "z", "w"]
+    assert texts('<article><ul><li class="menu"><p>x<ul><li>x<li>x</ul>x<li>y</ul></article>') == ["y"]
+    assert texts('<article><table><tr class="ad"><td>x<td>x<tr><td>y<td class="share">x<td>z</table>w</article>') == ["y", "z", "w"]
+    assert texts('<article><dl><dt class="ad">x<dd>y<dt>z</dl><div class="ad"><p>x</div><p class="ad">x<div>v</div></article>') == ["y", "z", "v"]
+    assert texts('<article><aside><p>x<p>x<li>x</aside><p id="notice-of-death">obituary</p>a <span class="search">quick</span> fox<p id="notice">x</article>') == ["obituary", "a quick fox"]
+
+
 # 10
 
 
@@ -784,6 +797,33 @@ def test_edited_copies_are_found_as_by_alignment_of_all_pairs(spark):
     assert {(300, 40), (300, 41)} <= found and {j for i, j in found if i == 301} == {j for i, j in found if i == 0}
 
 
+def test_what_many_items_share_is_evidence_of_none(spark):
+    rng = random.Random(38)
+    prompt, poem = prose(rng, 30), prose(rng, 40)
+    items = [(i, prompt + " " + prose(rng, 12 + i % 9)) for i in range(100)] + [(200 + i, poem + " " + w) for i, w in enumerate("one two three four five six seven eight nine ten".split())] + [(300, None), (301, prompt)]
+    own = {i: t[len(prompt) + 1 :] for i, t in items[:100]}
+    table = [(i, prose(rng, 20) + " " + prompt + " " + prose(rng, 20)) for i in range(120)]
+    table += [(1000 + i, prose(rng, 20) + " " + (prompt + " " if i % 2 else "") + own[i] + " " + prose(rng, 20)) for i in range(10)] + [(2000, poem), (2001, prose(rng, 60))]
+    corpus, bench = spark.createDataFrame(table, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    found = [(r["doc_id"], r["item_id"], r["items"]) for r in decontaminate.leaks(corpus, bench).collect()]
+    # the prompt is an item too: it has nothing of its own and is found once in each text
+    assert sorted(x for x in found if x[1] == 301) == [(i, 301, 1) for i in [*range(120), *range(1001, 1010, 2)]]
+    rest = sorted(x for x in found if x[1] != 301)
+    assert rest[:-1] == [(1000 + i, i, 1) for i in range(10)]
+    assert rest[-1][0] == 2000 and 200 <= rest[-1][1] < 210 and rest[-1][2] == 10
+    plain = bench.where("item_id < 100")
+    assert {r["doc_id"] for r in decontaminate.leaks(corpus, plain).collect()} == {*range(1000, 1010)}
+    assert decontaminate.without_leaks(corpus, plain).count() == 122
+
+
+def test_stretches_between_common_runs(spark):
+    words = np.arange(1, 61, dtype=np.uint64)
+    rows = [(b"a", words.tobytes(), [0, 1, 2, 20, 40], 7), (b"b", words[:12].tobytes(), [0, 3, 7], 5)]
+    kinds = "item binary, words binary, places array<long>, least long"
+    got = {bytes(r["item"]): (np.frombuffer(r["words"], np.uint64).tolist(), r["variant"]) for r in spark.createDataFrame(rows, kinds).mapInArrow(decontaminate._own_words, "item binary, words binary, variant long").collect()}
+    assert got == {b"a": ([*range(8, 21), *range(26, 41), *range(46, 61)], None), b"b": ([*range(1, 13)], 5)}
+
+
 def test_alignment_equals_the_table():
     rng = random.Random(2)
     for _ in range(200):
