@@ -24,21 +24,23 @@ def one_hot(df: DataFrame, column: str, values: Sequence | None = None) -> DataF
 
 
 def _with_stats(df: DataFrame, **stats: Column) -> DataFrame:
-    """df beside one row of its aggregates."""
-    return df.crossJoin(F.broadcast(df.agg(*[c.alias(f"_{k}") for k, c in stats.items()])))
+    """df beside one row of its aggregates, whose names are fresh ones."""
+    return df.crossJoin(F.broadcast(df.agg(*[c.alias(k) for k, c in stats.items()])))
 
 
 def standardize(df: DataFrame, column: str) -> DataFrame:
     """Distance from the mean in population deviations; null where all values are equal."""
-    out = _with_stats(df, m=F.avg(column), s=F.stddev_pop(column))
-    return out.withColumn(column, F.try_divide(F.col(column) - F.col("_m"), F.col("_s"))).drop("_m", "_s")
+    mean, spread = fresh("mean"), fresh("spread")
+    out = _with_stats(df, **{mean: F.avg(column), spread: F.stddev_pop(column)})
+    return out.withColumn(column, F.try_divide(F.col(column) - F.col(mean), F.col(spread))).drop(mean, spread)
 
 
 def normalize_minmax(df: DataFrame, column: str, constant: float | None = None) -> DataFrame:
     """(x - min) / (max - min); `constant` where all values are equal."""
-    out = _with_stats(df, lo=F.min(column), hi=F.max(column))
-    scaled = F.when(F.col("_hi") > F.col("_lo"), (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).when(F.col(column).isNotNull(), F.lit(constant).cast("double"))
-    return out.withColumn(column, scaled).drop("_lo", "_hi")
+    low, high = fresh("low"), fresh("high")
+    out = _with_stats(df, **{low: F.min(column), high: F.max(column)})
+    scaled = F.when(F.col(high) > F.col(low), (F.col(column) - F.col(low)) / (F.col(high) - F.col(low))).when(F.col(column).isNotNull(), F.lit(constant).cast("double"))
+    return out.withColumn(column, scaled).drop(low, high)
 
 
 def binarize(df: DataFrame, column: str, threshold: float) -> DataFrame:
@@ -52,8 +54,9 @@ def equal_width_bin(x: Column, low: Column, high: Column, n: int) -> Column:
 
 
 def discretize(df: DataFrame, column: str, n: int) -> DataFrame:
-    out = _with_stats(df, lo=F.min(column), hi=F.max(column))
-    return out.withColumn(column, equal_width_bin(F.col(column), F.col("_lo"), F.col("_hi"), n)).drop("_lo", "_hi")
+    low, high = fresh("low"), fresh("high")
+    out = _with_stats(df, **{low: F.min(column), high: F.max(column)})
+    return out.withColumn(column, equal_width_bin(F.col(column), F.col(low), F.col(high), n)).drop(low, high)
 
 
 def without_outliers(df: DataFrame, column: str, fence: float = 1.5) -> DataFrame:

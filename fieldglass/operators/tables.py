@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.operators.features import equal_width_bin
 from fieldglass.operators.ordered import quantiles
+from fieldglass.operators.shared import fresh
 
 
 def value_counts(df: DataFrame, *columns: str) -> DataFrame:
@@ -89,7 +90,7 @@ def histogram(df: DataFrame, column: str, bins: int) -> DataFrame:
     """Rows in left-closed bins of equal width, the last one closed: bin, n."""
     edges = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
     place = F.least(F.floor((F.col(column) - F.col("_lo")) / ((F.col("_hi") - F.col("_lo")) / bins)), F.lit(bins - 1)).cast("int")
-    return df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
+    return df.select(column).where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(place.alias("bin")).agg(F.count("*").alias("n"))
 
 
 def histogram_2d(df: DataFrame, x: str, y: str, bins: int) -> DataFrame:
@@ -105,7 +106,7 @@ def kde_curve(df: DataFrame, column: str, points: int, width: float, cells: int
     """
     edges = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"), F.count(column).alias("_n"))
     cell = F.floor((F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * (cells - 1) + 0.5)
-    counts = df.where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(cell.alias("cell")).agg(F.count("*").alias("w"))
+    counts = df.select(column).where(F.col(column).isNotNull()).crossJoin(F.broadcast(edges)).groupBy(cell.alias("cell")).agg(F.count("*").alias("w"))
     grid = df.sparkSession.range(points).crossJoin(edges)
     at = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("id") / (points - 1)
     middle = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("cell") / (cells - 1)
@@ -147,5 +148,6 @@ def weighted_share(df: DataFrame, by: Sequence[str], value: Column, weight: str)
 
 def binned(df: DataFrame, column: str, n: int, into: str = "bin") -> DataFrame:
     """Right-closed equal-width bins over the whole column."""
-    edges = df.agg(F.min(column).alias("_lo"), F.max(column).alias("_hi"))
-    return df.crossJoin(F.broadcast(edges)).withColumn(into, equal_width_bin(F.col(column), F.col("_lo"), F.col("_hi"), n)).drop("_lo", "_hi")
+    low, high = fresh("low"), fresh("high")
+    edges = df.agg(F.min(column).alias(low), F.max(column).alias(high))
+    return df.crossJoin(F.broadcast(edges)).withColumn(into, equal_width_bin(F.col(column), F.col(low), F.col(high), n)).drop(low, high)

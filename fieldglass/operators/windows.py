@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fieldglass.operators.clean import fill_mean
 from fieldglass.operators.features import pair_ratios
+from fieldglass.operators.shared import fresh
 
 
 def along(partition_by: Sequence[str], order_by: Sequence[str]) -> WindowSpec:
@@ -49,4 +50,5 @@ def top_as_columns(df: DataFrame, group: str, value: str, score: str, k: int) ->
 
 def sample_per_group(df: DataFrame, group: Sequence[str], key: str, n: int, seed: int = 7) -> DataFrame:
     """n rows of each group at random, the same ones in every run."""
-    return top_per_group(df, group, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], n, "_rank").drop("_rank")
+    rank = fresh("rank")
+    return top_per_group(df, group, [F.xxhash64(F.col(key), F.lit(seed)), F.col(key)], n, rank).drop(rank)

@@ -332,3 +332,15 @@ def test_density_clusters_equal_a_walk(spark, tmp_path):
     df = spark.createDataFrame([(i,) for i in near], "id long")
     found = clusters.density_cluster(df, "id", spark.createDataFrame(pairs, "a long, b long"), 3, 4)
     assert dict(values(found, "id", "cluster")) == want and len(set(want.values())) > 3
+
+
+def test_helper_columns_clash_with_none_of_the_caller(spark):
+    names = ["_lo", "_hi", "_m", "_s", "_rank"]
+    df = spark.createDataFrame([(float(i), i % 2, *[i * 10 + k for k in range(5)]) for i in range(8)], ["x", "g", *names])
+    want = sorted(tuple(r) for r in df.select(names).collect())
+    for out in (features.standardize(df, "x"), features.normalize_minmax(df, "x"), features.discretize(df, "x", 4), tables.binned(df, "x", 4)):
+        assert sorted(tuple(r) for r in out.select(names).collect()) == want and out.columns[: len(df.columns)] == df.columns
+    assert sorted(r["x"] for r in features.normalize_minmax(df, "x").collect()) == pytest.approx([i / 7 for i in range(8)])
+    assert sorted(tuple(r) for r in tables.histogram(df, "x", 2).collect()) == [(0, 4), (1, 4)]
+    kept = windows.sample_per_group(df, ["g"], "x", 2)
+    assert kept.columns == df.columns and kept.count() == 4 and {tuple(r) for r in kept.select(names).collect()} <= {*want}
