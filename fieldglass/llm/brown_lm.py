@@ -4,7 +4,7 @@ Every word belongs to a unit: each word that occurs MIN times or more in trainin
 others share ENDINGS units by their ending, and the end of a text is one. Bigrams of units are counted over all training texts and laid out by word, in
 blocks. The exchange algorithm moves units between classes while that raises the likelihood of class bigrams: first the SEQUENTIAL most
 frequent units one after another, then all units in Spark rounds, where each block weighs its own words' moves exactly against the
-classes at the start of the round, half of the words a round. A word's probability is that of its class after the class before it, times its own in its
+classes at the start of the round, half of the words a round. Where moves at once undo each other, only the best part of those into each class is made. A word's probability is that of its class after the class before it, times its own in its
 class; both add-constant smoothed. Words are counted over all training texts, by 64-bit hash. The counts of the LOCAL most frequent words go
 to all tasks; a text's other words are joined with the counts by shuffle, so no count is left out at any size of the vocabulary.
 """
@@ -24,9 +24,11 @@ from pyspark.sql import functions as F
 from fieldglass.llm.common import bucket_of, flat, mixed, pieces, staged, word_hashes, words
 
 #: Least count of a word with a unit of its own, units for endings, classes (0 is the end of a text), smoothing of class bigrams.
-MIN, ENDINGS, CLASSES, SMOOTH = 20, 323, 64, 0.1
+MIN, ENDINGS, CLASSES, SMOOTH = 20, 323, 128, 0.1
 #: Units that are exchanged one after another, rounds of that, rounds over all units.
-SEQUENTIAL, FIRST_ROUNDS, ROUNDS = 1024, 5, 6
+SEQUENTIAL, FIRST_ROUNDS, ROUNDS = 1024, 5, 8
+#: Of the moves into a class at least the part 2 ** -LEAST_SHARE is tried (and always the best one).
+LEAST_SHARE = 10
 #: Words whose counts go to all tasks: LOCAL at most, none rarer than LOCAL_MIN. Units fit SHIFT bits.
 SHIFT = 20
 LOCAL, LOCAL_MIN = (1 << SHIFT) - 1024, 5
@@ -324,30 +326,32 @@ def _first_units(chosen: np.ndarray) -> Callable:
 
 
 def _moves(of: np.ndarray, table: np.ndarray, turn: int, last: int) -> Callable:
-    """The words of this turn's half that move, and where."""
+    """The words of this turn's half that move, where, and what each alone gains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for pairs, size in zip(batch.column("pairs"), batch.column("size"), strict=True):
                 ids, cells, itself = by_class(*_decoded(pairs.as_py(), size.as_py()), of)
                 some = np.flatnonzero((mixed(ids.astype(np.uint64)) & np.uint64(1) == turn % 2) & (ids != last))
-                unit, to = [], []
+                unit, to, gained = [], [], []
                 for part in np.array_split(some, max(1, len(some) // 64)):
                     if len(part):
                         own = of[ids[part]].astype(np.int64)
                         gain = gains(table, cells[part, 1], cells[part, 0], itself[part], own)[:, 1:]
                         best = gain.argmax(axis=1) + 1
-                        better = gain[np.arange(len(part)), best - 1] > gain[np.arange(len(part)), own - 1] + 1e-6
+                        more = gain[np.arange(len(part)), best - 1] - gain[np.arange(len(part)), own - 1]
+                        better = more > 1e-6
                         unit.append(ids[part][better])
                         to.append(best[better])
+                        gained.append(more[better])
                 if unit:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(unit)), pa.array(np.concatenate(to).astype(np.int32))], ["unit", "class"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(unit)), pa.array(np.concatenate(to).astype(np.int32)), pa.array(np.concatenate(gained))], ["unit", "class", "gain"])
 
     return run
 
 
-def clustered(pairs: DataFrame, vocab: Vocabulary, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The class of each unit and the counts of class bigrams. tails: the ending of each own word."""
+def clustered(pairs: DataFrame, vocab: Vocabulary, tails: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """The class of each unit, the counts of class bigrams, and the likelihood at the start and after each round. tails: the ending of each own word."""
     last = vocab.size - 1
     own = min(SEQUENTIAL - ENDINGS - 1, vocab.own)
     chosen = np.full(vocab.size, -1)
@@ -356,19 +360,35 @@ def clustered(pairs: DataFrame, vocab: Vocabulary, tails: np.ndarray) -> tuple[n
     for r in pairs.mapInArrow(_first_units(chosen), "unit long, counts binary").toLocalIterator():  # SEQUENTIAL rows
         first[r["unit"]] += np.frombuffer(r["counts"])
     start = exchanged(first, fixed=len(first) - 1)
-    of = np.zeros(vocab.size, np.int8)
+    of = np.zeros(vocab.size, np.int16)
     of[chosen >= 0] = start
     of[own : vocab.own] = of[vocab.own + tails[own:]]  # a word begins with its ending's class
     table = class_table(pairs, of)
+    log = [likelihood(table)]
+    share, still = 0, 0
     for turn in range(ROUNDS):
-        moves = pairs.mapInArrow(_moves(of, table, turn, last), "unit long, class int").toArrow()  # LOCAL rows at most
-        moved = of.copy()
-        moved[moves.column("unit").to_numpy()] = moves.column("class").to_numpy()
-        new = class_table(pairs, moved)
-        if likelihood(new) <= likelihood(table):  # moves at once can undo each other
+        moves = pairs.mapInArrow(_moves(of, table, turn, last), "unit long, class int, gain double").toArrow()  # LOCAL rows at most
+        unit, to, gain = (moves.column(c).to_numpy() for c in ("unit", "class", "gain"))
+        # moves at once into one class can undo each other: then only the best part of each class's, in later rounds too
+        order = np.lexsort((unit, -gain, to))
+        of_class = np.bincount(to, minlength=CLASSES)
+        place = np.empty(len(unit), np.int64)
+        place[order] = np.arange(len(unit)) - (np.cumsum(of_class) - of_class)[to[order]]
+        raised = False
+        while len(unit) and share <= LEAST_SHARE and not raised:
+            some = place <= (of_class[to] - 1) >> share
+            moved = of.copy()
+            moved[unit[some]] = to[some]
+            new = class_table(pairs, moved)
+            if raised := likelihood(new) > likelihood(table):
+                of, table = moved, new
+                log.append(likelihood(table))
+            else:
+                share += 2
+        still = 0 if raised else still + 1
+        if still == 2:
             break
-        of, table = moved, new
-    return of, table
+    return of, table, log
 
 
 @dataclass
@@ -432,7 +452,7 @@ def trained(train: DataFrame) -> tuple[ClassModel, DataFrame]:
         tokens[vocab.unit[vocab.unit >= 0]] = vocab.counts[vocab.unit >= 0]
     spread[-1] = 1
     tokens[-1] = vocab.tokens - tokens.sum()  # what isn't a word is an end
-    of, table = clustered(bigrams(train, vocab), vocab, tails)
+    of, table, _ = clustered(bigrams(train, vocab), vocab, tails)
     steps = np.log10((table + SMOOTH) / (table.sum(axis=1, keepdims=True) + SMOOTH * CLASSES))
     bases = np.log10(np.bincount(of, tokens + spread, CLASSES) + 1)
     return ClassModel(vocab, of, steps, bases), counts
