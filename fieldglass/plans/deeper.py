@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fieldglass.operators import agglomerate, boosting, clusters, density, language
+from fieldglass.operators import agglomerate, boosting, clusters, density, language, search
 from fieldglass.operators import learning as L
 from fieldglass.operators import tables as B
 from fieldglass.operators import topics as P
@@ -161,3 +161,11 @@ def _(t):
     each = [F.struct(F.lit(c).alias("target"), F.col(f"filled_{c}").isNull().cast("int").alias("left"), F.abs(F.col(f"filled_{c}") - F.col(c)).alias("error"), F.col(f"no_{c}").alias("gone")) for c in ("price", "year")]
     far = both.select(F.inline(F.array(*each))).groupBy("target").agg(F.sum("left").alias("left_null"), F.avg(F.when(F.col("gone"), F.col("error"))).alias("error"), F.max(F.when(~F.col("gone"), F.col("error"))).alias("changed"))
     return log.join(far, "target")
+
+
+@query("topic_search_log")
+def _(t):
+    """Two least sizes of density clusters of the documents by their vectors: outliers, quality, criteria, sizes and words of each."""
+    docs = t("documents").select("doc_id", "text").join(t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    groups = {"english": ["the", "of", "and"], "german": ["der", "die", "und"]}
+    return search.topic_search(docs, "doc_id", "text", "embedding", [(5, 0.02, 3), (5, 0.05, 3)], groups, 2)

@@ -171,6 +171,18 @@ def community_detection(rows, ask):
     assert all(n >= 2 for n in size.values()) and all(r["vec_id"] == r["centre"] or cosine(x[r["vec_id"]], x[r["centre"]]) > 0.7999 for r in rows)
 
 
+def topic_search_log(rows, ask):
+    """Two settings over all documents with a vector; sizes reach the least one, and add up with the outliers."""
+    ((n,),) = ask("SELECT count(*) FROM documents JOIN embeddings ON vec_id = doc_id WHERE embedding IS NOT NULL")
+    assert sorted(r["least_share"] for r in rows) == [0.02, 0.05]
+    for r in rows:
+        sizes = [x["size"] for x in r["topics"]]
+        assert r["rows"] == n == sum(sizes) + r["outliers"] and len(sizes) == r["clusters"] and sizes == sorted(sizes, reverse=True)
+        assert all(x >= max(2, int(n * r["least_share"])) for x in sizes) and abs(r["outlier_share"] - r["outliers"] / n) < 1e-12
+        assert all(0 < len(set(x["words"])) == len(x["words"]) <= 10 for x in r["topics"])
+        assert (r["davies_bouldin"] is not None) == (r["silhouette"] is not None) == (len(sizes) > 1)
+
+
 def density_cluster_tree(rows, ask):
     x = vectors(ask)
     want = brute.hdbscan(list(x), np.stack(list(x.values())), max(2, int(len(x) * 0.02)), 3)
@@ -227,7 +239,7 @@ def multi_target_filled(rows, ask):
 
 BOUNDS = {
     "kmeans_minibatch": kmeans_minibatch, "detect_language_model": detect_language_model, "multi_target_filled": multi_target_filled,
-    "density_cluster_tree": density_cluster_tree, "hierarchical_average": hierarchical_average, "gbm_early_stopping": gbm_early_stopping,
+    "topic_search_log": topic_search_log, "density_cluster_tree": density_cluster_tree, "hierarchical_average": hierarchical_average, "gbm_early_stopping": gbm_early_stopping,
     "pair_sample": pair_sample, "sample_per_group": sample_per_group, "top_n_keywords": top_n_keywords, "mmr": mmr, "lda_topics": lda_topics, "lda_silhouette": silhouettes(1),
     "lda_grid_search": lda_grid_search, "text_clf_vectors": good_as_majority, "pca_reduce": pca_reduce, "pca_optimal_k": pca_optimal_k, "kmeans_cluster": clustered(lambda n: 10),
     "kmeans_elbow": kmeans_elbow, "hierarchical_cluster": clustered(lambda n: 6), "hierarchical_batches": clustered(lambda n: 5 * -(-n // 200)), "community_detection": community_detection,

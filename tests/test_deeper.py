@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.operators import agglomerate, boosting, clusters, density, features, language, learning, ordered, topics
+from fieldglass.operators import agglomerate, boosting, clusters, density, features, language, learning, ordered, search, topics
 from fieldglass.sources import readers
 from fieldglass.streaming import streams
 from tests import brute
@@ -212,3 +212,29 @@ def test_representatives_and_words_of_bins(spark):
     assert got == {("t", 0, 1): "red", ("t", 0, 2): "blue", ("t", 1, 1): "green", ("t", 1, 2): "red", ("u", 0, 1): "grey"}
     best = topics.representatives(df, "topic", "id", "text", 1).collect()
     assert {(r["topic"], r["rank"]) for r in best} == {("t", 1), ("u", 1)} and next(r for r in best if r["topic"] == "u")["similarity"] == 1.0
+
+
+def test_facts_of_a_clustering_equal_those_by_hand(spark):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(c, 0.3, (n, 2)) for c, n in ((0, 8), (4, 6), (9, 3))])
+    cluster = [1] * 8 + [2] * 6 + [-1] * 3
+    text = ["the cat sat"] * 8 + ["der hund", None] * 3 + ["outlier words"] * 3
+    rows = [*zip(cluster, x.tolist(), text, strict=True), (None, [0.0, 0.0], "lost"), (1, None, "lost")]
+    df = spark.createDataFrame(rows, "cluster int, v array<double>, t string").withColumns({"size": F.lit(7), "words": F.lit("w")})
+    got = search.clustering_facts(df, "cluster", "v", "t", {"feline": ["cat"], "german": ["der"]}, 2, 2).first()
+    assert (got["rows"], got["clusters"], got["outliers"], got["meets"]) == (19, 2, 5, True) and abs(got["outlier_share"] - 5 / 19) < 1e-12
+    assert [(r["cluster"], r["size"], sorted(r["words"])) for r in got["topics"]] == [(1, 8, ["cat", "sat"]), (2, 6, ["der", "hund"])]
+    a, b = x[:8], x[8:14]
+    far = lambda p, q: np.sqrt(((p - q) ** 2).sum(-1))
+    spread = far(a, a.mean(0)).mean() + far(b, b.mean(0)).mean()
+    assert abs(got["davies_bouldin"] - spread / far(a.mean(0), b.mean(0))) < 1e-9
+    square = ((x[:14, None] - x[None, :14]) ** 2).sum(-1)
+    one = np.arange(14) < 8
+    s = []
+    for i in range(14):
+        own, other = one == one[i], one != one[i]
+        p, q = square[i, own].sum() / (own.sum() - 1), square[i, other].mean()
+        s.append((q - p) / max(p, q))
+    assert abs(got["silhouette"] - np.mean(s)) < 1e-9
+    none = search.clustering_facts(df.where("cluster = -1"), "cluster", "v", "t", {"english": ["the"]}).first()
+    assert (none["clusters"], none["outliers"], none["silhouette"], none["davies_bouldin"], none["meets"], none["topics"]) == (0, 3, None, None, False, [])
