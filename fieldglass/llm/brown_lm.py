@@ -255,8 +255,13 @@ def gains(table: np.ndarray, before: np.ndarray, after: np.ndarray, itself: np.n
     rest[at, own, own] -= itself
     rest = np.maximum(rest, 0)
     rows, cols = rest.sum(axis=2), rest.sum(axis=1)
-    old = _xlogx(rest)
-    gain = (_xlogx(rest + a[:, :, None]) - old).sum(axis=1) + (_xlogx(rest + b[:, None, :]) - old).sum(axis=2)
+    gain = np.zeros((m, classes))
+    for x, part in ((a, rest), (b, rest.transpose(0, 2, 1))):
+        word, other = np.nonzero(x)  # a rare word is beside few classes, and no other cell changes
+        if len(word):
+            here = part[word, other]
+            ids, first = np.unique(word, return_index=True)
+            gain[ids] += np.add.reduceat(_xlogx(here + x[word, other][:, None]) - _xlogx(here), first, axis=0)
     cell = np.diagonal(rest, axis1=1, axis2=2)
     gain += _xlogx(cell + a + b + itself[:, None]) - _xlogx(cell + a) - _xlogx(cell + b) + _xlogx(cell)
     # other rows grow by a, the class's own row by b and the self count too; columns likewise
