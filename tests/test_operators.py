@@ -344,3 +344,19 @@ def test_helper_columns_clash_with_none_of_the_caller(spark):
     assert sorted(tuple(r) for r in tables.histogram(df, "x", 2).collect()) == [(0, 4), (1, 4)]
     kept = windows.sample_per_group(df, ["g"], "x", 2)
     assert kept.columns == df.columns and kept.count() == 4 and {tuple(r) for r in kept.select(names).collect()} <= {*want}
+
+
+def test_best_caption_of_equal_scores_goes_by_its_own_name(spark, tmp_path):
+    from fieldglass.plans import ALL_ORACLES, ALL_QUERIES
+    from tests.compare import differences
+
+    at = datetime.datetime(2024, 1, 1)
+    rows = [(0, at, 3, "purchase", 90.0), (1, at, 3, "view", 90.0), (2, at, 4, "error", 95.0), (3, at, 4, "view", 95.0), (4, at, 6, "signup", 9.0), (5, at, 7, "click", 86.0), (6, at, 9, None, 99.0), (7, at, 9, "view", 99.0)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double").coalesce(1).write.parquet(f"{tmp_path}/all")
+    next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "events.parquet")
+    for name in ("benchmark", "conversations", "customer", "documents", "embeddings", "labels", "lineitem", "nation", "orders", "pages", "part", "region", "supplier"):
+        (tmp_path / f"{name}.parquet").symlink_to(f"/root/testdata/sf0.001/{name}.parquet")
+    found = ALL_QUERIES["zero_shot_frames"](spark, str(tmp_path))
+    day = at.date()
+    assert sorted(values(found, "user_id", "day", "kind")) == [(3, day, "drowsiness"), (6, day, "drowsiness"), (7, day, "distraction"), (9, day, "distraction")]
+    assert differences(found, ALL_ORACLES["zero_shot_frames"], str(tmp_path)) is None
