@@ -1,7 +1,7 @@
 """Hierarchical density clustering: core distances, a minimum spanning tree of mutual reachability, a condensed tree, clusters by stability.
 
-The tree comes from rounds in which every component finds its lightest edge to another one. Points live in cells around pivots; a component's
-bound on that edge says which cells its points must visit, so that no table of all pairs is made. The edges are then taken in order of weight, in blocks of a bounded
+The tree comes from rounds in which every component but the largest finds its lightest edge to another one. Most have it among the edges to near points, which are listed once; points that may have
+a lighter one meet the others in blocks, so that no table of all pairs is made and no point is copied by a shuffle. The edges are then taken in order of weight, in blocks of a bounded
 number of edges whose ends are the components so far: one task merges a block, and the labels of all points move on by a join. Clusters of at least
 `least` points are nodes of the condensed tree; there are fewer than 2 * rows / least, and only these come to the driver.
 """
@@ -17,117 +17,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fieldglass.operators.neighbours import BLOCK, MOST_PIVOTS, _distances, _rows, nearest_points
+from fieldglass.operators.neighbours import ASKING, BLOCK, homes, meeting, nearest_points, packed, paired_distances, parts_of, pivots_of, squares, values, vectors
 from fieldglass.operators.shared import written
 
-#: Edges of a block that one task merges, and the least distance, so that its inverse is a number.
-EDGES, TINY = 1 << 20, 1e-9
+#: Edges of a block that one task merges, the least distance, so that its inverse is a number, and near points of each that are listed.
+EDGES, TINY, LISTED = 1 << 20, 1e-9, 16
 
 
-def core_distances(points: DataFrame, neighbours: int) -> DataFrame:
-    """points (id, x) with core: the distance to the nearest `neighbours`-th other point (to the farthest, if there are fewer)."""
+def core_distances(points: DataFrame, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """points (id, x) with core, the distance to the nearest `neighbours`-th other point (to the farthest, if there are fewer), and known, a distance below which all other points
+    are among the edges; and the edges to near points: a, b, w (the mutual reachability), from either end."""
     distinct = written(points.groupBy("x").agg(F.min("id").alias("label"), F.count("*").alias("w")), "distinct")
-    near = nearest_points(distinct.select("x"), distinct, neighbours + 1)
-    upto = Window.partitionBy("x").orderBy("d", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    far = near.withColumn("n", F.sum("w").over(upto)).groupBy("x").agg(F.coalesce(F.min(F.when(F.col("n") > neighbours, F.col("d"))), F.max("d")).alias("core"))
-    return points.join(far, "x")
+    k = max(LISTED, neighbours) + 1
+    near = written(nearest_points(distinct.select("x"), distinct, k).join(distinct.select("x", F.col("label").alias("own")), "x").select("own", "d", "label", "w"), "near")
+    upto = Window.partitionBy("own").orderBy("d", "label").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    core = F.coalesce(F.min(F.when(F.col("n") > neighbours, F.col("d"))), F.max("d")).alias("core")
+    # of equal points only one is listed
+    known = F.least(F.when(F.count("*") >= k, F.max("d")).otherwise(math.inf), F.coalesce(F.min(F.when(F.col("w") > 1, F.col("d"))), F.lit(math.inf))).alias("known")
+    far = written(near.withColumn("n", F.sum("w").over(upto)).groupBy("own").agg(core, known), "far")
+    ends = near.where("own <> label").join(far.select("own", F.col("core").alias("p")), "own").join(far.select(F.col("own").alias("label"), F.col("core").alias("q")), "label")
+    edges = ends.select(F.col("own").alias("a"), F.col("label").alias("b"), F.greatest("d", "p", "q").alias("w"))
+    edges = written(edges.unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")), "known")
+    return points.join(distinct.select("x", F.col("label").alias("own")), "x").join(far, "own").select("id", "x", "core", "known"), edges
 
 
-def _placed(points: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """points with the number of their nearest pivot and the distance to it, and the pivots (about the root of the number of points)."""
-    n = points.count()
-    few = points.select("x").distinct().orderBy(F.xxhash64("x"), "x").limit(max(1, min(MOST_PIVOTS, math.isqrt(n)))).toArrow()
-    pivots = _rows(few.column("x").combine_chunks())
-
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            far = _distances(_rows(batch.column("x")), pivots)
-            cell = far.argmin(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far[np.arange(len(far)), cell])], [*batch.schema.names, "cell", "far"])
-
-    return written(points.mapInArrow(homes, "id long, x array<double>, core double, cell long, far double"), "placed"), pivots
-
-
-class _Cells:
-    """What the driver knows of each cell: how far its points lie, their core distances, whether they are of one component, and its blocks."""
-
-    def __init__(self, now: DataFrame, pivots: np.ndarray) -> None:
-        n = len(pivots)
-        self.pivots, self.radius, self.most, self.least = pivots, np.full(n, -np.inf), np.zeros(n), np.full(n, np.inf)
-        self.low, self.high, self.blocks = np.zeros(n, np.int64), np.zeros(n, np.int64), np.ones(n, np.int64)
-        stats = now.groupBy("cell").agg(F.max("far").alias("far"), F.max("core").alias("most"), F.min("core").alias("least"), F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("n"))
-        for r in stats.collect():  # a row a pivot
-            c = r["cell"]
-            self.radius[c], self.most[c], self.least[c], self.low[c], self.high[c], self.blocks[c] = r["far"], r["most"], r["least"], r["low"], r["high"], -(-r["n"] // BLOCK)
-
-    def other(self, label: np.ndarray) -> np.ndarray:
-        """For each label which cells hold a point of another."""
-        return ((self.low != label[:, None]) | (self.high != label[:, None])) & (self.radius > -np.inf)
-
-
-def _bounds(cells: _Cells):
-    """A length within which each point surely has a point of another component."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            label, core = batch.column("label").to_numpy(), batch.column("core").to_numpy()
-            reach = np.maximum(np.maximum(_distances(_rows(batch.column("x")), cells.pivots) + cells.radius, cells.most), core[:, None])
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(np.where(cells.other(label), reach, np.inf).min(axis=1))], ["label", "bound"])
-
-    return run
-
-
-def _visits(cells: _Cells):
-    """Each point in its cell, and as a visitor in all cells that may hold an edge within its component's bound."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, 2000):
-                part = batch.slice(start, 2000)
-                label, core, bound, home = (part.column(c).to_numpy() for c in ("label", "core", "bound", "cell"))
-                near = np.maximum(np.maximum(_distances(_rows(part.column("x")), cells.pivots) - cells.radius, cells.least), core[:, None])
-                row, cell = np.nonzero(cells.other(label) & (near <= (bound * (1 + 1e-9))[:, None]))
-                times = cells.blocks[cell]
-                row, cell = np.repeat(row, times), np.repeat(cell, times)
-                block = np.arange(len(row)) - np.repeat(np.cumsum(times) - times, times)
-                own = part.column("hash").to_numpy() % cells.blocks[home]
-                take = pa.array(np.concatenate([np.arange(part.num_rows), row]))
-                places = [np.concatenate(v) for v in ((home, cell), (own, block), (np.zeros(part.num_rows, bool), np.ones(len(row), bool)))]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, places), *(part.column(c).take(take) for c in ("id", "x", "core", "label", "bound"))], ["cell", "block", "visits", "id", "x", "core", "label", "bound"])
-
-    return run
+def _lightest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each component that has points in an asking block: its lightest edge to a point of another one in the blocks met; of equal ones the one with the smallest ids."""
+    at, top = None, None
 
+    def found() -> pa.RecordBatch:
+        own, w, a, b, other = top
+        return pa.RecordBatch.from_arrays([pa.array(v) for v in (names[own], w, a, b, other)], ["label", "w", "a", "b", "other"])
 
-def _lightest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by cell, block and visits: the lightest edge of each visitor to a point of another component there; of equal ones the one with the smallest ids."""
-    at, held = None, []
     for batch in batches:
-        cell, block, guest = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("cell", "block", "visits"))
-        cuts = [0, *(np.flatnonzero((np.diff(cell) != 0) | (np.diff(block) != 0) | (np.diff(guest.astype(np.int8)) != 0)) + 1).tolist(), len(cell)]
-        for i, j in zip(cuts, cuts[1:], strict=False):
-            if i == j:
-                continue
-            if (cell[i], block[i]) != at:
-                at, held = (cell[i], block[i]), []
-            rows = [_rows(batch.column("x").slice(i, j - i)), *(batch.column(c).slice(i, j - i).to_numpy() for c in ("id", "core", "label", "bound"))]
-            if not guest[i]:
-                held.append(rows)
-                continue
-            if not held:
-                continue
-            if len(held) > 1:
-                held = [[np.concatenate(v) for v in zip(*held, strict=True)]]
-            x, ids, core, label, _ = held[0]
-            for k in range(0, j - i, 500):
-                gx, gid, gcore, glabel, gbound = (v[k : k + 500] for v in rows)
-                w = np.maximum(np.maximum(_distances(gx, x), gcore[:, None]), core[None])
-                w[(glabel[:, None] == label[None]) | (w > (gbound * (1 + 1e-9))[:, None])] = np.inf
-                least = w.min(axis=1)
-                g, p = np.nonzero((w == least[:, None]) & (least < np.inf)[:, None])
-                a, b = np.minimum(gid[g], ids[p]), np.maximum(gid[g], ids[p])
-                order = np.lexsort((b, a, g))
-                first = order[np.flatnonzero(np.r_[True, np.diff(g[order]) != 0])] if len(order) else order
-                yield pa.RecordBatch.from_arrays([pa.array(v[first]) for v in (glabel[g], w[g, p], a, b, label[p])], ["label", "w", "a", "b", "other"])
+        for i in range(batch.num_rows):
+            if (block := batch.column("block")[i].as_py()) != at:
+                if top is not None:
+                    yield found()
+                at, top = block, None
+                gid, gcore, glabel, gbound = (values(batch, c, i) for c in ("id", "core", "label", "bound"))
+                gx, centre = vectors(batch, "x", i, len(gid)), np.array(batch.column("centre")[i].as_py())
+                names, own = np.unique(glabel, return_inverse=True)
+                best = np.full(len(names), np.inf)  # squares
+                np.minimum.at(best, own, gbound**2)
+            ids, core, label = (values(batch, f"its_{c}", i) for c in ("id", "core", "label"))
+            x = vectors(batch, "its_x", i, len(ids))
+            square, off = squares(gx, x, centre)
+            np.maximum(square, (core**2)[None], out=square)
+            np.maximum(square, (gcore**2)[:, None], out=square)
+            square[glabel[:, None] == label[None]] = np.inf
+            np.minimum.at(best, own, square.min(axis=1) + off)
+            g, p = np.nonzero((square <= (best * (1 + 1e-9) + 2 * off)[own][:, None]) & (square < np.inf))
+            w = np.maximum(np.maximum(paired_distances(gx, x, g, p), gcore[g]), core[p])
+            new = own[g], w, np.minimum(gid[g], ids[p]), np.maximum(gid[g], ids[p]), label[p]
+            new = new if top is None else tuple(np.concatenate(v) for v in zip(top, new, strict=True))
+            order = np.lexsort((new[3], new[2], new[1], new[0]))
+            first = order[np.flatnonzero(np.diff(new[0][order], prepend=-1) != 0)]
+            top = tuple(v[first] for v in new)
+            best[top[0]] = np.minimum(best[top[0]], top[1] ** 2)
+    if top is not None:
+        yield found()
 
 
 def roots(parents: DataFrame) -> DataFrame:
@@ -141,27 +90,43 @@ def roots(parents: DataFrame) -> DataFrame:
             return now
 
 
-def spanning_tree(points: DataFrame) -> DataFrame:
-    """a, b, w: the minimum spanning tree of points (id, x, core) by mutual reachability; of equal edges the one with the smallest ids counts as lighter."""
-    placed, pivots = _placed(points.select("id", "x", "core"))
-    names, tree = placed.select("id", F.col("id").alias("label")), None
+def spanning_tree(points: DataFrame, edges: DataFrame) -> DataFrame:
+    """a, b, w: the minimum spanning tree of points (id, x, core, known) by mutual reachability; of equal edges the one with the smallest ids counts as lighter. edges: a, b, w, the known ones.
+
+    In each round every component but the largest takes its lightest edge. Only points that could have an edge beyond the known ones as light as the lightest known one of their component look for it.
+    """
+    n, tree = points.count(), None
+    pivots = pivots_of(points, n) if n else None
+    placed = written(homes(points, pivots).drop("far"), "placed") if n else points
+    names = points.select("id", F.col("id").alias("label"))
     while True:
-        now = written(placed.join(names, "id").withColumn("hash", F.pmod(F.xxhash64("id"), F.lit(1 << 40))), "points")
-        cells = _Cells(now, pivots)
-        seen = cells.radius > -np.inf
-        if not seen.any() or cells.low[seen].min() == cells.high[seen].max():
-            return tree if tree is not None else placed.sparkSession.createDataFrame([], "a long, b long, w double")
-        bounds = now.mapInArrow(_bounds(cells), "label long, bound double").groupBy("label").agg(F.min("bound").alias("bound"))
-        kind = "cell long, block long, visits boolean, id long, x array<double>, core double, label long, bound double"
-        dealt = now.join(bounds, "label").mapInArrow(_visits(cells), kind).repartition("cell", "block").sortWithinPartitions("cell", "block", "visits")
-        found = dealt.mapInArrow(_lightest, "label long, w double, a long, b long, other long")
-        best = written(found.groupBy("label").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("label", "e.*"), "edges")
-        tree = best.select("a", "b", "w").distinct() if tree is None else tree.unionAll(best.select("a", "b", "w").distinct())
+        sizes = names.groupBy("label").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "label").limit(2).collect()
+        if len(sizes) < 2:
+            return tree if tree is not None else points.sparkSession.createDataFrame([], "a long, b long, w double")
+        small = F.col("label") != sizes[0]["label"]
+        now = written(placed.join(names, "id"), "points")
+        ends = edges.join(names.withColumnsRenamed({"id": "a"}), "a").join(names.select(F.col("id").alias("b"), F.col("label").alias("other")), "b").where("label <> other")
+        edges = written(ends.select("a", "b", "w", "label", "other"), "known")
+        least = F.min(F.struct("w", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "other")).alias("e")
+        listed = written(edges.where(small).groupBy("label").agg(least).select("label", "e.*"), "listed")
+        edges = edges.select("a", "b", "w")
+        bound = F.coalesce("w", F.lit(math.inf))
+        asking = now.where(small).join(listed.select("label", "w"), "label", "left").withColumn("bound", bound).where(F.greatest("known", "core") <= bound * (1 + 1e-9))
+        asking = written(asking.select("x", "cell", "id", "core", "label", "bound"), "asking")
+        if many := asking.count():
+            held = packed(now, ["id", "core", "label"], BLOCK, parts_of(now, n, BLOCK)).drop("block")
+            guests = packed(asking, ["id", "core", "label", "bound"], ASKING, parts_of(now, many, ASKING))
+            more = meeting(guests, held, F.array_max("bound"), 8 * n * pivots.shape[1], _lightest, "label long, w double, a long, b long, other long")
+            listed = listed.unionByName(more)
+        best = written(listed.groupBy("label").agg(F.min(F.struct("w", "a", "b", "other")).alias("e")).select("label", "e.*"), "edges")
+        taken = best.select("a", "b", "w").distinct()
+        tree = taken if tree is None else tree.unionAll(taken)
         # two components that chose the same edge: the smaller name leads
         back = best.select(F.col("label").alias("other"), F.col("other").alias("label"), F.lit(True).alias("mutual"))
         leads = F.col("mutual").isNotNull() & (F.col("label") < F.col("other"))
         heads = best.join(back, ["label", "other"], "left").select(F.col("label").alias("name"), F.when(leads, F.col("label")).otherwise(F.col("other")).alias("parent"))
-        names = now.select("id", "label").join(roots(heads).withColumnsRenamed({"name": "label", "root": "new"}), "label").select("id", F.col("new").alias("label"))
+        top = roots(heads).withColumnsRenamed({"name": "label", "root": "new"})
+        names = written(names.join(top, "label", "left").select("id", F.coalesce("new", "label").alias("label")), "labels")
 
 
 def _merged(least: int, block: int):
@@ -284,8 +249,9 @@ def hdbscan(df: DataFrame, id_col: str, vector: str, min_cluster: float, min_sam
     kept = df.select(F.col(id_col).cast("long").alias(id_col))
     if n < 2:
         return kept.select(id_col, F.lit(-1).cast("long").alias("cluster"), F.lit(0.0).alias("probability"))
-    points = written(core_distances(points, min_samples), "cores")
-    entries, nodes = condensed(spanning_tree(points), points, least)
+    points, edges = core_distances(points, min_samples)
+    points = written(points, "cores")
+    entries, nodes = condensed(spanning_tree(points, edges), points, least)
     strength = (1 / F.greatest("distance", F.lit(TINY))).alias("strength")
     entries = written(entries.select("id", "node", strength), "entries")
     direct = {r["node"]: (r["n"], r["s"]) for r in entries.groupBy("node").agg(F.count("*").alias("n"), F.sum("strength").alias("s")).collect()}  # a row a node

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from fieldglass.operators import agglomerate, boosting, clusters, density, features, language, learning, ordered, search, topics
+from fieldglass.operators import agglomerate, boosting, clusters, density, features, language, learning, neighbours, ordered, search, topics
 from fieldglass.sources import readers
 from fieldglass.streaming import streams
 from tests import brute
@@ -238,3 +238,21 @@ def test_facts_of_a_clustering_equal_those_by_hand(spark):
     assert abs(got["silhouette"] - np.mean(s)) < 1e-9
     none = search.clustering_facts(df.where("cluster = -1"), "cluster", "v", "t", {"english": ["the"]}).first()
     assert (none["clusters"], none["outliers"], none["silhouette"], none["davies_bouldin"], none["meets"], none["topics"]) == (0, 3, None, None, False, [])
+
+
+def test_near_points_and_trees_copy_no_point_to_each_cell(spark, monkeypatch):
+    """In 40 dimensions no cell can be left out: what blocks give stays near the number of points, and points go through no shuffle but those that sort them."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(900, 40))
+    points = spark.createDataFrame([(v.tolist(), i, 1) for i, v in enumerate(x)], "x array<double>, label long, w long")
+    seen = []
+    real = neighbours.meeting
+    monkeypatch.setattr(neighbours, "meeting", lambda *a: seen.append(real(*a)) or seen[-1])
+    got = neighbours.nearest_points(points.select("x"), points, 3)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    found = {}
+    for r in got.collect():
+        found.setdefault(tuple(r["x"]), []).append((r["d"], r["label"]))
+    for i, v in enumerate(x):
+        assert [j for _, j in sorted(found[tuple(v)])] == d[i].argsort(kind="stable")[:3].tolist()
+    assert seen and seen[0].count() <= 3 * len(x) and "CartesianProduct" in seen[0]._jdf.queryExecution().toString()
