@@ -3,7 +3,7 @@
 The mean cosine distance between two clusters is 1 - m_a . m_b, m being the mean of a cluster's unit vectors, so a cluster is known by its
 sum and its size. In each round every cluster finds its nearest; two that are each other's nearest merge, which is what merging the closest pair of all, time
 after time, would do as well, since a merger is never nearer to a third cluster than both of its parts. The largest product m_a . m_b is found
-as the nearest point: (m_a, 0) is nearest to the (m_b, sqrt(1 - |m_b|^2)) with the largest. Once FEW clusters are left, one task ends the tree.
+as the nearest point, only for clusters that merged or whose nearest did: (m_a, 0) is nearest to the (m_b, sqrt(1 - |m_b|^2)) with the largest. Once FEW clusters are left, one task ends the tree.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from fieldglass.operators.density import roots
 from fieldglass.operators.neighbours import nearest_points
 from fieldglass.operators.shared import written
 
-#: Clusters that one task merges to the end.
-FEW = 1024
+#: Clusters that one task merges to the end: a table of half a GB.
+FEW = 8192
 
 
 def _started(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -30,12 +30,12 @@ def _started(df: DataFrame, id_col: str, vector: str) -> DataFrame:
     return written(unit.join(names, "unit").select("id", "name", "n", "unit"), "units")
 
 
-def nearest_clusters(now: DataFrame) -> DataFrame:
-    """name, other, height for each cluster (name, n, total): the one at the smallest mean cosine distance; of equal ones the smallest name."""
+def nearest_clusters(now: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """name, other, height for each cluster (name, n, total), or for those with a name in `of`: the one at the smallest mean cosine distance; of equal ones the smallest name."""
     mean = F.transform("total", lambda v: v / F.col("n"))
     rest = F.sqrt(F.greatest(F.lit(0.0), 1 - F.aggregate("mean", F.lit(0.0), lambda s, v: s + v * v)))
     means = written(now.select("name", mean.alias("mean")), "means")
-    asked = means.select(F.concat("mean", F.array(F.lit(0.0))).alias("x"), "name", "mean")
+    asked = (means if of is None else means.join(of, "name", "left_semi")).select(F.concat("mean", F.array(F.lit(0.0))).alias("x"), "name", "mean")
     points = means.select(F.concat("mean", F.array(rest)).alias("x"), F.col("name").alias("label"), F.lit(1).alias("w"))
     # the two nearest points hold the nearest other cluster; the tie's rule needs no more, since of equal distances smaller names come first
     near = nearest_points(asked.select("x").distinct(), points, 2).select("x", F.col("label").alias("other"))
@@ -51,27 +51,40 @@ def _ended(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("name").reset_index(drop=True)
     names, n, total = rows["name"].tolist(), rows["n"].to_numpy(float), np.stack(rows["total"].to_numpy())
     mean = total / n[:, None]
-    d = np.round(1 - mean @ mean.T, 12)
+    d = mean @ mean.T
+    np.subtract(1, d, out=d)
+    np.round(d, 12, out=d)
     np.fill_diagonal(d, np.inf)
+    nearest = d.argmin(axis=1)
+    least = d[np.arange(len(d)), nearest]
     out = []
     for _ in range(len(names) - 1):
-        i, j = divmod(int(d.argmin()), len(names))
-        i, j = min(i, j), max(i, j)
+        i = int(least.argmin())
+        i, j = sorted((i, int(nearest[i])))
         out.append((names[j], names[i], float(d[i, j])))
         total[i] += total[j]
         n[i] += n[j]
+        mean[i] = total[i] / n[i]
         # a cluster that is gone is never nearest
-        d[j], d[:, j] = np.inf, np.inf
+        d[j], d[:, j], least[j] = np.inf, np.inf, np.inf
         alive = np.isfinite(d[i])
-        d[i, alive] = d[alive, i] = np.round(1 - (total[alive] / n[alive, None]) @ (total[i] / n[i]), 12)
+        d[i, alive] = d[alive, i] = np.round(1 - mean[alive] @ mean[i], 12)
+        closer = (d[i] < least) | ((d[i] == least) & (i < nearest))
+        closer[[i, j]] = False
+        again = np.flatnonzero((nearest == i) | (nearest == j))
+        again = np.append(again[again != j], i)
+        nearest[closer], least[closer] = i, d[i, closer]
+        nearest[again] = d[again].argmin(axis=1)
+        least[again] = d[again, nearest[again]]
     return pd.DataFrame(out, columns=["name", "parent", "height"])
 
 
 def linkage(start: DataFrame) -> DataFrame:
     """name, parent, height: the cluster called name goes into the one called parent; a cluster is called by its smallest id. start: name, n, total."""
-    now, out = written(start, "clusters"), None
+    now, out, best, asked = written(start, "clusters"), None, None, None
     while now.count() > FEW:
-        best = written(nearest_clusters(now), "nearest")
+        found = nearest_clusters(now, asked)
+        best = written(found if best is None else best.join(asked, "name", "left_anti").unionByName(found), "nearest")
         back = best.select(F.col("name").alias("other"), F.col("other").alias("name"))
         pairs = written(best.join(back, ["name", "other"]).where("name > other").select("name", F.col("other").alias("parent"), "height"), "pairs")
         if pairs.isEmpty():  # heights that differ in digits that don't count: the closest pair of all merges
@@ -82,6 +95,11 @@ def linkage(start: DataFrame) -> DataFrame:
         # two rows a cluster at most
         sums = F.aggregate(F.collect_list("total"), F.transform(F.first("total"), lambda v: v * 0), lambda s, v: F.zip_with(s, v, lambda a, b: a + b))
         now = written(moved.groupBy("name").agg(F.sum("n").alias("n"), sums.alias("total")), "clusters")
+        # what merges, is never nearer to others than its parts: only clusters that merged, or whose nearest did, look again
+        gone = pairs.select("name").unionAll(pairs.select("parent"))
+        best = best.join(pairs.select("name"), "name", "left_anti")
+        touched = best.join(gone.withColumnRenamed("name", "other"), "other", "left_semi").select("name")
+        asked = written(touched.unionAll(pairs.select(F.col("parent").alias("name"))).distinct(), "asked")
     rest = now.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_ended, "name long, parent long, height double")
     return written(rest if out is None else out.unionAll(rest), "tree")
 

@@ -256,3 +256,15 @@ def test_near_points_and_trees_copy_no_point_to_each_cell(spark, monkeypatch):
     for i, v in enumerate(x):
         assert [j for _, j in sorted(found[tuple(v)])] == d[i].argsort(kind="stable")[:3].tolist()
     assert seen and seen[0].count() <= 3 * len(x) and "CartesianProduct" in seen[0]._jdf.queryExecution().toString()
+
+
+def test_only_clusters_whose_nearest_is_gone_look_again(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(150, 8))
+    monkeypatch.setattr(agglomerate, "FEW", 16)
+    asked, real = [], agglomerate.nearest_clusters
+    monkeypatch.setattr(agglomerate, "nearest_clusters", lambda now, of=None: asked.append((now.count(), None if of is None else of.count())) or real(now, of))
+    ids = list(range(len(x)))
+    got = {r["id"]: r["cluster"] for r in agglomerate.average_linkage(table(spark, ids, x), "id", "v", 7).collect()}
+    assert got == brute.average_linkage(ids, x, 7)
+    assert asked[0][1] is None and all(of < n for n, of in asked[1:]) and len(asked) > 1
