@@ -834,3 +834,18 @@ def test_alignment_equals_the_table():
             for j in range(len(b)):
                 h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
         assert decontaminate.aligned(a, b)[0] == h.max()
+
+
+def test_items_that_share_only_some_common_runs_are_each_looked_for(spark):
+    rng = random.Random(39)
+    items, table = [], []
+    for k in range(6):
+        prompt = prose(rng, 120)
+        for side in range(2):
+            tail = prose(rng, 40)
+            at = 100 * k + 50 * side
+            items += [(at + i, f"{prompt} {tail} {w}") for i, w in enumerate("one two three four five six seven eight nine ten".split())]
+            table.append((at, prose(rng, 20) + " " + tail + " " + prose(rng, 20)))
+    corpus, bench = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"] // 50 * 50, r["items"]) for r in decontaminate.leaks(corpus, bench).collect())
+    assert found == [(i, i, 10) for i, _ in table]
