@@ -236,22 +236,31 @@ def chosen(nodes: list, direct: dict[int, tuple[int, float]]) -> dict[int, int]:
     return cluster
 
 
-def hdbscan(df: DataFrame, id_col: str, vector: str, min_cluster: float, min_samples: int) -> DataFrame:
+def reachability_tree(df: DataFrame, id_col: str, vector: str, min_samples: int) -> tuple[DataFrame, DataFrame]:
+    """Points (id, x, core, known) of the rows with a vector, and their minimum spanning tree of mutual reachability: a, b, w. A core distance is that to the min_samples-th other row.
+
+    It doesn't depend on the least size of a cluster, so clusters of several sizes can come from one tree.
+    """
+    points = written(df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")), "vectors")
+    points, edges = core_distances(points, min_samples)
+    points = written(points, "cores")
+    return points, spanning_tree(points, edges)
+
+
+def hdbscan(df: DataFrame, id_col: str, vector: str, min_cluster: float, min_samples: int, tree: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """id, cluster, probability for each row: cluster is its smallest id, -1 is noise.
 
     A cluster has min_cluster of all rows at least (a share below 1, or a number), and two rows. A core distance is that to the min_samples-th other row. The whole
     table is never one cluster: without any split all is noise. probability is a row's inverse entry distance against the largest of its cluster, 0 for noise. Rows
-    with a null vector are noise and not counted. Equal vectors have distance 0, which counts as 1e-9 where it is inverted.
+    with a null vector are noise and not counted. Equal vectors have distance 0, which counts as 1e-9 where it is inverted. tree: the reachability_tree of these rows, if it is there.
     """
-    points = written(df.where(F.col(vector).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("x")), "vectors")
-    n = points.count()
+    n = df.where(F.col(vector).isNotNull()).count()
     least = max(2, int(n * min_cluster) if min_cluster < 1 else int(min_cluster))
     kept = df.select(F.col(id_col).cast("long").alias(id_col))
     if n < 2:
         return kept.select(id_col, F.lit(-1).cast("long").alias("cluster"), F.lit(0.0).alias("probability"))
-    points, edges = core_distances(points, min_samples)
-    points = written(points, "cores")
-    entries, nodes = condensed(spanning_tree(points, edges), points, least)
+    points, edges = tree or reachability_tree(df, id_col, vector, min_samples)
+    entries, nodes = condensed(edges, points, least)
     strength = (1 / F.greatest("distance", F.lit(TINY))).alias("strength")
     entries = written(entries.select("id", "node", strength), "entries")
     direct = {r["node"]: (r["n"], r["s"]) for r in entries.groupBy("node").agg(F.count("*").alias("n"), F.sum("strength").alias("s")).collect()}  # a row a node

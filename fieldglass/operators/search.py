@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fieldglass.operators.clusters import davies_bouldin, pca_reduce, silhouette
-from fieldglass.operators.density import hdbscan
+from fieldglass.operators.density import hdbscan, reachability_tree
 from fieldglass.operators.shared import shared_dir, written
 from fieldglass.operators.topics import ctfidf, topic_words, topics_meet_criteria
 
@@ -43,16 +43,18 @@ def topic_search(
 ) -> DataFrame:
     """The log of a search: of each setting (components, least share of a cluster, neighbours) the clustering_facts.
 
-    Vectors are reduced once for each number of components; each result is appended to the log as it comes, so a lost driver leaves what was found. id_col: unique.
+    Vectors are reduced once for each number of components, and their spanning tree is found once for each number of neighbours; each result is appended to the log as it comes, so a lost driver leaves what was found. id_col: unique.
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/search-{uuid.uuid4().hex}"
-    reduced = {}
+    reduced, trees = {}, {}
     for components, share, neighbours in settings:
         if components not in reduced:
             rows = docs.where(F.col(vector).isNotNull()).select(id_col, text, vector)
             reduced[components] = written(pca_reduce(rows, vector, components, "point").select(id_col, text, "point"), "reduced")
-        found = hdbscan(reduced[components], id_col, "point", share, neighbours).select(id_col, "cluster")
+        if (components, neighbours) not in trees:
+            trees[components, neighbours] = reachability_tree(reduced[components], id_col, "point", neighbours)
+        found = hdbscan(reduced[components], id_col, "point", share, neighbours, trees[components, neighbours]).select(id_col, "cluster")
         rows = written(reduced[components].join(found, id_col), "clusters")
         facts = clustering_facts(rows, "cluster", "point", text, groups, least_topics=least_topics)
         setting = {"components": F.lit(components), "least_share": F.lit(share), "neighbours": F.lit(neighbours)}
