@@ -12,6 +12,7 @@ from fieldglass.operators import learning as L
 from fieldglass.operators import tables as B
 from fieldglass.operators import topics as P
 from fieldglass.operators import windows as W
+from fieldglass.operators.shared import dealt
 from fieldglass.plans.registry import Registry
 from fieldglass.sources.scorers import score_distinct
 
@@ -203,7 +204,9 @@ def _(t):
     place = t("region").join(t("nation"), F.col("r_regionkey") == F.col("n_regionkey")).select("r_name", "n_name", "n_nationkey")
     people = t("customer").join(place, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "r_name", "n_name")
     threads = t("orders").join(people, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("l_orderkey"), "r_name", "n_name")
-    posts = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").join(threads, "l_orderkey").distinct().na.drop()
+    # both by order, so that equal rows are in one task without another shuffle
+    lines, n = t("lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), t("lineitem").count()
+    posts = dealt(lines, n, "l_orderkey").join(dealt(threads, n, "l_orderkey"), "l_orderkey").distinct().na.drop()
     return posts.groupBy("r_name", "n_name").agg(F.count("*").alias("n"), F.round(F.sum("l_extendedprice"), 2).alias("total"))
 
 
