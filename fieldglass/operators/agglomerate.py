@@ -3,7 +3,8 @@
 The mean cosine distance between two clusters is 1 - m_a . m_b, m being the mean of a cluster's unit vectors, so a cluster is known by its
 sum and its size. In each round every cluster finds its nearest; two that are each other's nearest merge, which is what merging the closest pair of all, time
 after time, would do as well, since a merger is never nearer to a third cluster than both of its parts. The largest product m_a . m_b is found
-as the nearest point, only for clusters that merged or whose nearest did: (m_a, 0) is nearest to the (m_b, sqrt(1 - |m_b|^2)) with the largest. Once FEW clusters are left, one task ends the tree.
+as the nearest point, only for clusters that merged or whose nearest did: (m_a, 0) is nearest to the (m_b, sqrt(1 - |m_b|^2)) with the largest. Once what has to look again is little work (as many products of clusters as LITTLE tables of FEW have, HELD numbers in all), one task goes on with the same rounds, which would else cost
+more to start than to run; at FEW clusters it takes a table of all pairs.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from fieldglass.operators.density import roots
 from fieldglass.operators.neighbours import nearest_points
 from fieldglass.operators.shared import written
 
-#: Clusters that one task merges to the end: a table of half a GB.
-FEW = 8192
+#: Clusters that one task merges to the end by a table of pairs: half a GB. Numbers of all clusters' means, and tables of FEW by FEW products in a round, at which one task takes over; products that it holds at once.
+FEW, HELD, LITTLE, AT_ONCE = 8192, 1 << 23, 16, 1 << 22
 
 
 def _started(df: DataFrame, id_col: str, vector: str) -> DataFrame:
@@ -46,10 +47,64 @@ def nearest_clusters(now: DataFrame, of: DataFrame | None = None) -> DataFrame:
     return best.select("name", "b.other", "b.height")
 
 
+def _nearest(mean: np.ndarray, asked: np.ndarray, nearest: np.ndarray, least: np.ndarray) -> None:
+    """Sets the nearest, of equal ones the first, and its height for the asked rows."""
+    step = max(1, AT_ONCE // len(mean))
+    for k in range(0, len(asked), step):
+        rows = asked[k : k + step]
+        product = mean[rows] @ mean.T
+        at = np.arange(len(rows))
+        product[at, rows] = -np.inf
+        best = product.argmax(axis=1)
+        top = product[at, best]
+        # others may be as high to 12 digits
+        product[at, best] = -np.inf
+        for r in np.flatnonzero(product.max(axis=1) >= top - 2e-12):
+            product[r, best[r]] = top[r]
+            close = np.flatnonzero(product[r] >= top[r] - 2e-12)
+            best[r] = close[np.round(1 - product[r, close], 12).argmin()]
+        nearest[rows], least[rows] = best, np.round(1 - np.einsum("ij,ij->i", mean[rows], mean[best]), 12)
+
+
+def _rounds(names: np.ndarray, n: np.ndarray, total: np.ndarray, nearest: np.ndarray, least: np.ndarray, out: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """names, n and total of FEW clusters at most, after rounds as in `linkage`. nearest: rows, -1 if to be found."""
+    mean = total / n[:, None]
+    asked = np.flatnonzero(nearest < 0)
+    while len(names) > FEW:
+        _nearest(mean, asked, nearest, least)
+        row = np.arange(len(names))
+        i = np.flatnonzero((nearest[nearest] == row) & (row < nearest))
+        if not len(i):  # as in `linkage`
+            low, high = np.minimum(row, nearest), np.maximum(row, nearest)
+            first = np.lexsort((high, low, least))[0]
+            i, j = low[[first]], high[[first]]
+            least[i] = least[first]
+        else:
+            j = nearest[i]
+        out += zip(names[j].tolist(), names[i].tolist(), least[i].tolist(), strict=True)
+        total[i] += total[j]
+        n[i] += n[j]
+        mean[i] = total[i] / n[i, None]
+        touched, kept = np.zeros(len(names), bool), np.ones(len(names), bool)
+        touched[i] = touched[j] = True
+        kept[j] = False
+        again = touched | touched[nearest]
+        place = np.cumsum(kept) - 1
+        names, n, total, mean, nearest, least = names[kept], n[kept], total[kept], mean[kept], place[nearest[kept]], least[kept]
+        asked = np.flatnonzero(again[kept])
+    return names, n, total
+
+
 def _ended(rows: pd.DataFrame) -> pd.DataFrame:
-    """The rest of the tree of FEW clusters at most: the closest pair merges, of equal ones the one with the smallest names."""
+    """The rest of the tree: the closest pair merges, of equal ones the one with the smallest names. rows: name, n, total, and other and height where the nearest is known."""
     rows = rows.sort_values("name").reset_index(drop=True)
-    names, n, total = rows["name"].tolist(), rows["n"].to_numpy(float), np.stack(rows["total"].to_numpy())
+    names, n, total = rows["name"].to_numpy(), rows["n"].to_numpy(float), np.stack(rows["total"].to_numpy())
+    out: list[tuple[int, int, float]] = []
+    if len(names) > FEW:
+        nearest, least = pd.Index(names).get_indexer(rows["other"]), rows["height"].to_numpy(float)
+        del rows
+        names, n, total = _rounds(names, n, total, nearest, least, out)
+    names = names.tolist()
     mean = total / n[:, None]
     d = mean @ mean.T
     np.subtract(1, d, out=d)
@@ -57,7 +112,6 @@ def _ended(rows: pd.DataFrame) -> pd.DataFrame:
     np.fill_diagonal(d, np.inf)
     nearest = d.argmin(axis=1)
     least = d[np.arange(len(d)), nearest]
-    out = []
     for _ in range(len(names) - 1):
         i = int(least.argmin())
         i, j = sorted((i, int(nearest[i])))
@@ -82,7 +136,8 @@ def _ended(rows: pd.DataFrame) -> pd.DataFrame:
 def linkage(start: DataFrame) -> DataFrame:
     """name, parent, height: the cluster called name goes into the one called parent; a cluster is called by its smallest id. start: name, n, total."""
     now, out, best, asked = written(start, "clusters"), None, None, None
-    while now.count() > FEW:
+    width = (now.select(F.size("total").alias("d")).first() or {"d": 0})["d"]
+    while (n := now.count()) > FEW and (n * width > HELD or n * (n if asked is None else asked.count()) > LITTLE * FEW * FEW):
         found = nearest_clusters(now, asked)
         best = written(found if best is None else best.join(asked, "name", "left_anti").unionByName(found), "nearest")
         back = best.select(F.col("name").alias("other"), F.col("other").alias("name"))
@@ -100,7 +155,8 @@ def linkage(start: DataFrame) -> DataFrame:
         best = best.join(pairs.select("name"), "name", "left_anti")
         touched = best.join(gone.withColumnRenamed("name", "other"), "other", "left_semi").select("name")
         asked = written(touched.unionAll(pairs.select(F.col("parent").alias("name"))).distinct(), "asked")
-    rest = now.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_ended, "name long, parent long, height double")
+    known = now.select("name", F.lit(None).cast("long").alias("other"), F.lit(None).cast("double").alias("height")).limit(0) if best is None else best.join(asked, "name", "left_anti")
+    rest = now.join(known, "name", "left").withColumn("one", F.lit(1)).groupBy("one").applyInPandas(_ended, "name long, parent long, height double")
     return written(rest if out is None else out.unionAll(rest), "tree")
 
 

@@ -6,6 +6,7 @@ import random
 import zipfile
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -268,3 +269,27 @@ def test_only_clusters_whose_nearest_is_gone_look_again(spark, monkeypatch):
     got = {r["id"]: r["cluster"] for r in agglomerate.average_linkage(table(spark, ids, x), "id", "v", 7).collect()}
     assert got == brute.average_linkage(ids, x, 7)
     assert asked[0][1] is None and all(of < n for n, of in asked[1:]) and len(asked) > 1
+
+
+def test_rounds_of_little_work_are_made_by_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = np.concatenate([rng.normal(size=(120, 5)), rng.integers(-1, 2, size=(80, 5)) + 0.0, np.eye(5)])
+    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+    x = np.unique(x[np.abs(x).sum(axis=1) > 0], axis=0)
+    x = x[rng.permutation(len(x))]
+    rows = pd.DataFrame({"name": np.arange(len(x)) * 3, "n": 1, "total": list(x), "other": np.full(len(x), np.nan), "height": np.nan})
+    want = agglomerate._ended(rows.copy())
+    monkeypatch.setattr(agglomerate, "FEW", 16)
+    monkeypatch.setattr(agglomerate, "AT_ONCE", 1000)
+    d = np.round(1 - x @ x.T, 12)
+    np.fill_diagonal(d, np.inf)
+    known = rows.assign(other=d.argmin(axis=1) * 3.0, height=d.min(axis=1))
+    known.loc[::4, ["other", "height"]] = np.nan
+    columns = ["height", "parent", "name"]
+    for got in (agglomerate._ended(rows), agglomerate._ended(known)):
+        pd.testing.assert_frame_equal(got.sort_values(columns)[columns].reset_index(drop=True), want.sort_values(columns)[columns].reset_index(drop=True))
+    # 205 clusters of FEW = 64 need no round of Spark's
+    monkeypatch.setattr(agglomerate, "FEW", 64)
+    monkeypatch.setattr(agglomerate, "nearest_clusters", None)
+    got = {r["id"]: r["cluster"] for r in agglomerate.average_linkage(table(spark, list(range(len(x))), x), "id", "v", 7).collect()}
+    assert got == brute.average_linkage(list(range(len(x))), x, 7)
