@@ -83,6 +83,43 @@ def test_cluster_quality(spark):
     assert clusters.davies_bouldin(two, "c", "v").first()[0] == pytest.approx(0.2)
 
 
+def test_silhouette_by_euclidean_distance_equals_all_pairs(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(size=(60, 3)), rng.normal(size=(40, 3)) + 2, np.full((5, 3), 0.25), [[9.0, 9, 9]]])
+    c = np.array([int(v) for v in rng.integers(0, 3, 105)] + [7])
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    df = spark.createDataFrame([(int(k), v.tolist(), 1, 1) for k, v in zip(c, x)] + [(None, [0.0, 0.0, 0.0], 1, 1), (1, None, 1, 1)], "k int, v array<double>, own int, w int").repartition(5)
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    s = []
+    for i in range(len(x)):
+        mean = {k: d[i, c == k].sum() / max(1, (c == k).sum() - (k == c[i])) for k in set(c)}
+        a, b = mean[c[i]], min(v for k, v in mean.items() if k != c[i])
+        s.append((b - a) / max(a, b) if (c == c[i]).sum() > 1 else 0)
+    assert clusters.silhouette_euclidean(df, "k", "v").first()[0] == pytest.approx(np.mean(s), abs=1e-12)
+    assert clusters.silhouette_euclidean(df.where("k = 0"), "k", "v").collect() == [(None,)]
+
+
+def test_cluster_pipeline_measures_plain_distances(spark, monkeypatch):
+    import numpy as np
+
+    from fieldglass.plans import ALL_QUERIES, mining
+
+    seen = []
+    monkeypatch.setattr(mining.K, "kmeans_cluster", lambda *a, real=mining.K.kmeans_cluster: seen.append(real(*a)) or seen[-1])
+    got = ALL_QUERIES["cluster_pipeline"](spark, "/root/testdata/sf0.001").first()[0]
+    rows = seen[0].select("cluster", "r").collect()
+    x, c = np.array([r["r"] for r in rows]), np.array([r["cluster"] for r in rows])
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    mean = np.stack([d[:, c == k].sum(axis=1) / np.maximum(1, (c == k).sum() - (c == k)) for k in range(8) if (c == k).any()], axis=1)
+    own = np.searchsorted(np.unique(c), c)
+    a = mean[np.arange(len(x)), own]
+    mean[np.arange(len(x)), own] = np.inf
+    b = mean.min(axis=1)
+    assert got == pytest.approx(np.where(np.bincount(c)[c] > 1, (b - a) / np.maximum(a, b), 0).mean(), abs=1e-9)
+
+
 def test_exact_similar_pairs_lose_none(spark):
     import numpy as np
 
