@@ -70,6 +70,19 @@ def test_cooccurrence_counts_windows(spark):
     assert {(r["w1"], r["w2"]): r["weight"] for r in topics.cooccurrence(df, "id", "t", words).collect()} == brute("a b a c d e f")
 
 
+def test_keywords_are_whole_words_of_any_script(spark, tmp_path):
+    from fieldglass.plans import ALL_ORACLES, ALL_QUERIES
+
+    rows = [(1, "die größe für für für den öl-pegel"), (2, "the the the and sea 42 42"), (3, "größe öl"), (4, None), (5, "the and"), (6, "b c a1 a2 a3 a4")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    df = ALL_QUERIES["tfidf_keywords"](spark, str(tmp_path))
+    assert {r["doc_id"]: r["keywords"] for r in df.collect()} == {1: "für den die", 2: "42 sea", 3: "größe öl", 6: "a1 a2 a3"}
+    sql = ALL_ORACLES["tfidf_keywords"].replace("FROM documents", f"FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    import duckdb
+
+    assert sorted(duckdb.sql(f"SELECT doc_id, top3, keywords FROM ({sql})").fetchall()) == sorted((r["doc_id"], r["top3"], r["keywords"]) for r in df.collect())
+
+
 def test_share_over_a_domain(spark):
     df = spark.createDataFrame([(1,), (1,), (3,), (9,)], "x int")
     assert sorted(values(tables.value_share_domain(df, "x", [1, 2, 3]), "x", "share")) == [(1, pytest.approx(2 / 3)), (2, 0.0), (3, pytest.approx(1 / 3))]
