@@ -849,3 +849,17 @@ def test_items_that_share_only_some_common_runs_are_each_looked_for(spark):
     corpus, bench = spark.createDataFrame(table, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     found = sorted((r["doc_id"], r["item_id"] // 50 * 50, r["items"]) for r in decontaminate.leaks(corpus, bench).collect())
     assert found == [(i, i, 10) for i, _ in table]
+
+
+def test_whole_copies_of_items_with_own_words_in_short_stretches_are_found(spark):
+    rng = random.Random(40)
+    shared = [prose(rng, 20) for _ in range(4)]
+    own = [[prose(rng, 5) for _ in range(4)] for _ in range(12)]
+    items = [(i, " ".join(f"{s} {w}" for s, w in zip(shared, own[i], strict=True))) for i in range(12)]
+    table = [(i, prose(rng, 30) + " " + items[i][1] + " " + prose(rng, 30)) for i in range(12)]
+    table += [(100 + i, prose(rng, 30) + " " + " ".join(own[i]) + " " + prose(rng, 30)) for i in range(12)]  # without what all share
+    table += [(200, prose(rng, 30) + " " + " ".join(shared) + " " + prose(rng, 30)), (201, " ".join(s + " " + prose(rng, 5) for s in shared))]  # nothing else
+    corpus, bench = spark.createDataFrame(table, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    found = sorted((r["doc_id"], r["item_id"], r["score"], r["items"]) for r in decontaminate.leaks(corpus, bench).collect())
+    assert found == [(i, i, 1.0, 1) for i in range(12)] + [(100 + i, i, 1.0, 1) for i in range(12)]
+    assert {r["doc_id"] for r in decontaminate.without_leaks(corpus, bench).collect()} == {200, 201}
