@@ -83,6 +83,23 @@ def test_keywords_are_whole_words_of_any_script(spark, tmp_path):
     assert sorted(duckdb.sql(f"SELECT doc_id, top3, keywords FROM ({sql})").fetchall()) == sorted((r["doc_id"], r["top3"], r["keywords"]) for r in df.collect())
 
 
+def test_density_clusters_send_no_table_of_points_to_all_tasks(spark, monkeypatch):
+    frame, plans = type(spark.range(0)), []
+
+    def noted(df):
+        df.count()
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df
+
+    monkeypatch.setattr(frame, "checkpoint", lambda self, *a, real=frame.checkpoint: real(noted(self), *a))
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(0, 20)] + [(30, 31), (31, 32)], "a long, b long")
+    found = clusters.density_cluster(spark.range(40), "id", pairs, 3, 4)
+    rows = {r["id"]: r["cluster"] for r in found.collect()}
+    noted(found)
+    assert rows == {i: 1 if i <= 20 else -1 for i in range(40)}
+    assert len(plans) > 3 and not any("Broadcast" in p for p in plans)
+
+
 def test_share_over_a_domain(spark):
     df = spark.createDataFrame([(1,), (1,), (3,), (9,)], "x int")
     assert sorted(values(tables.value_share_domain(df, "x", [1, 2, 3]), "x", "share")) == [(1, pytest.approx(2 / 3)), (2, 0.0), (3, pytest.approx(1 / 3))]
